@@ -70,10 +70,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     slim = materialize(slim, "sizes")
     counted = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents")), weights, most)
     goal = counted.withColumn("budget", F.rint("target").cast("long")).withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("documents") / F.lit(range_rows)))).withColumnRenamed("source", "named")
-    key = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.col("size"))
+    # 52 bits of a digest, so that the key is exact as a double
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
     keyed = slim.join(goal, F.col("source").eqNullSafe(F.col("named"))).withColumn("key", key)
-    # Which of the equal ranges of the hash: floor((key + 2**63) / 2**64 * ranges)
-    keyed = keyed.withColumn("range", F.least(F.floor((F.shiftrightunsigned("key", 11).cast("double") / F.lit(float(1 << 53)) + F.when(F.col("key") < 0, F.lit(-0.5)).otherwise(F.lit(0.5))) * F.col("ranges")), F.col("ranges") - 1).cast("long"))
+    keyed = keyed.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 52)) * F.col("ranges")).cast("long"))
     held = keyed.groupBy("source", "range").agg(F.sum("size").alias("held"))
     ahead = held.withColumn("ahead", F.coalesce(F.sum("held").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col("source").alias("s"), F.col("range").alias("r"), "ahead")
     inside = Window.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
