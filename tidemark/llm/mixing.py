@@ -20,6 +20,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 #: Documents of a source in one range of hash keys, on average.
 RANGE_ROWS = 50_000
+SEED = 20
 
 
 def size_of(text: Column) -> Column:
@@ -54,7 +55,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     return w.select("source", "source_size", "documents", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 20, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Of every document, how many of its words the mix takes.
 
     Returns doc_id, source, size, source_size, target (its source's), budget

@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language_id, license_scan, mixing, ngram_join, quality_knn, secret_scan, substring_dedup, token_files
+from . import ann, decontaminate, language_id, license_scan, mixing, ngram_join, quality_knn, secret_scan, sql, substring_dedup, token_files
 from ._shared import table
-from .sql import ORACLES
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,4 +69,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    """Of op1, op4, op6 and op7 no SQL can give the rows: they hold what was learned, found or encoded."""
+    fits = [
+        ("regexp_full_match(s, '[0-9A-Fa-f]+') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Fa-f]')", secret_scan.CLASSES[0].bits),
+        ("regexp_full_match(s, '[A-Za-z0-9+/=_-]+') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')", secret_scan.CLASSES[1].bits),
+    ]
+    return {
+        "op2_decontamination": sql.DECONTAMINATION,
+        "op3_substring_dedup": sql.SUBSTRING_DEDUP,
+        "op5_mixing": sql.mixing_sql(mixing.WEIGHTS, mixing.MOST, mixing.SEED),
+        "op8_ngram_join": sql.NGRAM_JOIN,
+        "op9_license_scan": sql.license_sql(license_scan.PHRASES, license_scan.template_words(license_scan.TEMPLATES), license_scan.CONTAINMENT),
+        "op10_secret_scan": sql.secret_sql(secret_scan.KINDS, secret_scan.CANDIDATE, secret_scan.WINDOW, fits, secret_scan.ALLOWED),
+    }

@@ -34,4 +34,88 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(b) AS least_id FROM reach
 """
 
 
-ORACLES = {"op2_decontamination": DECONTAMINATION, "op8_ngram_join": NGRAM_JOIN}
+SUBSTRING_DEDUP = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, {_SPACED}), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM d WHERE len(w) >= 50)),
+own AS (SELECT g, min(doc_id) AS m FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(generate_series(i, i + 49)) AS p FROM win JOIN own USING (g) WHERE m < doc_id)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM d WHERE len(w) > 0),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+cut AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
+"""
+
+
+def mixing_sql(weights: tuple[int, ...], most: int, seed: int) -> str:
+    weight = f"[{', '.join(map(str, weights))}]"
+    return f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, {_SPACED})), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, {weight}[1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(weights)}]::DOUBLE AS w FROM d GROUP BY source),
+c AS (SELECT *, {most} * source_size::DOUBLE AS cap, sum(source_size) OVER ()::DOUBLE AS total FROM s),
+f AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled,
+        sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM c),
+l AS (SELECT min_by((total - filled) / free, cap / w) FILTER (WHERE w * ((total - filled) / free) <= cap) AS level FROM f),
+t AS (SELECT source, source_size, coalesce(least(w * level, cap), cap) AS target FROM f, l),
+b AS (SELECT *, round_even(target, 0)::BIGINT AS budget, CASE WHEN source_size > 0 THEN floor(round_even(target, 0) / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+o AS (SELECT d.doc_id, d.size, b.source_size, b.target, b.epochs, b.budget - b.epochs * b.source_size AS rest,
+        coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(md5('{seed}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13), d.doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(0, rest - before)))::BIGINT AS taken FROM o
+"""
+
+
+def license_sql(phrases: dict[str, str], templates: list[tuple[str, list[str]]], containment: float) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    places = " UNION ALL ".join(f"SELECT doc_id, {quoted(label)} AS label, i FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {len(p.split()) - 1})) AS i FROM d WHERE len(w) >= {len(p.split())}) WHERE w[i : i + {len(p.split()) - 1}] = [{', '.join(map(quoted, p.split()))}]" for p, label in phrases.items())
+    sets = ", ".join(f"({quoted(label)}, [{', '.join(map(quoted, words))}])" for label, words in templates)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({_LOW.replace('text', "coalesce(text, '')")}, {_ALNUM}) AS w FROM documents),
+found AS ({places}),
+base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list_sort(list(DISTINCT label)) AS labels FROM found GROUP BY doc_id),
+t(label, words) AS (VALUES {sets}),
+lines AS (SELECT doc_id, k, list_distinct(regexp_extract_all({_LOW.replace('text', 'line')}, {_ALNUM})) AS b
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM d)),
+met AS (SELECT doc_id, k, label, len(list_intersect(words, b))::DOUBLE / len(words) AS share FROM lines, t
+        WHERE len(list_intersect(words, b)) >= greatest(1, ceil({containment} * len(words) - 1e-9))),
+best AS (SELECT doc_id, label, share FROM met QUALIFY share = max(share) OVER (PARTITION BY doc_id, k)),
+more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM best GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+  coalesce(array_to_string(base.labels, ','), '') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(more.labels, [])))), ',') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+def secret_sql(kinds: list[tuple[str, str, int, int]], candidate: str, window: int, classes: list[tuple[str, float]], allowed: list[str]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def spans(place: int, kind: str, pattern: str, group: int, least: int) -> str:
+        return f"""SELECT doc_id, {place} AS place, {quoted(kind)} AS kind, past - size AS start, past AS stop FROM (
+  SELECT doc_id, size, judged, sum(gap + size) OVER (PARTITION BY doc_id ORDER BY i) AS past FROM (
+    SELECT doc_id, unnest(generate_series(1, len(m))) AS i, unnest(list_transform(p[1 : len(m)], lambda x: length(x))) AS gap, unnest(list_transform(m, lambda x: length(x))) AS size, unnest(list_transform(g, lambda x: length(x))) AS judged
+    FROM (SELECT doc_id, string_split_regex(text, {quoted(pattern)}) AS p, regexp_extract_all(text, {quoted(pattern)}) AS m, regexp_extract_all(text, {quoted(pattern)}, {group}) AS g FROM d) WHERE len(m) > 0)) WHERE judged >= {least}"""
+
+    base = " UNION ALL ".join(spans(i, *k) for i, k in enumerate(kinds))
+    judged = " ".join(f"WHEN {fits} THEN bits >= {bits}" for fits, bits in classes)
+    allow = " OR ".join(f"regexp_matches(s, {quoted(a)})" for a in allowed) or "false"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({base}),
+spot AS ({spans(len(kinds), 'entropy', candidate, 0, window)}),
+lone AS (SELECT spot.*, substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) AS s FROM spot JOIN d USING (doc_id)
+         WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = spot.doc_id AND base.start <= spot.start AND base.stop >= spot.stop)),
+slid AS (SELECT doc_id, start, k, substr(s, k + j, 1) AS c FROM (SELECT doc_id, start, s, k, unnest(generate_series(0, {window - 1})) AS j
+         FROM (SELECT doc_id, start, s, unnest(generate_series(1, length(s) - {window - 1})) AS k FROM lone))),
+ent AS (SELECT doc_id, start, max(h) AS bits FROM (SELECT doc_id, start, k, log2({window}.0) - sum(n * log2(n)) / {window}.0 AS h
+        FROM (SELECT doc_id, start, k, c, count(*)::DOUBLE AS n FROM slid GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
+added AS (SELECT doc_id, place, kind, start, stop FROM lone JOIN ent USING (doc_id, start) WHERE NOT ({allow}) AND CASE {judged} ELSE false END),
+every AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM added),
+told AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = {quoted(k[0])}) AS n_{k[0]}" for k in kinds)},
+  coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, place) FILTER (WHERE is_base), '') AS b,
+  string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, place) AS spans FROM every GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f"coalesce(n_{k[0]}, 0)::BIGINT AS n_{k[0]}" for k in kinds)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (doc_id)
+"""
