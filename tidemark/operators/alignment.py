@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import ready
+
 #: An extra event's cost, and what an octave error adds.
 EXTRA, OCTAVE = 0.8, 0.75
 
@@ -107,6 +109,7 @@ def edit_path(heard: np.ndarray, written: np.ndarray, band: int | None = None, e
 
 def align(heard: DataFrame, written: DataFrame, keys: list[str], seq: str, value: str, band: int | None = None) -> DataFrame:
     """Matched places of two sequences of each key: (heard_seq, written_seq, cost), cost of the whole alignment."""
+    ready(heard.sparkSession)
     spec = T.StructType([*(heard.schema[k] for k in keys), T.StructField("heard_seq", T.LongType()), T.StructField("written_seq", T.LongType()), T.StructField("cost", T.DoubleType())])
 
     def fold(key, a, b):
@@ -124,6 +127,7 @@ def locate(heard: DataFrame, written: DataFrame, keys: list[str], seq: str, valu
     Every start is tried, and the cost of each is kept, so that an excerpt that
     fits two places is refused: located is false, and start null.
     """
+    ready(heard.sparkSession)
     spec = T.StructType([*(heard.schema[k] for k in keys), T.StructField("start", T.LongType()), T.StructField("cost", T.DoubleType()), T.StructField("runner_up", T.DoubleType()), T.StructField("located", T.BooleanType())])
 
     def fold(key, a, b):
@@ -201,6 +205,7 @@ def shift_path(residuals: np.ndarray, shifts: np.ndarray, jump: float) -> np.nda
 
 def reject_outliers(points: DataFrame, keys: list[str], x: str, y: str, *, around: int = 3, least: float = 0.12, times: float = 4.0, passes: int = 2) -> DataFrame:
     """Points that stay when those far off the line of their neighbours go, pass by pass."""
+    ready(points.sparkSession)
     spec = points.select(*keys, x, y).schema
 
     def fold(pdf):

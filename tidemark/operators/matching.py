@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import ready
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, value: str, name: str, *, forward: bool = False, strict: bool = False) -> DataFrame:
     """Adds the value of the last right row at or before each left row
@@ -95,6 +97,7 @@ def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str], tolerance
 
 def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """One-to-one pairs in order of the left times: each takes the nearest right time still free within the tolerance."""
+    ready(left.sparkSession)
     kinds = [left.schema[k] for k in keys]
     spec = T.StructType([*kinds, T.StructField("left_t", T.DoubleType()), T.StructField("right_t", T.DoubleType())])
 
@@ -118,6 +121,7 @@ def monotone_onsets(notes: DataFrame, onsets: DataFrame, keys: list[str], reach:
     """Strict matching of notes (id, ref, dur) to onsets (t): in order, each
     takes the free onset nearest to its reference, after the last one taken and
     within min(reach, share * dur); else it keeps its reference."""
+    ready(notes.sparkSession)
     kinds = [notes.schema[k] for k in keys]
     spec = T.StructType([*kinds, notes.schema["id"], T.StructField("onset", T.DoubleType()), T.StructField("matched", T.BooleanType())])
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import ready
+
 
 def _w(keys: list[str], order: list[str | Column]):
     return Window.partitionBy(*keys).orderBy(*order)
@@ -182,6 +184,7 @@ def segment_frames(frames: DataFrame, onsets: DataFrame, keys: list[str], time:
 def mono(events: DataFrame, keys: list[str], window: float = 0.05, trim: float = 0.001) -> DataFrame:
     """Events (start, stop, pitch) with one voice: of those within a window of
     a group's first start the lowest; ends are cut before the next start."""
+    ready(events.sparkSession)
     spec = T.StructType([*(events.schema[k] for k in keys), T.StructField("start", T.DoubleType()), T.StructField("stop", T.DoubleType()), T.StructField("pitch", T.DoubleType())])
 
     def fold(pdf):
@@ -205,6 +208,7 @@ def mono(events: DataFrame, keys: list[str], window: float = 0.05, trim: float =
 def suppress(peaks: DataFrame, keys: list[str], place: str, strength: str, radius: float) -> DataFrame:
     """Peaks that survive stronger ones nearby: in order of strength, a peak
     goes if one that stays is within the radius."""
+    ready(peaks.sparkSession)
     spec = T.StructType([*(peaks.schema[k] for k in keys), peaks.schema[place], peaks.schema[strength]])
 
     def fold(pdf):

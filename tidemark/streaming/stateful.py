@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import ready
+
 #: Legal transitions of a job.
 TRANSITIONS = {
     "idle": ["validating"], "validating": ["preparing", "failed", "cancelled"], "preparing": ["submitting", "failed", "cancelled"], "submitting": ["polling", "failed", "cancelled", "timed_out"],
@@ -62,12 +64,14 @@ def job_states(df: DataFrame, key: str, order: list[str], generation: str, actio
         state, last, rejected = fold_states(list(zip(pdf[generation].tolist(), pdf[action].tolist(), strict=True)))
         return pd.DataFrame([(pdf[key].iloc[0], state, last, rejected)], columns=[key, "state", "generation", "rejected"])
 
+    ready(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
     return df.groupBy(key).applyInPandas(fold, f"{key} {kind}, state string, generation long, rejected long")
 
 
 def job_state_stream(stream: DataFrame, key: str, generation: str, action: str, seq: str) -> DataFrame:
     """Streaming form: state is kept by job; each batch emits the jobs it changed."""
+    ready(stream.sparkSession)
     kind = stream.schema[key].dataType.simpleString()
 
     def step(k, pdfs, state):
