@@ -45,6 +45,9 @@ def test_query_agrees_with_sql(spark, tables, duck, name):
 
 
 def test_every_query_has_sql_and_entry_runs(spark):
-    assert set(QUERIES) == set(ORACLES)
+    # What folds or aligns has no SQL; test_operators holds it against its rules.
+    assert set(QUERIES) - set(ORACLES) == {"lcs_opening", "edit_align", "locate_excerpt", "dtw_documents", "job_state_fold", "strict_onset_match", "greedy_match", "outlier_anchors"}
+    for name in set(QUERIES) - set(ORACLES):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
