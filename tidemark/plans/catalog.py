@@ -219,10 +219,10 @@ def has_result_flag(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders", "o_orderkey").join(held, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.col("l_orderkey").isNotNull().alias("has_result"))
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-10-01' UNION ALL SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09 AND l_tax > 0.07 UNION ALL SELECT l_partkey FROM lineitem WHERE l_quantity > 49)")
 def refcount_gc(spark: SparkSession, d: str) -> DataFrame:
-    l = load(spark, d, "lineitem", "l_partkey", "l_shipdate", "l_quantity")
-    return S.unreferenced(load(spark, d, "part", "p_partkey"), "p_partkey", [l.where("l_shipdate >= TIMESTAMP_NTZ '1998-10-01'").select("l_partkey"), l.where("l_quantity > 49").select("l_partkey")])
+    l = load(spark, d, "lineitem", "l_partkey", "l_discount", "l_tax", "l_quantity")
+    return S.unreferenced(load(spark, d, "part", "p_partkey"), "p_partkey", [l.where("l_discount > 0.09 AND l_tax > 0.07").select("l_partkey"), l.where("l_quantity > 49").select("l_partkey")])
 
 
 @query(f"""
