@@ -26,7 +26,7 @@ ROUNDS = 8
 #: Share of a round's lists that changed below which the descent ends.
 SETTLED = 0.02
 #: Candidates that a walk keeps, and how many it expands at a time.
-BEAM, EXPAND = 160, 8
+BEAM, EXPAND = 256, 8
 ENTRIES = 48
 #: Queries of one search task.
 QUERY_BLOCK = 1024
