@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 16
 _U = np.uint64
 
 
@@ -51,7 +51,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         steps = np.full(size, base, dtype=np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if size <= 4 * SLICE:
+        if size <= 64 * SLICE:
             _powers[int(base)] = have
     return have[:n]
 
@@ -129,13 +129,19 @@ def words(column: pa.Array, kind: np.ndarray, fold: bool, hashed: bool = True) -
         start, end = np.flatnonzero(begin), np.flatnonzero(close) + 1
         value = np.zeros(0, dtype=np.uint64)
         if hashed and len(start):
-            prefix = np.empty(n + 1, dtype=np.uint64)
-            prefix[0] = 0
-            np.cumsum(_BYTE_VALUE[data] * _power(_P, n), out=prefix[1:])
-            value = mix((prefix[end] - prefix[start]) * _power(_P_INV, n + 1)[start] + (end - start).astype(np.uint64))
+            value = spans(data, start, end)
         yield Words(data, start, end, value, np.searchsorted(start, at), row)
 
 
+def spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range."""
+    n = len(data)
+    prefix = np.empty(n + 1, dtype=np.uint64)
+    prefix[0] = 0
+    np.cumsum(_BYTE_VALUE[data] * _power(_P, n), out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * _power(_P_INV, n + 1)[start] + (end - start).astype(np.uint64))
+
+
 def ngrams(value: np.ndarray, n: int) -> np.ndarray:
     """Hash of each run of n values; one for each start that has n values after it."""
     m = len(value) - n + 1

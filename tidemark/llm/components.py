@@ -1,57 +1,57 @@
 """Connected components by alternating large-star and small-star steps.
 
-Edges stay distributed; each round writes them to the shared folder, so the
-lineage stays short and a lost executor costs one round.
+Edges stay distributed. A round deals them out by node twice and drops repeats
+once; it is written to the shared folder, so the lineage stays short and a lost
+executor costs one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import discard, scratch_path, session_of
 
+#: Edges of one task, on average, and tasks at least: few edges don't need many tasks.
+TASK_EDGES, LEAST_TASKS = 250_000, 6
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """One step. ``edges`` (a, b) have a > b; the result too, each pair once."""
-    if small:
-        # Of each node and its smaller neighbours, all hang on the smallest.
-        both = edges
-    else:
-        # Of each node's larger neighbours, all hang on the smallest around.
-        both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    found = both.join(least, "a")
-    if small:
-        moved = found.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b")))
-    else:
-        moved = found.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # A node itself keeps its tie to the smallest of its neighbours.
-        moved = moved.unionAll(least.where("m < a").select("a", F.col("m").alias("b")))
-    return moved.where("a > b").distinct()
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
+    """A node's larger neighbours all hang on the smallest around it."""
+    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.withColumn("m", F.least(F.min("b").over(Window.partitionBy("a")), "a"))
+    return least.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
+
+
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
+    """A node and its smaller neighbours all hang on the smallest of these: an edge moves one node."""
+    least = edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return least.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).coalesce(tasks)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node with a link; root is its component's smallest node.
 
-    Links may be null, loops, repeated and in either direction; pairs
-    with a null and loops are skipped. An empty table gives an empty result.
+    Links may be null, loops, repeated and in either direction; pairs with a
+    null and loops are skipped. An empty table gives an empty result.
     """
     spark = session_of(links)
     now = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
     path = scratch_path(spark, "links")
     now.write.parquet(path)
     schema, before = now.schema, None
-    while True:
+    state = _state(spark.read.schema(schema).parquet(path))
+    while state["n"] and before != state:
+        tasks = max(LEAST_TASKS, -(-2 * state["n"] // TASK_EDGES))
         edges = spark.read.schema(schema).parquet(path)
         after = scratch_path(spark, "links")
-        _star(_star(edges, small=False), small=True).write.parquet(after)
-        # Large- and small-star leave the edges of a forest of stars as they are.
-        state = spark.read.schema(schema).parquet(after).agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+        _small_star(_large_star(edges, tasks), tasks).distinct().coalesce(tasks).write.parquet(after)
         discard(spark, path)
-        path = after
-        if before == state:
-            break
-        before = state
+        # Both steps leave the edges of a forest of stars as they are.
+        path, before, state = after, state, _state(spark.read.schema(schema).parquet(after))
     stars = spark.read.schema(schema).parquet(path)
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _state(edges: DataFrame):
+    return edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()

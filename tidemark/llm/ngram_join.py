@@ -8,9 +8,9 @@ positional and bitmap (suffix) filters and verified once.
 
 Copies and large groups of near copies never become all their pairs: equal sets
 are one class from the start, each shingle's group is first tied to a few
-leaders, and only pairs of classes that are not connected yet are drawn after
-that, until none is left. Every link between unconnected classes is looked for,
-so the components are exact.
+leaders if it is large, and of its pairs only those of classes that are not
+connected yet are drawn after that. Every link between unconnected classes is
+looked for, so the components are exact.
 """
 
 from __future__ import annotations
@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import materialize, ready, session_of
+from ._shared import materialize, ready, release, session_of
 from .components import components
 
 SHINGLE = 5
@@ -32,9 +31,14 @@ SHINGLE = 5
 SIMILARITY = 75
 #: Buckets of the frequency sketch: a fixed size, whatever the corpus.
 BUCKETS = 1 << 16
-#: Leaders to which a shingle's group is tied before pairs are drawn.
+#: Classes that share a prefix shingle, up to which all their pairs are drawn at once.
+SMALL = 8
+#: Leaders to which a larger group is tied before its pairs are drawn.
 LEADERS = 8
-BITS = 4  # words of 64 bits of a set's bitmap
+BITS = 16  # words of 64 bits of a set's bitmap
+CELLS = 512  # counts of a set's histogram
+#: Words of the filter that says which sets a scan must hand out: a fixed size.
+FILTER_WORDS = 1 << 17
 
 _U = np.uint64
 
@@ -65,7 +69,12 @@ def _bitmap(grams: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-_PROFILE = "doc_id long, cls long, n long, bitmap array<long>, bucket int, seen long"
+def _histogram(grams: np.ndarray) -> bytes:
+    """Counts, 255 at most: two sets' counts differ by at most as much as the sets do."""
+    return np.minimum(np.bincount((grams >> _U(16) & _U(CELLS - 1)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
+_PROFILE = "doc_id long, row long, cls long, n long, bitmap array<long>, cells binary, bucket int, seen long"
 
 
 def _profiler(size: int):
@@ -75,26 +84,30 @@ def _profiler(size: int):
         for batch in batches:
             rows = batch.num_rows
             cls, n = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
-            bits = np.zeros((rows, BITS), dtype=np.int64)
-            for w in W.words(batch.column(1), W.SPACED, fold=True):
+            bits, cells = np.zeros((rows, BITS), dtype=np.int64), [None] * rows
+            for w in W.words(batch.column(2), W.SPACED, fold=True):
+                new = []
                 for row, grams in _sets(w, size):
                     grams = np.unique(grams)
-                    cls[row], n[row], bits[row] = _class_of(grams), len(grams), _bitmap(grams)
-                    if cls[row] not in met:  # copies that this task has met count once
-                        met.add(int(cls[row]))
-                        counts += np.bincount((grams >> _U(48)).astype(np.int64), minlength=BUCKETS)
+                    key = _class_of(grams)
+                    cls[row], n[row], bits[row], cells[row] = key, len(grams), _bitmap(grams), _histogram(grams)
+                    if key not in met:  # copies that this task has met count once
+                        met.add(key)
+                        new.append(grams)
+                if new:
+                    counts += np.bincount((np.concatenate(new) >> _U(48)).astype(np.int64), minlength=BUCKETS)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, rows * BITS + 1, BITS), pa.int32()), pa.array(bits.ravel()))
             none = [pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls), pa.array(n), lists, *none], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls), pa.array(n), lists, pa.array(cells, pa.binary()), *none], names=_NAMES)
         full = np.flatnonzero(counts)
         if len(full):
-            none = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            none = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(full.astype(np.int32)), pa.array(counts[full])], names=_NAMES)
 
     return run
 
 
-_NAMES = ["doc_id", "cls", "n", "bitmap", "bucket", "seen"]
+_NAMES = ["doc_id", "row", "cls", "n", "bitmap", "cells", "bucket", "seen"]
 
 
 def _ordered(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -127,19 +140,22 @@ def _prefixer(rank_of, size: int, similarity: int):
     return run
 
 
-def _holder(size: int):
+def _holder(likely, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.array(likely.value, dtype=np.uint64)
         for batch in batches:
+            rows = np.asarray(batch.column(0)).view(np.uint64)
+            asked = bits[(rows >> _U(6)) % _U(FILTER_WORDS)] >> (rows & _U(63)) & _U(1) == 1
+            batch = batch.filter(pa.array(asked))
             for w in W.words(batch.column(1), W.SPACED, fold=True):
-                cls, sets = [], []
-                for _, grams in _sets(w, size):
-                    grams = np.unique(grams)
-                    cls.append(_class_of(grams))
-                    sets.append(grams)
-                if cls:
+                row, sets = [], []
+                for r, grams in _sets(w, size):
+                    row.append(r)
+                    sets.append(np.unique(grams))
+                if row:
                     ends = np.cumsum([0, *map(len, sets)])
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.as_long(np.concatenate(sets))))
-                    yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), lists], names=["cls", "grams"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), lists], names=["row", "grams"])
 
     return run
 
@@ -164,23 +180,80 @@ def _verifier(similarity: int):
     return run
 
 
-def _alike(n: Column, pos: Column, bits: Column, m: Column, at: Column, other: Column, similarity: int) -> Column:
-    """Length, positional and bitmap filters; no pair that links fails them."""
-    s = similarity
-    # intersection >= ceil(s (n + m) / (100 + s)) is the same as the similarity asked for
-    need = F.ceil(F.lit(s) * (n + m) / F.lit(100 + s))
-    length = (100 * F.least(n, m)) >= s * F.greatest(n, m)
-    # what can still be shared: this shingle, what precedes it on both sides, what follows it on both
-    place = F.least(pos, at) + 1 + F.least(n - pos, m - at) - 1 >= need
-    differ = sum((F.bit_count(F.get(bits, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(BITS)), F.lit(0))
-    return length & place & (differ <= n + m - 2 * need)
+def _need(n: Column, m: Column, similarity: int) -> Column:
+    """Least intersection of sets of n and m that are similar enough."""
+    return F.ceil(F.lit(similarity) * (n + m) / F.lit(100 + similarity))
+
+
+def _close(n: Column, pos: Column, m: Column, at: Column, similarity: int) -> Column:
+    """Length and positional filters; no pair that links fails them."""
+    length = (100 * F.least(n, m)) >= similarity * F.greatest(n, m)
+    # what can be shared: this shingle, what precedes it on both sides, what follows it on both
+    return length & (F.least(pos, at) + F.least(n - pos, m - at) >= _need(n, m, similarity))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+def _differ(bits: Column, other: Column) -> Column:
+    return sum((F.bit_count(F.get(bits, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))) for k in range(BITS)), F.lit(0))
+
+
+def _like(n: Column, bits: Column, m: Column, other: Column, similarity: int) -> Column:
+    """Suffix filter on whole sets: as many elements differ as bits do, at least."""
+    return _differ(bits, other) <= n + m - 2 * _need(n, m, similarity)
+
+
+def _small_pairs(group: DataFrame, info: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) that share enough prefix shingles for what the suffixes can add."""
+    x, y = group.alias("x"), group.alias("y")
+    c = lambda side, name: F.col(f"{side}.{name}")
+    met = x.join(y, (c("x", "token") == c("y", "token")) & (c("x", "cls") > c("y", "cls")) & _close(c("x", "n"), c("x", "pos"), c("y", "n"), c("y", "pos"), similarity))
+    met = met.groupBy(c("x", "cls").alias("a"), c("y", "cls").alias("b")).agg(F.count("*").alias("shared"), F.first(c("x", "n")).alias("n"), F.first(c("y", "n")).alias("m"))
+    n, m = F.col("n"), F.col("m")
+    # A shared shingle is in both prefixes and counted (or hidden in a large group), or beyond one of them.
+    beyond = F.greatest(F.ceil(F.lit(similarity) * n / 100) - 1, F.ceil(F.lit(similarity) * m / 100) - 1)
+    enough = lambda hidden: F.col("shared") + hidden + beyond >= _need(n, m, similarity)
+    more = info.where("hidden > 0").select("cls", "hidden")
+    met = met.join(more.select(F.col("cls").alias("a"), F.col("hidden").alias("more")), "a", "left").join(more.select(F.col("cls").alias("b"), F.col("hidden").alias("most")), "b", "left")
+    return met.where(enough(F.least(F.coalesce("more", F.lit(0)), F.coalesce("most", F.lit(0))))).select("a", "b")
+
+
+def _pruned(pairs: DataFrame, info: DataFrame, similarity: int) -> DataFrame:
+    """Suffix filter on distinct pairs, by bitmaps and then by histograms: (a, b, d), d the least number of elements that differ."""
+    left = info.select(F.col("cls").alias("a"), F.col("n").alias("n"), F.col("bits").alias("left"), F.col("cells").alias("cells_a"))
+    right = info.select(F.col("cls").alias("b"), F.col("n").alias("m"), F.col("bits").alias("right"), F.col("cells").alias("cells_b"))
+    both = pairs.join(left, "a").join(right, "b").where(_like(F.col("n"), F.col("left"), F.col("m"), F.col("right"), similarity))
+    return both.select("a", "b", (F.col("n") + F.col("m") - 2 * _need(F.col("n"), F.col("m"), similarity)).cast("long").alias("most"), "cells_a", "cells_b").mapInArrow(_by_cells, "a long, b long, d long")
+
+
+def _by_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for k in (3, 4))
+        d = np.abs(x - y).sum(1, dtype=np.int64)
+        keep = pa.array(d <= np.asarray(batch.column(2)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["a", "b", "d"]).filter(keep)
+
+
+def _leader_pairs(group: DataFrame, info: DataFrame, leaders: int, similarity: int) -> DataFrame:
+    """Pairs of each class with its group's leaders: the first under some orders, wherever they appear."""
+    order = lambda k: F.xxhash64(F.col("cls"), F.lit(k))
+    held = group.join(info.select("cls", "bits"), "cls")
+    heads = F.array_distinct(F.array(*(F.min(F.struct(order(k).alias("order"), "cls", "n", "pos", "bits")).over(Window.partitionBy("token")) for k in range(leaders))))
+    n, pos, bits = F.col("n"), F.col("pos"), F.col("bits")
+    fit = lambda h: (h["cls"] != F.col("cls")) & _close(n, pos, h["n"], h["pos"], similarity) & _like(n, bits, h["n"], h["bits"], similarity)
+    tied = held.withColumn("heads", heads).select("cls", F.explode(F.transform(F.filter("heads", fit), lambda h: h["cls"])).alias("head"))
+    return tied.select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b"))
+
+
+def _links(pairs: DataFrame, info: DataFrame, slim: DataFrame, size: int, similarity: int) -> DataFrame:
     """Of distinct pairs (a, b), those that link, each verified once on whole sets."""
-    right = pairs.join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("right")), "b")
-    both = right.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("left")), "a").select("a", "b", "left", "right")
-    return both.mapInArrow(_verifier(similarity), "a long, b long")
+    where = info.select("cls", "row")
+    named = pairs.select("a", "b").join(where.select(F.col("cls").alias("a"), F.col("row").alias("row_a")), "a").join(where.select(F.col("cls").alias("b"), F.col("row").alias("row_b")), "b")
+    named = materialize(named, "pairs")
+    sets = _sets_of(named, slim, size)
+    right = named.join(sets.select(F.col("row").alias("row_b"), F.col("grams").alias("right")), "row_b")
+    both = right.join(sets.select(F.col("row").alias("row_a"), F.col("grams").alias("left")), "row_a").select("a", "b", "left", "right")
+    found = materialize(both.mapInArrow(_verifier(similarity), "a long, b long"), "links")
+    release(session_of(pairs))
+    return found
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, similarity: int = SIMILARITY, leaders: int = LEADERS) -> DataFrame:
@@ -196,7 +269,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = session_of(docs)
     ready(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    profile = materialize(slim.mapInArrow(_profiler(size), _PROFILE), "profile")
+    slim = slim.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("row"), "text")
+    profile = materialize(slim.mapInArrow(_profiler(size), _PROFILE), "profile", compression="zstd")
     # 1. Frequencies: at most BUCKETS rows come to the driver.
     counts = np.zeros(BUCKETS, dtype=np.int64)
     for r in profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).collect():
@@ -204,50 +278,71 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rank = np.empty(BUCKETS, dtype=np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
     ranks = spark.sparkContext.broadcast(rank)
-    rows = profile.where("bucket IS NULL").select("doc_id", "cls", "n", "bitmap")
-    # 2. Prefixes, and of them those that at least two classes share.
+    rows = profile.where("bucket IS NULL").select("doc_id", "row", "cls", "n", "bitmap", "cells")
+    # 2. Prefixes, and of them those that at least two classes share: one exchange, by shingle.
     prefix = slim.where("text IS NOT NULL").select("text").mapInArrow(_prefixer(ranks, size, similarity), "token long, cls long, n int, pos int")
-    by_token = _within("token")
-    shared = prefix.withColumn("lo", F.min("cls").over(by_token)).withColumn("hi", F.max("cls").over(by_token)).where("lo < hi").select("token", "cls", "n", "pos").distinct()
-    classes = rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("bitmap").alias("bits"))
-    group = materialize(shared.join(classes.select("cls", "bits"), "cls"), "prefixes")
-    # 3. Ties to leaders. The same few are the least under each order wherever they appear.
-    spread = by_token
-    heads = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64(F.col("cls"), F.lit(k)).alias("order"), "cls", "n", "pos", "bits")).over(spread) for k in range(leaders))))
-    tied = group.withColumn("heads", heads).select("cls", F.explode(F.filter("heads", lambda h: (h["cls"] != F.col("cls")) & _alike(F.col("n"), F.col("pos"), F.col("bits"), h["n"], h["pos"], h["bits"], similarity))).alias("head"))
-    first = materialize(tied.select(F.greatest("cls", "head.cls").alias("a"), F.least("cls", "head.cls").alias("b")).distinct(), "pairs")
-    sets = _sets_of(first, slim, rows, size)
-    links = materialize(_links(first, sets, similarity), "links")
+    by_token = Window.partitionBy("token")
+    shared = prefix.withColumn("lo", F.min("cls").over(by_token)).withColumn("hi", F.max("cls").over(by_token)).where("lo < hi")
+    shared = shared.groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).withColumn("g", F.count("*").over(by_token))
+    group = materialize(shared, "prefixes")
+    release(spark)
+    classes = rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").cast("int").alias("n"), F.first("bitmap").alias("bits"), F.first("cells").alias("cells"))
+    crowded = group.where(F.col("g") > SMALL)
+    hidden = crowded.groupBy("cls").agg(F.count("*").alias("hidden"))
+    info = materialize(classes.join(hidden, "cls", "left").withColumn("hidden", F.coalesce("hidden", F.lit(0))), "classes")
+    # 3. Pairs of small groups, counted; ties of large ones to leaders; with the bits that differ.
+    pairs = materialize(_small_pairs(group.where(F.col("g") <= SMALL), info, similarity).unionAll(_leader_pairs(crowded, info, leaders, similarity)).distinct(), "pairs")
+    pairs = materialize(_pruned(pairs, info, similarity), "pairs")
+    # First each class's closest pair, then the closest of any two components.
+    ends = pairs.select(F.col("a").alias("x"), "a", "b", "d").unionAll(pairs.select(F.col("b").alias("x"), "a", "b", "d"))
+    closest = ends.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
+    links = _links(closest, info, slim, size, similarity)
     roots = components(links)
-    # 4. All pairs of classes that aren't connected yet.
-    known = group.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    apart = known.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo < hi").drop("lo", "hi")
+    between = _apart(pairs, roots).groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b")
+    joints = materialize(between.join(links, ["a", "b"], "left_anti"), "pairs")
+    if not joints.isEmpty():
+        links = links.unionAll(_links(joints, info, slim, size, similarity))
+        roots = components(links)
+    # 4. All that is left, and all pairs of large groups, of classes that aren't connected yet.
+    known = crowded.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    apart = known.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo < hi").join(info.select("cls", "bits"), "cls")
     x, y = apart.alias("x"), apart.alias("y")
     c = lambda side, name: F.col(f"{side}.{name}")
-    rest = x.join(y, (c("x", "token") == c("y", "token")) & (c("x", "cls") > c("y", "cls")) & (c("x", "root") != c("y", "root")) & _alike(c("x", "n"), c("x", "pos"), c("x", "bits"), c("y", "n"), c("y", "pos"), c("y", "bits"), similarity))
-    second = materialize(rest.select(c("x", "cls").alias("a"), c("y", "cls").alias("b")).distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(_links(second, _sets_of(second, slim, rows, size), similarity), "links")
-    final = components(links.unionAll(more))
+    rest = x.join(y, (c("x", "token") == c("y", "token")) & (c("x", "cls") > c("y", "cls")) & (c("x", "root") != c("y", "root")) & _close(c("x", "n"), c("x", "pos"), c("y", "n"), c("y", "pos"), similarity) & _like(c("x", "n"), c("x", "bits"), c("y", "n"), c("y", "bits"), similarity))
+    left = _apart(pairs, roots).select("a", "b").unionAll(rest.select(c("x", "cls").alias("a"), c("y", "cls").alias("b"))).distinct()
+    left = materialize(_pruned(left.join(closest.unionAll(joints), ["a", "b"], "left_anti"), info, similarity), "pairs")
+    if not left.isEmpty():
+        links = links.unionAll(_links(left, info, slim, size, similarity))
+        roots = components(links)
     # 5. Components carry the smallest id of their classes.
-    named = classes.select("cls", "rep").join(final.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    named = info.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     answer = named.select("cls", "root").join(least, "root").select("cls", "component_id")
     return rows.join(answer, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _within(key: str):
-    from pyspark.sql import Window
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose classes are in different components, with their roots."""
+    a, b = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+    both = pairs.join(a, "a", "left").join(b, "b", "left").withColumns({"root_a": F.coalesce("root_a", "a"), "root_b": F.coalesce("root_b", "b")})
+    return both.where("root_a <> root_b")
 
-    return Window.partitionBy(key)
 
+def _sets_of(pairs: DataFrame, slim: DataFrame, size: int) -> DataFrame:
+    """Whole sets (row, grams) of the rows that the pairs name.
 
-def _sets_of(pairs: DataFrame, slim: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """Whole sets of the classes that the pairs name, each made once from one of its documents."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    one = rows.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = slim.join(one, "doc_id", "left_semi").select("doc_id", "text")
-    made = texts.mapInArrow(_holder(size), T.StructType([T.StructField("cls", T.LongType()), T.StructField("grams", T.ArrayType(T.LongType()))]))
-    return materialize(made.join(wanted, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    A scan makes them anew from the texts; a filter of a fixed size keeps it
+    from handing out most others, which the joins would drop.
+    """
+    spark = session_of(pairs)
+    wanted = pairs.select(F.col("row_a").alias("row")).unionAll(pairs.select(F.col("row_b").alias("row"))).distinct()
+    word = F.pmod(F.shiftrightunsigned("row", 6), F.lit(FILTER_WORDS)).cast("int")
+    bits = [0] * FILTER_WORDS
+    # At most FILTER_WORDS rows, whatever the corpus.
+    for r in wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(row & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
+        bits[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
+    likely = spark.sparkContext.broadcast(bits)
+    return slim.where("text IS NOT NULL").select("row", "text").mapInArrow(_holder(likely, size), "row long, grams array<long>")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
