@@ -3,35 +3,24 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import os
-import sys
 import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ready  # noqa: F401
+
 #: Word characters of the ``ascii words`` definition, as a Java/RE2 class.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words are maximal runs without space, tab, line feed, VT, FF and CR.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
-    if _ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join([_ROOT, have]) if have else _ROOT
-    if _ROOT not in sys.path:
-        sys.path.insert(0, _ROOT)
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
@@ -79,6 +68,18 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Actions inside hand Python workers at most so many rows at once: long rows in short batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps.
 

@@ -9,6 +9,7 @@ ids skips the other pages of the long column.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import materialize, ready, scratch_path, session_of
+from ._shared import arrow_rows, materialize, ready, scratch_path, session_of
 
 TOKENIZER = "byte_bpe_50k.json"
 #: Appended to every document.
@@ -28,117 +29,170 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 #: Bytes of text of a task's share when documents are dealt out by id.
 SHARE_BYTES = 16 << 20
+#: Documents that a worker gets at once.
+BATCH_ROWS = 2000
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 
-class _Index(dict):
-    """Number of each piece; a new one is queued for the tokenizer.
+_SPACE, _LINE, _MARK = 1, 2, 3
+_KIND = np.zeros(256, dtype=np.uint8)
+_KIND[0x20], _KIND[0x0A] = _SPACE, _LINE
+for _lo, _hi in ((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)):
+    _KIND[_lo : _hi + 1] = _MARK
 
-    The first piece of a text has no space before it, all others have one.
-    """
 
-    def __init__(self, owner: Encoder, before: str):
-        super().__init__()
-        self.owner, self.before = owner, before
+def pieces(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte of each piece of the texts, whether a text has a double space).
 
-    def __missing__(self, piece: str) -> int:
-        owner = self.owner
-        owner.new.append(self.before + piece)
-        self[piece] = number = owner.known
-        owner.known += 1
-        return number
+    A piece starts with a text, at a space, at an ASCII mark that follows
+    neither a space nor a mark, and at a line's end that follows a mark.
+    """
+    kind = _KIND[data]
+    before = np.empty_like(kind)
+    before[1:], before[:1] = kind[:-1], 0
+    head = at[:-1][at[:-1] < at[1:]]
+    before[head] = 0
+    twice = (kind == _SPACE) & (before == _SPACE)
+    begin = (kind == _SPACE) | ((kind == _MARK) & (before != _SPACE) & (before != _MARK)) | ((kind == _LINE) & (before == _MARK))
+    begin[head] = True
+    doubled = np.zeros(len(at) - 1, dtype=bool)
+    if twice.any():
+        doubled[np.searchsorted(at, np.flatnonzero(twice), side="right") - 1] = True
+    return np.flatnonzero(begin), doubled
 
 
 class Encoder:
     """The tokenizer's ids of whole texts, by way of remembered pieces.
 
     The byte-level tokenizer never joins a token over a single space that
-    follows another character, so a text without double spaces is the sum of
-    its pieces cut before such spaces, and pieces repeat. Other texts are
-    encoded whole. Every id comes from the tokenizer itself.
+    follows another character, from a letter or digit to an ASCII mark, or from
+    a mark to a line's end. So a text without double spaces is the sum of its
+    pieces cut at these places, and pieces repeat. Other texts are encoded
+    whole. Every id comes from the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        # A worker is one of several on its machine: threads of its own would only cost memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.new: list[str] = []
-        self.index = _Index(self, " ")
-        self.heads = _Index(self, "")
-        self.known = 0
-        self.ids = np.zeros(1 << 16, dtype=np.int32)
-        self.filled = 0
+        # A byte-level token's name has one character for each of its bytes.
+        names = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(names.values()) + 1, dtype=np.int64)
+        for name, number in names.items():
+            self.bytes_of[number] = len(name)
+        self._start()
+
+    def _forget_rare(self) -> None:
+        """Keep what was met again, the most used half at most."""
+        order = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
+        keep = np.sort(order[self.uses[order] > 1])
+        keys, size = list(self.index), self.size[keep]
+        ends = np.cumsum(size)
+        self.ids = self.ids[np.repeat(self.at[keep] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        self.index = {keys[k]: i for i, k in enumerate(keep.tolist())}
+        self.at, self.size, self.uses = ends - size, size, self.uses[keep] // 2
+
+    def _start(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.ids = np.zeros(0, dtype=np.int32)
         self.at = np.zeros(0, dtype=np.int64)
         self.size = np.zeros(0, dtype=np.int64)
+        self.uses = np.zeros(0, dtype=np.int32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> None:
+        """Ids of new pieces. Those that start with a space and a word are encoded in
+        a row, as one text, and cut apart by the bytes that their ids stand for."""
+        plain = np.array([len(p) > 1 and p[0] == " " and not p[1].isspace() for p in pieces], dtype=bool)
         sizes = np.zeros(len(pieces), dtype=np.int64)
-        for lo in range(0, len(pieces), 4096):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[lo : lo + 4096], add_special_tokens=False)]
-            sizes[lo : lo + len(found)] = [len(x) for x in found]
-            flat = np.fromiter((i for x in found for i in x), dtype=np.int32)
-            while self.filled + len(flat) > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), dtype=np.int32)))
-            self.ids[self.filled : self.filled + len(flat)] = flat
-            self.filled += len(flat)
-        ends = (self.at[-1] + self.size[-1] if len(self.at) else 0) + np.cumsum(sizes)
-        self.at = np.concatenate((self.at, ends - sizes))
+        parts: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * 2
+        row = np.flatnonzero(plain)
+        if len(row):
+            long = np.array([len(pieces[i].encode()) for i in row.tolist()])
+            parts[0] = self._whole(["".join([pieces[i] for i in row.tolist()])])[0]
+            ends = np.searchsorted(np.cumsum(self.bytes_of[parts[0]]), np.cumsum(long), side="right")
+            sizes[row] = np.diff(ends, prepend=0)
+        rest = np.flatnonzero(~plain)
+        if len(rest):
+            found = self._whole([pieces[i] for i in rest.tolist()])
+            sizes[rest] = [len(x) for x in found]
+            parts[1] = np.concatenate(found)
+        first = len(self.ids)
+        at = np.zeros(len(pieces), dtype=np.int64)
+        at[row] = first + np.cumsum(sizes[row]) - sizes[row]
+        at[rest] = first + len(parts[0]) + np.cumsum(sizes[rest]) - sizes[rest]
+        self.ids = np.concatenate((self.ids, *parts))
+        self.at = np.concatenate((self.at, at))
         self.size = np.concatenate((self.size, sizes))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, each with END_ID; number of ids of each text)."""
-        if self.known > REMEMBERED:
-            self._forget()
-        head_index, index = self.heads, self.index
-        new = self.new
-        rows, pieces_of, odd = [], [], {}
-        for t, text in enumerate(texts):
-            if not text or "  " in text:
-                if text:
-                    odd[t] = text
-                pieces_of.append(0)
-                continue
-            head, *tail = text.split(" ")
-            rows.append(head_index[head])
-            rows += map(index.__getitem__, tail)
-            pieces_of.append(1 + len(tail))
+        self.uses = np.concatenate((self.uses, np.zeros(len(pieces), dtype=np.int32)))
+
+    def _numbers(self, start: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Number of each piece: equal pieces of the slice are looked up once, by their bytes."""
+        end = np.append(start[1:], len(data))
+        value = W.spans(data, start, end)
+        _, first, inverse = np.unique(value, return_index=True, return_inverse=True)
+        raw, index = data.tobytes(), self.index
+        keys = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        found = [index.get(k, -1) for k in keys]
+        new = [k for k, i in zip(keys, found, strict=True) if i < 0]
         if new:
-            self._learn(new)
-            new.clear()
-        whole = dict(zip(odd, self._whole(list(odd.values())), strict=True)) if odd else {}
-        flat = np.array(rows, dtype=np.int64)
-        size, at = self.size[flat] if len(flat) else flat, self.at[flat] if len(flat) else flat
+            for k in new:
+                index[k] = len(index)
+            self._learn([k.decode() for k in new])
+            found = [index[k] for k in keys]
+        numbers = np.array(found, dtype=np.int64)
+        self.uses[numbers] += 1
+        return numbers[inverse]
+
+    def encode(self, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, each with END_ID; number of ids of each text)."""
+        if len(self.index) > REMEMBERED:
+            self._forget_rare()
+        n = len(at) - 1
+        start, doubled = pieces(at, data)
+        flat = self._numbers(start, data) if len(start) else np.zeros(0, dtype=np.int64)
+        size = self.size[flat]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(at - (ends - size), size) + np.arange(total)] if total else np.zeros(0, dtype=np.int32)
-        edge = np.concatenate(([0], np.cumsum(pieces_of)))
-        token_at = np.concatenate(([0], ends))[edge]
-        out, counts = [], np.zeros(len(texts), dtype=np.int64)
+        ids = self.ids[np.repeat(self.at[flat] - (ends - size), size) + np.arange(total)] if total else np.zeros(0, dtype=np.int32)
+        token_at = np.concatenate(([0], ends))[np.searchsorted(start, at)]
+        whole = {}
+        if doubled.any():
+            odd = np.flatnonzero(doubled).tolist()
+            whole = dict(zip(odd, self._whole([data[at[t] : at[t + 1]].tobytes().decode() for t in odd]), strict=True))
+        out, counts = [], np.zeros(n, dtype=np.int64)
         end = np.array([END_ID], dtype=np.int32)
-        for t in range(len(texts)):
+        for t in range(n):
             own = whole[t] if t in whole else ids[token_at[t] : token_at[t + 1]]
             out += [own, end]
             counts[t] = len(own) + 1
         return (np.concatenate(out) if out else np.zeros(0, dtype=np.int32)), counts
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """This process's encoder: a worker that serves several tasks keeps what it remembers."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for batch in batches:
-            for row, at, data in W.slices(batch.column(1)):
-                raw, edges = data.tobytes(), at.tolist()
-                ids, counts = encoder.encode([raw[a:b].decode() for a, b in zip(edges[:-1], edges[1:], strict=True)])
+            for row, at, data in W.slices(batch.column(1), 1 << 20):
+                ids, counts = encoder.encode(at, data)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(counts)), pa.array(counts), lists], names=SCHEMA.fieldNames())
 
@@ -167,10 +221,11 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
         shares = max(1, -(-total // SHARE_BYTES))
     ordered = slim.repartitionByRange(int(shares), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     tokens = ordered.mapInArrow(_tokenize(tokenizer or tokenizer_path()), SCHEMA)
-    tokens.write.options(**{
-        "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),
-        "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES), "parquet.page.row.count.limit": "1000", "compression": "zstd",
-    }).parquet(path)
+    with arrow_rows(spark, BATCH_ROWS):
+        tokens.write.options(**{
+            "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),
+            "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES), "parquet.page.row.count.limit": "1000", "compression": "zstd",
+        }).parquet(path)
 
 
 def read(spark: SparkSession, path: str, *, columns: list[str] | None = None, lo: int | None = None, hi: int | None = None) -> DataFrame:
@@ -205,7 +260,8 @@ def digest(spark: SparkSession, path: str) -> DataFrame:
     ready(spark)
     raw = spark.read.schema(SCHEMA).parquet(path).select("doc_id", "ids", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("file"), F.col("_metadata.row_index").alias("row"))
     sums = raw.mapInArrow(_checksums, "doc_id long, n_tokens long, ids_crc32 long, file int, row long")
-    slim = materialize(sums, "checksums")
+    with arrow_rows(spark, BATCH_ROWS):
+        slim = materialize(sums, "checksums")
     files = slim.groupBy("file").agg(F.sum("n_tokens").alias("held"))
     # Spark's writer names its files by partition, and partitions are in id order.
     ahead = files.withColumn("ahead", F.coalesce(F.sum("held").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("file", "ahead")
