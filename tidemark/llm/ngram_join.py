@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import materialize, ready, release, session_of
+from ._shared import arrow_rows, materialize, ready, release, session_of
 from .components import components
 
 SHINGLE = 5
@@ -251,7 +251,8 @@ def _links(pairs: DataFrame, info: DataFrame, slim: DataFrame, size: int, simila
     sets = _sets_of(named, slim, size)
     right = named.join(sets.select(F.col("row").alias("row_b"), F.col("grams").alias("right")), "row_b")
     both = right.join(sets.select(F.col("row").alias("row_a"), F.col("grams").alias("left")), "row_a").select("a", "b", "left", "right")
-    found = materialize(both.mapInArrow(_verifier(similarity), "a long, b long"), "links")
+    with arrow_rows(session_of(pairs), 512):
+        found = materialize(both.mapInArrow(_verifier(similarity), "a long, b long"), "links")
     release(session_of(pairs))
     return found
 
