@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import materialize, ready, release, session_of
+from ._shared import discard, materialize, ready, release, scratch_path, session_of
 
 WINDOW = 50
 #: Words that a minimiser spans.
@@ -307,20 +307,24 @@ def repeated_windows(docs: DataFrame, *, n: int = WINDOW) -> DataFrame:
     spark = session_of(docs)
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     # 1. Which passages can repeat: minimisers that several documents share.
-    anchors = materialize(known.mapInArrow(_anchors(n), "anchor long, doc_id long, text_key long, at int, size int"), "anchors")
+    scratch = scratch_path(spark, "anchors")
+    known.mapInArrow(_anchors(n), "anchor long, doc_id long, text_key long, at int, size int").write.option("compression", "zstd").parquet(scratch)
+    anchors = spark.read.parquet(scratch)
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     likely = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     found = known.join(likely, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "runs").mapInArrow(_passages(n), "doc_id long, text_key long, at int, passage string")
-    passages = materialize(found.withColumn("key", F.xxhash64("passage", F.length("passage"))), "passages")
+    passages = materialize(found.withColumn("key", F.xxhash64("passage", F.length("passage"))), "passages", compression="zstd")
+    discard(spark, scratch)
     release(spark)
     # 2. Windows that recur, and their owners. Equal passages are one.
-    distinct = materialize(passages.groupBy("key").agg(F.first("passage").alias("passage"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "distinct")
+    distinct = materialize(passages.groupBy("key").agg(F.first("passage").alias("passage"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "distinct", compression="zstd")
     rows = distinct.select("key", "passage", "lo", "hi").mapInArrow(_windows(n), "window long, key long, i int, lo long, hi long")
-    owners = rows.groupBy("window").agg(F.min("lo").alias("owner"), F.max("hi").alias("top")).where("owner < top").select("window", "owner")
-    own = rows.select("window", "key", "i").join(owners, "window").groupBy("key").agg(F.collect_list(F.struct("i", "owner")).alias("owners"))
+    same = Window.partitionBy("window")
+    owned = rows.withColumn("owner", F.min("lo").over(same)).withColumn("top", F.max("hi").over(same)).where("owner < top")
+    own = owned.select("key", "i", "owner").groupBy("key").agg(F.collect_list(F.struct("i", "owner")).alias("owners"))
     runs = distinct.join(own, "key").select("key", "passage", "lo", "hi", "owners").mapInArrow(_owned(n), "key long, lo long, hi long, at int, owner long, run string")
     runs = runs.withColumn("run_key", F.xxhash64("run", F.length("run"), "owner")).withColumn("words", F.regexp_count("run", F.lit(" ")) + 1)
-    runs = materialize(runs, "runs")
+    runs = materialize(runs, "runs", compression="zstd")
     release(spark)
     # 3. Reference shards and the passages that need them.
     reference = runs.where("owner = lo").select("owner", F.col("run").alias("passage"), "run_key", "words").dropDuplicates(["run_key"])
