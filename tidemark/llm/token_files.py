@@ -12,8 +12,10 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,12 +29,12 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-#: Bytes of text of a task's share when documents are dealt out by id.
-SHARE_BYTES = 16 << 20
+#: Bytes of stored text of a task's share when documents are dealt out by id.
+SHARE_BYTES = 10 << 20
 #: Documents that a worker gets at once.
 BATCH_ROWS = 2000
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 600_000
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
@@ -81,11 +83,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        # A byte-level token's name has one character for each of its bytes.
-        names = self.tokenizer.get_vocab()
-        self.bytes_of = np.zeros(max(names.values()) + 1, dtype=np.int64)
-        for name, number in names.items():
-            self.bytes_of[number] = len(name)
+        # A byte-level model spells each byte as one printable character.
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        hidden = [b for b in range(256) if b not in set(shown)]
+        self.names = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
         self._start()
 
     def _forget_rare(self) -> None:
@@ -106,39 +107,35 @@ class Encoder:
         self.uses = np.zeros(0, dtype=np.int32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def _learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces. Those that start with a space and a word are encoded in
-        a row, as one text, and cut apart by the bytes that their ids stand for."""
-        plain = np.array([len(p) > 1 and p[0] == " " and not p[1].isspace() for p in pieces], dtype=bool)
-        sizes = np.zeros(len(pieces), dtype=np.int64)
-        parts: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * 2
-        row = np.flatnonzero(plain)
-        if len(row):
-            long = np.array([len(pieces[i].encode()) for i in row.tolist()])
-            parts[0] = self._whole(["".join([pieces[i] for i in row.tolist()])])[0]
-            ends = np.searchsorted(np.cumsum(self.bytes_of[parts[0]]), np.cumsum(long), side="right")
-            sizes[row] = np.diff(ends, prepend=0)
-        rest = np.flatnonzero(~plain)
-        if len(rest):
-            found = self._whole([pieces[i] for i in rest.tolist()])
-            sizes[rest] = [len(x) for x in found]
-            parts[1] = np.concatenate(found)
-        first = len(self.ids)
-        at = np.zeros(len(pieces), dtype=np.int64)
-        at[row] = first + np.cumsum(sizes[row]) - sizes[row]
-        at[rest] = first + len(parts[0]) + np.cumsum(sizes[rest]) - sizes[rest]
-        self.ids = np.concatenate((self.ids, *parts))
+        """Ids of new pieces. A word, with a space before it or not, is one unit to the
+        tokenizer's model and goes to it directly; other pieces take the whole way."""
+        model, name = self.tokenizer.model, self.names
+        found: list = [None] * len(pieces)
+        rest = []
+        for i, piece in enumerate(pieces):
+            if (piece[1:] if piece[0] == " " else piece).isalpha():
+                found[i] = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(name))]
+            else:
+                rest.append(i)
+        for i, ids in zip(rest, self._whole([pieces[i] for i in rest]), strict=True):
+            found[i] = ids
+        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        at = len(self.ids) + np.cumsum(size) - size
+        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(size.sum()))))
         self.at = np.concatenate((self.at, at))
-        self.size = np.concatenate((self.size, sizes))
+        self.size = np.concatenate((self.size, size))
         self.uses = np.concatenate((self.uses, np.zeros(len(pieces), dtype=np.int32)))
 
     def _numbers(self, start: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Number of each piece: equal pieces of the slice are looked up once, by their bytes."""
         end = np.append(start[1:], len(data))
         value = W.spans(data, start, end)
-        _, first, inverse = np.unique(value, return_index=True, return_inverse=True)
+        inverse, distinct = pd.factorize(value)
+        first = np.empty(len(distinct), dtype=np.int64)
+        first[inverse[::-1]] = np.arange(len(value) - 1, -1, -1)
         raw, index = data.tobytes(), self.index
         keys = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
         found = [index.get(k, -1) for k in keys]
@@ -191,7 +188,7 @@ def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for batch in batches:
-            for row, at, data in W.slices(batch.column(1), 1 << 20):
+            for row, at, data in W.slices(batch.column(1), 2 << 20):
                 ids, counts = encoder.encode(at, data)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(counts)), pa.array(counts), lists], names=SCHEMA.fieldNames())
@@ -217,14 +214,17 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     ready(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if shares is None:
-        total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
+        # The plan knows the size of files; where it doesn't, the texts are measured.
+        total = int(str(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if total >= 1 << 52:
+            total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
         shares = max(1, -(-total // SHARE_BYTES))
     ordered = slim.repartitionByRange(int(shares), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     tokens = ordered.mapInArrow(_tokenize(tokenizer or tokenizer_path()), SCHEMA)
     with arrow_rows(spark, BATCH_ROWS):
         tokens.write.options(**{
             "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),
-            "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES), "parquet.page.row.count.limit": "1000", "compression": "zstd",
+            "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.size": str(PAGE_BYTES), "parquet.page.row.count.limit": "1000", "compression": "zstd", "parquet.compression.codec.zstd.level": "1",
         }).parquet(path)
 
 
