@@ -8,6 +8,9 @@ with one prefix sum; n-grams of words are hashed the same way over word hashes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -153,5 +156,21 @@ def ngrams(value: np.ndarray, n: int) -> np.ndarray:
     return mix((prefix[n:] - prefix[:m]) * _power(_Q_INV, len(value) + 1)[:m] + _U(n))
 
 
+#: What a worker process keeps from task to task, for as long as its tasks are of one kind.
+process_cache: dict[str, object] = {}
+
+
+def make_room(keep: bool = False) -> None:
+    """Called as a task of another kind starts (or, with ``keep``, as one ends):
+    a worker serves many tasks, and what it has freed must be the machine's again."""
+    if not keep:
+        process_cache.clear()
+        _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_long(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)

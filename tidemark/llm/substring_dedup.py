@@ -73,6 +73,7 @@ def _argmins(x: np.ndarray, span: int) -> np.ndarray:
 
 def _anchors(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         for batch in batches:
             for w in W.words(batch.column(2), W.SPACED, fold=False):
                 parts = list(_minimisers(w, n))
@@ -89,6 +90,7 @@ def _passages(n: int):
     """Texts and their candidate windows -> passages: words from the first window's to the last's end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         for batch in batches:
             runs = batch.column(3)
             edge, ats, sizes = np.asarray(runs.offsets), np.asarray(runs.values.field("at")), np.asarray(runs.values.field("size"))
@@ -120,6 +122,7 @@ def _windows(n: int):
     """Distinct passages -> a row for each window: its hash, the passage's key, its place, and the documents' range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         for batch in batches:
             for w in W.words(batch.column(1), W.SPACED, fold=False):
                 grams = W.ngrams(w.value, n)
@@ -234,6 +237,7 @@ def _owned(n: int):
     """Passages with the owners of their windows -> runs of windows with one owner, and their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         for batch in batches:
             own = batch.column(4)
             edge, spots, ids = np.asarray(own.offsets), np.asarray(own.values.field("i")), np.asarray(own.values.field("owner"))
@@ -264,6 +268,7 @@ def _cut(n: int):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         for batch in batches:
             gone = batch.column(2)
             if gone.null_count:
@@ -310,7 +315,8 @@ def repeated_windows(docs: DataFrame, *, n: int = WINDOW) -> DataFrame:
     scratch = scratch_path(spark, "anchors")
     known.mapInArrow(_anchors(n), "anchor long, doc_id long, text_key long, at int, size int").write.option("compression", "zstd").parquet(scratch)
     anchors = spark.read.parquet(scratch)
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # Written, so that Spark may split a minimiser that very many documents share when it joins.
+    shared = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared")
     likely = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     found = known.join(likely, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "runs").mapInArrow(_passages(n), "doc_id long, text_key long, at int, passage string")
     passages = materialize(found.withColumn("key", F.xxhash64("passage", F.length("passage"))), "passages", compression="zstd")
