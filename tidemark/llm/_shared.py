@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import ready  # noqa: F401
+from tidemark import session
 
 #: Word characters of the ``ascii words`` definition, as a Java/RE2 class.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -21,6 +21,24 @@ ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Rows and bytes that a worker gets at once: texts are long rows.
+BATCH_ROWS, BATCH_BYTES = 1500, 8 << 20
+
+
+def ready(spark: SparkSession) -> None:
+    """Let workers import the package, and give them texts in short batches.
+
+    A batch is held several times over (by the executor, on its way, by the
+    worker). Settings that the session has changed itself stay.
+    """
+    session.ready(spark)
+    rows, size = (f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size, None) is None:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 

@@ -156,6 +156,7 @@ def _scanner(shared, schema: T.StructType):
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         known = shared.value
         for batch in batches:
             n = batch.num_rows
@@ -191,6 +192,7 @@ def remove_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text
 
 def _keeper(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         known = shared.value
         for batch in batches:
             clean = np.ones(batch.num_rows, dtype=bool)
@@ -219,6 +221,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, *, text_col: str = "text", i
 
 def _cutter(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         known = shared.value
         for batch in batches:
             cut: dict[int, str] = {}

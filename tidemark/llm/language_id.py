@@ -81,6 +81,7 @@ def _grams(at: np.ndarray, data: np.ndarray) -> list[np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    W.make_room()
     for batch in batches:
         folded = _folded(batch.column(1))
         for row, at, data in W.slices(folded):
@@ -250,6 +251,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         for batch in batches:
             names, score = _judge(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
@@ -265,10 +267,12 @@ def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", mi
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         for batch in batches:
             names, score = _judge(shared.value, batch.column(at))
             keep = (np.array(names, dtype=object) != UNDETERMINED) & (score >= min_score)
             yield batch.filter(pa.array(keep.astype(bool)))
+        W.make_room()
 
     return docs.mapInArrow(run, docs.schema)
 

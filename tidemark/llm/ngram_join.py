@@ -79,6 +79,7 @@ _PROFILE = "doc_id long, row long, cls long, n long, bitmap array<long>, cells b
 
 def _profiler(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         counts = np.zeros(BUCKETS, dtype=np.int64)
         met: set[int] = set()
         for batch in batches:
@@ -103,6 +104,7 @@ def _profiler(size: int):
         if len(full):
             none = [pa.nulls(len(full), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(full.astype(np.int32)), pa.array(counts[full])], names=_NAMES)
+        W.make_room()
 
     return run
 
@@ -117,6 +119,7 @@ def _ordered(grams: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 def _prefixer(rank_of, size: int, similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         rank = rank_of.value
         met: set[int] = set()
         for batch in batches:
@@ -136,12 +139,15 @@ def _prefixer(rank_of, size: int, similarity: int):
                     pos.append(np.arange(keep))
                 if token:
                     yield pa.RecordBatch.from_arrays([pa.array(W.as_long(np.concatenate(token))), *(pa.array(np.concatenate(x).astype(t)) for x, t in ((cls, np.int64), (n, np.int32), (pos, np.int32)))], names=["token", "cls", "n", "pos"])
+        met.clear()
+        W.make_room()
 
     return run
 
 
 def _holder(likely, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         bits = np.array(likely.value, dtype=np.uint64)
         for batch in batches:
             rows = np.asarray(batch.column(0)).view(np.uint64)
@@ -156,12 +162,14 @@ def _holder(likely, size: int):
                     ends = np.cumsum([0, *map(len, sets)])
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.as_long(np.concatenate(sets))))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), lists], names=["row", "grams"])
+        W.make_room()
 
     return run
 
 
 def _verifier(similarity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         for batch in batches:
             keep = np.zeros(batch.num_rows, dtype=bool)
             sides = []
@@ -176,6 +184,7 @@ def _verifier(similarity: int):
                 both = int(np.count_nonzero(a[spot] == b))
                 keep[i] = 100 * both >= similarity * (len(a) + len(b) - both)
             yield batch.select([0, 1]).filter(pa.array(keep))
+        W.make_room()
 
     return run
 
@@ -225,6 +234,7 @@ def _pruned(pairs: DataFrame, info: DataFrame, similarity: int) -> DataFrame:
 
 
 def _by_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    W.make_room()
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for k in (3, 4))
         d = np.abs(x - y).sum(1, dtype=np.int64)

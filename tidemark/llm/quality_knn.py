@@ -123,6 +123,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    W.make_room()
     for batch in batches:
         for row, x in features(batch.column(1)):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
@@ -189,6 +190,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
         for batch in batches:
             out = np.zeros(batch.num_rows)
             for row, x in features(batch.column(1)):

@@ -174,24 +174,22 @@ class Encoder:
         return (np.concatenate(out) if out else np.zeros(0, dtype=np.int32)), counts
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
     """This process's encoder: a worker that serves several tasks keeps what it remembers."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if path not in W.process_cache:
+        W.process_cache[path] = Encoder(path)
+    return W.process_cache[path]
 
 
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for batch in batches:
-            for row, at, data in W.slices(batch.column(1), 2 << 20):
+            for row, at, data in W.slices(batch.column(1), 1 << 20):
                 ids, counts = encoder.encode(at, data)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(counts)), pa.array(counts), lists], names=SCHEMA.fieldNames())
+        W.make_room(keep=True)
 
     return run
 
@@ -243,6 +241,7 @@ def read(spark: SparkSession, path: str, *, columns: list[str] | None = None, lo
 
 
 def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    W.make_room()
     for batch in batches:
         lists = batch.column(1)
         at = np.asarray(lists.offsets)
