@@ -228,6 +228,22 @@ def test_token_files_round_trip(spark, odd_texts, tmp_path):
     assert sorted(r["doc_id"] for r in some.collect()) == [3, 4, 5] and "ids" not in some._jdf.queryExecution().executedPlan().toString()
 
 
+def test_token_pieces_agree_with_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = token_files.tokenizer_path()
+    t, encoder = Tokenizer.from_file(path), token_files.Encoder(path)
+    rng = random.Random(12)
+    texts = ['she said hello…" and', "wait…. no", "Acme®, Inc", "[…] x…] (…)", '—" —- ™: …." ….. …"', "x…'s \u0000's ×'s ÷'s é's", "a\n\n- b", "a \n- b", "x.\n\n(b", "a\t\t- b", "a \u00a0 \u00a0 \u00a0 \u00a0 b", "é, ж. ½. 漢, ²-", ""]
+    parts = [*"ab9éж漢²½×÷…—®™ \n\t\r\u00a0\u3000\u0085\u0301\u0000\u001c\U0001f600", *"'\".,-]):(_", "'s", "'ll", " x"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(2, 12))) for _ in range(20_000)]
+    raw = [x.encode() for x in texts]
+    ids, counts = encoder.encode(np.concatenate(([0], np.cumsum([len(x) for x in raw]))), np.frombuffer(b"".join(raw), dtype=np.uint8))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    wrong = [x for x, own in zip(texts, got, strict=True) if own != [*t.encode(x, add_special_tokens=False).ids, token_files.END_ID]]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_language_id_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -39,18 +39,25 @@ REMEMBERED = 600_000
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
 
-_SPACE, _LINE, _MARK = 1, 2, 3
+_SPACE, _LINE, _MARK, _PLAIN = 1, 2, 3, 4
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[0x20], _KIND[0x0A] = _SPACE, _LINE
 for _lo, _hi in ((0x21, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7E)):
     _KIND[_lo : _hi + 1] = _MARK
+for _lo, _hi in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A)):
+    _KIND[_lo : _hi + 1] = _PLAIN
+#: First bytes of two-byte characters that all are letters (Latin and Cyrillic blocks), but for two of 0xC3.
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[[0xC3, 0xC4, 0xC5, 0xC6, 0xC7, 0xC8, 0xC9, 0xD0, 0xD1]] = True
 
 
 def pieces(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first byte of each piece of the texts, whether a text has a double space).
 
-    A piece starts with a text, at a space, at an ASCII mark that follows
-    neither a space nor a mark, and at a line's end that follows a mark.
+    A piece starts with a text; at a space, unless it follows a no-break space;
+    at an ASCII mark that follows a letter or digit known to be one, or a
+    single line's end after an ASCII character that is no space; and at a
+    line's end that follows a mark.
     """
     kind = _KIND[data]
     before = np.empty_like(kind)
@@ -58,7 +65,14 @@ def pieces(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     head = at[:-1][at[:-1] < at[1:]]
     before[head] = 0
     twice = (kind == _SPACE) & (before == _SPACE)
-    begin = (kind == _SPACE) | ((kind == _MARK) & (before != _SPACE) & (before != _MARK)) | ((kind == _LINE) & (before == _MARK))
+    # Both judge a byte by those ahead of it, and hold for the byte behind it.
+    closes = (kind == _PLAIN) | ((kind == _LINE) & ((before == _PLAIN) | (before == _MARK)))
+    closes[1:] |= _LETTERS[data[:-1]] & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
+    bound = np.zeros(len(data), dtype=bool)
+    bound[2:] = (data[1:-1] == 0xA0) & (data[:-2] == 0xC2)
+    begin = (kind == _SPACE) & ~bound
+    begin[1:] |= (kind[1:] == _MARK) & closes[:-1]
+    begin |= (kind == _LINE) & (before == _MARK)
     begin[head] = True
     doubled = np.zeros(len(at) - 1, dtype=bool)
     if twice.any():
@@ -70,10 +84,11 @@ class Encoder:
     """The tokenizer's ids of whole texts, by way of remembered pieces.
 
     The byte-level tokenizer never joins a token over a single space that
-    follows another character, from a letter or digit to an ASCII mark, or from
-    a mark to a line's end. So a text without double spaces is the sum of its
-    pieces cut at these places, and pieces repeat. Other texts are encoded
-    whole. Every id comes from the tokenizer itself.
+    follows another character than a no-break space, from a letter or digit to
+    an ASCII mark, or from a mark to a line's end; it does join other marks
+    (dashes, ellipses, signs) with ASCII ones. So a text without double spaces
+    is the sum of its pieces cut at these places, and pieces repeat. Other
+    texts are encoded whole. Every id comes from the tokenizer itself.
     """
 
     def __init__(self, path: str):
