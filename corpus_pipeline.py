@@ -34,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return token_files.encode(docs)
+    return token_files.encode(docs, added_tokens=True)
 
 
 STAGES = [("language_id", identify_language), ("ngram_join", drop_near_copies), ("decontamination", drop_benchmark), ("mixing", mix_sources), ("token_files", write_tokens)]

@@ -244,6 +244,20 @@ def test_token_pieces_agree_with_whole_texts():
     assert not wrong, (len(wrong), wrong[:5])
 
 
+def test_token_query_gives_an_unmodified_tokenizers_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tidemark.llm import queries
+
+    texts = ["w <|endoftext|> a", "<|endoftext|>", "<|endoftext|", "|>", "a<|endoftext|>b<|endoftext|> c", "plain text", None]
+    documents(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    t = Tokenizer.from_file(token_files.tokenizer_path())
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op7_token_files(spark, str(tmp_path)).collect()}
+    want = [[*t.encode(x or "", add_special_tokens=False).ids, token_files.END_ID] for x in texts]
+    assert 50256 in want[0]
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want, 1)}
+
+
 def test_language_id_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -43,7 +43,7 @@ def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.encode(table(spark, sf_dir, "documents"))
+    return token_files.encode(table(spark, sf_dir, "documents"), added_tokens=True)
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,15 +89,20 @@ class Encoder:
     (dashes, ellipses, signs) with ASCII ones. So a text without double spaces
     is the sum of its pieces cut at these places, and pieces repeat. Other
     texts are encoded whole. Every id comes from the tokenizer itself.
+
+    With ``added_tokens`` the tokenizer is used as it comes: the name of an
+    added token in a text is that token, and a text that holds one is encoded
+    whole. Without, such a name is ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         # A worker is one of several on its machine: threads of its own would only cost memory.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()] if added_tokens else []
         # A byte-level model spells each byte as one printable character.
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -164,6 +169,15 @@ class Encoder:
         self.uses[numbers] += 1
         return numbers[inverse]
 
+    def _mark_added(self, at: np.ndarray, data: np.ndarray, odd: np.ndarray) -> None:
+        """Set ``odd`` for texts that hold an added token's name."""
+        raw = data.tobytes() if self.added else b""
+        for name in self.added:
+            k = raw.find(name)
+            while k >= 0:
+                odd[np.searchsorted(at, k, side="right") - 1] = True
+                k = raw.find(name, k + 1)
+
     def encode(self, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each with END_ID; number of ids of each text)."""
         if len(self.index) > REMEMBERED:
@@ -177,6 +191,7 @@ class Encoder:
         ids = self.ids[np.repeat(self.at[flat] - (ends - size), size) + np.arange(total)] if total else np.zeros(0, dtype=np.int32)
         token_at = np.concatenate(([0], ends))[np.searchsorted(start, at)]
         whole = {}
+        self._mark_added(at, data, doubled)
         if doubled.any():
             odd = np.flatnonzero(doubled).tolist()
             whole = dict(zip(odd, self._whole([data[at[t] : at[t + 1]].tobytes().decode() for t in odd]), strict=True))
@@ -189,16 +204,16 @@ class Encoder:
         return (np.concatenate(out) if out else np.zeros(0, dtype=np.int32)), counts
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, added_tokens: bool = False) -> Encoder:
     """This process's encoder: a worker that serves several tasks keeps what it remembers."""
-    if path not in W.process_cache:
-        W.process_cache[path] = Encoder(path)
-    return W.process_cache[path]
+    if (key := f"{path} {added_tokens}") not in W.process_cache:
+        W.process_cache[key] = Encoder(path, added_tokens)
+    return W.process_cache[key]
 
 
-def _tokenize(path: str):
+def _tokenize(path: str, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, added_tokens)
         for batch in batches:
             for row, at, data in W.slices(batch.column(1), 1 << 20):
                 ids, counts = encoder.encode(at, data)
@@ -215,12 +230,14 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, shares: int | None = None) -> None:
+def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, shares: int | None = None, added_tokens: bool = False) -> None:
     """Encode every whole text and write the files in ascending id order.
 
     Null and empty texts have the end id alone. A null id comes first. Rows
     that share an id follow each other in order of their texts. Other columns
-    are ignored. ``tokenizer`` is a file every executor has. An empty table
+    are ignored. ``tokenizer`` is a file every executor has. With
+    ``added_tokens`` the name of an added token in a text gets that token's id,
+    as by an unmodified tokenizer; without, it is ordinary text. An empty table
     makes a table of no rows.
     """
     spark = session_of(docs)
@@ -233,7 +250,7 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
             total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
         shares = max(1, -(-total // SHARE_BYTES))
     ordered = slim.repartitionByRange(int(shares), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    tokens = ordered.mapInArrow(_tokenize(tokenizer or tokenizer_path()), SCHEMA)
+    tokens = ordered.mapInArrow(_tokenize(tokenizer or tokenizer_path(), added_tokens), SCHEMA)
     with arrow_rows(spark, BATCH_ROWS):
         tokens.write.options(**{
             "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),
