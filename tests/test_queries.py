@@ -51,3 +51,10 @@ def test_every_query_has_sql_and_entry_runs(spark):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
+
+
+def test_whole_queries_leave_out_no_row(spark, tables, duck):
+    n = duck.sql("SELECT count(l_shipdate) FROM lineitem").fetchall()[0][0]
+    assert QUERIES["point_in_interval_whole"](spark, tables).count() == n
+    parts = duck.sql("SELECT count(DISTINCT l_partkey) FROM lineitem").fetchall()[0][0]
+    assert QUERIES["candidate_cutoff_whole"](spark, tables).select("l_partkey").distinct().count() == parts

@@ -263,6 +263,17 @@ def point_in_interval(spark: SparkSession, d: str) -> DataFrame:
     return l.join(m, (F.col("l_shipdate") >= F.col("start")) & (F.col("l_shipdate") < F.col("stop")) & (l["bucket"] == m["bucket"])).select("l_orderkey", "l_linenumber", F.date_format("month", "yyyy-MM-dd").alias("month"))
 
 
+@query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-01') AS month FROM lineitem WHERE l_shipdate IS NOT NULL")
+def point_in_interval_whole(spark: SparkSession, d: str) -> DataFrame:
+    """point_in_interval over every shipdate: the months go from the first one's to the last one's."""
+    l = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate").withColumn("bucket", F.year("l_shipdate"))
+    ends = l.agg(F.min("l_shipdate").cast("date").alias("lo"), F.max("l_shipdate").cast("date").alias("hi"))
+    m = ends.select(F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
+    m = m.select(F.year("month").alias("year"), F.col("month").cast("timestamp_ntz").alias("start"), F.add_months("month", 1).cast("timestamp_ntz").alias("stop"), "month")
+    inside = (F.col("l_shipdate") >= F.col("start")) & (F.col("l_shipdate") < F.col("stop")) & (F.col("bucket") == F.col("year"))
+    return l.join(F.broadcast(m), inside).select("l_orderkey", "l_linenumber", F.date_format("month", "yyyy-MM-dd").alias("month"))
+
+
 @query(f"""
 WITH {_E} SELECT a.event_id, b.value AS before FROM (SELECT * FROM e WHERE event_type = 'purchase') a ASOF LEFT JOIN (SELECT user_id, t, max(value) AS value FROM e WHERE event_type = 'view' GROUP BY user_id, t) b ON a.user_id = b.user_id AND a.t >= b.t
 """)

@@ -87,7 +87,16 @@ def override_lookup(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_partkey, l_suppkey, l_extendedprice AS cost FROM lineitem WHERE l_quantity < 10 QUALIFY l_extendedprice <= min(l_extendedprice) OVER (PARTITION BY l_partkey) * 1.4 AND row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) <= 16")
 def candidate_cutoff(spark: SparkSession, d: str) -> DataFrame:
     """Candidates within a margin of the best, 16 at most."""
-    l = load(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_extendedprice", "l_orderkey", "l_linenumber", "l_quantity").where("l_quantity < 10")
+    return _cutoff(load(spark, d, "lineitem").where("l_quantity < 10"))
+
+
+@query("SELECT l_partkey, l_suppkey, l_extendedprice AS cost FROM lineitem QUALIFY l_extendedprice <= min(l_extendedprice) OVER (PARTITION BY l_partkey) * 1.4 AND row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) <= 16")
+def candidate_cutoff_whole(spark: SparkSession, d: str) -> DataFrame:
+    """candidate_cutoff over every row."""
+    return _cutoff(load(spark, d, "lineitem"))
+
+
+def _cutoff(l: DataFrame) -> DataFrame:
     w = Window.partitionBy("l_partkey")
     near = l.withColumns({"best": F.min("l_extendedprice").over(w), "r": F.row_number().over(w.orderBy("l_extendedprice", "l_orderkey", "l_linenumber"))})
     return near.where((F.col("l_extendedprice") <= F.col("best") * 1.4) & (F.col("r") <= 16)).select("l_partkey", "l_suppkey", F.col("l_extendedprice").alias("cost"))
