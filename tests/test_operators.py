@@ -151,3 +151,27 @@ def test_streams_agree_with_their_batch_twins(spark, tmp_path):
     q = ST.job_state_stream(stream, "job", "generation", "action", "seq").writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["job"]: r["state"] for r in spark.sql("SELECT * FROM states").collect()} == want
+
+
+def test_sequence_queries_read_whole_sequences(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tidemark.plans import more
+
+    # 90 events of one user, one every 8 hours; the 12 from the 11th on come again from the 71st on.
+    rng = random.Random(4)
+    value = [float(rng.randrange(60)) for _ in range(90)]
+    value[70:82] = value[10:22]
+    kind = ["view"] * 40 + ["click", "view", "click", "purchase"] + ["view"] * 46
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=8 * i), 1, kind[i], value[i], None) for i in range(90)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    assert more.lcs_opening(spark, str(tmp_path)).first()["matched"] == 5
+    found = more.locate_excerpt(spark, str(tmp_path)).first()
+    assert (found["cost"], found["runner_up"], found["located"]) == (0.0, 0.0, False)
+    want = set()
+    for lo in range(0, 84, 21):
+        cost, pairs = L.edit_path(36 + np.array(value[lo : lo + 21]), 36 + np.array(value[lo + 21 : lo + 42]))
+        want |= {(lo + i, lo + 21 + j, round(cost, 3)) for i, j in pairs}
+    got = more.edit_align(spark, str(tmp_path))
+    assert got.columns == ["user_id", "heard_seq", "written_seq", "cost"]
+    assert {tuple(r)[1:] for r in got.collect()} == want

@@ -214,27 +214,29 @@ def score_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def lcs_opening(spark: SparkSession, d: str) -> DataFrame:
-    """How much of a template each user's first events follow, in order."""
+    """How much of a template each user's events follow, in order."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
-    opening = events(spark, d).withColumn("i", F.row_number().over(w)).where("i <= 12").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_type"))), lambda s: s["event_type"]).alias("seen"))
+    whole = events(spark, d).withColumn("i", F.row_number().over(w)).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "event_type"))), lambda s: s["event_type"]).alias("seen"))
     template = F.array(*(F.lit(x) for x in ("view", "click", "view", "click", "purchase")))
-    return opening.select("user_id", L.lcs_length(F.col("seen"), template).alias("matched"))
+    return whole.select("user_id", L.lcs_length(F.col("seen"), template).alias("matched"))
 
 
 @query()
 def edit_align(spark: SparkSession, d: str) -> DataFrame:
-    """Alignment of each user's events with those of the same user a week later, by value."""
+    """Alignment of each week of a user's events with the same user's next week, by value."""
     e = events(spark, d).withColumns({"k": F.col("event_id"), "p": 36 + F.col("value") % 60})
     first = F.min("day").over(Window.partitionBy("user_id"))
     e = e.withColumn("week", F.floor((F.col("day") - first) / 7))
-    return L.align(e.where("week = 0"), e.where("week = 1"), ["user_id"], "k", "p")
+    later = e.withColumn("week", F.col("week") - 1)
+    return L.align(e, later, ["user_id", "week"], "k", "p").drop("week")
 
 
 @query()
 def locate_excerpt(spark: SparkSession, d: str) -> DataFrame:
+    """Where among all of a user's events the twelve from the 11th on fit."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
     e = events(spark, d).select("user_id", F.row_number().over(w).alias("k"), (36 + F.col("value") % 60).alias("p"))
-    return L.locate(e.where("k BETWEEN 11 AND 22"), e.where("k <= 60"), ["user_id"], "k", "p")
+    return L.locate(e.where("k BETWEEN 11 AND 22"), e, ["user_id"], "k", "p")
 
 
 @query()
