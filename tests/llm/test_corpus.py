@@ -273,6 +273,23 @@ def test_language_id_on_held_out_rows(spark):
     assert {r["lang_pred"] for r in language_id.identify(extra, nothing).collect()} == {"und"}
 
 
+def test_language_score_does_not_fall_with_the_number_of_families():
+    for f in (2, 20, 100):
+        model = language_id.Model([[f"l{k}"] for k in range(f)], np.zeros((f, language_id.FEATURES)), np.zeros(f), [])
+        names, score = model.predict(np.where(np.eye(f) > 0, 1.0, -1.0))
+        assert names == [f"l{k}" for k in range(f)] and (score > 0.9).all()
+        assert (model.predict(np.full((1, f), -1.0))[1] <= 0.5).all()
+
+
+def test_language_id_counts_whole_training_texts():
+    import pyarrow as pa
+
+    texts = ["a" * (1 << 20) + "b" * 5000, "a" * (1 << 20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["x", "x"]), pa.array(texts)], names=["lang", "text"])
+    long, short = [row for part in language_id._counts(iter([batch])) for row in part.to_pylist()]
+    assert len(long["feature"]) > len(short["feature"])
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))

@@ -24,8 +24,6 @@ FEATURES = 1 << 12
 #: Training texts of a language, and of all, at most: bounds what the driver gets.
 SAMPLE_OF_LANGUAGE = 400
 SAMPLE = 8000
-#: Bytes of one sampled text that are counted for training; predictions read all.
-SAMPLE_BYTES = 1 << 20
 #: Documents below this score are rejected where language ID filters.
 MIN_SCORE = 0.5
 
@@ -87,7 +85,6 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, at, data in W.slices(folded):
             index, value = [], []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                b = min(b, a + SAMPLE_BYTES)
                 found = np.bincount(np.concatenate(_grams(np.array([0, b - a]), data[a:b])), minlength=FEATURES) if b > a else np.zeros(FEATURES)
                 full = np.flatnonzero(found)
                 index.append(full.astype(np.int32))
@@ -126,7 +123,9 @@ class Model:
         sure = lambda m: 1 / (1 + np.exp(-np.clip(3 * m, -30, 30)))
         if f > 1:
             odds = sure(margins[:, :f])
-            family, trust = margins[:, :f].argmax(1), odds.max(1) / np.maximum(odds.sum(1), 1e-12)
+            # Against the next family alone: a score doesn't fall with the number of families.
+            family, two = margins[:, :f].argmax(1), np.partition(odds, f - 2, axis=1)[:, f - 2 :]
+            trust = two[:, 1] / np.maximum(two.sum(1), 1e-12)
         else:
             family, trust = np.zeros(n, dtype=int), np.ones(n)
         offset = f if f > 1 else 0
