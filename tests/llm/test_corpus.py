@@ -67,6 +67,14 @@ def test_substring_dedup_agrees_with_brute_force(spark, odd_texts):
         assert (r["n_words"], r["n_removed"]) == (len(w), int(out.sum()))
 
 
+def test_substring_dedup_takes_negative_ids_as_owners(spark):
+    rng = random.Random(8)
+    shared = prose(rng, 60)
+    docs = documents(spark, [" ".join(shared), " ".join([*prose(rng, 5), *shared]), " ".join([*shared, "end"]), " ".join(prose(rng, 70))], first=-3)
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(docs).collect()}
+    assert got == {-3: (60, 0), -2: (65, 60), -1: (61, 60), 0: (70, 0)}
+
+
 def test_automaton_finds_the_smallest_owner():
     rng = random.Random(3)
     texts = [[rng.randrange(3) for _ in range(rng.randrange(4, 30))] for _ in range(12)]

@@ -192,8 +192,8 @@ class Automaton:
             if up > 0 and self.least[v] < self.least[up]:
                 self.least[up] = self.least[v]
 
-    def owners(self, words: list[int]) -> list[int]:
-        """For each window of the text: the smallest document that has it, or -1.
+    def owners(self, words: list[int], none: int | None = -1) -> list[int | None]:
+        """For each window of the text: the smallest document that has it, or ``none``.
 
         Matching statistics, cut at n words: after each word the longest suffix
         of at most n words that occurs, with its state.
@@ -212,7 +212,7 @@ class Automaton:
             while state and length[link[state]] >= size:  # the state that holds the suffix of that size
                 state = link[state]
             if i >= n - 1:
-                out.append(least[state] if size == n else -1)
+                out.append(least[state] if size == n else none)
         return out
 
 
@@ -227,7 +227,7 @@ def _stream(n: int):
             machine.finish()
             for key, text in zip(passages.column("key").to_pylist(), passages.column("passage").to_pylist(), strict=True):
                 found["key"].append(key)
-                found["owner"].append(machine.owners([number.get(x, -1) for x in text.split(" ")]))
+                found["owner"].append(machine.owners([number.get(x, -1) for x in text.split(" ")], None))
         return pa.table({"key": pa.array(found["key"], pa.int64()), "owner": pa.array(found["owner"], pa.list_(pa.int64()))})
 
     return run
@@ -345,7 +345,7 @@ def repeated_windows(docs: DataFrame, *, n: int = WINDOW) -> DataFrame:
     # 4. Back to passages, then to their documents.
     per_passage = runs.select("key", "run_key", F.col("at").alias("from")).join(decided, "run_key").select("key", "from", "least")
     spots = passages.select("doc_id", "text_key", "at", "key").join(per_passage, "key")
-    starts = F.filter(F.transform("least", lambda o, k: F.when((o >= 0) & (o < F.col("doc_id")), F.col("at") + F.col("from") + k)), lambda x: x.isNotNull())
+    starts = F.filter(F.transform("least", lambda o, k: F.when(o < F.col("doc_id"), F.col("at") + F.col("from") + k)), lambda x: x.isNotNull())
     spots = spots.select("doc_id", "text_key", starts.alias("starts")).where(F.size("starts") > 0)
     return materialize(spots.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "windows")
 
