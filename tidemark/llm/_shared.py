@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -42,15 +43,15 @@ def ready(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is absent (tests, a laptop) a folder under the system's
-    temporary folder is used; that is only right where driver and executors
-    are one machine.
+    Where the setting is absent, driver and executors must be one process
+    (``local[...]``): then a folder under the system's temporary folder will do.
     """
     conf = spark.sparkContext.getConf()
     place = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         place = os.path.join(tempfile.gettempdir(), "tidemark-shared")
-        spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
@@ -86,6 +87,29 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The tables that an operator writes on its way, each dropped once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.tables: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """``materialize``, with the table remembered."""
+        path = scratch_path(self.spark, name)
+        df.write.options(**options).parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.tables.append((back, path))
+        return back
+
+    def drop(self, *which: DataFrame) -> None:
+        """Drop these tables, or all without any named."""
+        gone = [t for t in self.tables if not which or any(t[0] is w for w in which)]
+        self.tables = [t for t in self.tables if t not in gone]
+        for _, path in gone:
+            _delete(self.spark, path)
+
+
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
     """Actions inside hand Python workers at most so many rows at once: long rows in short batches."""

@@ -7,10 +7,10 @@ executor costs one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, scratch_path, session_of
+from ._shared import Scratch, session_of
 
 #: Edges of one task, on average, and tasks at least: few edges don't need many tasks.
 TASK_EDGES, LEAST_TASKS = 250_000, 6
@@ -19,38 +19,36 @@ TASK_EDGES, LEAST_TASKS = 250_000, 6
 def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """A node's larger neighbours all hang on the smallest around it."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.withColumn("m", F.least(F.min("b").over(Window.partitionBy("a")), "a"))
-    return least.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
+    # Aggregated and joined back, so that a node with very many neighbours is spread over tasks.
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
 
 
 def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """A node and its smaller neighbours all hang on the smallest of these: an edge moves one node."""
-    least = edges.withColumn("m", F.min("b").over(Window.partitionBy("a")))
-    return least.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).coalesce(tasks)
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    return edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).coalesce(tasks)
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node with a link; root is its component's smallest node.
 
     Links may be null, loops, repeated and in either direction; pairs with a
-    null and loops are skipped. An empty table gives an empty result.
+    null and loops are skipped. An empty table gives an empty result. With
+    ``scratch`` the result lasts as long as its tables.
     """
     spark = session_of(links)
+    scratch = scratch or Scratch(spark)
     now = links.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
-    path = scratch_path(spark, "links")
-    now.write.parquet(path)
-    schema, before = now.schema, None
-    state = _state(spark.read.schema(schema).parquet(path))
+    edges = scratch.keep(now, "links")
+    state, before = _state(edges), None
     while state["n"] and before != state:
         tasks = max(LEAST_TASKS, -(-2 * state["n"] // TASK_EDGES))
-        edges = spark.read.schema(schema).parquet(path)
-        after = scratch_path(spark, "links")
-        _small_star(_large_star(edges, tasks), tasks).distinct().coalesce(tasks).write.parquet(after)
-        discard(spark, path)
+        after = scratch.keep(_small_star(_large_star(edges, tasks), tasks).distinct().coalesce(tasks), "links")
+        scratch.drop(edges)
         # Both steps leave the edges of a forest of stars as they are.
-        path, before, state = after, state, _state(spark.read.schema(schema).parquet(after))
-    stars = spark.read.schema(schema).parquet(path)
-    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        edges, before, state = after, state, _state(after)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _state(edges: DataFrame):

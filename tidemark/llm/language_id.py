@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -97,7 +97,7 @@ def _svm(x: np.ndarray, y: np.ndarray, rounds: int = 30, c: float = 10.0) -> tup
     rng = np.random.default_rng(5)
     n = len(y)
     own = c * n / (2 * np.where(y > 0, max(1, int((y > 0).sum())), max(1, int((y < 0).sum()))))
-    norms = (x * x).sum(1) + 1 + 0.5 / own
+    norms = np.einsum("ij,ij->i", x, x) + 1 + 0.5 / own
     alpha, w, b = np.zeros(n), np.zeros(x.shape[1]), 0.0
     for _ in range(rounds):
         for i in rng.permutation(n):
@@ -150,10 +150,11 @@ class Model:
 def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_OF_LANGUAGE, most: int = SAMPLE) -> Model:
     """Learn from rows with a text and a language.
 
-    A hash of the id chooses about ``per_language`` texts of each language and
-    ``most`` in all; rows are counted in full, but no more come to the driver.
-    Rows with a null id, text or language are skipped. Without any row the
-    model knows no language and every document is undetermined.
+    Hashes of id and text choose ``per_language`` texts of each language, and
+    ``most`` in all, at most; rows are counted in full, but no more come to the
+    driver, where each is its counts of features. Rows with a null id, text or
+    language are skipped; equal rows are alike to the choice. Without any row
+    the model knows no language and every document is undetermined.
     """
     spark = session_of(labelled)
     ready(spark)
@@ -162,16 +163,22 @@ def fit(labelled: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     if not counts:
         return Model([], np.zeros((0, FEATURES), dtype=np.float32), np.zeros(0), [])
     each = max(1, min(per_language, most // len(counts)))
-    shares = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 1.2 * each / n))))
-    draw = F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(draw < shares[F.col("lang")]).select("lang", "text").mapInArrow(_counts, "lang string, feature array<int>, value array<float>")
-    got = sample.limit(2 * most + len(counts)).collect()
-    x, langs = np.zeros((len(got), FEATURES), dtype=np.float32), np.array([r["lang"] for r in got])
-    for i, r in enumerate(got):
-        x[i, r["feature"]] = r["value"]
+    # A first draw by hash leaves little to order; the order then bounds the sample exactly.
+    shares = F.create_map(*(F.lit(v) for lang, n in sorted(counts.items()) for v in (lang, min(1.0, 1.5 * each / n))))
+    drawn = rows.withColumn("draw", F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(1 << 40))).where(F.col("draw") / F.lit(float(1 << 40)) < shares[F.col("lang")])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", F.xxhash64("text")))
+    sample = drawn.withColumn("place", place).where(F.col("place") <= each).select("lang", "text")
+    got = sample.mapInArrow(_counts, "lang string, feature array<int>, value array<float>").toArrow().combine_chunks()
+    langs = np.array(got["lang"].to_pylist(), dtype=object).astype(str)
+    x = np.zeros((got.num_rows, FEATURES), dtype=np.float32)
+    if got.num_rows:
+        feature = got["feature"].combine_chunks()
+        x[np.repeat(np.arange(got.num_rows), np.diff(np.asarray(feature.offsets))), np.asarray(feature.flatten())] = np.asarray(got["value"].combine_chunks().flatten())
+    del got
     order = np.lexsort((x @ np.arange(1, FEATURES + 1), langs))  # reruns agree, whatever the rows' order
-    x, langs = np.sqrt(x[order]), langs[order]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x, langs = x[order], langs[order]
+    np.sqrt(x, out=x)
+    x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
     return _learn(x, langs)
 
 

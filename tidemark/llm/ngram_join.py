@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import arrow_rows, materialize, ready, release, session_of
+from ._shared import Scratch, arrow_rows, materialize, ready, release, session_of
 from .components import components
 
 SHINGLE = 5
@@ -148,20 +148,22 @@ def _prefixer(rank_of, size: int, similarity: int):
 def _holder(likely, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.make_room()
-        bits = np.array(likely.value, dtype=np.uint64)
+        bits = likely.value
         for batch in batches:
             rows = np.asarray(batch.column(0)).view(np.uint64)
             asked = bits[(rows >> _U(6)) % _U(FILTER_WORDS)] >> (rows & _U(63)) & _U(1) == 1
             batch = batch.filter(pa.array(asked))
             for w in W.words(batch.column(1), W.SPACED, fold=True):
-                row, sets = [], []
+                row, cls, sets = [], [], []
                 for r, grams in _sets(w, size):
+                    grams = np.unique(grams)
                     row.append(r)
-                    sets.append(np.unique(grams))
+                    cls.append(_class_of(grams))
+                    sets.append(grams)
                 if row:
                     ends = np.cumsum([0, *map(len, sets)])
                     lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(W.as_long(np.concatenate(sets))))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), lists], names=["row", "grams"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(cls, pa.int64()), lists], names=["row", "cls", "grams"])
         W.make_room()
 
     return run
@@ -243,27 +245,28 @@ def _by_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leader_pairs(group: DataFrame, info: DataFrame, leaders: int, similarity: int) -> DataFrame:
-    """Pairs of each class with its group's leaders: the first under some orders, wherever they appear."""
+    """Pairs of each class with its group's leaders: the first under some orders, wherever they appear.
+
+    Leaders are found by an aggregation and come back by a join, so that a
+    group of any size is spread over tasks.
+    """
     order = lambda k: F.xxhash64(F.col("cls"), F.lit(k))
     held = group.join(info.select("cls", "bits"), "cls")
-    heads = F.array_distinct(F.array(*(F.min(F.struct(order(k).alias("order"), "cls", "n", "pos", "bits")).over(Window.partitionBy("token")) for k in range(leaders))))
+    heads = held.groupBy("token").agg(*(F.min(F.struct(order(k).alias("order"), "cls", "n", "pos", "bits")).alias(f"h{k}") for k in range(leaders)))
+    heads = heads.select("token", F.array_distinct(F.array(*(f"h{k}" for k in range(leaders)))).alias("heads"))
     n, pos, bits = F.col("n"), F.col("pos"), F.col("bits")
     fit = lambda h: (h["cls"] != F.col("cls")) & _close(n, pos, h["n"], h["pos"], similarity) & _like(n, bits, h["n"], h["bits"], similarity)
-    tied = held.withColumn("heads", heads).select("cls", F.explode(F.transform(F.filter("heads", fit), lambda h: h["cls"])).alias("head"))
+    tied = held.join(heads, "token").select("cls", F.explode(F.transform(F.filter("heads", fit), lambda h: h["cls"])).alias("head"))
     return tied.select(F.greatest("cls", "head").alias("a"), F.least("cls", "head").alias("b"))
 
 
-def _links(pairs: DataFrame, info: DataFrame, slim: DataFrame, size: int, similarity: int) -> DataFrame:
-    """Of distinct pairs (a, b), those that link, each verified once on whole sets."""
-    where = info.select("cls", "row")
-    named = pairs.select("a", "b").join(where.select(F.col("cls").alias("a"), F.col("row").alias("row_a")), "a").join(where.select(F.col("cls").alias("b"), F.col("row").alias("row_b")), "b")
-    named = materialize(named, "pairs")
-    sets = _sets_of(named, slim, size)
-    right = named.join(sets.select(F.col("row").alias("row_b"), F.col("grams").alias("right")), "row_b")
-    both = right.join(sets.select(F.col("row").alias("row_a"), F.col("grams").alias("left")), "row_a").select("a", "b", "left", "right")
-    with arrow_rows(session_of(pairs), 512):
-        found = materialize(both.mapInArrow(_verifier(similarity), "a long, b long"), "links")
-    release(session_of(pairs))
+def _links(pairs: DataFrame, sets: DataFrame, similarity: int, scratch: Scratch) -> DataFrame:
+    """Of distinct pairs (a, b), those that link, each verified once on whole sets (cls, grams)."""
+    right = pairs.select("a", "b").join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("right")), "b")
+    both = right.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("left")), "a").select("a", "b", "left", "right")
+    with arrow_rows(scratch.spark, 512):
+        found = scratch.keep(both.mapInArrow(_verifier(similarity), "a long, b long"), "links")
+    release(scratch.spark)
     return found
 
 
@@ -272,20 +275,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     A-Z are lower-cased; words are runs without space, tab to carriage return.
     A text of fewer than ``size`` words is one shingle; one without words, or a
-    null, has an empty set, which links with nothing. Returns doc_id,
-    n_shingles, component_id: the smallest id reachable by links. Ids are
-    integers; a null id gets its row, but names no component (one made of null
-    ids alone is null). Repeated rows are copies. Other columns are ignored.
+    null, has an empty set, which links with nothing. Shingles are compared by
+    64-bit hashes of their words. Returns doc_id, n_shingles, component_id: the
+    smallest id reachable by links. Ids are integers; a null id gets its row,
+    but names no component (one made of null ids alone is null). Repeated rows
+    are copies; rows that share an id are sets of their own. Other columns are
+    ignored. An empty table gives an empty result.
     """
     spark = session_of(docs)
     ready(spark)
+    scratch = Scratch(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     slim = slim.select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("row"), "text")
-    profile = materialize(slim.mapInArrow(_profiler(size), _PROFILE), "profile", compression="zstd")
+    profile = scratch.keep(slim.mapInArrow(_profiler(size), _PROFILE), "profile", compression="zstd")
     # 1. Frequencies: at most BUCKETS rows come to the driver.
+    seen = profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).toArrow()
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    for r in profile.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("seen").alias("seen")).collect():
-        counts[r["bucket"]] = r["seen"]
+    counts[np.asarray(seen["bucket"])] = np.asarray(seen["seen"])
     rank = np.empty(BUCKETS, dtype=np.uint64)
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
     ranks = spark.sparkContext.broadcast(rank)
@@ -295,41 +301,53 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     by_token = Window.partitionBy("token")
     shared = prefix.withColumn("lo", F.min("cls").over(by_token)).withColumn("hi", F.max("cls").over(by_token)).where("lo < hi")
     shared = shared.groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).withColumn("g", F.count("*").over(by_token))
-    group = materialize(shared, "prefixes")
+    group = scratch.keep(shared, "prefixes", compression="zstd")
+    ranks.destroy()
     release(spark)
+    members = scratch.keep(rows.select("doc_id", "cls", F.col("n").alias("n_shingles")), "members")
     classes = rows.where("cls <> 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n").cast("int").alias("n"), F.first("bitmap").alias("bits"), F.first("cells").alias("cells"))
     crowded = group.where(F.col("g") > SMALL)
     hidden = crowded.groupBy("cls").agg(F.count("*").alias("hidden"))
-    info = materialize(classes.join(hidden, "cls", "left").withColumn("hidden", F.coalesce("hidden", F.lit(0))), "classes")
+    info = scratch.keep(classes.join(hidden, "cls", "left").withColumn("hidden", F.coalesce("hidden", F.lit(0))), "classes", compression="zstd")
+    scratch.drop(profile)
     # 3. Pairs of small groups, counted; ties of large ones to leaders; with the bits that differ.
-    pairs = materialize(_small_pairs(group.where(F.col("g") <= SMALL), info, similarity).unionAll(_leader_pairs(crowded, info, leaders, similarity)).distinct(), "pairs")
-    pairs = materialize(_pruned(pairs, info, similarity), "pairs")
+    drawn = scratch.keep(_small_pairs(group.where(F.col("g") <= SMALL), info, similarity).unionAll(_leader_pairs(crowded, info, leaders, similarity)).distinct(), "pairs")
+    pairs = scratch.keep(_pruned(drawn, info, similarity), "pairs")
+    scratch.drop(drawn)
+    release(spark)
     # First each class's closest pair, then the closest of any two components.
     ends = pairs.select(F.col("a").alias("x"), "a", "b", "d").unionAll(pairs.select(F.col("b").alias("x"), "a", "b", "d"))
-    closest = ends.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b").distinct()
-    links = _links(closest, info, slim, size, similarity)
-    roots = components(links)
+    closest = scratch.keep(ends.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b").distinct(), "pairs")
+    # These name every class that has a pair.
+    sets = _sets_of(closest, info, slim, size, scratch)
+    links = _links(closest, sets, similarity, scratch)
+    roots = components(links, scratch)
     between = _apart(pairs, roots).groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("d", "a", "b")).alias("e")).select("e.a", "e.b")
-    joints = materialize(between.join(links, ["a", "b"], "left_anti"), "pairs")
+    joints = scratch.keep(between.join(links, ["a", "b"], "left_anti"), "pairs")
     if not joints.isEmpty():
-        links = links.unionAll(_links(joints, info, slim, size, similarity))
-        roots = components(links)
+        links = links.unionAll(_links(joints, sets, similarity, scratch))
+        roots = components(links, scratch)
+    scratch.drop(sets)
     # 4. All that is left, and all pairs of large groups, of classes that aren't connected yet.
     known = crowded.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    apart = known.withColumn("lo", F.min("root").over(by_token)).withColumn("hi", F.max("root").over(by_token)).where("lo < hi").join(info.select("cls", "bits"), "cls")
+    torn = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    apart = known.join(torn, "token").join(info.select("cls", "bits"), "cls")
     x, y = apart.alias("x"), apart.alias("y")
     c = lambda side, name: F.col(f"{side}.{name}")
     rest = x.join(y, (c("x", "token") == c("y", "token")) & (c("x", "cls") > c("y", "cls")) & (c("x", "root") != c("y", "root")) & _close(c("x", "n"), c("x", "pos"), c("y", "n"), c("y", "pos"), similarity) & _like(c("x", "n"), c("x", "bits"), c("y", "n"), c("y", "bits"), similarity))
     left = _apart(pairs, roots).select("a", "b").unionAll(rest.select(c("x", "cls").alias("a"), c("y", "cls").alias("b"))).distinct()
-    left = materialize(_pruned(left.join(closest.unionAll(joints), ["a", "b"], "left_anti"), info, similarity), "pairs")
+    left = scratch.keep(_pruned(left.join(closest.unionAll(joints), ["a", "b"], "left_anti"), info, similarity), "pairs")
     if not left.isEmpty():
-        links = links.unionAll(_links(left, info, slim, size, similarity))
-        roots = components(links)
+        links = links.unionAll(_links(left, _sets_of(left, info, slim, size, scratch), similarity, scratch))
+        roots = components(links, scratch)
     # 5. Components carry the smallest id of their classes.
     named = info.select("cls", "rep").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     answer = named.select("cls", "root").join(least, "root").select("cls", "component_id")
-    return rows.join(answer, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    answer = materialize(members.join(answer, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")), "components")
+    scratch.drop()
+    release(spark)
+    return answer
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -339,28 +357,35 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where("root_a <> root_b")
 
 
-def _sets_of(pairs: DataFrame, slim: DataFrame, size: int) -> DataFrame:
-    """Whole sets (row, grams) of the rows that the pairs name.
+def _sets_of(pairs: DataFrame, info: DataFrame, slim: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """Whole sets (cls, grams) of the classes that the pairs name, one a class.
 
     A scan makes them anew from the texts; a filter of a fixed size keeps it
-    from handing out most others, which the joins would drop.
+    from handing out most others, which the join drops.
     """
-    spark = session_of(pairs)
-    wanted = pairs.select(F.col("row_a").alias("row")).unionAll(pairs.select(F.col("row_b").alias("row"))).distinct()
+    classes = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
+    wanted = scratch.keep(info.select("cls", "row").join(classes, "cls"), "wanted")
     word = F.pmod(F.shiftrightunsigned("row", 6), F.lit(FILTER_WORDS)).cast("int")
-    bits = [0] * FILTER_WORDS
     # At most FILTER_WORDS rows, whatever the corpus.
-    for r in wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(row & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).collect():
-        bits[r["word"]] = r["bits"] & 0xFFFFFFFFFFFFFFFF
-    likely = spark.sparkContext.broadcast(bits)
-    return slim.where("text IS NOT NULL").select("row", "text").mapInArrow(_holder(likely, size), "row long, grams array<long>")
+    got = wanted.select(word.alias("word"), F.expr("shiftleft(1L, cast(row & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_WORDS, dtype=np.uint64)
+    bits[np.asarray(got["word"])] = np.asarray(got["bits"]).view(np.uint64)
+    likely = scratch.spark.sparkContext.broadcast(bits)
+    made = slim.where("text IS NOT NULL").select("row", "text").mapInArrow(_holder(likely, size), "row long, cls long, grams array<long>")
+    # Repeated rows have equal sets, of which the verification may see any.
+    sets = scratch.keep(made.join(wanted, ["row", "cls"], "left_semi").select("cls", "grams"), "sets")
+    likely.destroy()
+    scratch.drop(wanted)
+    release(scratch.spark)
+    return sets
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component: the one that names it; columns as before.
 
     Documents with a null id stay, as they can't be told apart. Of repeated
-    rows with the kept id all stay.
+    rows with the kept id all stay; rows of different texts that share an id
+    go together if one of them does.
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
