@@ -9,7 +9,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,6 +136,32 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+#: Values of an array that ``running`` adds up at once.
+RUN_BLOCK = 128
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each value of an array, all up to it combined.
+
+    Spark copies a fold's state at each step, so a fold can't gather an array
+    of any length. Here blocks are combined first, then what precedes each
+    block, then what precedes a value within its block.
+    """
+    last = F.greatest(F.lit(0), F.floor((F.size(values) - 1) / RUN_BLOCK).cast("int"))
+
+    def spread(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, zero, combine))
+        ahead = let(sums, lambda s: F.transform(s, lambda _, i: F.aggregate(F.slice(s, F.lit(1), i), zero, combine)))
+        return F.flatten(F.transform(F.arrays_zip(parts.alias("part"), ahead.alias("ahead")), lambda z: F.transform(z["part"], lambda _, j: F.aggregate(F.slice(z["part"], F.lit(1), j + 1), z["ahead"], combine))))
+
+    return let(values, lambda v: let(F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(v, b * RUN_BLOCK + 1, F.lit(RUN_BLOCK))), spread))
+
+
 def crc32_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -1,23 +1,27 @@
 """License scans: phrases, and an exact set-similarity join with notice templates.
 
-DataFrame functions only. Text blocks are lines; their distinct words and those
-of the templates are ordered rare-first by how many documents hold them. A
+DataFrame functions only, and no shuffle of documents. A text block is a run of
+consecutive words, a little longer than the template that it is held against,
+so a notice may be wrapped over lines, and prose that scatters its words over a
+page isn't one. Words are ordered rare-first by how many documents hold them. A
 block can only hold enough of a template if it holds a word of the template's
-prefix in that order, so blocks are joined with templates on prefix words, pass
-length and positional filters, and are verified on whole sets.
+prefix in that order: documents are joined with templates on prefix words, and
+blocks pass length and positional filters before they are verified on whole sets.
 
-The template side is a list of constants, so its size is bounded; documents
-are never shuffled with their texts.
+The template side is a constant, so its size is bounded; the join with it is
+made within each document's row.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import lower_ascii, session_of
+from ._shared import let, lower_ascii
 
 #: Phrases, and the label that each stands for.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -45,30 +49,40 @@ TEMPLATES = [
 CONTAINMENT = 0.9
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_MATCH = "array<struct<start:int,end:int,share:double,label:string>>"
 
 
-def _plain(text: Column) -> Column:
-    """Words joined by one space: A-Z lower-cased; words are other letters, digits and non-ASCII."""
-    return F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), _SEPARATORS, " "))
+class Template(NamedTuple):
+    label: str
+    words: list[str]  # distinct
+    need: int  # words that a block must hold
+    span: int  # words of a block
 
 
-def template_words(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    """The distinct words of each template; none twice for a label and the same words."""
-    import re
-
+def template_sets(templates: list[tuple[str, str]], containment: float = CONTAINMENT) -> list[Template]:
+    """The templates as sets. A block has a fifth more words than the template's text, one at least."""
     fold = {i: i + 32 for i in range(65, 91)}
-    return [(label, sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(fold))))) for label, text in templates]
+    texts = [(label, re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(fold))) for label, text in templates]
+    return [Template(label, sorted(set(w)), max(1, math.ceil(containment * len(set(w)) - 1e-9)), len(w) + max(1, len(w) // 5)) for label, w in texts if w]
+
+
+def _words(text: Column) -> Column:
+    """A-Z lower-cased; words are other letters, digits and non-ASCII."""
+    plain = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), _SEPARATORS, " "))
+    return let(plain, lambda p: F.when(p == "", F.array().cast("array<string>")).otherwise(F.split(p, " ")))
+
+
+def _places(words: Column, phrase: str) -> Column:
+    """Word numbers at which the phrase starts."""
+    parts = phrase.split(" ")
 
+    def here(w: Column, i: Column) -> Column:
+        meets = w == parts[0]
+        for k, part in enumerate(parts[1:], 1):
+            meets = meets & (F.get(words, i + k) == part)
+        return F.when(meets, i)
 
-def _places(plain: Column, phrase: str) -> Column:
-    """Word numbers at which the phrase starts; the phrase must not overlap itself."""
-    n = len(phrase.split(" "))
-    padded = F.concat(F.lit(" "), plain, F.lit(" "))
-    pieces = F.slice(F.split(padded, f" {phrase}(?= )", -1), F.lit(1), F.size(F.split(padded, f" {phrase}(?= )", -1)) - 1)
-    gaps = F.transform(pieces, lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "), F.lit(""))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<long>").alias("found"))
-    walked = F.aggregate(gaps, begin, lambda s, g: F.struct((s["at"] + g + n).cast("int").alias("at"), F.concat(s["found"], F.array((s["at"] + g).cast("long"))).alias("found")))
-    return F.when(F.contains(padded, F.lit(f" {phrase} ")), walked["found"]).otherwise(F.array().cast("array<long>"))
+    return F.when(F.array_contains(words, parts[-1]), F.array_compact(F.transform(words, here))).otherwise(F.array().cast("array<int>"))
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -76,63 +90,80 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
 
     Returns doc_id, n_words, n_base (all places of phrases), first_word and
     last_word (their smallest and largest start, words from 0; else null),
-    base_labels, template_labels (arrays, distinct and sorted; a block has the
-    labels of the templates that it holds most of), score: 1 with a phrase, else the largest share of a template that a block holds, if that
-    reaches ``containment``, else 0.
+    base_labels, template_labels (arrays, distinct and sorted), score: 1 with a
+    phrase, else the largest share of a template's words that a block holds, if
+    that reaches ``containment``, else 0. A block starts with a word of the
+    template. Where blocks of several templates overlap, those with the largest
+    share give their labels (ties: all of them).
 
     A null text is an empty one, and has no words. Repeated rows each get
     their row, and equal rows equal results. Other columns are ignored. An
-    empty table gives an empty result.
+    empty table gives an empty result. Time grows with a text's length.
     """
-    plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("plain", _plain(F.col("text")))
-    key = F.xxhash64("doc_id", "text").alias("key")
-    found = plain
-    for i, phrase in enumerate(phrases):
-        found = found.withColumn(f"p{i}", _places(F.col("plain"), phrase))
+    plain = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
+    sets, order = _ordered(plain, template_sets(templates, containment))
+    found = plain.withColumns({f"p{i}": _places(F.col("words"), phrase) for i, phrase in enumerate(phrases)}).withColumn("held", _held(F.col("words"), sets, order))
     every = F.concat(*(F.col(f"p{i}") for i in range(len(phrases))))
-    spaces = F.octet_length("plain") - F.octet_length(F.replace(F.col("plain"), F.lit(" "), F.lit("")))
     labels = F.array_compact(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values()))))
-    base = found.select(
-        "doc_id", key, F.when(F.col("plain") == "", F.lit(0)).otherwise(spaces + 1).cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"),
-        F.array_min(every).alias("first_word"), F.array_max(every).alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base_labels"),
+    score = F.when(F.size(every) > 0, F.lit(1.0)).otherwise(F.coalesce(F.array_max(F.transform("held", lambda m: m["share"])), F.lit(0.0)))
+    return found.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"), F.size(every).cast("long").alias("n_base"),
+        F.array_min(every).cast("long").alias("first_word"), F.array_max(every).cast("long").alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base_labels"),
+        F.array_sort(F.array_distinct(F.transform("held", lambda m: m["label"]))).alias("template_labels"), score.alias("score"),
     )
-    held = _blocks(plain, key, _ordered(plain, template_words(templates), containment), containment)
-    joined = base.join(held.withColumnRenamed("key", "k").withColumnRenamed("doc_id", "d"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
-    return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", F.coalesce("template_labels", F.array().cast("array<string>")).alias("template_labels"), score.alias("score"))
 
 
-def _ordered(plain: DataFrame, sets: list[tuple[str, list[str]]], containment: float) -> list[tuple[str, list[str], int]]:
-    """(label, words rare-first, words needed) of each template.
+def _ordered(plain: DataFrame, sets: list[Template]) -> tuple[list[Template], list[str]]:
+    """The templates with their words rare-first, and all of their words in that order.
 
     The driver gets one count for each word of the templates, from all documents.
     """
-    vocabulary = sorted({w for _, words in sets for w in words})
+    vocabulary = sorted({w for t in sets for w in t.words})
     known = F.array(*(F.lit(w) for w in vocabulary))
-    counts = plain.select(F.explode(F.array_intersect(F.split("plain", " "), known)).alias("word")).groupBy("word").count().collect()
+    counts = plain.select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").count().collect()
     seen = {r["word"]: r["count"] for r in counts}
-    return [(label, sorted(words, key=lambda w: (seen.get(w, 0), w)), max(1, math.ceil(containment * len(words) - 1e-9))) for label, words in sets if words]
-
-
-def _blocks(plain: DataFrame, key: Column, ordered: list[tuple[str, list[str], int]], containment: float) -> DataFrame:
-    """Documents with a block that holds enough of a template: their labels and best share."""
-    spark = session_of(plain)
-    prefixes = [(t, label, words, need, word, at) for t, (label, words, need) in enumerate(ordered) for at, word in enumerate(words[: len(words) - need + 1])]
-    side = spark.createDataFrame(prefixes, "template int, label string, words array<string>, need int, word string, at int")
-    firsts = F.array(*(F.lit(w) for w in sorted({p[4] for p in prefixes})))
-    likely = plain.where(F.arrays_overlap(F.split("plain", " "), firsts))
-    lines = likely.select("doc_id", key, F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    block = lines.select("doc_id", "key", "place", F.array_distinct(F.split(_plain(F.col("line")), " ")).alias("block"))
-    probes = block.select("doc_id", "key", "place", "block", F.explode(F.array_intersect("block", firsts)).alias("word"))
-    # The template side is a constant of a few hundred short rows.
-    pairs = probes.join(F.broadcast(side), "word")
-    pairs = pairs.where(F.size("block") >= F.col("need"))  # length
-    pairs = pairs.where(F.size("words") - F.col("at") >= F.col("need"))  # place in the template's order
-    first = ~F.arrays_overlap(F.slice("words", F.lit(1), F.col("at")), F.col("block"))  # a pair meets at its first shared word alone
-    pairs = pairs.where(first)
-    both = F.size(F.array_intersect("words", "block"))
-    enough = pairs.withColumn("both", both).where(F.col("both") >= F.col("need")).withColumn("share", F.col("both") / F.size("words"))
-    # Of like templates (versions of a licence) a block has those that it holds most of.
-    per_block = enough.groupBy("doc_id", "key", "place").agg(F.max("share").alias("share"), F.collect_set(F.struct("share", "label")).alias("met"))
-    best = per_block.select("doc_id", "key", "share", F.transform(F.filter("met", lambda e: e["share"] == F.col("share")), lambda e: e["label"]).alias("labels"))
-    return best.groupBy("doc_id", "key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("template_labels"), F.max("share").alias("share"))
+    order = sorted(vocabulary, key=lambda w: (seen.get(w, 0), w))
+    place = {w: k for k, w in enumerate(order)}
+    return [t._replace(words=sorted(t.words, key=place.__getitem__)) for t in sets], order
+
+
+def _held(words: Column, sets: list[Template], order: list[str]) -> Column:
+    """Blocks of a document that hold enough of a template, the strongest where they overlap."""
+    texts = lambda x: F.array(*(F.lit(w) for w in x))
+    prefix = [t.words[: len(t.words) - t.need + 1] for t in sets]
+    side = F.array(*(F.struct(F.lit(t.label).alias("label"), texts(t.words).alias("words"), texts(p).alias("prefix"), F.lit(t.need).alias("need"), F.lit(t.span).alias("span")) for t, p in zip(sets, prefix, strict=True)))
+    firsts = texts(sorted({w for p in prefix for w in p}))
+    vocabulary = texts(order)
+
+    def blocks(t: Column) -> Column:
+        def starts(spots: Column) -> Column:
+            # Length: a block needs that many of the template's words, repeats and all.
+            return F.array_compact(F.transform(spots, lambda p, k: F.when(F.get(spots, k + t["need"] - 1) - p < t["span"], p)))
+
+        def judged(p: Column) -> Column:
+            return let(F.array_intersect(vocabulary, F.slice(words, p + 1, t["span"])), lambda block: F.when(_close(t, block), F.struct(p.alias("start"), (p + t["span"]).alias("end"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("share"), t["label"].alias("label"))))
+
+        places = F.array_compact(F.transform(words, lambda w, i: F.when(F.array_contains(t["words"], w), i)))
+        return F.array_compact(F.transform(let(places, starts), judged))
+
+    def _close(t: Column, block: Column) -> Column:
+        """Block and template meet first in the prefix; what follows there on either side suffices; and so do the sets."""
+        first = F.element_at(F.array_intersect(t["prefix"], block), 1)
+        rest = F.least(F.size(t["words"]) - F.array_position(t["words"], first), F.size(block) - F.array_position(block, first)) + 1
+        return (F.size(F.array_intersect(t["prefix"], block)) > 0) & (rest >= t["need"]) & (F.size(F.array_intersect(t["words"], block)) >= t["need"])
+
+    # So many blocks can start within reach of another.
+    around = len(sets) * max((t.span for t in sets), default=1)
+
+    def strongest(found: Column) -> Column:
+        near = lambda i: F.slice(found, F.greatest(i + 1 - around, F.lit(1)), F.lit(2 * around + 1))
+        beaten = lambda m, i: F.exists(near(i), lambda n: (n["share"] > m["share"]) & (n["start"] < m["end"]) & (m["start"] < n["end"]))
+        return F.filter(found, lambda m, i: ~beaten(m, i))
+
+    def matches(met: Column) -> Column:
+        return F.array_sort(F.flatten(F.transform(F.filter(side, lambda t: F.arrays_overlap(t["prefix"], met)), blocks)))
+
+    if not sets:
+        return F.array().cast(_MATCH)
+    likely = F.arrays_overlap(words, firsts)
+    return F.when(likely, let(let(F.array_intersect(words, firsts), matches), strongest).cast(_MATCH)).otherwise(F.array().cast(_MATCH))

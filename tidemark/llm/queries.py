@@ -70,15 +70,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Of op1, op4, op6 and op7 no SQL can give the rows: they hold what was learned, found or encoded."""
-    fits = [
-        ("regexp_full_match(s, '[0-9A-Fa-f]+') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Fa-f]')", secret_scan.CLASSES[0].bits),
-        ("regexp_full_match(s, '[A-Za-z0-9+/=_-]+') AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')", secret_scan.CLASSES[1].bits),
-    ]
+    fits = [(" AND ".join(f"regexp_matches(s, '{p}')" for p in (c.only, *c.needs)), c.bits) for c in secret_scan.CLASSES]
     return {
         "op2_decontamination": sql.DECONTAMINATION,
         "op3_substring_dedup": sql.SUBSTRING_DEDUP,
         "op5_mixing": sql.mixing_sql(mixing.WEIGHTS, mixing.MOST, mixing.SEED),
         "op8_ngram_join": sql.NGRAM_JOIN,
-        "op9_license_scan": sql.license_sql(license_scan.PHRASES, license_scan.template_words(license_scan.TEMPLATES), license_scan.CONTAINMENT),
+        "op9_license_scan": sql.license_sql(license_scan.PHRASES, license_scan.template_sets(license_scan.TEMPLATES)),
         "op10_secret_scan": sql.secret_sql(secret_scan.KINDS, secret_scan.CANDIDATE, secret_scan.WINDOW, fits, secret_scan.ALLOWED),
     }

@@ -66,20 +66,22 @@ SELECT doc_id, size, source_size, target, (epochs * size + least(size, greatest(
 """
 
 
-def license_sql(phrases: dict[str, str], templates: list[tuple[str, list[str]]], containment: float) -> str:
+def license_sql(phrases: dict[str, str], templates: list[tuple[str, list[str], int, int]]) -> str:
+    """``templates``: label, distinct words, words needed, words of a block."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     places = " UNION ALL ".join(f"SELECT doc_id, {quoted(label)} AS label, i FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - {len(p.split()) - 1})) AS i FROM d WHERE len(w) >= {len(p.split())}) WHERE w[i : i + {len(p.split()) - 1}] = [{', '.join(map(quoted, p.split()))}]" for p, label in phrases.items())
-    sets = ", ".join(f"({quoted(label)}, [{', '.join(map(quoted, words))}])" for label, words in templates)
+    sets = ", ".join(f"({k}, {quoted(label)}, [{', '.join(map(quoted, words))}], {need}, {span})" for k, (label, words, need, span) in enumerate(templates))
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all({_LOW.replace('text', "coalesce(text, '')")}, {_ALNUM}) AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW.replace('text', "coalesce(text, '')")}, {_ALNUM}) AS w FROM documents),
 found AS ({places}),
 base AS (SELECT doc_id, count(*) AS n, min(i) - 1 AS lo, max(i) - 1 AS hi, list_sort(list(DISTINCT label)) AS labels FROM found GROUP BY doc_id),
-t(label, words) AS (VALUES {sets}),
-lines AS (SELECT doc_id, k, list_distinct(regexp_extract_all({_LOW.replace('text', 'line')}, {_ALNUM})) AS b
-          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(generate_series(1, len(string_split(text, chr(10))))) AS k FROM d)),
-met AS (SELECT doc_id, k, label, len(list_intersect(words, b))::DOUBLE / len(words) AS share FROM lines, t
-        WHERE len(list_intersect(words, b)) >= greatest(1, ceil({containment} * len(words) - 1e-9))),
-best AS (SELECT doc_id, label, share FROM met QUALIFY share = max(share) OVER (PARTITION BY doc_id, k)),
+t(k, label, words, need, span) AS (VALUES {sets}),
+tw AS (SELECT k, span, need, len(words) AS size, label, unnest(words) AS word FROM t),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i FROM d),
+h AS (SELECT doc_id, k, label, span, need, size, i, word FROM dw JOIN tw USING (word)),
+met AS (SELECT a.doc_id, a.k, a.label, a.i, a.span, count(DISTINCT b.word)::DOUBLE / a.size AS share FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i >= a.i AND b.i < a.i + a.span
+        GROUP BY a.doc_id, a.k, a.label, a.i, a.span, a.size, a.need HAVING count(DISTINCT b.word) >= a.need),
+best AS (SELECT doc_id, label, share FROM met m WHERE NOT EXISTS (SELECT 1 FROM met n WHERE n.doc_id = m.doc_id AND n.share > m.share AND n.i < m.i + m.span AND m.i < n.i + n.span)),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM best GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,
