@@ -177,10 +177,24 @@ def test_decontamination_agrees_with_brute_force_in_one_and_many_blocks(spark, o
         got = sorted(decontaminate.scan(docs, bench, block_bytes=block).collect())
         assert [(r["n_words"], r["n_hit"], r["items"]) for r in got] == want
         assert all(r["n_hit"] == sum(s["end"] - s["start"] for s in r["spans"]) for r in got)
-    kept = {r["doc_id"] for r in decontaminate.remove_documents(docs, bench).collect()}
-    assert kept == {i for i, w in enumerate(want, 1) if not w[1]}
-    cut = decontaminate.remove_spans(docs, bench)
-    assert cut.columns == docs.columns and not decontaminate.scan(cut, bench).where("n_hit > 0").count()
+        kept = {r["doc_id"] for r in decontaminate.remove_documents(docs, bench, block_bytes=block).collect()}
+        assert kept == {i for i, w in enumerate(want, 1) if not w[1]}
+        cut = decontaminate.remove_spans(docs, bench, block_bytes=block)
+        assert cut.columns == docs.columns
+        left = {r["doc_id"]: r["text"] for r in cut.collect()}
+        for i, (text, r) in enumerate(zip(texts, got, strict=True), 1):
+            gone = {p for s in r["spans"] for p in range(s["start"], s["end"])}
+            assert ALNUM.findall(fold(left[i])) == [w for p, w in enumerate(ALNUM.findall(fold(text))) if p not in gone]
+            assert (left[i] is None) == (text is None) and (gone or left[i] == text)
+
+
+def test_decontamination_set_is_compact():
+    import pyarrow as pa
+
+    rng = random.Random(16)
+    texts = [" ".join(prose(rng, 200, 50_000)) for _ in range(1500)]
+    known = decontaminate.WindowSet(pa.array([str(i) for i in range(1500)]), pa.array(texts), 10)
+    assert known.size() < 8 * sum(len(t.encode()) for t in texts)
 
 
 def test_mixing_meets_targets_and_reruns_agree(spark):

@@ -3,11 +3,15 @@
 The normalised n-grams of all benchmark items form a hash set, which is
 broadcast; documents' windows are scanned against it, every hit is verified on
 its words, and hit spans or whole documents can be removed.
+
+The set is a few flat arrays: sorted window hashes, where each window starts,
+and the items' words. A benchmark of any size is dealt out to blocks, and the
+documents are scanned once for each, so that driver and workers hold one block
+at a time.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,87 +21,126 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import ALNUM_WORD, lower_ascii, ready, session_of
+from ._shared import ALNUM_WORD, Scratch, lower_ascii, materialize, ready, session_of
 
 #: Words of a window.
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast set; more text is scanned in blocks.
+#: Bytes of benchmark text in one broadcast set. A set takes about 6 bytes for each.
 BLOCK_BYTES = 8 << 20
+#: Bits of a filter that spares most windows the search among hashes.
+_FILTER = 1 << 20
 
-_FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+_SPAN = "array<struct<start:bigint,end:bigint>>"
+_U = np.uint64
 
 
 class WindowSet:
     """Windows of benchmark items: by hash for the scan, by words for the proof."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
-        self.n = n
-        self.names: list[str] = []
-        where: dict[str, int] = {}
-        self.windows: dict[bytes, set[int]] = {}
-        by_length: dict[int, list[int]] = {}
-        for name, text in items:
-            item = -1
-            if name is not None:
-                item = where.setdefault(name, len(where))
-            for w in W.words(pa.array([text], pa.string()), W.ALNUM, fold=True):
-                count = len(w.start)
-                size = min(n, count)
-                if not size:
+    def __init__(self, names: pa.Array, texts: pa.Array, n: int):
+        known = names.dictionary_encode()
+        self.n, self.names = n, known.dictionary.to_pylist()
+        item = np.asarray(known.indices.fill_null(-1)).astype(np.int32)
+        spelt, starts, ends = [], [], []
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        words_before, bytes_before = 0, 0
+        for w in W.words(texts, W.ALNUM, fold=True):
+            size = w.end - w.start
+            at = np.cumsum(size + 1) - size - 1  # words follow each other, one space between
+            spelt.append(np.full(int(size.sum()) + len(size), 0x20, dtype=np.uint8))
+            spelt[-1][np.repeat(at, size) + _within(size)] = w.data[np.repeat(w.start, size) + _within(size)]
+            starts.append(at + bytes_before)
+            ends.append(at + size + bytes_before)
+            count = np.diff(w.first)
+            for length in np.unique(np.minimum(count, n)).tolist():
+                if not length:
                     continue
-                hashes = W.ngrams(w.value, size)
-                by_length.setdefault(size, []).extend(hashes.tolist())
-                for k in range(count - size + 1):
-                    self.windows.setdefault(w.spell(k, k + size), set()).add(item)
-        self.names = list(where)
-        self.hashes = {size: np.unique(np.array(x, dtype=np.uint64)) for size, x in by_length.items()}
-        self.filter = {size: self._bits(x) for size, x in self.hashes.items()}
-
-    @staticmethod
-    def _bits(hashes: np.ndarray) -> np.ndarray:
-        bits = np.zeros(1 << 20, dtype=bool)
-        bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
-        return bits
+                docs = np.flatnonzero(count == length if length < n else count >= n)
+                many = count[docs] - length + 1
+                first = np.repeat(w.first[docs], many) + _within(many)
+                found.setdefault(length, []).append((W.ngrams(w.value, length)[first], first + words_before, np.repeat(item[w.doc + docs], many)))
+            words_before += len(size)
+            bytes_before += len(spelt[-1])
+        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        self.spelt, self.start, self.end = join(spelt, np.uint8), join(starts, np.int64), join(ends, np.int64)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.filter: dict[int, np.ndarray] = {}
+        for length, parts in found.items():
+            hashes, first, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            self.windows[length] = hashes[order], first[order].astype(np.int32), owner[order]
+            bits = np.zeros(_FILTER, dtype=bool)
+            bits[(hashes >> _U(44)).astype(np.int64)] = True
+            self.filter[length] = np.packbits(bits)
+
+    def size(self) -> int:
+        """Bytes of its arrays."""
+        return sum(x.nbytes for x in (self.spelt, self.start, self.end, *self.filter.values(), *(y for z in self.windows.values() for y in z)))
 
     def hits(self, w: W.Words) -> dict[int, tuple[np.ndarray, set[int]]]:
         """Of each document with hits: a flag for each word, and the items found."""
         out: dict[int, tuple[np.ndarray, set[int]]] = {}
-        for size, known in self.hashes.items():
+        for size, (known, first, owner) in self.windows.items():
             grams = W.ngrams(w.value, size)
-            near = np.flatnonzero(self.filter[size][(grams >> np.uint64(44)).astype(np.int64)])
-            if not len(near):
-                continue
-            at = np.minimum(np.searchsorted(known, grams[near]), len(known) - 1)
-            near = near[known[at] == grams[near]]
+            spot = (grams >> _U(44)).astype(np.int64)
+            near = np.flatnonzero(self.filter[size][spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1)
+            lo, hi = np.searchsorted(known, grams[near], "left"), np.searchsorted(known, grams[near], "right")
             docs = np.searchsorted(w.first, near, side="right") - 1
-            whole = near + size <= w.first[docs + 1]
-            for k, d in zip(near[whole].tolist(), docs[whole].tolist(), strict=True):
-                found = self.windows.get(w.spell(k, k + size))
-                if found is None:
+            real = (lo < hi) & (near + size <= w.first[docs + 1])
+            for k, d, a, b in zip(near[real].tolist(), docs[real].tolist(), lo[real].tolist(), hi[real].tolist(), strict=True):
+                text = w.spell(k, k + size)
+                # Windows with one hash are nearly always the same words, of several items.
+                items = {int(i) for f, i in zip(first[a:b].tolist(), owner[a:b].tolist(), strict=True) if self.spelt[self.start[f] : self.end[f + size - 1]].tobytes() == text}
+                if not items:
                     continue
                 if d not in out:
                     out[d] = (np.zeros(w.first[d + 1] - w.first[d], dtype=bool), set())
-                flags, items = out[d]
+                flags, seen = out[d]
                 flags[k - w.first[d] : k - w.first[d] + size] = True
-                items.update(found)
+                seen |= items
         return out
 
 
+def _within(size: np.ndarray) -> np.ndarray:
+    """0 .. size-1 for each size, one after the other."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
 def spans(flags: np.ndarray) -> list[dict[str, int]]:
     edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
     return [{"start": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """Items, in blocks of about block_bytes of text at most; each distinct row once."""
-    rows = items.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+def _blocks(items: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int) -> Iterator[WindowSet]:
+    """The items' windows, in blocks of about block_bytes of text; each distinct row once."""
+    rows = items.select(F.col(item_col).cast("string").alias("name"), F.col(text_col).cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
     count = max(1, -(-total // block_bytes))
-    if count > 1:
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(count)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("name", "text"), F.lit(count)))
     for b in range(count):
-        part = rows.where(F.col("block") == b).drop("block") if count > 1 else rows
-        yield [(r["name"], r["text"]) for r in part.distinct().collect()]
+        part = rows.where(F.col("block") == b).select("name", "text").toArrow()
+        yield WindowSet(part["name"].combine_chunks(), part["text"].combine_chunks(), n)
+
+
+def _found(docs: DataFrame, blocks: Iterator[WindowSet], scratch: Scratch) -> DataFrame:
+    """(key, items, spans) of the distinct texts (key, text) with hits, of all blocks together.
+
+    Each block is broadcast for one scan, whose hits are written; then it is
+    let go. Equal texts are told apart by nothing and become one row.
+    """
+    spark, parts = scratch.spark, []
+    kind = f"key string, items array<string>, spans {_SPAN}"
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        hits = docs.mapInArrow(_scanner(shared), kind).groupBy("key").agg(F.first("items").alias("items"), F.first("spans").alias("spans"))
+        parts.append(scratch.keep(hits, "hits"))
+        shared.destroy()
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    # As many rows of a key as there are blocks, at most.
+    lists = every.groupBy("key").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return lists.select("key", F.array_sort(F.array_distinct("items")).alias("items"), "spans").mapInArrow(_united, kind)
 
 
 def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -112,81 +155,76 @@ def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     A null or empty text has no words and no hits. An item with a null text is
     skipped; one with a null name marks words but isn't named. Repeated rows
     each get their row; equal item rows count once. Other columns are ignored.
+    Empty tables give an empty result or no hits.
     """
     spark = session_of(docs)
     ready(spark)
-    id_type = docs.schema[id_col].dataType
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", _FOUND)])
-    found = None
-    blocks = _blocks(items, item_col, item_text_col, block_bytes)
-    parts = [spark.sparkContext.broadcast(WindowSet(b, n)) for b in blocks]
-    if len(parts) == 1:
-        found = slim.mapInArrow(_scanner(parts[0], schema), schema)
-    else:
-        # The same text gives the same hits, so blocks meet by the text's digest.
-        keyed = slim.select(F.sha2(F.col("text"), 256).alias("id"), "text").where(F.col("id").isNotNull()).dropDuplicates(["id"])
-        hit = T.StructType([T.StructField("id", T.StringType()), *schema.fields[1:]])
-        each = [keyed.mapInArrow(_scanner(p, hit), hit).where("n_hit > 0") for p in parts]
-        together = each[0]
-        for e in each[1:]:
-            together = together.unionByName(e)
-        merged = together.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("all"))
-        words = slim.select("id", F.sha2(F.col("text"), 256).alias("key"), F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.regexp_count(lower_ascii(F.col("text")), F.lit(ALNUM_WORD))).cast("long").alias("n_words"))
-        united = F.aggregate(F.array_sort("all"), F.array().cast(_FOUND), _join_span)
-        merged = merged.select(F.col("id").alias("key"), "items", united.alias("spans"))
-        found = words.join(merged, "key", "left").select(
-            "id", "n_words",
-            F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.lit(0)).cast("long").alias("n_hit"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_FOUND)).alias("spans"),
-        )
-    return found.withColumnRenamed("id", id_col)
-
-
-def _join_span(done, s):
-    last = F.try_element_at(done, F.lit(-1))
-    longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-    fresh = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-    meets = (F.size(done) > 0) & (last["end"] >= s["start"])
-    return F.when(meets, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(fresh)))
-
-
-def _scanner(shared, schema: T.StructType):
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    names = schema.fieldNames()
+    scratch = Scratch(spark)
+    text = F.col(text_col).cast("string")
+    keyed = docs.select(F.sha2(text, 256).alias("key"), text.alias("text")).where("text IS NOT NULL")
+    found = materialize(_found(keyed, _blocks(items, item_col, item_text_col, n, block_bytes), scratch), "hits")
+    scratch.drop()
+    n_words = F.coalesce(F.regexp_count(lower_ascii(text), F.lit(ALNUM_WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("key"), n_words.alias("n_words"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.join(found, "key", "left").select(
+        F.col("id").alias(id_col), "n_words", F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"),
+    )
+
+
+_SPAN_LIST = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+
+def _scanner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.make_room()
         known = shared.value
         for batch in batches:
-            n = batch.num_rows
-            n_words, n_hit = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-            items: list = [[]] * n
-            where: list = [[]] * n
+            rows, items, where = [], [], []
             for w in W.words(batch.column(1), W.ALNUM, fold=True):
-                n_words[w.doc : w.doc + len(w)] = np.diff(w.first)
                 for d, (flags, found) in known.hits(w).items():
-                    row = w.doc + d
-                    n_hit[row] = int(flags.sum())
-                    items[row] = sorted(known.names[i] for i in found if i >= 0)
-                    where[row] = spans(flags)
-            columns = [batch.column(0), *(pa.array(x, kind) for x, kind in zip((n_words, n_hit, items, where), kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                    rows.append(w.doc + d)
+                    items.append([known.names[i] for i in found if i >= 0])
+                    where.append(spans(flags))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(where, _SPAN_LIST)], names=["key", "items", "spans"])
 
     return run
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans that touch or overlap become one."""
+    for batch in batches:
+        where = []
+        for every in batch.column(2).to_pylist():
+            done: list[dict[str, int]] = []
+            for s in sorted(every, key=lambda s: (s["start"], s["end"])):
+                if done and s["start"] <= done[-1]["end"]:
+                    done[-1]["end"] = max(done[-1]["end"], s["end"])
+                else:
+                    done.append(s)
+            where.append(done)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(where, _SPAN_LIST)], names=["key", "items", "spans"])
+
+
 def remove_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Documents without any hit; columns, whatever their names, are as before.
 
-    A document with a null or empty text stays. One pass per block of items.
+    A document with a null or empty text stays. One pass per block of items,
+    each over what the one before has written.
     """
     spark = session_of(docs)
     ready(spark)
+    scratch = Scratch(spark)
     at = docs.columns.index(text_col)
-    out = docs
-    for block in _blocks(items, item_col, item_text_col, block_bytes):
-        out = out.mapInArrow(_keeper(spark.sparkContext.broadcast(WindowSet(block, n)), at), docs.schema)
+    out, kept = docs, []
+    for k, block in enumerate(_blocks(items, item_col, item_text_col, n, block_bytes)):
+        if k:
+            out = scratch.keep(out, "clean")
+            for before in kept:
+                scratch.drop(before)
+            kept = [out]
+        out = out.mapInArrow(_keeper(spark.sparkContext.broadcast(block), at), docs.schema)
     return out
 
 
@@ -205,37 +243,46 @@ def _keeper(shared, at: int):
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Documents with hit words cut from their texts.
+    """Documents with hit words cut from their texts; columns as before.
 
     From the first byte of a hit span's first word to the last byte of its
-    last word goes; all else, case and spacing included, stays. Null stays null.
+    last word goes; all else, case and spacing included, stays. Null stays
+    null. Windows are judged on the input, not on what is left.
     """
     spark = session_of(docs)
     ready(spark)
+    scratch = Scratch(spark)
+    key = F.sha2(F.col(text_col).cast("string"), 256)
+    keyed = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    found = materialize(_found(keyed, _blocks(items, item_col, item_text_col, n, block_bytes), scratch), "hits")
+    scratch.drop()
     at = docs.columns.index(text_col)
-    out = docs
-    for block in _blocks(items, item_col, item_text_col, block_bytes):
-        out = out.mapInArrow(_cutter(spark.sparkContext.broadcast(WindowSet(block, n)), at), docs.schema)
-    return out
+    found = found.select(F.col("key").alias("__hit_key"), F.col("spans").alias("__hit_spans"))
+    joined = docs.join(found, key == F.col("__hit_key"), "left").drop("__hit_key")
+    return joined.mapInArrow(_cutter(at, len(docs.columns)), docs.schema)
 
 
-def _cutter(shared, at: int):
+def _cutter(at: int, columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.make_room()
-        known = shared.value
         for batch in batches:
+            hit = batch.column(columns)
+            batch = batch.select(list(range(columns)))
             cut: dict[int, str] = {}
-            offsets, data = W.string_buffers(batch.column(at))
-            for w in W.words(batch.column(at), W.ALNUM, fold=True):
-                base = offsets[w.doc]
-                for d, (flags, _) in known.hits(w).items():
-                    row, first = w.doc + d, w.first[d]
-                    pieces, last = [], offsets[row]
-                    for s in spans(flags):
-                        pieces.append(data[last : base + w.start[first + s["start"]]].tobytes())
-                        last = base + w.end[first + s["end"] - 1]
-                    pieces.append(data[last : offsets[row + 1]].tobytes())
-                    cut[row] = b"".join(pieces).decode()
+            if hit.null_count < len(hit):
+                offsets, data = W.string_buffers(batch.column(at))
+                for w in W.words(batch.column(at), W.ALNUM, fold=True, hashed=False):
+                    base = offsets[w.doc]
+                    for d in range(len(w)):
+                        row, first = w.doc + d, w.first[d]
+                        if not hit[row].is_valid:
+                            continue
+                        pieces, last = [], offsets[row]
+                        for s in hit[row].as_py():
+                            pieces.append(data[last : base + w.start[first + s["start"]]].tobytes())
+                            last = base + w.end[first + s["end"] - 1]
+                        pieces.append(data[last : offsets[row + 1]].tobytes())
+                        cut[row] = b"".join(pieces).decode()
             if cut:
                 texts = batch.column(at).to_pylist()
                 for row, text in cut.items():
@@ -244,7 +291,3 @@ def _cutter(shared, at: int):
             yield batch
 
     return run
-
-
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(names).encode()).hexdigest()
