@@ -278,6 +278,12 @@ def test_token_query_gives_an_unmodified_tokenizers_ids(spark, tmp_path):
     got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op7_token_files(spark, str(tmp_path)).collect()}
     want = [[*t.encode(x or "", add_special_tokens=False).ids, token_files.END_ID] for x in texts]
     assert 50256 in want[0]
+    rows = [*enumerate(texts), *((9, f"of one id {k}") for k in range(40)), *((None, f"of none {k}") for k in range(40))]
+    path = str(tmp_path / "tokens")
+    token_files.write(spark.createDataFrame(rows, "doc_id long, text string"), path, shares=6, added_tokens=True)
+    back = sorted(((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.digest(spark, path).collect()), key=lambda r: r[0])
+    assert [r[1] for r in back] == [None] * 40 + [i for i, _ in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]) if i is not None]
+    assert all(a[0] + a[2] == b[0] for a, b in zip(back, back[1:]))
     assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want, 1)}
 
 
@@ -325,28 +331,51 @@ def test_quality_on_held_out_rows(spark):
     assert quality_knn.score(docs.limit(3), quality_knn.train(docs, labels.limit(0))).where("score = 0.5").count() == 3
 
 
+def nearest_truth(rows, every=20, k=20):
+    """query row -> [(vec_id, score)] by brute force, of usable rows (id, vector) of one length."""
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    out = []
+    for at, (i, v) in enumerate(rows):
+        if i % every == 0:
+            s = x @ np.array(v)
+            order = [j for j in np.lexsort((ids, -s)) if j != at][:k]
+            out.append((i, [(int(ids[j]), float(s[j])) for j in order]))
+    return out
+
+
 def test_ann_recall_ties_and_rows_that_take_no_part(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(600, 16))
     x[100:130] = x[100]  # equal vectors, more than k of them
-    rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [1.0, None] * 8), (1080, [1.0]), (None, x[0].tolist()), (7, x[7].tolist())]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = defaultdict(list)
-    for r in ann.search(table, shard_rows=250).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["vec_id"], r["score"], r["rank"]))
-    assert sorted(got) == list(range(0, 600, 20))
-    hit = 0
-    for q, found in got.items():
-        s = x @ x[q]
-        order = [i for i in np.lexsort((np.arange(600), -s)) if i != q][:20]
-        assert [f[2] for f in found] == list(range(1, 21))
-        assert all(abs(s[i] - v) < 1e-9 for i, v, _ in found)
-        hit += len({i for i, _, _ in found} & set(order))
-    assert hit / (20 * len(got)) >= 0.95
-    assert [i for i, _, _ in got[100]] == [i for i in range(101, 121)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist()), (40, x[300].tolist())]  # repeated ids are rows
+    out = [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [1.0, None] * 8), (1080, [1.0]), (None, x[0].tolist())]
+    table = spark.createDataFrame([(*r, 5, 1.5) for r in rows + out], "vec_id long, embedding array<double>, rank int, score double")
+    found = ann.search(table, shard_rows=250).collect()
+    assert {r["query_id"] for r in found} == set(range(0, 600, 20))
+    want = nearest_truth(rows)
+    assert sorted((r["query_id"], r["rank"]) for r in found) == sorted((i, n + 1) for i, near in want for n in range(len(near)))
+    hit, scores = 0, defaultdict(set)
+    for i, near in want:
+        scores[i] |= {(v, round(s, 9)) for v, s in near}
+    hit = sum((r["vec_id"], round(r["score"], 9)) in scores[r["query_id"]] for r in found)
+    assert hit / len(found) >= 0.95
+    assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == 100] == list(range(101, 121))
     few = ann.search(spark.createDataFrame(rows[:3] + [(20, x[5].tolist())], "vec_id long, embedding array<double>"))
     assert sorted((r["query_id"], r["rank"]) for r in few.collect()) == [(0, 1), (0, 2), (0, 3), (20, 1), (20, 2), (20, 3)]
+    mixed = ann.search(spark.createDataFrame([(0, [1.0]), (20, [2.0]), (1, [1.0, 0.0]), (2, [1e300, 2.0]), (40, [1e300, 1.0])], "vec_id long, embedding array<double>"))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in mixed.collect()) == [(0, 1, 20), (20, 1, 0), (40, 1, 2), (40, 2, 1)]
+
+
+@pytest.mark.parametrize("shards", [1, 4, 16])
+def test_ann_recall_over_shards(spark, shards):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(4800, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(set)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=4800 // shards, every=40).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = nearest_truth(rows, every=40)
+    assert np.mean([len(got[i] & {v for v, _ in near}) / len(near) for i, near in want]) >= 0.9
 
 
 def license_truth(text):

@@ -1,25 +1,29 @@
 """Approximate nearest neighbours by inner product: NN-descent and greedy search.
 
-Distinct vectors are dealt out to shards of bounded size. Within all shards at
-once, NN-descent improves each vector's neighbour list through Spark joins:
-a list is joined with the lists of its members (and of those that list it), and
-the best of these neighbours of neighbours stay. Queries walk the graph of
-every shard greedily from their own place, or from a few entries, and the
-shards' finds are merged. Scores come from the original vectors in double
-precision.
+Distinct vectors are dealt out to shards by the nearest of a few centroids.
+Within all shards at once, NN-descent improves each vector's neighbour list
+through Spark joins: a list is joined with the lists of its members (and of
+those that list it), and the best of these neighbours of neighbours stay.
+Queries walk the graphs of the shards nearest to them greedily, from their own
+place or from a few entries, and the shards' finds are merged. Scores come from
+the original vectors in double precision.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import discard, ready, scratch_path, session_of
+from ._shared import Scratch, discard, materialize, ready, scratch_path, session_of
 
 #: Vectors of a shard, on average: bounds a task's memory.
 SHARD_ROWS = 16_384
+#: Shards' centroids that a query looks into; so the work grows with the input, not with its square.
+PROBES = 16
+#: Vectors from which centroids are learned, and centroids, at most: what the driver gets.
+SAMPLE_ROWS, CENTROIDS = 16_384, 1024
 #: Neighbours kept, and reverse neighbours joined with them.
 NEIGHBOURS, REVERSE = 20, 20
 ROUNDS = 8
@@ -36,15 +40,11 @@ SEED = 17
 def usable(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, vector of doubles) of the vectors that take part.
 
-    Those that are null, empty or zero, hold a null, NaN or infinite component,
-    have no id, or another length than most (of lengths as common, the
-    smallest) take no part. Of rows with the same id the smallest vector stays.
+    Those that are null, empty or zero, hold a null, NaN or infinite component
+    or have no id take no part. Repeated ids are rows of their own.
     """
     v = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).dropna()
-    v = v.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0))
-    v = v.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("length", F.size("vector"))
-    common = v.groupBy("length").count().orderBy(F.desc("count"), "length").limit(1).select("length")
-    return v.join(F.broadcast(common), "length").select("id", "vector")
+    return v.where(~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0))
 
 
 def _matrix(lists: pa.Array, kind=np.float64) -> np.ndarray:
@@ -61,7 +61,9 @@ def _lists(x) -> pa.Array:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x, dtype=np.float32)
+    """In single precision, all by one factor, which keeps every order of nearness and holds any double."""
+    top = np.abs(x).max(initial=0.0)
+    return np.ascontiguousarray(x / top if top > 0 else x, dtype=np.float32)
 
 
 def _start(table: pa.Table) -> pa.Table:
@@ -233,44 +235,126 @@ def _search(want: int):
     return run
 
 
-def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _direction(x: np.ndarray) -> np.ndarray:
+    x = x / np.maximum(np.abs(x).max(1, initial=0.0, keepdims=True), 1e-300)
+    return (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)).astype(np.float32)
+
+
+def _centroids(x: np.ndarray, count: int) -> np.ndarray:
+    """Directions around which the vectors lie: spherical k-means."""
+    x = _direction(x)
+    at = x[np.random.default_rng(SEED).permutation(len(x))[:count]]
+    for _ in range(12 if len(at) > 1 else 0):
+        own = (x @ at.T).argmax(1)
+        sums = np.zeros_like(at)
+        np.add.at(sums, own, x)
+        full = np.bincount(own, minlength=len(at)) > 0
+        at[full] = _direction(sums[full])
+    return at
+
+
+def fit_centroids(vectors: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
+    """Centroids of the vectors of each length, one for ``shard_rows`` vectors, CENTROIDS at most.
+
+    The driver gets SAMPLE_ROWS vectors at most, the first by a hash of their values.
+    """
+    counts = {r["size"]: r["n"] for r in vectors.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    if not total:
+        return {}
+    draw = F.pmod(F.xxhash64(F.lit(SEED), "vector"), F.lit(1 << 40))
+    sample = vectors.where(draw < int(min(1.0, 1.2 * SAMPLE_ROWS / total) * (1 << 40))).orderBy(draw, "vector").limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks()
+    sizes = np.diff(np.asarray(sample.offsets))
+    out = {}
+    for size, n in counts.items():
+        mine = _matrix(sample.filter(pa.array(sizes == size))).reshape(-1, size)
+        want = max(1, min(-(-n // shard_rows), CENTROIDS * n // total))
+        out[size] = _centroids(mine, want) if len(mine) else np.ones((1, size), np.float32)
+    return out
+
+
+def _nearest_cells(centroids, probes: int):
+    """Adds cells: of each vector the numbers of its nearest centroids, nearest first."""
+
+    def run(batches):
+        known: dict[int, np.ndarray] = centroids.value
+        first, before = {}, 0
+        for size, at in sorted(known.items()):
+            first[size], before = before, before + len(at)
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("vector"))
+            edge, flat = np.asarray(lists.offsets), np.asarray(lists.values)
+            cells: list = [None] * batch.num_rows
+            sizes = np.diff(edge)
+            for size in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == size)
+                x = _direction(flat[edge[rows][:, None] + np.arange(size)])
+                near = np.argsort(-(x @ known[size].T), axis=1, kind="stable")[:, :probes] + first[size]
+                for r, c in zip(rows.tolist(), near.tolist(), strict=True):
+                    cells[r] = c
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+
+    return run
+
+
+def _in_cells(df: DataFrame, centroids, probes: int) -> DataFrame:
+    """The rows, once for each of their nearest cells."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(_nearest_cells(centroids, probes), f"{kinds}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, probes: int = PROBES) -> DataFrame:
     """The k nearest found of each row whose id is divisible by ``every``, against all other rows.
 
     Returns query_id, rank (from 1), vec_id, score: the inner product of the
     original vectors in double precision, nearest first, ties to the smaller
     id. A query has all other rows if there are no more than k. Equal vectors
-    are one node of the graph; all their ids that can be among the first k are
-    found. What takes no part is told by ``usable``.
+    are one node of the graph; all their rows that can be among the first k are
+    found. Rows that share an id are rows of their own, as queries and as
+    candidates. Vectors of different lengths have no inner product, and are
+    searched each length for itself. What takes no part is told by ``usable``.
+    An empty table gives an empty result.
     """
     spark = session_of(table)
     ready(spark)
-    path = scratch_path(spark, "vectors")
-    usable(table, id_col, vector_col).write.parquet(path)
-    rows = spark.read.parquet(path)
-    # Equal vectors: of their ids the k + 1 smallest are all that any query can need.
-    rank = F.row_number().over(Window.partitionBy("vector").orderBy("id"))
-    members = rows.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.col("ids")[0])
-    count = rows.count()
-    shards = max(1, -(-count // shard_rows))
-    placed = members.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.lit(shards)).cast("int"))
+    scratch = Scratch(spark)
+    rows = scratch.keep(usable(table, id_col, vector_col).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    # Equal vectors: of their rows the k + 1 with the smallest ids are all that any query can need.
+    place = F.row_number().over(Window.partitionBy("vector").orderBy("id", "row"))
+    members = rows.withColumn("r", place).where(F.col("r") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("rows")).withColumn("rep", F.col("rows")[0]["row"])
+    members = scratch.keep(members, "members")
+    centroids = spark.sparkContext.broadcast(fit_centroids(members, shard_rows))
+    held = scratch.keep(_in_cells(members.select("rep", "vector"), centroids, 1), "cells")
+    # A cell that holds more than a shard's rows is several shards, dealt out by hash.
+    parts = held.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(1.5 * shard_rows))).cast("int").alias("parts"))
+    shard = F.struct("cell", F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.col("parts")).cast("int").alias("part"))
+    dealt = held.join(parts, "cell").select("rep", "vector", shard.alias("named"))
+    names = dealt.groupBy("named").agg(F.count("*").alias("held")).withColumn("shard", (F.row_number().over(Window.orderBy("named")) - 1).cast("int"))
+    names = scratch.keep(names, "shards")  # one row a shard
+    placed = dealt.join(names.select("named", "shard"), "named").select("rep", "vector", "shard")
     placed = placed.withColumn("place", (F.row_number().over(Window.partitionBy("shard").orderBy("rep")) - 1).cast("int"))
-    nodes_path = scratch_path(spark, "nodes")
-    placed.write.parquet(nodes_path)
-    nodes, again = spark.read.parquet(nodes_path), spark.read.parquet(nodes_path)
+    nodes = scratch.keep(placed, "nodes")
     graph = build(nodes.select("shard", "place", "vector"))
-    around = _around(graph).select("shard", "place", "ring").join(nodes.select("shard", "place", "rep", "vector"), ["shard", "place"])
+    around = _around(graph).select("shard", "place", "ring").join(nodes, ["shard", "place"])
     # Every query, by its vector's node; queries of equal vectors walk once.
-    asked = rows.where(F.col("id") % every == 0).join(again.select("vector", "rep"), "vector").select("id", "rep")
-    once = asked.select("rep").distinct().join(again.select("rep", "vector"), "rep")
-    blocks = max(1, -(-(count // every + 1) // query_block))
-    block = F.pmod(F.xxhash64(F.lit(SEED + 1), "rep"), F.lit(blocks)).cast("int")
-    queries = once.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    spread = around.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = spread.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(_search(k + 1), "query long, rep long, score double")
+    asked = rows.where(F.col("id") % every == 0).join(members.select("vector", "rep"), "vector").select("id", "row", "rep")
+    asked = scratch.keep(asked, "queries")
+    once = asked.select("rep").distinct().join(members.select("rep", "vector"), "rep")
+    queries = _in_cells(once, centroids, probes).join(names.select(F.col("named.cell").alias("cell"), "shard"), "cell").select("rep", "vector", "shard")
+    queries = scratch.keep(queries, "walks")
+    # A shard that many queries look into is searched by several tasks.
+    blocks = queries.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64(F.lit(SEED + 1), "rep"), F.col("blocks")).cast("int")
+    spread = around.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    walks = queries.join(blocks, "shard").withColumn("block", block).drop("blocks")
+    found = spread.groupBy("shard", "block").cogroup(walks.groupBy("shard", "block")).applyInArrow(_search(k + 1), "query long, rep long, score double")
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
-    named = best.join(spark.read.parquet(nodes_path).select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
-    full = asked.join(named, asked["rep"] == named["query"]).where("vec_id <> id")
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "vec_id")
-    return full.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(F.col("id").alias("query_id"), F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
+    named = best.join(members.select("rep", "rows"), "rep").select("query", F.explode(F.transform("rows", lambda m: F.struct((-F.col("score")).alias("far"), m["id"].alias("id"), m["row"].alias("row")))).alias("e"))
+    # k + 1 of k + 1 nodes with k + 1 rows each.
+    lists = named.groupBy("query").agg(F.slice(F.sort_array(F.collect_list("e")), 1, k + 1).alias("nearest"))
+    own = asked.join(lists, asked["rep"] == lists["query"])
+    ranked = own.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("nearest", lambda e: e["row"] != F.col("row")), 1, k)).alias("at", "e"))
+    answer = materialize(ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.id").alias("vec_id"), (-F.col("e.far")).alias("score")), "nearest")
+    scratch.drop()
+    centroids.destroy()
+    return answer

@@ -29,8 +29,9 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
-#: Bytes of stored text of a task's share when documents are dealt out by id.
-SHARE_BYTES = 10 << 20
+#: Bytes of stored text of a file, when documents are dealt out by id: several row groups. Where
+#: that makes fewer files than two for each of the cluster's cores, files are smaller, down to the least.
+SHARE_BYTES, LEAST_BYTES = 512 << 20, 1 << 20
 #: Documents that a worker gets at once.
 BATCH_ROWS = 2000
 #: Pieces of text whose ids a worker remembers.
@@ -234,7 +235,8 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     """Encode every whole text and write the files in ascending id order.
 
     Null and empty texts have the end id alone. A null id comes first. Rows
-    that share an id follow each other in order of their texts. Other columns
+    that share an id follow each other in order of their texts' hashes, then
+    texts. Other columns
     are ignored. ``tokenizer`` is a file every executor has. With
     ``added_tokens`` the name of an added token in a text gets that token's id,
     as by an unmodified tokenizer; without, it is ordinary text. An empty table
@@ -248,8 +250,10 @@ def write(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
         total = int(str(slim._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         if total >= 1 << 52:
             total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
-        shares = max(1, -(-total // SHARE_BYTES))
-    ordered = slim.repartitionByRange(int(shares), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+        shares = max(1, -(-total // SHARE_BYTES), min(-(-total // LEAST_BYTES), 2 * spark.sparkContext.defaultParallelism))
+    # The text's hash deals out rows that share an id, or have none.
+    order = [F.col("doc_id").asc_nulls_first(), F.col("turn")]
+    ordered = slim.withColumn("turn", F.xxhash64("text")).repartitionByRange(int(shares), *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     tokens = ordered.mapInArrow(_tokenize(tokenizer or tokenizer_path(), added_tokens), SCHEMA)
     with arrow_rows(spark, BATCH_ROWS):
         tokens.write.options(**{
