@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import ready
+from tidemark.session import cogroup, ready
 
 #: An extra event's cost, and what an octave error adds.
 EXTRA, OCTAVE = 0.8, 0.75
@@ -107,23 +107,17 @@ def edit_path(heard: np.ndarray, written: np.ndarray, band: int | None = None, e
     return float(best[m]), pairs[::-1]
 
 
-def _apart(written: DataFrame, keys: list[str], seq: str, value: str) -> DataFrame:
-    """Columns of their own, so that a sequence grouped with one from the same table isn't pruned of them."""
-    return written.select(*keys, F.col(seq).alias("_seq"), F.col(value).alias("_value"))
-
-
 def align(heard: DataFrame, written: DataFrame, keys: list[str], seq: str, value: str, band: int | None = None) -> DataFrame:
     """Matched places of two sequences of each key: (heard_seq, written_seq, cost), cost of the whole alignment."""
-    ready(heard.sparkSession)
     spec = T.StructType([*(heard.schema[k] for k in keys), T.StructField("heard_seq", T.LongType()), T.StructField("written_seq", T.LongType()), T.StructField("cost", T.DoubleType())])
 
     def fold(key, a, b):
-        a, b = a.sort_values(seq), b.sort_values("_seq")
-        cost, pairs = edit_path(a[value].to_numpy(float), b["_value"].to_numpy(float), band)
-        left, right = a[seq].to_numpy(), b["_seq"].to_numpy()
+        a, b = a.sort_values(seq), b.sort_values(seq)
+        cost, pairs = edit_path(a[value].to_numpy(float), b[value].to_numpy(float), band)
+        left, right = a[seq].to_numpy(), b[seq].to_numpy()
         return pd.DataFrame([(*key, int(left[i]), int(right[j]), round(cost, 3)) for i, j in pairs], columns=[*keys, "heard_seq", "written_seq", "cost"])
 
-    return heard.select(*keys, seq, value).groupBy(*keys).cogroup(_apart(written, keys, seq, value).groupBy(*keys)).applyInPandas(fold, spec)
+    return cogroup(heard.select(*keys, seq, value), written.select(*keys, seq, value), keys, fold, spec)
 
 
 def locate(heard: DataFrame, written: DataFrame, keys: list[str], seq: str, value: str, *, most: int = 64, limit: float = 0.70, margin: float = 0.16) -> DataFrame:
@@ -132,11 +126,10 @@ def locate(heard: DataFrame, written: DataFrame, keys: list[str], seq: str, valu
     Every start is tried, and the cost of each is kept, so that an excerpt that
     fits two places is refused: located is false, and start null.
     """
-    ready(heard.sparkSession)
     spec = T.StructType([*(heard.schema[k] for k in keys), T.StructField("start", T.LongType()), T.StructField("cost", T.DoubleType()), T.StructField("runner_up", T.DoubleType()), T.StructField("located", T.BooleanType())])
 
     def fold(key, a, b):
-        x, y = a.sort_values(seq)[value].to_numpy(float)[:most], b.sort_values("_seq")["_value"].to_numpy(float)
+        x, y = a.sort_values(seq)[value].to_numpy(float)[:most], b.sort_values(seq)[value].to_numpy(float)
         columns = [*keys, "start", "cost", "runner_up", "located"]
         if not len(x) or not len(y):
             return pd.DataFrame([(*key, None, None, None, False)], columns=columns)
@@ -147,7 +140,7 @@ def locate(heard: DataFrame, written: DataFrame, keys: list[str], seq: str, valu
         sure = costs[best] <= limit and second - costs[best] >= margin
         return pd.DataFrame([(*key, best if sure else None, round(float(costs[best]), 3), round(second, 3) if np.isfinite(second) else None, sure)], columns=columns).astype({"start": "Int64"})
 
-    return heard.select(*keys, seq, value).groupBy(*keys).cogroup(_apart(written, keys, seq, value).groupBy(*keys)).applyInPandas(fold, spec)
+    return cogroup(heard.select(*keys, seq, value), written.select(*keys, seq, value), keys, fold, spec)
 
 
 def dice_path(sim: np.ndarray, free_start: bool = True) -> list[tuple[int, int]]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import ready
+from tidemark.session import cogroup
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right_on: str, value: str, name: str, *, forward: bool = False, strict: bool = False) -> DataFrame:
@@ -97,7 +97,6 @@ def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str], tolerance
 
 def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """One-to-one pairs in order of the left times: each takes the nearest right time still free within the tolerance."""
-    ready(left.sparkSession)
     kinds = [left.schema[k] for k in keys]
     spec = T.StructType([*kinds, T.StructField("left_t", T.DoubleType()), T.StructField("right_t", T.DoubleType())])
 
@@ -114,14 +113,13 @@ def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], tolerance:
                 out.append((*key, t, best))
         return pd.DataFrame(out, columns=[*keys, "left_t", "right_t"])
 
-    return left.select(*keys, "t").groupBy(*keys).cogroup(right.select(*keys, "t").groupBy(*keys)).applyInPandas(fold, spec)
+    return cogroup(left.select(*keys, "t"), right.select(*keys, "t"), keys, fold, spec)
 
 
 def monotone_onsets(notes: DataFrame, onsets: DataFrame, keys: list[str], reach: float = 0.22, share: float = 0.35) -> DataFrame:
     """Strict matching of notes (id, ref, dur) to onsets (t): in order, each
     takes the free onset nearest to its reference, after the last one taken and
     within min(reach, share * dur); else it keeps its reference."""
-    ready(notes.sparkSession)
     kinds = [notes.schema[k] for k in keys]
     spec = T.StructType([*kinds, notes.schema["id"], T.StructField("onset", T.DoubleType()), T.StructField("matched", T.BooleanType())])
 
@@ -143,7 +141,7 @@ def monotone_onsets(notes: DataFrame, onsets: DataFrame, keys: list[str], reach:
                 out.append((*key, r.id, float(r.ref), False))
         return pd.DataFrame(out, columns=[*keys, "id", "onset", "matched"])
 
-    return notes.select(*keys, "id", "ref", "dur").groupBy(*keys).cogroup(onsets.select(*keys, "t").groupBy(*keys)).applyInPandas(fold, spec)
+    return cogroup(notes.select(*keys, "id", "ref", "dur"), onsets.select(*keys, "t"), keys, fold, spec)
 
 
 def displaced(notes: DataFrame, keys: list[str], index: str, beat: str, heard: str, written: str, places: int = 4, beats: float = 6.0, tolerance: float = 0.5) -> DataFrame:

@@ -15,18 +15,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.session import ready
+from tidemark.session import cogroup, ready
 
 
 def _cogroup(left: DataFrame, right: DataFrame, keys: list[str], columns: list[tuple[str, T.DataType]], rule: Callable[[pd.DataFrame, pd.DataFrame], list[tuple]]) -> DataFrame:
-    ready(left.sparkSession)
     spec = T.StructType([*(left.schema[k] for k in keys), *(T.StructField(n, t) for n, t in columns)])
     names = spec.fieldNames()
 
     def fold(key, a, b):
         return pd.DataFrame([(*key, *row) for row in rule(a, b)], columns=names)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(fold, spec)
+    return cogroup(left, right, keys, fold, spec)
 
 
 _PAIR = [("note", T.LongType()), ("heard", T.LongType())]

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import sys
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ROOT = str(Path(__file__).resolve().parents[1])
 
@@ -19,3 +22,21 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, have]) if have else _ROOT
     if _ROOT not in sys.path:
         sys.path.insert(0, _ROOT)
+
+
+def cogroup(left: DataFrame, right: DataFrame, keys: list[str], fold: Callable, schema: T.StructType | str) -> DataFrame:
+    """``fold(key, left rows, right rows)`` of each key on either side, as pandas frames.
+
+    The right side's columns get names of their own on the way: where both
+    sides come from one table, Spark would otherwise prune one side's columns
+    by the other's.
+    """
+    ready(left.sparkSession)
+    own = {c: f"_right_{c}" for c in right.columns}
+    back = {v: k for k, v in own.items()}
+
+    def run(key, a, b):
+        return fold(key, a, b.rename(columns=back))
+
+    other = right.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items()))
+    return left.groupBy(*keys).cogroup(other.groupBy(*(own[k] for k in keys))).applyInPandas(run, schema)
