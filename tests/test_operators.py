@@ -122,9 +122,35 @@ def test_null_is_not_zero(spark):
     df = spark.createDataFrame([(1, None, 1.0), (1, None, 1.0), (2, 30.0, 1.0), (2, None, 1.0)], "k int, d double, w double")
     got = {r["k"]: r["score"] for r in A.weighted_capped_score(df, ["k"], "d", "w").collect()}
     assert got == {1: None, 2: None}
-    result = spark.createDataFrame([(True, False, False, 0.0, 0.9, 0.9, 1.0, 0.0, 0.9, False, 90.0, 81.0), (None,) * 4 + (0.9, 0.9, None, 0.0, 0.9, False, None, None)], "alignment_verified boolean, builtin_detectors boolean, beat_rejected boolean, clipped_share double, pitch_coverage double, rhythm_coverage double, tempo_ratio double, doubtful_share double, agreement double, rescued boolean, pitch double, rhythm double")
-    got = sorted(((r["outcome"], r["overall"], r["reliability"]) for r in Q.verdict(result).collect()), key=str)
-    assert got == [("complete", 86.0, "high"), ("insufficient_evidence", None, "none")]
+    assert not Q.verdict(verdict_rows(spark, [{"notes": 20, "scored": 5}])).first()["overall"]
+
+
+VERDICT = "notes long, scored long, correct long, voiced long, timing_candidates long, timed long, outliers long, octaves long, excluded long, pitch double, rhythm double, reasons array<string>, unaligned boolean, degraded boolean, clipped boolean, unsure boolean, tempo_mismatch boolean, refused boolean, beyond_score boolean, rescued boolean, range_rescue boolean"
+
+
+def verdict_rows(spark, rows):
+    names = [c.split()[0] for c in VERDICT.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], VERDICT)
+
+
+def test_verdict_follows_from_the_evidence(spark):
+    good = {"notes": 100, "scored": 90, "correct": 80, "voiced": 95, "timing_candidates": 99, "timed": 95, "pitch": 90.0, "rhythm": 81.0}
+    cases = [
+        (good, "complete", 86.0, "full", []),
+        (good | {"rescued": True}, "complete_with_rescue", 86.0, "full", []),
+        (good | {"scored": 55, "correct": 50}, "partial", 86.0, "reference", ["low_coverage"]),
+        (good | {"scored": 40, "correct": 12}, "score_audio_mismatch", None, None, ["low_coverage", "score_audio_mismatch"]),
+        (good | {"correct": 20}, "complete", 86.0, "full", []),  # many wrong notes on a verified timeline
+        (good | {"outliers": 10, "octaves": 9}, "partial", None, None, ["pitch_tracking_unreliable"]),
+        (good | {"tempo_mismatch": True, "rhythm": 59.0}, "partial", None, None, ["tempo_mismatch", "tempo_timing_unreliable"]),
+        (good | {"pitch": None, "rhythm": None, "refused": True}, "score_unreliable", None, None, ["score_unreliable"]),
+        (good | {"pitch": None, "rhythm": None}, "insufficient_evidence", None, None, []),
+        (good | {"degraded": True, "reasons": ["beat:rejected"]}, "complete", 86.0, "full", ["beat_grid_rejected"]),
+        (good | {"degraded": True, "reasons": ["beat:rejected", "onset:builtin"]}, "complete", 86.0, "full", ["builtin_detectors", "beat_grid_rejected"]),
+    ]
+    for row, outcome, overall, reliability, issues in cases:
+        r = Q.verdict(verdict_rows(spark, [row])).first()
+        assert (r["outcome"], r["overall"], r["reliability"], r["issues"]) == (outcome, overall, reliability, issues), row
 
 
 def test_store_and_states(spark):

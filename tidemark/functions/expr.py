@@ -218,3 +218,18 @@ def video_id(url: Column) -> Column:
     """The id of a video address in its common forms, or null."""
     found = F.regexp_extract(url, r"(?:v=|youtu\.be/|/embed/|/shorts/|/live/)([A-Za-z0-9_-]{11})(?![A-Za-z0-9_-])", 1)
     return F.when(found != "", found)
+
+
+def scored_pitch(deviation: Column, midi: Column, pitch_status: Column, status: Column) -> Column:
+    """Whether a note's pitch counts: heard, in range (MIDI 36 to 96), no octave and no outlier, and not set aside by its status."""
+    size = F.abs(deviation)
+    plausible = deviation.isNotNull() & ~F.isnan(deviation) & (size <= 1200) & (F.abs(size - 1200) > 80)
+    in_range = midi.isNull() | (midi + deviation / 100.0).between(36, 96)
+    kept = F.when(pitch_status.isNotNull(), pitch_status.isin("correct", "sharp", "flat")).otherwise(F.coalesce(~status.isin("uncertain", "octave_uncertain", "outlier", "missed", "excluded"), F.lit(True)))
+    return F.coalesce(plausible & in_range & kept, F.lit(False))
+
+
+def common_divisions(lengths: Column) -> Column:
+    """Least number of divisions of a quarter that makes lengths (structs num, den) whole: the lcm of their denominators."""
+    gcd = lambda a, b: F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.struct(a.alias("a"), b.alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), (s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).alias("b"))), lambda s: s["a"])
+    return F.aggregate(F.transform(lengths, lambda x: x["den"].cast("long")), F.lit(1).cast("long"), lambda m, d: (m / gcd(m, d)).cast("long") * d)

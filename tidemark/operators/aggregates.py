@@ -38,23 +38,50 @@ def weighted_capped_score(df: DataFrame, keys: list[str], deviation: str, weight
     return out.select(*keys, "scored", "total", gated(F.when(F.col("weight") > 0, score), F.col("scored"), F.col("total"), least).alias("score"))
 
 
-def detrended_spread(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3, trend_from: int = 6) -> DataFrame:
-    """Median offset and median absolute deviation of y around its line over x.
+def detrended_spread(df: DataFrame, keys: list[str], x: str, y: str, least: int = 3, trend_from: int = 6, covered: float = COVERAGE) -> DataFrame:
+    """Median offset, and median absolute deviation of y around its line over x.
 
-    The line is drawn from ``trend_from`` rows on; below that the offset is the
-    median alone. Groups under ``least`` rows have none. Two aggregations on
-    the same keys, so one exchange of rows serves both.
+    The offset is the median of y itself; the line counts for the spread alone,
+    from ``trend_from`` rows on. Groups under ``least`` values, or with values
+    for less than ``covered`` of their rows, have none. All steps are on the
+    same keys, so one exchange of rows serves them.
     """
-    fit = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({
-        "n": F.count("*").over(Window.partitionBy(*keys)), "slope": F.regr_slope(y, x).over(Window.partitionBy(*keys)), "mean_x": F.avg(x).over(Window.partitionBy(*keys)),
+    w = Window.partitionBy(*keys)
+    fit = df.withColumn("rows", F.count("*").over(w)).where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({
+        "n": F.count("*").over(w), "slope": F.regr_slope(y, x).over(w), "mean_x": F.avg(x).over(w),
     })
     flat = fit.withColumn("level", F.when(F.col("n") >= trend_from, F.col(y) - F.coalesce("slope", F.lit(0.0)) * (F.col(x) - F.col("mean_x"))).otherwise(F.col(y)))
-    centred = flat.withColumn("centre", F.median("level").over(Window.partitionBy(*keys)))
-    out = centred.groupBy(*keys).agg(F.count("*").alias("n"), F.first("centre").alias("offset"), F.median(F.abs(F.col("level") - F.col("centre"))).alias("spread"))
-    enough = F.col("n") >= least
+    centred = flat.withColumn("centre", F.median("level").over(w))
+    out = centred.groupBy(*keys).agg(F.count("*").alias("n"), F.max("rows").alias("rows"), F.median(y).alias("offset"), F.median(F.abs(F.col("level") - F.col("centre"))).alias("spread"))
+    enough = (F.col("n") >= least) & (F.col("n") / F.col("rows") >= covered)
     return out.select(*keys, "n", F.when(enough, F.col("offset")).alias("offset"), F.when(enough, F.col("spread")).alias("spread"))
 
 
+def timing_accuracy(error_ms: Column, cap: float = 250.0) -> Column:
+    """100 less .4 of the mean size of the errors, each capped: an aggregate."""
+    return X.half_even(F.greatest(F.lit(0.0), 100.0 - F.avg(F.least(F.abs(error_ms), F.lit(cap))) * 0.4))
+
+
+def struck_timing(df: DataFrame, keys: list[str], error_ms: str, least: int = 3) -> DataFrame:
+    """Offset, spread, stability, accuracy and score of the timing of struck notes, by medians."""
+    w = Window.partitionBy(*keys)
+    e = df.where(F.col(error_ms).isNotNull()).withColumn("offset", X.half_even(F.median(error_ms).over(w)))
+    out = e.groupBy(*keys).agg(F.count("*").alias("n"), F.first("offset").alias("offset"), X.half_even(F.median(F.abs(F.col(error_ms) - F.col("offset")))).alias("spread"), F.median(F.abs(error_ms)).alias("size"))
+    floor = lambda lost: F.when(F.col("n") >= least, X.half_even(F.greatest(F.lit(0.0), 100.0 - lost)))
+    c = F.col
+    return out.select(*keys, "n", F.when(c("n") >= least, c("offset")).alias("offset"), F.when(c("n") >= least, c("spread")).alias("spread"), floor(c("spread") * 0.55).alias("stability"), floor(c("size") * 0.4).alias("accuracy"), floor(c("spread") * 0.45 + F.abs("offset") * 0.3).alias("score"))
+
+
+def chord_spreads(notes: DataFrame, keys: list[str], chord: str, heard: str, staff: str, uneven_ms: float = 50.0, least: int = 3) -> DataFrame:
+    """How evenly chords of two notes and more sound: chords, their median spread,
+    how many are uneven, and by how much the first staff is later than the second
+    (median over ``least`` chords that both play). Times are seconds."""
+    c = F.col
+    per = notes.groupBy(*keys, chord).agg(F.count("*").alias("n"), ((F.max(heard) - F.min(heard)) * 1000).alias("spread"), ((F.median(F.when(c(staff) == 1, c(heard))) - F.median(F.when(c(staff) == 2, c(heard)))) * 1000).alias("hands"))
+    out = per.where("n >= 2").groupBy(*keys).agg(F.count("*").alias("chords"), X.half_even(F.median("spread")).alias("spread"), F.count_if(c("spread") > uneven_ms).alias("uneven"), F.count("hands").alias("both"), X.half_even(F.median("hands")).alias("hand_offset"))
+    return out.select(*keys, "chords", "spread", "uneven", F.when(c("both") >= least, c("hand_offset")).alias("hand_offset"))
+
+
 def trim_outliers(df: DataFrame, keys: list[str], value: str, tie: str, *, least: int, steady: float, beyond: float, share: float = 0.1, at_least: int = 2) -> DataFrame:
     """Rows with ``dropped``: in groups of ``least`` rows whose median size is
     steady, the values farthest from the median, beyond a limit, up to a share."""

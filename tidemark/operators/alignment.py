@@ -224,3 +224,29 @@ def reject_outliers(points: DataFrame, keys: list[str], x: str, y: str, *, aroun
         return pdf
 
     return points.select(*keys, x, y).groupBy(*keys).applyInPandas(fold, spec)
+
+
+def grid_disagrees(points: DataFrame, keys: list[str], x: str, y: str, start: Column, slope: Column, most: float = 0.5) -> DataFrame:
+    """(points, deviation, disagrees): whether aligned points lie farther than ``most`` from a grid's line.
+
+    Fewer than two points, or points that don't rise in both, say nothing: null.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(x)
+    p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_far": F.abs(start + F.col(x) * slope - F.col(y)), "_rises": F.coalesce((F.col(x) > F.lag(x).over(w)) & (F.col(y) > F.lag(y).over(w)), F.lag(x).over(w).isNull())})
+    out = p.groupBy(*keys).agg(F.count("*").alias("points"), F.max("_far").alias("deviation"), F.bool_and("_rises").alias("_ok"))
+    good = (F.col("points") >= 2) & F.col("_ok")
+    return out.select(*keys, "points", F.when(good, F.col("deviation")).alias("deviation"), F.when(good, F.col("deviation") > most).alias("disagrees"))
+
+
+def segment_tempo(anchors: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """(segments, tempo): median seconds a beat of the segments between anchors, without those of more than twice the upper median."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*keys).orderBy(x)
+    s = anchors.withColumns({"_dx": F.lead(x).over(w) - F.col(x), "_dy": F.lead(y).over(w) - F.col(y)}).where("_dx > 0 AND _dy > 0")
+    rates = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.col("_dy") / F.col("_dx"))).alias("r"))
+    kept = F.filter("r", lambda r: r <= 2 * F.get(F.col("r"), F.floor(F.size("r") / 2).cast("int")))
+    middle = F.element_at(F.transform(F.array(kept), lambda k: (F.get(k, F.floor((F.size(k) - 1) / 2).cast("int")) + F.get(k, F.floor(F.size(k) / 2).cast("int"))) / 2), 1)
+    return rates.where(F.size("r") >= 2).select(*keys, F.size("r").cast("long").alias("segments"), middle.alias("tempo"))

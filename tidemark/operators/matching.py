@@ -81,11 +81,39 @@ def best_overlap(left: DataFrame, right: DataFrame, keys: list[str], width: floa
     return best.select(*keys, "left_id", (-F.col("m.id")).alias("right_id"), F.col("m.overlap").alias("overlap"))
 
 
-def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, label: str) -> DataFrame:
-    """Adds the label of the interval [start, stop) a point is in; of several the last to start. Intervals of a key don't nest."""
+def overlap_or_nearest(left: DataFrame, right: DataFrame, keys: list[str], width: float) -> DataFrame:
+    """``best_overlap`` for every left interval: one without any overlap has the right interval
+    whose start is nearest (ties: the earlier; of equal starts the smallest id), with overlap 0."""
+    found = best_overlap(left, right, keys, width)
+    alone = left.join(found.select(*keys, F.col("left_id").alias("id")), [*keys, "id"], "left_anti")
+    starts = right.groupBy(*keys, F.col("start").alias("_s")).agg(F.min("id").alias("right_id"))
+    near = nearest(alone.select(*keys, "id", "start"), starts.select(*keys, "_s"), keys, "start", "_s", "_s").join(starts, [*keys, "_s"])
+    return found.unionByName(near.select(*keys, F.col("id").alias("left_id"), "right_id", F.lit(0).cast(found.schema["overlap"].dataType).alias("overlap")))
+
+
+def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, label: str, *, nearest_middle: bool = False) -> DataFrame:
+    """Adds the label of the interval [start, stop) a point is in; of several the last to start. Intervals of a key don't nest.
+
+    With ``nearest_middle`` a point in none has the label of the interval whose middle is nearest (ties: the earlier).
+    """
     held = intervals.select(*keys, "start", F.struct("stop", F.col(label).alias("label")).alias("_i"))
     found = asof(points, held, keys, at, "start", "_i", "_i")
-    return found.withColumn(label, F.when(F.col(at) < F.col("_i.stop"), F.col("_i.label"))).drop("_i")
+    inside = F.when(F.col(at) < F.col("_i.stop"), F.col("_i.label"))
+    if not nearest_middle:
+        return found.withColumn(label, inside).drop("_i")
+    middles = intervals.groupBy(*keys, ((F.col("start") + F.col("stop")) / 2).alias("_m")).agg(F.min(label).alias("_label"))
+    back = asof(found, middles.select(*keys, "_m", F.struct("_m", "_label").alias("_b")), keys, at, "_m", "_b", "_b")
+    both = asof(back, middles.select(*keys, "_m", F.struct("_m", "_label").alias("_f")), keys, at, "_m", "_f", "_f", forward=True)
+    earlier = F.col("_f").isNull() | (F.col(at) - F.col("_b._m") <= F.col("_f._m") - F.col(at))
+    return both.withColumn(label, F.coalesce(inside, F.when(earlier, F.col("_b._label")).otherwise(F.col("_f._label")), F.col("_f._label"))).drop("_i", "_b", "_f")
+
+
+def fused(frames: DataFrame, notes: DataFrame, keys: list[str], at: str, own: str, trust: str, *, sure: float = 0.7, borrowed: float = 0.9) -> DataFrame:
+    """Adds ``pitch`` and ``confidence`` of frames: their own reading where it is sure, else that of the
+    note (start, stop, note) around them, else nothing. Notes of a key don't overlap."""
+    held = containing(frames, notes, keys, at, "note")
+    keep = F.col(own).isNotNull() & (F.col(trust) >= sure)
+    return held.withColumns({"pitch": F.when(keep, F.col(own)).otherwise(F.col("note")), "confidence": F.when(keep, F.col(trust)).when(F.col("note").isNotNull(), borrowed).otherwise(0.0)}).drop("note")
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -165,11 +193,20 @@ def apart_from(rows: DataFrame, others: DataFrame, keys: list[str], at: str, oth
 
 
 def masked_by_lower(notes: DataFrame, keys: list[str], onset: str, pitch: str, within: float = 0.08) -> DataFrame:
-    """Adds ``masked``: a note 12, 19 or 24 lower starts within the time; found by equality on pitch and bucket."""
-    low = notes.select(*keys, F.explode(F.array(*(F.col(pitch) + d for d in (12, 19, 24)))).alias("_p"), F.col(onset).alias("_o"))
-    low = low.withColumn("_b", F.explode(F.array(*(F.floor(F.col("_o") / within) + d for d in (-1, 0, 1)))))
-    hit = notes.withColumn("_b", F.floor(F.col(onset) / within)).alias("n").join(low.alias("l"), [*(F.col(f"n.{k}") == F.col(f"l.{k}") for k in keys), F.col(f"n.{pitch}") == F.col("l._p"), F.col("n._b") == F.col("l._b"), F.abs(F.col(f"n.{onset}") - F.col("l._o")) <= within], "left_semi").drop("_b")
-    return hit.withColumn("masked", F.lit(True)).unionByName(notes.exceptAll(hit).withColumn("masked", F.lit(False)))
+    """Adds ``masked``: a note 12, 19 or 24 lower starts within the time.
+
+    Each note is also dealt out as what it may mask, to the pitches above it; a
+    window over one pitch then finds the nearest of these on either side: one
+    exchange, no join.
+    """
+    own = notes.select("*", F.col(pitch).alias("_p"), F.col(onset).alias("_o"), F.lit(True).alias("_note"))
+    over = notes.select(*keys, F.explode(F.array(*(F.col(pitch) + d for d in (12, 19, 24)))).alias("_p"), F.col(onset).alias("_o"), F.lit(False).alias("_note"))
+    w = Window.partitionBy(*keys, "_p").orderBy("_o", "_note")
+    cause = F.when(~F.col("_note"), F.col("_o"))
+    before = F.last(cause, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first(cause, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = F.coalesce(F.col("_o") - before <= within, F.lit(False)) | F.coalesce(after - F.col("_o") <= within, F.lit(False))
+    return own.unionByName(over, allowMissingColumns=True).withColumn("masked", near).where("_note").drop("_p", "_o", "_note")
 
 
 def merge_plan(local: DataFrame, cloud: DataFrame, id_col: str, updated: str, most: int) -> DataFrame:
@@ -181,3 +218,33 @@ def grid_distance(t: Column, offset: Column | float, step: float) -> Column:
     """Distance to the nearest line of a regular grid."""
     phase = F.pmod(t - offset, F.lit(step))
     return F.least(phase, F.lit(step) - phase)
+
+
+def two_stage_offset(grid: DataFrame, heard: DataFrame, keys: list[str], interval: float) -> DataFrame:
+    """(offset, mean_ms, within_50ms): the shift of a grid of times that lies nearest to what was heard.
+
+    Sixteenths of the interval up to half of it are tried first, then steps of
+    1/64 from the best so far. A take's two lists are one group.
+    """
+    spec = T.StructType([*(grid.schema[k] for k in keys), *(T.StructField(n, T.DoubleType()) for n in ("offset", "mean_ms", "within_50ms"))])
+
+    def fold(key, a, b):
+        import numpy as np
+        import pandas as pd
+
+        beats, times = np.sort(a["t"].to_numpy(float)), b["t"].to_numpy(float)
+        if len(beats) < 4 or not len(times):
+            return pd.DataFrame([], columns=spec.fieldNames())
+
+        def away(shift):
+            place = np.searchsorted(beats, times - shift)
+            return np.minimum(np.abs(times - shift - beats[np.maximum(place - 1, 0)]), np.abs(times - shift - beats[np.minimum(place, len(beats) - 1)]))
+
+        mean, best = min((away(k * interval / 16).mean(), k * interval / 16) for k in range(-8, 9))
+        for k in range(-16, 17):
+            shift = best + k * interval / 64
+            if (error := away(shift).mean()) < mean:
+                mean, best = error, shift
+        return pd.DataFrame([(*key, round(best, 4), round(mean * 1000, 1), round(float((away(best) <= 0.05).mean()), 3))], columns=spec.fieldNames())
+
+    return cogroup(grid.select(*keys, "t"), heard.select(*keys, "t"), keys, fold, spec)

@@ -160,11 +160,17 @@ def spaced_best(candidates: DataFrame, keys: list[str], place: str, cost: str, a
 
 
 def offset_search(pairs: DataFrame, keys: list[str], error: str, reach: float = 0.5, step: float = 0.02, gain: float = 0.015) -> DataFrame:
-    """(offset, residual): the common shift of errors with the least median; none unless it gains enough."""
+    """(offset, residual): the common shift of errors with the least median; none unless it gains enough.
+
+    A take's errors are gathered once, and every shift is tried on that list.
+    """
     n = round(reach / step)
-    tried = pairs.where(F.col(error).isNotNull()).select(*keys, error, F.explode(F.sequence(F.lit(-n), F.lit(n))).alias("k")).withColumn("offset", F.round(F.col("k") * step, 6))
-    fit = tried.groupBy(*keys, "offset").agg(F.median(F.abs(F.col(error) - F.col("offset"))).alias("residual"))
-    best = fit.groupBy(*keys).agg(F.min(F.struct("residual", F.abs("offset").alias("size"), "offset")).alias("b"), F.max(F.when(F.col("offset") == 0, F.col("residual"))).alias("flat"))
+    held = pairs.where(F.col(error).isNotNull()).groupBy(*keys).agg(F.collect_list(F.col(error).cast("double")).alias("_e"))
+    middle = lambda x: (F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")) + F.get(x, F.floor(F.size(x) / 2).cast("int"))) / 2
+    left = lambda shift: F.element_at(F.transform(F.array(F.array_sort(F.transform("_e", lambda e: F.abs(e - shift)))), middle), 1)
+    tried = F.transform(F.sequence(F.lit(-n), F.lit(n)), lambda k: F.round(k * step, 6))
+    fits = F.transform(tried, lambda o: F.struct(left(o).alias("residual"), F.abs(o).alias("size"), o.alias("offset")))
+    best = held.select(*keys, F.array_min(fits).alias("b"), left(F.lit(0.0)).alias("flat"))
     moved = F.col("flat") - F.col("b.residual") >= gain
     return best.select(*keys, F.when(moved, F.col("b.offset")).otherwise(0.0).alias("offset"), F.when(moved, F.col("b.residual")).otherwise(F.col("flat")).alias("residual"))
 

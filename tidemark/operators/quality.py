@@ -46,33 +46,55 @@ def sequence_verdict(s: DataFrame) -> DataFrame:
     return s.select("user_id", outcome.alias("outcome"), F.array_join(issues, ",").alias("issues"))
 
 
-def verdict(results: DataFrame) -> DataFrame:
-    """Verdict of result rows: adds issues, outcome, overall and reliability.
+#: Limits of the verdict.
+HALF, COVERED, ASTRAY, MISMATCH, LEAST_SCORED, RHYTHM_FLOOR, HEARD_FLOOR, PITCH_FLOOR = 0.5, 0.6, 0.2, 0.4, 12, 60, 0.6, 0.5
+
 
-    Reads alignment_verified, builtin_detectors, beat_rejected, clipped_share,
-    pitch_coverage, rhythm_coverage, tempo_ratio, doubtful_share,
-    agreement, rescued (booleans and doubles, null where unknown), pitch and
-    rhythm (scores or null). The overall score is the half-up mean of the
-    scores that there are; with none it is null, never zero.
+def verdict(results: DataFrame) -> DataFrame:
+    """Verdict of result rows: adds issues, outcome, overall, reliability, match_rate, pitch_coverage, timing_coverage, unheard.
+
+    Reads the counts notes, scored, correct (null if unknown), voiced,
+    timing_candidates, timed, outliers, octaves, excluded; the scores pitch
+    and rhythm (null without one); reasons (array of replaced sensors) and the
+    booleans unaligned, degraded, clipped, unsure, tempo_mismatch, refused,
+    beyond_score, rescued, range_rescue. A null boolean or count is none.
+
+    A mismatch of score and take needs an unverified timeline: many wrong notes
+    on a verified one are a poor performance, and stay scored. The overall
+    score needs both scores on a verified, covered timeline; it is never made
+    up from one.
     """
+    flag = lambda n: F.coalesce(F.col(n), F.lit(False))
+    count = lambda n: F.coalesce(F.col(n), F.lit(0))
+    share = lambda part, whole: F.when(whole > 0, F.least(F.lit(1.0), part / whole)).otherwise(0.0)
+    r = results.withColumns({
+        "_pitch_coverage": share(count("scored"), count("notes")), "_timing_coverage": share(count("timed"), count("timing_candidates")), "_heard": share(count("voiced"), count("notes")),
+        "_rejected": F.coalesce(F.array_contains("reasons", "beat:rejected"), F.lit(False)), "_only": F.coalesce(F.forall("reasons", lambda x: x == "beat:rejected"), F.lit(False)),
+        "match_rate": F.when(F.col("correct").isNotNull() & (count("scored") >= LEAST_SCORED), F.round(F.col("correct") / F.col("scored"), 3)),
+    })
+    thin = flag("unsure") | (F.col("_pitch_coverage") < COVERED)
+    slack = flag("tempo_mismatch") & F.coalesce(F.col("rhythm") < RHYTHM_FLOOR, F.lit(False))
+    astray = (count("voiced") > 0) & ((count("outliers") + count("octaves") + count("excluded")) / F.greatest(count("voiced"), F.lit(1)) >= ASTRAY)
+    unverified = flag("unaligned") | F.col("pitch").isNull() | thin
+    r = r.withColumns({"_thin": thin, "_slack": slack, "_astray": astray, "_mismatch": F.coalesce(F.col("match_rate") < MISMATCH, F.lit(False)) & unverified & ~flag("rescued")})
     c = F.col
-    mismatch = (c("agreement") < 0.35) & (c("pitch_coverage") >= 0.3)
     issues = {
-        "alignment_unverified": ~c("alignment_verified"), "builtin_detectors": c("builtin_detectors"), "beat_grid_rejected": c("beat_rejected"), "clipped_audio": c("clipped_share") > 0.001,
-        "low_coverage": F.least(c("pitch_coverage"), c("rhythm_coverage")) < 0.6, "tempo_mismatch": ~c("tempo_ratio").between(0.8, 1.25), "tempo_timing_unreliable": c("tempo_ratio").isNull(),
-        "score_unreliable": c("doubtful_share") > 0.3, "pitch_tracking_unreliable": c("pitch_coverage") < 0.3, "score_audio_mismatch": mismatch,
+        "alignment_unverified": flag("unaligned"), "builtin_detectors": flag("degraded") & ~(c("_rejected") & c("_only")), "beat_grid_rejected": c("_rejected"), "clipped_audio": flag("clipped"),
+        "low_coverage": c("_thin"), "tempo_mismatch": flag("tempo_mismatch"), "tempo_timing_unreliable": c("_slack"), "score_unreliable": flag("refused"), "take_beyond_score": flag("beyond_score"),
+        "pitch_tracking_unreliable": c("_astray"), "score_audio_mismatch": c("_mismatch"),
     }
-    none = c("pitch").isNull() & c("rhythm").isNull()
+    scores = c("pitch").isNotNull().cast("int") + c("rhythm").isNotNull().cast("int")
+    weak = flag("unaligned") | c("_thin") | c("_astray") | c("_slack") | flag("range_rescue")
     outcome = (
-        F.when(F.coalesce(c("doubtful_share") > 0.3, F.lit(False)), "score_unreliable").when(F.coalesce(mismatch, F.lit(False)), "score_audio_mismatch").when(none, "insufficient_evidence")
-        .when(c("pitch").isNull() | c("rhythm").isNull(), "partial").when(F.coalesce("rescued", F.lit(False)), "complete_with_rescue").otherwise("complete")
+        F.when((scores == 0) & flag("refused"), "score_unreliable").when(scores == 0, "insufficient_evidence").when(c("_mismatch"), "score_audio_mismatch")
+        .when((scores < 2) | weak, "partial").when(flag("rescued"), "complete_with_rescue").otherwise("complete")
     )
-    scores = F.array_compact(F.array("pitch", "rhythm"))
-    mean = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x) / F.size(scores)
-    overall = F.when(outcome.isin("complete", "complete_with_rescue", "partial"), F.floor(mean + 0.5).cast("double"))
-    held = results.withColumn("issues", named(issues)).withColumn("outcome", outcome).withColumn("overall", overall)
-    n = F.size("issues")
-    return held.withColumn("reliability", F.when(c("overall").isNull(), "none").when(n == 0, "high").when(n <= 2, "medium").otherwise("low"))
+    borderline = (c("_heard") >= HEARD_FLOOR) & (c("_pitch_coverage") >= PITCH_FLOOR) & ~c("_mismatch")
+    whole = (scores == 2) & ~flag("unaligned") & (~c("_thin") | borderline) & ~c("_astray") & ~c("_slack")
+    return r.withColumns({
+        "issues": named(issues), "outcome": outcome, "overall": F.when(whole, F.floor(c("pitch") * HALF + c("rhythm") * HALF + 0.5).cast("double")), "reliability": F.when(whole, F.when(c("_thin"), "reference").otherwise("full")),
+        "pitch_coverage": F.round("_pitch_coverage", 3), "timing_coverage": F.round("_timing_coverage", 3), "unheard": F.round(1 - c("_heard"), 3),
+    }).drop("_pitch_coverage", "_timing_coverage", "_heard", "_rejected", "_only", "_thin", "_slack", "_astray", "_mismatch")
 
 
 def fullness(notes: DataFrame, keys: list[str], duration: str, nominal: str, edge: Column) -> DataFrame:
@@ -98,10 +120,52 @@ def open_beams(notes: DataFrame, keys: list[str], beam: str) -> DataFrame:
 
 
 def echoes(notes: DataFrame, keys: list[str], key: str, voice: str, onset: str, within: float = 1.0) -> DataFrame:
-    """Measures in which one key sounds in two voices within a beat: a lag over the key's notes, no join."""
-    w = Window.partitionBy(*keys, key).orderBy(onset, voice)
-    near = notes.withColumns({"_v": F.lag(voice).over(w), "_t": F.lag(onset).over(w)})
-    return near.where((F.col("_v") != F.col(voice)) & (F.col(onset) - F.col("_t") < within)).select(*keys).distinct()
+    """Measures in which one key sounds in two voices within a beat: of the notes of a key in that reach, the voices differ."""
+    at = F.round(F.col(onset) * 1000).cast("long")
+    near = Window.partitionBy(*keys, key).orderBy(at).rangeBetween(-(round(within * 1000) - 1), 0)
+    held = notes.withColumns({"_lo": F.min(voice).over(near), "_hi": F.max(voice).over(near)})
+    return held.where(F.col("_lo") != F.col("_hi")).select(*keys).distinct()
+
+
+def odd_measures(measures: DataFrame, keys: list[str], seq: str, held: str, nominal: str, implicit: Column) -> DataFrame:
+    """Measures whose content isn't as long as their time signature says; a pickup or a short last one may be, and so may one marked as implicit."""
+    w = Window.partitionBy(*keys)
+    m = measures.withColumns({"_lo": F.min(seq).over(w), "_hi": F.max(seq).over(w)})
+    edge = F.col(seq).isin(F.col("_lo"), F.col("_hi")) & (F.col(held) < F.col(nominal))
+    odd = (F.col(nominal) > 0) & (F.col(held) > 0) & (F.abs(F.col(held) - F.col(nominal)) > 1e-3) & ~edge & ~implicit
+    return m.where(odd).select(*keys, seq, F.round(held, 3).alias("held"), F.round(nominal, 3).alias("expected"))
+
+
+def short_voices(events: DataFrame, measure: list[str], voice: list[str], at: str, length: str, rest: str, nominal: Column) -> DataFrame:
+    """Voices that end before an otherwise full measure does, are no rests alone, and are one unbroken run of events."""
+    whole = Window.partitionBy(*measure)
+    w = Window.partitionBy(*measure, *voice).orderBy(at)
+    e = events.withColumns({"_end": F.col(at) + F.col(length), "_nominal": nominal})
+    e = e.withColumns({"_top": F.max("_end").over(whole), "_joined": F.coalesce(F.col(at) == F.lag("_end").over(w), F.lit(True))})
+    held = e.groupBy(*measure, *voice).agg(F.max("_end").alias("stop"), F.max("_top").alias("top"), F.max("_nominal").alias("nominal"), F.bool_and("_joined").alias("joined"), F.bool_and(rest).alias("silent"))
+    return held.where((F.col("top") == F.col("nominal")) & (F.col("stop") < F.col("nominal")) & F.col("joined") & ~F.col("silent")).select(*measure, *voice, "stop", "nominal")
+
+
+#: Of a measure's doubt, what stays when a second reading agrees; and doubt when it sides with the take.
+CONFIRMED_SHARE, CONTRADICTED_DOUBT = 0.2, 0.7
+
+
+def note_doubt(doubt: Column, kind: Column, read: Column, written: tuple[Column, Column], played: tuple[Column, Column]) -> Column:
+    """struct(doubt, reason) about the score for one disagreement: ``missed`` (a written key wasn't
+    played), ``wrong`` (another was) or ``extra``. ``written`` and ``played`` are how often the first and
+    the second reading of the measure have that key; ``read`` says whether there is a second one."""
+    more = played[1] > played[0]
+    confirmed = (kind.isin("missed", "wrong") & (written[1] >= written[0])) | ((kind == "extra") & ~more)
+    contradicted = (kind == "missed") | (kind.isin("wrong", "extra") & more)
+    reason = F.when(~read, None).when(confirmed, "confirmed").when(contradicted, "contradicted")
+    size = F.when(~read, doubt).when(confirmed, doubt * CONFIRMED_SHARE).when(contradicted, F.greatest(doubt, F.lit(CONTRADICTED_DOUBT))).otherwise(doubt)
+    return F.struct(size.alias("doubt"), reason.alias("reason"))
+
+
+def doubtful(notes: DataFrame, doubt: str, most: float = 0.5) -> DataFrame:
+    """Adds ``scored`` (false from ``most`` doubt on) and ``trust``, the weight of what is left."""
+    d = F.coalesce(F.col(doubt), F.lit(0.0))
+    return notes.withColumns({"scored": d < most, "trust": F.when(d < most, 1.0 - d).otherwise(0.0)})
 
 
 def valid_timeline(intervals: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -122,7 +186,7 @@ def valid_markers(markers: DataFrame, keys: list[str], measure: str, time: str,
 def systematic(errors: DataFrame, keys: list[str], kind: list[str], written: str, least: float = 0.7) -> DataFrame:
     """Kinds of error (pitch class, difference) that most written occurrences share."""
     held = errors.groupBy(*keys, *kind).agg(F.count("*").alias("n"), F.max(written).alias("written"))
-    return held.where(F.col("n") / F.col("written") >= least)
+    return held.where(F.col("n") / F.col("written") >= least).select(*keys, *kind, "n")
 
 
 def regions(spans: DataFrame, keys: list[str], seq: str, error: str, bad: float = 0.5, rest: float = 0.05, least: int = 2) -> DataFrame:

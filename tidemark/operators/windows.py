@@ -222,3 +222,54 @@ def suppress(peaks: DataFrame, keys: list[str], place: str, strength: str, radiu
         return pdf.loc[sorted(keep)]
 
     return peaks.select(*keys, place, strength).groupBy(*keys).applyInPandas(fold, spec)
+
+
+def resolved_pitch(notes: DataFrame, keys: list[str], order: list[str], step: Column, octave: str, printed: Column, signature: Column) -> DataFrame:
+    """Adds ``alter`` and ``midi``: an accidental holds for its step and octave until the
+    keys (a take's measure) end; without one the key signature counts, else nothing."""
+    w = Window.partitionBy(*keys, "_step", octave).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    base = F.create_map(*(F.lit(v) for pair in {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}.items() for v in pair))
+    held = notes.withColumns({"_step": step, "_printed": printed, "_signature": signature})
+    held = held.withColumn("alter", F.coalesce(F.last("_printed", ignorenulls=True).over(w), "_signature", F.lit(0)))
+    return held.withColumn("midi", (F.col(octave) + 1) * 12 + base[F.col("_step")] + F.col("alter")).drop("_step", "_printed", "_signature")
+
+
+def rolled_chords(events: DataFrame, keys: list[str], *, together: float = 0.05, roll: float = 0.40, ring: float = 0.10, trim: float = 0.001) -> DataFrame:
+    """Events (start, stop, pitch) as chords (start, stop, pitches): an event joins while it starts
+    within ``together`` of the chord's start, or within ``roll`` and well before all of it has ended.
+    A chord ends before the next starts."""
+    ready(events.sparkSession)
+    spec = T.StructType([*(events.schema[k] for k in keys), T.StructField("start", T.DoubleType()), T.StructField("stop", T.DoubleType()), T.StructField("pitches", T.ArrayType(T.DoubleType()))])
+
+    def fold(key, pdf):
+        import pandas as pd
+
+        made: list[list] = []
+        for r in pdf.sort_values(["start", "stop", "pitch"], kind="stable").itertuples(index=False):
+            lead = r.start - made[-1][0] if made else float("inf")
+            if made and (lead <= together or (lead <= roll and r.start < made[-1][1] - ring)):
+                made[-1][1] = max(made[-1][1], r.stop)
+                made[-1][2].add(r.pitch)
+            else:
+                made.append([r.start, r.stop, {r.pitch}])
+        for a, b in zip(made, made[1:]):
+            a[1] = min(a[1], b[0] - trim)
+        return pd.DataFrame([(*key, a, b, sorted(p)) for a, b, p in made if b > a], columns=[*keys, "start", "stop", "pitches"])
+
+    usable = events.where((F.col("stop") > F.col("start")) & F.col("pitch").isNotNull())
+    return usable.select(*keys, "start", "stop", "pitch").groupBy(*keys).applyInPandas(fold, spec)
+
+
+def loop_windows(starts: DataFrame, keys: list[str], time: str, bar: str, first: Column, last: Column, near: Column, *, lead_in: float = 0.15, least: float = 0.2) -> DataFrame:
+    """(start, stop) that plays bars first..last once: of the passes, the one around ``near``,
+    else the next after it, else the first. ``starts`` has a row for each time a bar starts."""
+    w = Window.partitionBy(*keys).orderBy(time)
+    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    t = starts.withColumns({"_next": F.lead(time).over(w), "_gap": F.col(time) - F.lag(time).over(w), "_from": first, "_to": last, "_near": near})
+    closing = F.first(F.when(F.col(bar) == F.col("_to"), F.struct(F.col(time).alias("t"), F.col("_next").alias("next"), F.col("_gap").alias("gap"))), ignorenulls=True).over(ahead)
+    t = t.withColumn("_k", closing).where((F.col(bar) == F.col("_from")) & F.col("_k").isNotNull())
+    stop = F.coalesce(F.col("_k.next"), F.col("_k.t") + F.greatest(F.lit(0.5), F.coalesce(F.col("_k.gap"), F.lit(2.0))))
+    passes = t.select(*keys, F.greatest(F.lit(0.0), F.col(time) - lead_in).alias("start"), stop.alias("stop"), "_near").where(F.col("stop") > F.col("start") + least)
+    rank = F.when((F.col("_near") >= F.col("start")) & (F.col("_near") < F.col("stop")), 0).when(F.col("start") >= F.col("_near"), 1).otherwise(2)
+    best = passes.groupBy(*keys).agg(F.min(F.struct(rank.alias("rank"), "start", "stop")).alias("b"))
+    return best.select(*keys, "b.start", "b.stop")

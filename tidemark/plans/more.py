@@ -206,12 +206,6 @@ def retention(spark: SparkSession, d: str) -> DataFrame:
     return S.newest(o, ["o_custkey"], "o", 10).select("o_custkey", "o_orderkey")
 
 
-@query("SELECT doc_id, source || ' ' || lang AS key FROM documents")
-def score_keys(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents", "doc_id", "source", "lang")
-    return docs.select("doc_id", X.key_of_name(F.concat("source", F.lit("  "), "lang", F.lit(".xml"))).alias("key"))
-
-
 @query()
 def lcs_opening(spark: SparkSession, d: str) -> DataFrame:
     """How much of a template each user's events follow, in order."""

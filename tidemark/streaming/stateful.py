@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.session import ready
@@ -103,3 +103,37 @@ def chunks(df: DataFrame, length: str, most: float) -> DataFrame:
     n = F.greatest(F.lit(1), F.ceil(F.col(length) / most)).cast("int")
     parts = df.withColumn("_n", n).select("*", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("k"))
     return parts.withColumns({"from": F.col(length) * F.col("k") / F.col("_n"), "to": F.col(length) * (F.col("k") + 1) / F.col("_n")}).drop("_n")
+
+
+def rolling_sessions(uses: DataFrame, key: str, t: str, id_col: str, ttl: float, refresh: float) -> DataFrame:
+    """Uses of sessions in order, each with ``valid`` and ``expires``: a session lasts ``ttl`` seconds from its
+    first use and is renewed by a use, once ``refresh`` seconds of that have passed. After it has expired
+    every use is refused. A session's uses are one group."""
+    ready(uses.sparkSession)
+
+    def fold(pdf):
+        import pandas as pd
+
+        out, expires = [], None
+        for r in pdf.sort_values([t, id_col]).itertuples(index=False):
+            now = getattr(r, t)
+            if expires is None:
+                expires = now + ttl
+            valid = expires >= now
+            if valid and expires - now < ttl - refresh:
+                expires = now + ttl
+            out.append((getattr(r, id_col), valid, expires))
+        return pd.DataFrame(out, columns=[id_col, "valid", "expires"])
+
+    kind = uses.schema[id_col].dataType.simpleString()
+    return uses.select(key, t, id_col).groupBy(key).applyInPandas(fold, f"{id_col} {kind}, valid boolean, expires double")
+
+
+def codes_checked(tries: DataFrame, keys: list[str], order: list[str], right: Column, age: Column, ttl: float = 600.0, attempts: int = 5) -> DataFrame:
+    """Adds ``accepted`` to tries of login codes: the first right one in time, if fewer than ``attempts``
+    wrong ones came before it; after it the code is used up."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    wrong = F.coalesce(F.sum(F.when(right | (age > ttl), 0).otherwise(1)).over(w), F.lit(0))
+    good = right & (age <= ttl) & (wrong < attempts)
+    marked = tries.withColumn("_good", good)
+    return marked.withColumn("accepted", F.col("_good") & ~F.coalesce(F.max("_good").over(w), F.lit(False))).drop("_good")
