@@ -11,6 +11,7 @@ from tidemark.functions import expr as X
 from tidemark.operators import aggregates as A
 from tidemark.operators import alignment as L
 from tidemark.operators import matching as M
+from tidemark.operators import pairing as P
 from tidemark.operators import quality as Q
 from tidemark.operators import store as S
 from tidemark.operators import windows as W
@@ -201,3 +202,29 @@ def test_sequence_queries_read_whole_sequences(spark, tmp_path):
     got = more.edit_align(spark, str(tmp_path))
     assert got.columns == ["user_id", "heard_seq", "written_seq", "cost"]
     assert {tuple(r)[1:] for r in got.collect()} == want
+
+
+def test_folds_of_two_sides_of_one_table(spark):
+    rows = spark.createDataFrame([(1, 1, 1.0, 60), (1, 2, 2.0, 62), (2, 3, 1.0, 60)], "k int, id long, t double, midi int")
+    a, b = rows.where("id <> 2"), rows.where("k = 1")
+    for made in (M.greedy_pairs(a, b, ["k"], 0.5), P.same_pitch(a, b, ["k"], 0.5), L.align(a, b, ["k"], "id", "t"), M.two_stage_offset(a, b, ["k"], 1.0)):
+        assert made.count() == len(made.collect())
+    assert [tuple(r) for r in M.greedy_pairs(a, b, ["k"], 0.5).collect()] == [(1, 1.0, 1.0)]
+    assert M.greedy_pairs(a.where("false"), b, ["k"], 0.5).count() == 0 and M.greedy_pairs(a, b.where("false"), ["k"], 0.5).count() == 0
+
+
+def test_two_stage_offset_finds_the_shift(spark):
+    grid = spark.createDataFrame([(1, float(k)) for k in range(12)], "k int, t double")
+    heard = spark.createDataFrame([(1, k + 0.265625) for k in range(1, 10)], "k int, t double")
+    r = M.two_stage_offset(grid, heard, ["k"], 1.0).first()
+    assert (r["offset"], r["mean_ms"], r["within_50ms"]) == (0.2656, 0.0, 1.0)
+
+
+def test_rolled_chords_and_loop_windows(spark):
+    e = spark.createDataFrame([(1, 0.0, 1.0, 60.0), (1, 0.04, 0.9, 64.0), (1, 0.3, 0.8, 67.0), (1, 0.95, 1.5, 70.0), (1, 2.0, 1.0, 50.0), (1, 3.0, 3.5, 72.0)], "k int, start double, stop double, pitch double")
+    got = sorted((r["start"], round(r["stop"], 3), r["pitches"]) for r in W.rolled_chords(e, ["k"]).collect())
+    assert got == [(0.0, 0.949, [60.0, 64.0, 67.0]), (0.95, 1.5, [70.0]), (3.0, 3.5, [72.0])]
+    bars = spark.createDataFrame([(1, 2.0 * i, b) for i, b in enumerate([1, 2, 3, 1, 2, 3, 4])], "k int, t double, bar int")
+    near = lambda t: tuple(W.loop_windows(bars, ["k"], "t", "bar", F.lit(1), F.lit(2), F.lit(t)).first())[1:]
+    assert near(0.5) == (0.0, 4.0) and near(4.5) == (5.85, 10.0) and near(30.0) == (0.0, 4.0)
+    assert tuple(W.loop_windows(bars, ["k"], "t", "bar", F.lit(3), F.lit(4), F.lit(0.0)).first()) == (1, 3.85, 14.0)

@@ -77,7 +77,7 @@ def chord_spreads(notes: DataFrame, keys: list[str], chord: str, heard: str, sta
     how many are uneven, and by how much the first staff is later than the second
     (median over ``least`` chords that both play). Times are seconds."""
     c = F.col
-    per = notes.groupBy(*keys, chord).agg(F.count("*").alias("n"), ((F.max(heard) - F.min(heard)) * 1000).alias("spread"), ((F.median(F.when(c(staff) == 1, c(heard))) - F.median(F.when(c(staff) == 2, c(heard)))) * 1000).alias("hands"))
+    per = notes.groupBy(*keys, chord).agg(F.count("*").alias("n"), F.round((F.max(heard) - F.min(heard)) * 1000, 6).alias("spread"), F.round((F.median(F.when(c(staff) == 1, c(heard))) - F.median(F.when(c(staff) == 2, c(heard)))) * 1000, 6).alias("hands"))
     out = per.where("n >= 2").groupBy(*keys).agg(F.count("*").alias("chords"), X.half_even(F.median("spread")).alias("spread"), F.count_if(c("spread") > uneven_ms).alias("uneven"), F.count("hands").alias("both"), X.half_even(F.median("hands")).alias("hand_offset"))
     return out.select(*keys, "chords", "spread", "uneven", F.when(c("both") >= least, c("hand_offset")).alias("hand_offset"))
 

@@ -88,10 +88,10 @@ def _gaps(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH {_GAPS}, f AS (SELECT user_id, i, gap, count(*) OVER p AS n, regr_slope(gap, i) OVER p AS slope, avg(i) OVER p AS mx FROM g WHERE gap IS NOT NULL WINDOW p AS (PARTITION BY user_id)),
-l AS (SELECT user_id, n, CASE WHEN n >= 6 THEN gap - coalesce(slope, 0) * (i - mx) ELSE gap END AS level FROM f),
-c AS (SELECT user_id, median(level) AS centre FROM l GROUP BY user_id)
-SELECT user_id, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(any_value(centre), 3) END AS "offset", CASE WHEN count(*) >= 3 THEN round(median(abs(level - centre)), 3) END AS spread
-FROM l JOIN c USING (user_id) GROUP BY user_id
+l AS (SELECT user_id, n, gap, CASE WHEN n >= 6 THEN gap - coalesce(slope, 0) * (i - mx) ELSE gap END AS level FROM f),
+c AS (SELECT user_id, median(level) AS centre FROM l GROUP BY user_id), r AS (SELECT user_id, count(*) AS "all" FROM g GROUP BY user_id),
+o AS (SELECT user_id, count(*) AS n, count(*) >= 3 AND count(*) / any_value("all") >= 0.6 AS enough, median(gap) AS off, median(abs(level - centre)) AS spread FROM l JOIN c USING (user_id) JOIN r USING (user_id) GROUP BY user_id)
+SELECT user_id, n, CASE WHEN enough THEN round(off, 3) END AS "offset", CASE WHEN enough THEN round(spread, 3) END AS spread FROM o
 """)
 def rhythm_detrended_mad(spark: SparkSession, d: str) -> DataFrame:
     out = A.detrended_spread(_gaps(spark, d), ["user_id"], "i", "gap")
@@ -253,19 +253,14 @@ def best_overlap(spark: SparkSession, d: str) -> DataFrame:
     return M.best_overlap(s.where("id % 2 = 0"), s.where("id % 2 = 1"), ["o_custkey"], 120.0)
 
 
-@query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-01') AS month FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01'")
+@query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-01') AS month FROM lineitem WHERE l_shipdate IS NOT NULL")
 def point_in_interval(spark: SparkSession, d: str) -> DataFrame:
-    l = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate").where("l_shipdate < TIMESTAMP_NTZ '1999-01-01'")
-    l = l.withColumn("bucket", F.year("l_shipdate")).withColumn("at", F.col("l_shipdate"))
-    m = spark.range(1990 * 12, 2000 * 12).select((F.floor(F.col("id") / 12)).cast("int").alias("bucket"), F.make_date(F.floor(F.col("id") / 12).cast("int"), (F.col("id") % 12 + 1).cast("int"), F.lit(1)).alias("month"))
-    m = m.select("bucket", F.col("month").cast("timestamp_ntz").alias("start"), F.add_months("month", 1).cast("timestamp_ntz").alias("stop"), "month")
-    # A few months: the intervals are a constant, broadcast by size.
-    return l.join(m, (F.col("l_shipdate") >= F.col("start")) & (F.col("l_shipdate") < F.col("stop")) & (l["bucket"] == m["bucket"])).select("l_orderkey", "l_linenumber", F.date_format("month", "yyyy-MM-dd").alias("month"))
+    return point_in_interval_whole(spark, d)
 
 
 @query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-01') AS month FROM lineitem WHERE l_shipdate IS NOT NULL")
 def point_in_interval_whole(spark: SparkSession, d: str) -> DataFrame:
-    """point_in_interval over every shipdate: the months go from the first one's to the last one's."""
+    """The month of every shipdate: the months go from the first one's to the last one's."""
     l = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate").withColumn("bucket", F.year("l_shipdate"))
     ends = l.agg(F.min("l_shipdate").cast("date").alias("lo"), F.max("l_shipdate").cast("date").alias("hi"))
     m = ends.select(F.explode(F.sequence(F.trunc("lo", "month"), F.trunc("hi", "month"), F.expr("INTERVAL 1 MONTH"))).alias("month"))
@@ -427,13 +422,27 @@ def scale_vote(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_E}, s AS (SELECT user_id, count(*) AS n, count(value) AS scored, avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END) AS agreement, count(DISTINCT event_type) AS kinds FROM e GROUP BY user_id)
-SELECT user_id, CASE WHEN n < 50 THEN 'insufficient_evidence' WHEN scored / n < 0.3 THEN 'score_unreliable' WHEN agreement < 0.35 THEN 'score_audio_mismatch' WHEN kinds < 5 THEN 'partial' ELSE 'complete' END AS outcome,
-  concat_ws(',', CASE WHEN scored / n < 0.6 THEN 'low_coverage' END, CASE WHEN agreement < 0.35 THEN 'score_audio_mismatch' END, CASE WHEN kinds < 5 THEN 'beat_grid_rejected' END) AS issues FROM s
+WITH {_E}, c AS (SELECT user_id AS u, count(*) AS notes, count(*) FILTER (WHERE value > 8) AS scored, count(*) FILTER (WHERE value > 30) AS correct, count(*) FILTER (WHERE value > 4) AS voiced, count(*) FILTER (WHERE event_type <> 'error') AS timed, count(*) FILTER (WHERE value > 120) AS outliers FROM e GROUP BY user_id),
+r AS (SELECT *, least(1.0, scored / notes) AS pc, CASE WHEN notes > 1 THEN least(1.0, timed / (notes - 1)) ELSE 0.0 END AS tc, least(1.0, voiced / notes) AS heard, CASE WHEN u % 7 <> 3 THEN (scored % 101)::DOUBLE END AS pitch, CASE WHEN u % 7 NOT IN (3, 4) THEN (timed % 101)::DOUBLE END AS rhythm,
+  u % 6 = 0 AS rejected, u % 12 = 6 AS lone, u % 5 = 0 AS faster, u % 4 = 0 AS unaligned, u % 2 = 0 AS rescued, CASE WHEN scored >= 12 THEN round(correct / scored, 3) END AS rate FROM c),
+f AS (SELECT *, pc < 0.6 OR u % 11 = 0 AS thin, faster AND coalesce(rhythm < 60, false) AS slack, voiced > 0 AND outliers / greatest(voiced, 1) >= 0.2 AS astray FROM r),
+m AS (SELECT *, coalesce(rate < 0.4, false) AND (unaligned OR pitch IS NULL OR thin) AND NOT rescued AS miss, (pitch IS NOT NULL)::INTEGER + (rhythm IS NOT NULL)::INTEGER AS k FROM f),
+w AS (SELECT *, k = 2 AND NOT unaligned AND (NOT thin OR (heard >= 0.6 AND pc >= 0.5 AND NOT miss)) AND NOT astray AND NOT slack AS whole FROM m)
+SELECT u AS user_id, CASE WHEN k = 0 AND u % 10 = 3 THEN 'score_unreliable' WHEN k = 0 THEN 'insufficient_evidence' WHEN miss THEN 'score_audio_mismatch' WHEN k < 2 OR unaligned OR thin OR astray OR slack OR u % 17 = 0 THEN 'partial' WHEN rescued THEN 'complete_with_rescue' ELSE 'complete' END AS outcome,
+  CASE WHEN whole THEN floor(pitch * 0.5 + rhythm * 0.5 + 0.5) END AS overall, CASE WHEN whole THEN CASE WHEN thin THEN 'reference' ELSE 'full' END END AS reliability, rate AS match_rate, round(pc, 3) AS pitch_coverage, round(tc, 3) AS timing_coverage, round(1 - heard, 3) AS unheard,
+  concat_ws(',', CASE WHEN unaligned THEN 'alignment_unverified' END, CASE WHEN u % 3 = 0 AND NOT lone THEN 'builtin_detectors' END, CASE WHEN rejected THEN 'beat_grid_rejected' END, CASE WHEN u % 8 = 0 THEN 'clipped_audio' END, CASE WHEN thin THEN 'low_coverage' END, CASE WHEN faster THEN 'tempo_mismatch' END,
+    CASE WHEN slack THEN 'tempo_timing_unreliable' END, CASE WHEN u % 10 = 3 THEN 'score_unreliable' END, CASE WHEN u % 13 = 0 THEN 'take_beyond_score' END, CASE WHEN astray THEN 'pitch_tracking_unreliable' END, CASE WHEN miss THEN 'score_audio_mismatch' END) AS issues FROM w
 """)
 def quality_verdict(spark: SparkSession, d: str) -> DataFrame:
-    s = events(spark, d).groupBy("user_id").agg(F.count("*").alias("n"), F.count("value").alias("scored"), F.avg(F.when(F.col("value") > 50, 1.0).otherwise(0.0)).alias("agreement"), F.count_distinct("event_type").alias("kinds"))
-    return Q.sequence_verdict(s)
+    """Verdicts of users' takes, with the evidence drawn from their events and ids."""
+    u, c = F.col("user_id"), F.count_if
+    counts = events(spark, d).groupBy("user_id").agg(F.count("*").alias("notes"), c(F.col("value") > 8).alias("scored"), c(F.col("value") > 30).alias("correct"), c(F.col("value") > 4).alias("voiced"), c(F.col("event_type") != "error").alias("timed"), c(F.col("value") > 120).alias("outliers"))
+    lone, every = F.array(F.lit("beat:rejected")), F.array(F.lit("beat:rejected"), F.lit("pitch:builtin"))
+    rows = counts.withColumns({
+        "timing_candidates": F.col("notes") - 1, "octaves": F.lit(0), "excluded": F.lit(None).cast("long"), "pitch": F.when(u % 7 != 3, (F.col("scored") % 101).cast("double")), "rhythm": F.when(~(u % 7).isin(3, 4), (F.col("timed") % 101).cast("double")),
+        "reasons": F.when(u % 12 == 6, lone).when(u % 6 == 0, every), "unaligned": u % 4 == 0, "degraded": u % 3 == 0, "clipped": u % 8 == 0, "unsure": u % 11 == 0, "tempo_mismatch": u % 5 == 0, "refused": u % 10 == 3, "beyond_score": u % 13 == 0, "rescued": u % 2 == 0, "range_rescue": u % 17 == 0,
+    })
+    return Q.verdict(rows).select("user_id", "outcome", "overall", "reliability", "match_rate", "pitch_coverage", "timing_coverage", "unheard", F.array_join("issues", ",").alias("issues"))
 
 
 @query("""

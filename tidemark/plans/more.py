@@ -84,10 +84,10 @@ def override_lookup(spark: SparkSession, d: str) -> DataFrame:
     return both.select("c_custkey", F.coalesce("n_name", F.lit("unknown")).alias("nation"), F.coalesce(meters[F.col("c_nationkey")], "r_name", F.lit("none")).alias("region"))
 
 
-@query("SELECT l_partkey, l_suppkey, l_extendedprice AS cost FROM lineitem WHERE l_quantity < 10 QUALIFY l_extendedprice <= min(l_extendedprice) OVER (PARTITION BY l_partkey) * 1.4 AND row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) <= 16")
+@query("SELECT l_partkey, l_suppkey, l_extendedprice AS cost FROM lineitem QUALIFY l_extendedprice <= min(l_extendedprice) OVER (PARTITION BY l_partkey) * 1.4 AND row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) <= 16")
 def candidate_cutoff(spark: SparkSession, d: str) -> DataFrame:
     """Candidates within a margin of the best, 16 at most."""
-    return _cutoff(load(spark, d, "lineitem").where("l_quantity < 10"))
+    return _cutoff(load(spark, d, "lineitem"))
 
 
 @query("SELECT l_partkey, l_suppkey, l_extendedprice AS cost FROM lineitem QUALIFY l_extendedprice <= min(l_extendedprice) OVER (PARTITION BY l_partkey) * 1.4 AND row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) <= 16")
@@ -134,8 +134,9 @@ def tempo_variation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS onset, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS members, count(*) AS size FROM orders GROUP BY 1")
 def chord_groups(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders", "o_orderkey", "o_orderdate")
-    return o.groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("onset")).agg(F.array_join(F.array_sort(F.collect_list("o_orderkey")).cast("array<string>"), ",").alias("members"), F.count("*").alias("size"))
+    o = load(spark, d, "orders", "o_orderkey", "o_orderdate").withColumn("day", F.unix_date(F.col("o_orderdate").cast("date")).cast("double"))
+    made = A.chords(o, [], "day", "o_orderkey")
+    return made.select(F.date_format(F.date_from_unix_date(F.col("onset").cast("int")), "yyyy-MM-dd").alias("onset"), F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), "size")
 
 
 @query(f"WITH {_DEV}, s AS (SELECT user_id, avg(CASE WHEN abs(dev) > 100 THEN 1.0 ELSE 0.0 END) AS a, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS b FROM dev GROUP BY user_id) SELECT user_id, round(1 - (1 - a) * (1 - b), 9) AS doubt FROM s")
