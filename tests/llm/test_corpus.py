@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import _shared, ann, components, decontaminate, language_id, license_scan, mixing, ngram_join, quality_knn, secret_scan, substring_dedup, token_files
+from tidemark.llm import _shared, _words as words, ann, components, decontaminate, language_id, license_scan, mixing, ngram_join, quality_knn, secret_scan, substring_dedup, token_files
 
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -343,6 +343,124 @@ def nearest_truth(rows, every=20, k=20):
     return out
 
 
+M32, M64 = (1 << 32) - 1, (1 << 64) - 1
+
+
+def word_hash(word):
+    """The polynomial over 2**64 that stands for a word, written out."""
+    total = sum(int(words._BYTE_VALUE[b]) * pow(int(words._P), k, 1 << 64) for k, b in enumerate(word)) + len(word)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        total &= M64
+        total = (total ^ total >> shift) * by
+    total &= M64
+    return total ^ total >> 31
+
+
+def quality_features(text):
+    """One text's features, character by character."""
+    raw = (text or "").encode()
+    out = np.zeros(quality_knn.FEATURES)
+    size = quality_knn.HASHED
+
+    def slot(g):
+        g = g * 0x9E3779B1 & M32
+        return ((g ^ g >> 15) * 0x2C1B3C6D & M32) >> 21
+
+    kind = lambda b: 1 if 48 <= b <= 57 else 2 if 65 <= b <= 90 else 3 if 97 <= b <= 122 else 4 if b >= 128 else 5 if b in b" \n\t\r" else 6 + b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~".index(b) if 33 <= b < 127 else 0
+    for i, b in enumerate(raw):
+        one, two = raw[i - 1] if i else None, raw[i - 2] if i > 1 else None
+        code = lambda x, of: 0 if x is None else of(x)
+        out[size + slot(b | code(one, int) << 8 | code(two, int) << 16 | 1 << 24)] += 1 / len(raw)
+        out[2 * size + slot(b | 1 << 8)] += 1 / len(raw)
+        out[2 * size + slot(kind(b) | code(one, kind) << 6 | code(two, kind) << 12 | 1 << 20)] += 1 / len(raw)
+    w = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n = max(1, len(w))
+    for x in w:
+        out[word_hash(x) >> 53] += 1 / n
+    upper, lower = (lambda x: sum(65 <= b <= 90 for b in x)), (lambda x: sum(97 <= b <= 122 for b in x))
+    flags = [
+        len(w), sum(a == b for a, b in zip(w, w[1:])), sum(upper(x) > 1 and not lower(x) for x in w), sum(kind(x[0]) == 2 for x in w), sum(any(48 <= b <= 57 for b in x) for x in w), sum(kind(x[-1]) >= 6 for x in w),
+        sum(kind(x[0]) >= 6 and kind(x[-1]) >= 6 and len(x) <= 3 for x in w), sum(len(x) > 15 for x in w), sum(len(x) <= 2 for x in w),
+    ]
+    out[3 * size : 3 * size + 9] = np.array(flags) / n
+    out[3 * size + 9] = min(1, raw.count(b"\n") / n)
+    out[3 * size + 10] = not w
+    return np.sqrt(out)
+
+
+def test_quality_agrees_with_brute_force(spark, odd_texts):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_knn.train(docs, labels, per_class=30)
+    assert 0 < len(model.labels) <= 60
+    texts = [*odd_texts, "WORD word Word, word! 12 a1 --- ...", "a\n\nb\n", "repeated line", "repeated line"] + [r["text"] for r in docs.limit(40).collect()]
+    table = documents(spark, texts)
+    got = {r["doc_id"]: r["score"] for r in quality_knn.score(table, model).collect()}
+    # Whatever rows are near; a product's rounding differs with a block's size.
+    assert all(abs(got[r["doc_id"]] - r["score"]) < 1e-5 for r in quality_knn.score(table.repartition(3, "doc_id"), model).collect())
+    sample = model.vectors.astype(float)
+    for i, text in enumerate(texts, 1):
+        x = quality_features(text) * model.scale
+        y = x @ model.basis.astype(float)
+        y /= max(np.linalg.norm(y), 1e-9)
+        near = sorted(range(len(sample)), key=lambda k: -(y @ sample[k]))[: quality_knn.NEIGHBOURS]
+        votes = [(max(y @ sample[k], 0) ** quality_knn.SHARPNESS * model.weight[k], model.labels[k]) for k in near]
+        total = sum(v for v, _ in votes)
+        want = sum(v for v, label in votes if label == 1) / total if total > 1e-12 else model.prior
+        assert abs(got[i] - want) < 2e-3, (i, got[i], want)
+    odd = spark.createDataFrame([(1, 7), (2, None), (None, 1)], "doc_id long, quality int")
+    assert quality_knn.score(table, quality_knn.train(table, odd)).where("score = 0.5").count() == len(texts)
+
+
+def language_truth(model, text):
+    """Votes of the machines over one text's letters, one after the other."""
+    low = (text or "").lower()
+    if not any(c.isalpha() for c in low) or not model.families:
+        return "und", 0.0
+    raw = [b if 97 <= b <= 122 or b >= 128 else 32 for b in low.encode()]
+    x = np.zeros(language_id.FEATURES)
+    for i, b in enumerate(raw):
+        one, two = raw[i - 1] if i else 32, raw[i - 2] if i > 1 else 32
+        for g in (b * 0x85EBCA6B, (b | one << 8 | 1 << 16) * 0x9E3779B1, (b | one << 8 | two << 16 | 1 << 24) * 0xC2B2AE35):
+            g &= M32
+            x[((g ^ g >> 15) * 0x2C1B3C6D & M32) >> 20] += 1
+    x = np.sqrt(x)
+    margin = (x / np.linalg.norm(x)) @ model.weights.T + model.bias
+    sure = 1 / (1 + np.exp(-np.clip(3 * margin, -30, 30)))
+    f = len(model.families)
+    family, trust, rest = 0, 1.0, sure
+    if f > 1:
+        family, rest = int(margin[:f].argmax()), sure[f:]
+        first, second = sorted(sure[:f])[::-1][:2]
+        trust = first / (first + second)
+    votes, firm = defaultdict(int), defaultdict(float)
+    for (g, a, b), p in zip(model.pairs, rest, strict=True):
+        if g == family:
+            votes[a if p >= 0.5 else b] += 1
+            firm[a] += p
+            firm[b] += 1 - p
+    members = model.families[family]
+    best = max(range(len(members)), key=lambda k: (votes[k], firm[k], -k))
+    return members[best], trust * (firm[best] / (len(members) - 1) if len(members) > 1 else 1.0)
+
+
+def test_language_id_agrees_with_brute_force(spark, odd_texts):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = language_id.train(docs, per_language=25)
+    langs = {r["lang"] for r in docs.select("lang").distinct().collect()} - {None}
+    assert {x for f in model.families for x in f} == langs
+    texts = [*odd_texts, "été ÀÉ", "Straße", "12 ж", "12 ½", "same text", "same text"] + [r["text"] for r in docs.limit(60).collect()]
+    table = documents(spark, texts)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(table, model).collect()}
+    for i, text in enumerate(texts, 1):
+        name, score = language_truth(model, text)
+        assert got[i][0] == name and abs(got[i][1] - score) < 1e-3, (i, got[i], name, score)
+    kept = language_id.keep_identified(table, model)
+    assert kept.columns == table.columns and {r["doc_id"] for r in kept.collect()} == {i for i, (n, s) in got.items() if n != "und" and s >= language_id.MIN_SCORE}
+    repeated = table.unionAll(table)
+    assert sorted(map(str, language_id.identify(repeated, model).collect())) == sorted(str(r) for r in language_id.identify(table, model).collect() for _ in range(2))
+
+
 def test_ann_recall_ties_and_rows_that_take_no_part(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(600, 16))

@@ -248,8 +248,11 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score of every document, from its whole text alone.
 
-    A null text, or one without any letter, is ``und`` with score 0. Repeated
-    rows each get their row; other columns are ignored.
+    A null text, or one without any letter, is ``und`` with score 0. Of
+    families whose machines agree the first is taken; of languages with as many
+    votes the one whose machines are surer, then the first. Repeated rows each
+    get their row, and equal texts equal answers; other columns are ignored. An
+    empty table gives an empty result.
     """
     spark = session_of(docs)
     ready(spark)
@@ -267,7 +270,10 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 
 def keep_identified(docs: DataFrame, model: Model, *, text_col: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
-    """Documents with a language, known with min_score at least; columns as before."""
+    """Documents with a language, known with min_score at least; columns, whatever their names, are as before.
+
+    Null texts and texts without letters go; repeated rows stay or go together.
+    """
     spark = session_of(docs)
     ready(spark)
     shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)

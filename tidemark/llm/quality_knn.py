@@ -1,10 +1,11 @@
 """Quality scores by nearest-neighbour voting in a latent space.
 
-Whole texts become weighted counts of hashed character n-grams and of a few
-shapes of words; a truncated singular value decomposition of a bounded labelled
-sample gives the latent space. The sample's vectors are broadcast; every
-document's exact cosines with all of them are computed in blocks, and the
-nearest vote with their similarity as weight.
+Whole texts become tf-idf weights of hashed words and character trigrams, of
+bytes and trigrams of character classes, and a few shapes of words; a truncated
+singular value decomposition of a bounded labelled sample gives the latent
+space. The sample's vectors are broadcast; every document's exact cosines with
+all of them are computed in blocks, and the nearest vote with their similarity
+as weight.
 """
 
 from __future__ import annotations
@@ -14,23 +15,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
 from ._shared import ready, session_of
 
-#: Hashed character n-grams, and shapes after them.
-GRAMS = 1 << 11
+#: Hashed features of each kind: words; character trigrams; bytes and class trigrams. Shapes follow them.
+HASHED = 1 << 11
+GRAMS = 3 * HASHED
 SHAPES = ["words", "same as the word before", "capitals only", "starts with a capital", "has a digit", "ends in a mark", "bare mark", "long", "short", "lines", "no words"]
 FEATURES = GRAMS + len(SHAPES)
-#: Labelled documents of each class in the sample, at most.
+#: Labelled documents of each class in the sample, at most: what the driver gets and every task holds.
 SAMPLE_OF_CLASS = 1500
 DIMENSIONS = 48
 NEIGHBOURS = 25
 #: Similarities are raised to this power before they weigh labels.
 SHARPNESS = 8
 THRESHOLD = 0.3
+#: Weight of words and character trigrams beside bytes, classes and shapes.
+WORD_WEIGHT = 0.5
 BLOCK = 256
 
 _CLASS = np.zeros(256, dtype=np.uint32)
@@ -44,19 +48,32 @@ for _k, _c in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
     _CLASS[_c] = 6 + _k  # each mark is a class of its own
 
 
+def _hashed(g: np.ndarray) -> np.ndarray:
+    g = g * np.uint32(0x9E3779B1)
+    return (g ^ g >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - HASHED.bit_length() + 1)
+
+
 def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, counts) of blocks of documents: square roots of relative frequencies."""
+    """(first row, weights) of blocks of documents: square roots of relative frequencies. A row's are its text's alone."""
     for w in W.words(column, W.SPACED, fold=False):
         data = w.data
         n = len(data)
         x = _CLASS[data]
         byte = data.astype(np.uint32)
-        prior, second = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        prior[1:], second[2:] = x[:-1], x[:-2]
-        grams = []
-        for g in (byte | np.uint32(1 << 8), x | prior << np.uint32(6) | second << np.uint32(12) | np.uint32(1 << 20)):
-            g = g * np.uint32(0x9E3779B1)
-            grams.append((g ^ g >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - 11))
+        edges = _edges(column, w)
+        head_at = edges[:-1][edges[:-1] < edges[1:]]
+        back = []  # class and byte one and two places before, 0 ahead of a text
+        for source in (x, byte):
+            one, two = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+            one[1:], two[2:] = source[:-1], source[:-2]
+            one[head_at] = two[head_at] = 0
+            after = head_at + 1
+            two[after[after < n]] = 0
+            back.append((one, two))
+        (c1, c2), (b1, b2) = back
+        # Trigrams of characters; single bytes; trigrams of classes.
+        grams = [(HASHED, _hashed(byte | b1 << np.uint32(8) | b2 << np.uint32(16) | np.uint32(1 << 24))), (2 * HASHED, _hashed(byte | np.uint32(1 << 8))), (2 * HASHED, _hashed(x | c1 << np.uint32(6) | c2 << np.uint32(12) | np.uint32(1 << 20)))]
+        spelt = (w.value >> np.uint64(64 - HASHED.bit_length() + 1)).astype(np.int64)
         size = w.end - w.start
         head, tail = x[w.start], x[w.end - 1]
         again = np.zeros(len(size), dtype=bool)
@@ -70,17 +87,18 @@ def features(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         flags = [np.ones(len(size), bool), again, capital, head == 2, digit[w.end] > digit[w.start], tail >= 6, letters & (size <= 3) & (tail >= 6), size > 15, size <= 2]
         totals = [np.concatenate(([0], np.cumsum(f))) for f in flags]
         lines = np.concatenate(([0], np.cumsum(data == 0x0A)))
-        edges = _edges(column, w)
         for lo in range(0, len(w), BLOCK):
             hi = min(lo + BLOCK, len(w))
             rows, at = hi - lo, edges[lo : hi + 1]
-            doc = np.repeat(np.arange(rows), np.diff(at))
-            out = np.zeros((rows, FEATURES), dtype=np.float32)
-            for g in grams:
-                out[:, :GRAMS] += np.bincount(doc * GRAMS + g[at[0] : at[-1]], minlength=rows * GRAMS).reshape(rows, GRAMS)
-            out[:, :GRAMS] /= np.maximum(np.diff(at), 1)[:, None]
             first = w.first[lo : hi + 1]
             count = np.diff(first)
+            out = np.zeros((rows, FEATURES), dtype=np.float32)
+            doc = np.repeat(np.arange(rows), np.diff(at))
+            length = np.maximum(np.diff(at), 1)[:, None]
+            for place, g in grams:
+                out[:, place : place + HASHED] += np.bincount(doc * HASHED + g[at[0] : at[-1]], minlength=rows * HASHED).reshape(rows, HASHED) / length
+            of_words = np.repeat(np.arange(rows), count) * HASHED + spelt[first[0] : first[-1]]
+            out[:, :HASHED] = np.bincount(of_words, minlength=rows * HASHED).reshape(rows, HASHED) / np.maximum(count, 1)[:, None]
             for k, t in enumerate(totals):
                 out[:, GRAMS + k] = np.diff(t[first]) / np.maximum(count, 1)
             out[:, GRAMS + 9] = np.minimum(np.diff(lines[at]) / np.maximum(count, 1), 1)
@@ -100,6 +118,7 @@ class Model:
     basis: np.ndarray  # (features, dimensions)
     vectors: np.ndarray  # unit vectors of the labelled sample
     labels: np.ndarray
+    weight: np.ndarray  # of each labelled vector's vote
     prior: float
 
     def project(self, x: np.ndarray) -> np.ndarray:
@@ -112,7 +131,7 @@ class Model:
         cosine = self.project(x) @ self.vectors.T
         k = min(NEIGHBOURS, len(self.labels))
         near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0.0).astype(np.float64) ** SHARPNESS
+        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0.0).astype(np.float64) ** SHARPNESS * self.weight[near]
         total = weight.sum(1)
         vote = (weight * self.labels[near]).sum(1)
         return np.where(total > 1e-12, vote / np.maximum(total, 1e-12), self.prior)
@@ -130,35 +149,42 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_OF_CLASS, dimensions: int = DIMENSIONS) -> Model:
-    """Learn from labelled documents; a hash of the id chooses about per_class of each class.
+    """Learn from labelled documents; hashes of their ids choose ``per_class`` of each class at most.
 
-    Rows with a null id, text or label are skipped; a document with several
-    labels has the smallest. Without any, every document scores 0.5.
+    Labels are 0 and 1; other values, and rows with a null id, text or label,
+    are skipped. A document with several labels has the smallest. A sample
+    holds the classes in other shares than the labels do, so votes are weighed
+    back. Without any label every document scores 0.5.
     """
     spark = session_of(docs)
     ready(spark)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna().groupBy("id").agg(F.min("label").alias("label"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").groupBy("id").agg(F.min("label").alias("label"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return Model(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), 0.5)
-    prior = sum(n for k, n in counts.items() if k == 1) / sum(counts.values())
-    shares = F.create_map(*(F.lit(v) for label, n in sorted(counts.items()) for v in (label, min(1.0, per_class / n))))
-    draw = F.pmod(F.xxhash64(F.lit(7), F.col("id").cast("string")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    # A few thousand ids, by the bound on the sample.
-    chosen = known.where(draw < shares[F.col("label")])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id").select("label", "text")
-    got = texts.mapInArrow(_vectors, "label int, x binary").collect()
-    x = np.frombuffer(b"".join(bytes(r["x"]) for r in got), dtype=np.float32).reshape(-1, FEATURES)
-    y = np.array([float(r["label"] == 1) for r in got])
+        return Model(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), 0.5)
+    prior = counts.get(1, 0) / sum(counts.values())
+    shares = F.create_map(*(F.lit(v) for label, n in sorted(counts.items()) for v in (label, min(1.0, 1.5 * per_class / n))))
+    draw = F.pmod(F.xxhash64(F.lit(7), F.col("id").cast("string")), F.lit(1 << 40))
+    # A few thousand ids, by the draw; the order then bounds the sample exactly.
+    chosen = known.withColumn("draw", draw).where(F.col("draw") / F.lit(float(1 << 40)) < shares[F.col("label")])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id", F.xxhash64("text")))
+    got = texts.withColumn("place", place).where(F.col("place") <= per_class).select("label", "text").mapInArrow(_vectors, "label int, x binary").toArrow().combine_chunks()
+    raw = got["x"].combine_chunks()
+    x = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.float32).reshape(-1, FEATURES)
+    y = np.asarray(got["label"]).astype(np.float64)
     order = np.lexsort((x @ np.arange(1, FEATURES + 1, dtype=np.float32), y))
     return learn(x[order], y[order], prior, dimensions)
 
 
 def learn(x: np.ndarray, y: np.ndarray, prior: float, dimensions: int) -> Model:
+    """The model of labelled vectors. A vote counts as its class is common among all labels, against the sample."""
     if not len(x):
-        return Model(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), prior)
+        return Model(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
     found = (x > 0).sum(0)
     scale = (np.log((1 + len(x)) / (1 + found)) + 0.3).astype(np.float32)
+    scale[:HASHED] *= WORD_WEIGHT
+    scale[HASHED : 2 * HASHED] *= WORD_WEIGHT
     scale[GRAMS:] = 1.5
     a = x * scale
     rng = np.random.default_rng(3)
@@ -168,7 +194,9 @@ def learn(x: np.ndarray, y: np.ndarray, prior: float, dimensions: int) -> Model:
         q = np.linalg.qr(a.T @ (a @ q))[0]
     _, _, v = np.linalg.svd(a @ q, full_matrices=False)
     basis = (q @ v.T)[:, :rank].astype(np.float32)
-    model = Model(scale, basis, np.zeros((0, rank), np.float32), y, prior)
+    share = float(y.mean())
+    weight = np.where(y > 0, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
+    model = Model(scale, basis, np.zeros((0, rank), np.float32), y, weight, prior)
     model.vectors = model.project(x).astype(np.float32)
     return model
 
@@ -181,8 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **optio
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1, higher is better) of every document, from its whole text alone.
 
-    A null text scores as an empty one. Repeated rows each get their row; other
-    columns are ignored; an empty table gives an empty result.
+    A null text scores as an empty one. Repeated rows each get their row, and
+    equal texts equal scores (to rounding), whatever rows are near them; of
+    labelled texts that tie for the last place among the nearest any may vote. Other columns
+    are ignored; an empty table gives an empty result.
     """
     spark = session_of(docs)
     ready(spark)
