@@ -76,6 +76,14 @@ def test_substring_dedup_takes_negative_ids_as_owners(spark):
     assert got == {-3: (60, 0), -2: (65, 60), -1: (61, 60), 0: (70, 0)}
 
 
+def test_substring_dedup_of_one_very_long_owner(spark):
+    rng = random.Random(18)
+    book = prose(rng, 40_000, 5000)
+    docs = documents(spark, [" ".join(book), " ".join(book[100:39_000]), " ".join(book[:60] + prose(rng, 5) + book[20_000:20_100]), " ".join(book[:49])])
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(docs).collect()}
+    assert got == {1: (40_000, 0), 2: (38_900, 38_900), 3: (165, 160), 4: (49, 0)}
+
+
 def test_automaton_finds_the_smallest_owner():
     rng = random.Random(3)
     texts = [[rng.randrange(3) for _ in range(rng.randrange(4, 30))] for _ in range(12)]
@@ -128,6 +136,27 @@ def test_ngram_join_agrees_with_brute_force(spark, odd_texts):
     assert ngram_join.keep_one(docs).columns == docs.columns
 
 
+def test_ngram_join_of_null_ids_repeated_rows_and_a_hot_shingle(spark):
+    rng = random.Random(19)
+    opening = "this page was printed on a rainy day"
+    texts = [f"{opening} {' '.join(prose(rng, rng.randrange(2, 12), 10**6))}" for _ in range(150)]  # all share shingles, few link
+    base = " ".join(prose(rng, 60))
+    rows = [(i, t, "en", "s", 0, "x", 7, 3) for i, t in enumerate([*texts, base, base + " end"], 10)]
+    rows += [(None, base, *rows[0][2:]), (None, None, *rows[0][2:]), (None, "lone text without any copy at all", *rows[0][2:]), rows[3], rows[3], (500, base, *rows[0][2:]), (500, "another text of one id, quite unlike", *rows[0][2:])]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs).collect()), key=str)
+    truth = near_truth([(k, r[1]) for k, r in enumerate(rows)])  # rows as nodes of their own
+    least: dict = {}
+    for k, (_, root) in truth.items():
+        if rows[k][0] is not None:
+            least[root] = min(least.get(root, rows[k][0]), rows[k][0])
+    # A set that is empty links with nothing: its component is its own id.
+    want = sorted(((rows[k][0], n, least.get(root)) for k, (n, root) in truth.items()), key=str)
+    assert got == want
+    kept = ngram_join.keep_one(docs).collect()
+    assert sum(r["doc_id"] is None for r in kept) == 3 and sum(r["doc_id"] == 13 for r in kept) == 3
+
+
 def test_components_agree_with_union_find(spark):
     rng = random.Random(5)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(100 + i, 101 + i) for i in range(30)] + [(None, 1), (3, None), (9, 9)]

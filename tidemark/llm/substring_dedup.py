@@ -26,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import discard, materialize, ready, release, scratch_path, session_of
+from ._shared import Scratch, materialize, ready, release, session_of
 
 WINDOW = 50
 #: Words that a minimiser spans.
@@ -228,7 +228,7 @@ def _stream(n: int):
             for key, text in zip(passages.column("key").to_pylist(), passages.column("passage").to_pylist(), strict=True):
                 found["key"].append(key)
                 found["owner"].append(machine.owners([number.get(x, -1) for x in text.split(" ")], None))
-        return pa.table({"key": pa.array(found["key"], pa.int64()), "owner": pa.array(found["owner"], pa.list_(pa.int64()))})
+        return pa.table({"key": pa.array(found["key"], pa.binary()), "owner": pa.array(found["owner"], pa.list_(pa.int64()))})
 
     return run
 
@@ -307,30 +307,39 @@ def _spell(w: W.Words, lo: int, hi: int, out: np.ndarray) -> bytes:
     return b" ".join(w.data[s:e].tobytes() for s, e in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True))
 
 
+def _digest(*parts) -> Column:
+    """SHA-256 of strings: texts are told apart by it, and never by a shorter hash alone."""
+    return F.unhex(F.sha2(F.concat_ws(":", *parts), 256))
+
+
 def repeated_windows(docs: DataFrame, *, n: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, starts) of documents (doc_id, text_key, text): windows that a smaller document holds too."""
     spark = session_of(docs)
+    scratch = Scratch(spark)
     known = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     # 1. Which passages can repeat: minimisers that several documents share.
-    scratch = scratch_path(spark, "anchors")
-    known.mapInArrow(_anchors(n), "anchor long, doc_id long, text_key long, at int, size int").write.option("compression", "zstd").parquet(scratch)
-    anchors = spark.read.parquet(scratch)
+    anchors = scratch.keep(known.mapInArrow(_anchors(n), "anchor long, doc_id long, text_key long, at int, size int"), "anchors", compression="zstd")
     # Written, so that Spark may split a minimiser that very many documents share when it joins.
-    shared = materialize(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared")
+    shared = scratch.keep(anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"), "shared")
     likely = anchors.join(shared, "anchor", "left_semi").groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "size")).alias("runs"))
     found = known.join(likely, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "runs").mapInArrow(_passages(n), "doc_id long, text_key long, at int, passage string")
-    passages = materialize(found.withColumn("key", F.xxhash64("passage", F.length("passage"))), "passages", compression="zstd")
-    discard(spark, scratch)
+    passages = scratch.keep(found.withColumn("sha", _digest("passage")), "passages", compression="zstd")
+    scratch.drop(anchors, shared)
+    release(spark)
+    # 2. Windows that recur, and their owners. Equal passages are one, and have a number from here on.
+    once = passages.groupBy("sha").agg(F.first("passage").alias("passage"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    distinct = scratch.keep(once.withColumn("key", F.monotonically_increasing_id()), "distinct", compression="zstd")
+    places = scratch.keep(passages.select("doc_id", "text_key", "at", "sha").join(distinct.select("sha", "key"), "sha").drop("sha"), "places", compression="zstd")
+    scratch.drop(passages)
     release(spark)
-    # 2. Windows that recur, and their owners. Equal passages are one.
-    distinct = materialize(passages.groupBy("key").agg(F.first("passage").alias("passage"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "distinct", compression="zstd")
     rows = distinct.select("key", "passage", "lo", "hi").mapInArrow(_windows(n), "window long, key long, i int, lo long, hi long")
     same = Window.partitionBy("window")
     owned = rows.withColumn("owner", F.min("lo").over(same)).withColumn("top", F.max("hi").over(same)).where("owner < top")
     own = owned.select("key", "i", "owner").groupBy("key").agg(F.collect_list(F.struct("i", "owner")).alias("owners"))
-    runs = distinct.join(own, "key").select("key", "passage", "lo", "hi", "owners").mapInArrow(_owned(n), "key long, lo long, hi long, at int, owner long, run string")
-    runs = runs.withColumn("run_key", F.xxhash64("run", F.length("run"), "owner")).withColumn("words", F.regexp_count("run", F.lit(" ")) + 1)
-    runs = materialize(runs, "runs", compression="zstd")
+    made = distinct.join(own, "key").select("key", "passage", "lo", "hi", "owners").mapInArrow(_owned(n), "key long, lo long, hi long, at int, owner long, run string")
+    made = made.withColumn("run_key", _digest(F.col("owner").cast("string"), "run")).withColumn("words", F.regexp_count("run", F.lit(" ")) + 1)
+    runs = scratch.keep(made, "runs", compression="zstd")
+    scratch.drop(distinct)
     release(spark)
     # 3. Reference shards and the passages that need them.
     reference = runs.where("owner = lo").select("owner", F.col("run").alias("passage"), "run_key", "words").dropDuplicates(["run_key"])
@@ -338,16 +347,19 @@ def repeated_windows(docs: DataFrame, *, n: int = WINDOW) -> DataFrame:
     shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int")
     asked = runs.where("hi > owner").groupBy("run_key").agg(F.first("owner").alias("owner"), F.first("run").alias("passage"), F.first("words").alias("words")).withColumn("shard", shard)
     parts = asked.groupBy("shard").agg(F.ceil(F.sum("words") / F.lit(STREAM_WORDS)).cast("int").alias("parts"))
-    asked = asked.join(parts, "shard").withColumn("part", F.pmod(F.col("run_key"), F.col("parts")).cast("int")).select("shard", "part", F.col("run_key").alias("key"), "passage")
+    asked = asked.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("run_key"), F.col("parts")).cast("int")).select("shard", "part", F.col("run_key").alias("key"), "passage")
     held = reference.withColumn("shard", shard).join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", "part", "owner", "passage")
-    decided = held.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_stream(n), "key long, owner array<long>")
-    decided = materialize(decided.select(F.col("key").alias("run_key"), F.col("owner").alias("least")), "decided")
+    decided = held.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_stream(n), "key binary, owner array<long>")
+    decided = scratch.keep(decided.select(F.col("key").alias("run_key"), F.col("owner").alias("least")), "decided", compression="zstd")
     # 4. Back to passages, then to their documents.
     per_passage = runs.select("key", "run_key", F.col("at").alias("from")).join(decided, "run_key").select("key", "from", "least")
-    spots = passages.select("doc_id", "text_key", "at", "key").join(per_passage, "key")
+    spots = places.join(per_passage, "key")
     starts = F.filter(F.transform("least", lambda o, k: F.when(o < F.col("doc_id"), F.col("at") + F.col("from") + k)), lambda x: x.isNotNull())
     spots = spots.select("doc_id", "text_key", starts.alias("starts")).where(F.size("starts") > 0)
-    return materialize(spots.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "windows")
+    gone = materialize(spots.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "windows", compression="zstd")
+    scratch.drop()
+    release(spark)
+    return gone
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
