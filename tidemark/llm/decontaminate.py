@@ -12,16 +12,17 @@ at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import ALNUM_WORD, Scratch, lower_ascii, materialize, ready, session_of
+from ._shared import Scratch, materialize, ready, session_of
 
 #: Words of a window.
 WINDOW = 10
@@ -122,25 +123,23 @@ def _blocks(items: DataFrame, item_col: str, text_col: str, n: int, block_bytes:
         yield WindowSet(part["name"].combine_chunks(), part["text"].combine_chunks(), n)
 
 
-def _found(docs: DataFrame, blocks: Iterator[WindowSet], scratch: Scratch) -> DataFrame:
-    """(key, items, spans) of the distinct texts (key, text) with hits, of all blocks together.
+def _found(texts: DataFrame, blocks: Iterable[WindowSet], scratch: Scratch) -> DataFrame | None:
+    """(key, items, spans) of the distinct texts (one column) with hits, of all blocks together; none without blocks.
 
     Each block is broadcast for one scan, whose hits are written; then it is
-    let go. Equal texts are told apart by nothing and become one row.
+    let go. A text's key is its SHA-256, so equal texts become one row.
     """
     spark, parts = scratch.spark, []
-    kind = f"key string, items array<string>, spans {_SPAN}"
     for block in blocks:
         shared = spark.sparkContext.broadcast(block)
-        hits = docs.mapInArrow(_scanner(shared), kind).groupBy("key").agg(F.first("items").alias("items"), F.first("spans").alias("spans"))
+        hits = texts.mapInArrow(_hitter(shared), _HITS).groupBy("key").agg(F.first("items").alias("items"), F.first("spans").alias("spans"))
         parts.append(scratch.keep(hits, "hits"))
         shared.destroy()
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    if not parts:
+        return None
     # As many rows of a key as there are blocks, at most.
-    lists = every.groupBy("key").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    return lists.select("key", F.array_sort(F.array_distinct("items")).alias("items"), "spans").mapInArrow(_united, kind)
+    lists = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    return lists.mapInArrow(_united, _HITS)
 
 
 def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -152,6 +151,9 @@ def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     id, n_words, n_hit (words inside any occurrence of a window), items (names
     of items that occur, sorted as strings), spans (hit word ranges).
 
+    The first block's scan gives every document's row; what further blocks
+    find joins it by the text's SHA-256.
+
     A null or empty text has no words and no hits. An item with a null text is
     skipped; one with a null name marks words but isn't named. Repeated rows
     each get their row; equal item rows count once. Other columns are ignored.
@@ -160,43 +162,78 @@ def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     spark = session_of(docs)
     ready(spark)
     scratch = Scratch(spark)
-    text = F.col(text_col).cast("string")
-    keyed = docs.select(F.sha2(text, 256).alias("key"), text.alias("text")).where("text IS NOT NULL")
-    found = materialize(_found(keyed, _blocks(items, item_col, item_text_col, n, block_bytes), scratch), "hits")
-    scratch.drop()
-    n_words = F.coalesce(F.regexp_count(lower_ascii(text), F.lit(ALNUM_WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("key"), n_words.alias("n_words"))
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    blocks = _blocks(items, item_col, item_text_col, n, block_bytes)
+    rows = f"id {docs.schema[id_col].dataType.simpleString()}, key string, n_words long, items array<string>, spans {_SPAN}"
+    found = slim.mapInArrow(_scanner(spark.sparkContext.broadcast(next(blocks))), rows)
+    more = _found(slim.select("text").where("text IS NOT NULL"), blocks, scratch)
+    if more is not None:
+        more = materialize(more.select("key", F.col("items").alias("items_too"), F.col("spans").alias("spans_too")), "hits")
+        scratch.drop()
+        none = F.array()
+        both = found.join(more, "key", "left").withColumns({"items": F.concat("items", F.coalesce("items_too", none.cast("array<string>"))), "spans": F.concat("spans", F.coalesce("spans_too", none.cast(_SPAN)))})
+        found = both.select("id", "key", "n_words", "items", "spans").mapInArrow(_united, rows)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return rows.join(found, "key", "left").select(
-        F.col("id").alias(id_col), "n_words", F.coalesce(n_hit, F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"),
-    )
+    return found.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 _SPAN_LIST = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
+_HITS = f"key string, items array<string>, spans {_SPAN}"
+
+
+def _key(data: np.ndarray) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
 def _scanner(shared):
+    """(id, text) -> a row for each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         W.make_room()
         known = shared.value
         for batch in batches:
-            rows, items, where = [], [], []
+            rows = batch.num_rows
+            n_words = np.zeros(rows, dtype=np.int64)
+            items: list = [[]] * rows
+            where: list = [[]] * rows
+            at, data = W.string_buffers(batch.column(1))
+            key = [_key(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             for w in W.words(batch.column(1), W.ALNUM, fold=True):
+                n_words[w.doc : w.doc + len(w)] = np.diff(w.first)
+                for d, (flags, found) in known.hits(w).items():
+                    items[w.doc + d] = sorted(known.names[i] for i in found if i >= 0)
+                    where[w.doc + d] = spans(flags)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key, pa.string()), pa.array(n_words), pa.array(items, pa.list_(pa.string())), pa.array(where, _SPAN_LIST)], names=["id", "key", "n_words", "items", "spans"])
+
+    return run
+
+
+def _hitter(shared):
+    """Texts -> a row for each with hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        W.make_room()
+        known = shared.value
+        for batch in batches:
+            key, items, where = [], [], []
+            at, data = W.string_buffers(batch.column(0))
+            for w in W.words(batch.column(0), W.ALNUM, fold=True):
                 for d, (flags, found) in known.hits(w).items():
-                    rows.append(w.doc + d)
+                    key.append(_key(data[at[w.doc + d] : at[w.doc + d + 1]]))
                     items.append([known.names[i] for i in found if i >= 0])
                     where.append(spans(flags))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(items, pa.list_(pa.string())), pa.array(where, _SPAN_LIST)], names=["key", "items", "spans"])
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(items, pa.list_(pa.string())), pa.array(where, _SPAN_LIST)], names=["key", "items", "spans"])
 
     return run
 
 
 def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans that touch or overlap become one."""
+    """Names once and in order; spans that touch or overlap become one."""
     for batch in batches:
         where = []
-        for every in batch.column(2).to_pylist():
+        for every in batch.column("spans").to_pylist():
             done: list[dict[str, int]] = []
             for s in sorted(every, key=lambda s: (s["start"], s["end"])):
                 if done and s["start"] <= done[-1]["end"]:
@@ -204,7 +241,9 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     done.append(s)
             where.append(done)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(where, _SPAN_LIST)], names=["key", "items", "spans"])
+        items = [sorted(set(x)) for x in batch.column("items").to_pylist()]
+        out = batch.set_column(batch.schema.get_field_index("items"), "items", pa.array(items, pa.list_(pa.string())))
+        yield out.set_column(out.schema.get_field_index("spans"), "spans", pa.array(where, _SPAN_LIST))
 
 
 def remove_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -253,8 +292,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, *, text_col: str = "text", i
     ready(spark)
     scratch = Scratch(spark)
     key = F.sha2(F.col(text_col).cast("string"), 256)
-    keyed = docs.select(key.alias("key"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    found = materialize(_found(keyed, _blocks(items, item_col, item_text_col, n, block_bytes), scratch), "hits")
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
+    found = materialize(_found(texts, _blocks(items, item_col, item_text_col, n, block_bytes), scratch), "hits")
     scratch.drop()
     at = docs.columns.index(text_col)
     found = found.select(F.col("key").alias("__hit_key"), F.col("spans").alias("__hit_spans"))
