@@ -4,6 +4,11 @@ Language ID drops documents without a known language; the n-gram Jaccard join
 keeps one document of each group of near copies; decontamination drops
 documents that hold benchmark windows; mixing brings sources to their target
 shares; the last stage writes token files and returns their digest.
+
+Documents with a null text, or without letters, go in the first stage. A null id
+is a document of its own to the second stage, which keeps it; rows that share
+an id go together there, and are mixed alike. Columns beside those of documents
+pass through every stage but the last. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import decontaminate, language_id, mixing, ngram_join, token_files
-from tidemark.llm._shared import materialize, table
+from tidemark.llm._shared import Scratch, materialize, table
 
 #: SQL can't express the learned model of the first stage.
 ORACLE_SQL = None
@@ -41,7 +46,11 @@ STAGES = [("language_id", identify_language), ("ngram_join", drop_near_copies),
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+        kept = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)  # a stage's output goes once the next one has its own
+        docs = kept
+    digest = materialize(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+    scratch.drop()
+    return digest
