@@ -12,18 +12,13 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from truth import ALNUM, SPACED, decontamination_truth, fold, near_truth
 
 from tidemark.llm import _shared, _words as words, ann, components, decontaminate, language_id, license_scan, mixing, ngram_join, quality_knn, secret_scan, substring_dedup, token_files
 
-ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words string, id long, size int"
 
 
-def fold(text):
-    return (text or "").translate({i: i + 32 for i in range(65, 91)})
-
-
 def prose(rng, n, words=400):
     return [f"w{rng.randrange(words)}é" for _ in range(n)]
 
@@ -96,28 +91,6 @@ def test_automaton_finds_the_smallest_owner():
         assert machine.owners(q) == want
 
 
-def near_truth(rows, similarity=75):
-    sets = {}
-    for i, t in rows:
-        w = SPACED.findall(fold(t))
-        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    ids = sorted(sets)
-    for a in ids:
-        for b in ids:
-            both = len(sets[a] & sets[b])
-            if a < b and both and 100 * both >= similarity * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in sets}
-
-
 def test_ngram_join_agrees_with_brute_force(spark, odd_texts):
     rng = random.Random(4)
     texts = list(odd_texts)
@@ -176,25 +149,6 @@ def test_components_agree_with_union_find(spark):
     assert got == {x: find(x) for x in list(root)}
 
 
-def decontamination_truth(docs, items, n=10):
-    windows = defaultdict(set)
-    for name, t in items:
-        w = ALNUM.findall(fold(t))
-        size = min(n, len(w))
-        for k in range(len(w) - size + 1) if size else ():
-            windows[tuple(w[k : k + size])].add(name)
-    sizes = {len(g) for g in windows}
-    for t in docs:
-        w = ALNUM.findall(fold(t))
-        hit, names = np.zeros(len(w), bool), set()
-        for size in sizes:
-            for k in range(len(w) - size + 1):
-                if found := windows.get(tuple(w[k : k + size])):
-                    hit[k : k + size] = True
-                    names |= found
-        yield len(w), int(hit.sum()), sorted(str(x) for x in names if x is not None)
-
-
 def test_decontamination_agrees_with_brute_force_in_one_and_many_blocks(spark, odd_texts):
     rng = random.Random(6)
     items = [(1, " ".join(prose(rng, 14))), (2, "Tiny item!"), (10, None), (11, "..."), (None, " ".join(prose(rng, 12))), (3, "One")]

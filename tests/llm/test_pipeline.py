@@ -3,12 +3,33 @@
 from __future__ import annotations
 
 import corpus_pipeline as P
-from test_corpus import decontamination_truth, near_truth
+from pyspark.sql import functions as F
+from truth import decontamination_truth, near_truth
 
 from tidemark.llm import language_id, mixing
 from tidemark.llm._shared import table
 
 
+def test_pipeline_of_an_empty_table_and_of_odd_rows(spark, tmp_path):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    table(spark, "/root/testdata/sf0.001", "benchmark").write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert P.run(spark, str(tmp_path / "none")).count() == 0
+    # null ids, an id of two texts, repeated rows, a very long text, and columns whose names the stages use inside
+    some = docs.limit(60).withColumns({"id": F.lit(1), "key": F.lit("k"), "cls": F.lit(2), "row": F.lit(3), "__copies": F.lit(0)})
+    first = docs.where("text IS NOT NULL AND length(text) > 300").orderBy("doc_id").first()
+    extra = [(None, first["text"] + " and some words more that no other has", "en", "s", 0), (None, None, None, None, None), (first["doc_id"], " ".join(f"w{i % 977} and the w{i % 31}" for i in range(20_000)), "en", None, 9)]
+    odd = spark.createDataFrame(extra, docs.schema).withColumns({"id": F.lit(1), "key": F.lit("k"), "cls": F.lit(2), "row": F.lit(3), "__copies": F.lit(0)})
+    now = some.unionByName(odd).unionByName(some.limit(5))
+    for name, stage in P.STAGES[:-1]:
+        made = stage(spark, now, "/root/testdata/sf0.001")
+        assert made.columns == now.columns
+        now = P.materialize(made, name)
+        assert now.count() > 0 and now.where("text IS NULL").count() == 0
+    last = P.STAGES[-1][1](spark, now, "")
+    assert last.count() == now.count()
+
+
 def test_stages_do_their_work_on_all_that_came_before(spark):
     sf = "/root/testdata/sf0.001"
     docs = table(spark, sf, "documents")

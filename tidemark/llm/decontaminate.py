@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import Scratch, materialize, ready, session_of
+from ._shared import Scratch, materialize, ready, session_of, unused
 
 #: Words of a window.
 WINDOW = 10
@@ -296,8 +296,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, *, text_col: str = "text", i
     found = materialize(_found(texts, _blocks(items, item_col, item_text_col, n, block_bytes), scratch), "hits")
     scratch.drop()
     at = docs.columns.index(text_col)
-    found = found.select(F.col("key").alias("__hit_key"), F.col("spans").alias("__hit_spans"))
-    joined = docs.join(found, key == F.col("__hit_key"), "left").drop("__hit_key")
+    name, cut = unused(docs, "hit_key"), unused(docs, "hit_spans")
+    joined = docs.join(found.select(F.col("key").alias(name), F.col("spans").alias(cut)), key == F.col(name), "left").drop(name)
     return joined.mapInArrow(_cutter(at, len(docs.columns)), docs.schema)
 
 

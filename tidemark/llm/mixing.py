@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import SPACE_WORD, materialize, session_of
+from ._shared import SPACE_WORD, materialize, unused
 
 #: Weights of the sources in order, repeated as often as needed.
 WEIGHTS = (5, 2, 1)
@@ -98,7 +98,8 @@ def materialise(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFr
     """
     times = mix(docs, id_col=id_col, **options)
     copies = times.groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).cast("int").alias("copies"))
-    copies = copies.select(F.col("doc_id").alias("__mixed_id"), F.col("copies").alias("__copies")).where("__copies > 0")
+    mixed, many, one = (unused(docs, n) for n in ("mixed_id", "copies", "copy"))
+    copies = copies.where("copies > 0").select(F.col("doc_id").alias(mixed), F.col("copies").alias(many))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    found = docs.join(copies, docs[id_col].eqNullSafe(copies["__mixed_id"]))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    found = docs.join(copies, F.col(f"`{id_col}`").eqNullSafe(F.col(mixed)))
+    return found.withColumn(one, F.explode(F.sequence(F.lit(1), F.col(many)))).select(*names)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import Scratch, arrow_rows, materialize, ready, release, session_of
+from ._shared import Scratch, arrow_rows, materialize, ready, release, session_of, unused
 from .components import components
 
 SHINGLE = 5
@@ -389,4 +389,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "__gone"), F.col(id_col) == F.col("__gone"), "left_anti")
+    name = unused(docs, "gone")
+    return docs.join(gone.withColumnRenamed("doc_id", name), F.col(id_col) == F.col(name), "left_anti")
