@@ -151,10 +151,10 @@ def dice_path(sim: np.ndarray, free_start: bool = True) -> list[tuple[int, int]]
         best[1:, 0] = -0.2 * np.arange(1, n + 1)
     move = np.zeros((n + 1, m + 1), dtype=np.int8)
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            options = (best[i - 1, j - 1] + sim[i - 1, j - 1], best[i - 1, j] - 0.2, best[i, j - 1])
-            move[i, j] = int(np.argmax(options))
-            best[i, j] = options[move[i, j]]
+        take, drop = best[i - 1, :-1] + sim[i - 1], best[i - 1, 1:] - 0.2
+        base = np.maximum(take, drop)
+        best[i, 1:] = np.maximum(np.maximum.accumulate(base), best[i, 0])
+        move[i, 1:] = np.where(best[i, 1:] > base, 2, np.where(take >= drop, 0, 1))
     pairs, i, j = [], n, m
     while i and j:
         if move[i, j] == 0:

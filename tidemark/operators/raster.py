@@ -81,3 +81,28 @@ def measures(bar_lines: DataFrame, key: str) -> DataFrame:
     """Rectangles between neighbouring bar lines: (system, number, from, to)."""
     w = Window.partitionBy(key, "system").orderBy("place")
     return bar_lines.withColumns({"to": F.lead("place").over(w), "number": F.row_number().over(w)}).where("to IS NOT NULL").select(key, "system", "number", F.col("place").alias("from"), "to")
+
+
+def skew_of(page: np.ndarray, reach: float = 3.0, step: float = 0.25) -> float:
+    """Degrees by which a page leans: of slants within reach, the one along which dark pixels fall into the sharpest rows."""
+    y, x = np.nonzero(page < DARK)
+    if not len(y):
+        return 0.0
+    best = (-1.0, 0.0, 0.0)
+    for angle in np.arange(-reach, reach + step / 2, step):
+        rows = np.round(y - x * np.tan(np.radians(angle))).astype(int)
+        share = np.bincount(rows - rows.min()).astype(float)
+        best = max(best, (float((share**2).sum()), -abs(float(angle)), float(angle)))
+    return round(best[2], 2)
+
+
+def skews(pages: DataFrame, key: str, width: str, height: str, pixels: str) -> DataFrame:
+    """(key, degrees) of each page; a page without dark pixels leans by 0."""
+    ready(pages.sparkSession)
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "degrees": [skew_of(np.frombuffer(bytes(p), dtype=np.uint8).reshape(h, w)) for w, h, p in zip(b[width], b[height], b[pixels], strict=True)]})
+
+    return pages.select(key, width, height, pixels).mapInPandas(run, f"{key} {kind}, degrees double")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import aggregates as A
 from tidemark.operators import matching as M
 from tidemark.operators import pairing as P
+from tidemark.operators import performance as R
 from tidemark.operators import quality as Q
 from tidemark.operators import store as S
 from tidemark.plans.catalog import _DEV, _E, _deviations, query
@@ -302,6 +303,22 @@ def spaced_candidates(spark: SparkSession, d: str) -> DataFrame:
     return P.spaced_best(events(spark, d).where("value IS NOT NULL"), ["user_id"], "t", "value", 86400.0).select("user_id", F.round("t", 6).alias("t"), "value")
 
 
+@query(f"""
+WITH {_E}, n AS (SELECT user_id, event_id AS id, (event_id % 40 + 40)::DOUBLE AS target, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN value * 20 ELSE value END AS own, t - 200000.0 AS lo, t + 200000.0 AS hi, event_id % 2 = 0 AS weak FROM e WHERE event_type = 'purchase'),
+f AS (SELECT user_id, t, (event_id % 40 + 40)::DOUBLE AS midi FROM e WHERE event_type = 'view' AND (event_id % 10) / 10.0 >= 0.5),
+m AS (SELECT n.user_id, id, median(midi) AS m FROM n JOIN f ON n.user_id = f.user_id AND t BETWEEN lo AND hi GROUP BY n.user_id, id HAVING count(*) >= 4),
+s AS (SELECT n.*, round((m - target) * 100, 1) AS second FROM n LEFT JOIN m USING (user_id, id)),
+k AS (SELECT *, CASE WHEN own IS NULL AND second IS NOT NULL AND NOT (weak AND abs(second) > 200) THEN 'filled' WHEN own IS NOT NULL AND abs(own) > 1000 AND second IS NOT NULL THEN 'replaced' WHEN own IS NOT NULL THEN 'own' ELSE 'none' END AS source FROM s)
+SELECT id AS event_id, second, CASE WHEN source IN ('filled', 'replaced') THEN second ELSE own END AS cents, source FROM k
+""")
+def second_opinions(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("event_id")
+    e = events(spark, d).withColumn("midi", (i % 40 + 40).cast("double"))
+    notes = e.where("event_type = 'purchase'").select("user_id", i.alias("id"), F.col("midi").alias("target"), F.when(i % 3 == 1, F.col("value") * 20).when(i % 3 == 2, F.col("value")).alias("cents"), (F.col("t") - 200000.0).alias("lo"), (F.col("t") + 200000.0).alias("hi"), (i % 2 == 0).alias("weak"))
+    frames = e.where("event_type = 'view'").select("user_id", "t", "midi", ((i % 10) / 10.0).alias("voicing"))
+    return R.second_opinion(notes, frames, ["user_id"], width=200000.0).select(F.col("id").alias("event_id"), "second", "cents", "source")
+
+
 @query()
 def two_stage_offset(spark: SparkSession, d: str) -> DataFrame:
     """How far each user's clicks lie off the grid of their views; the second stage steps from the best so far."""
