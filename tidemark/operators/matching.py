@@ -248,3 +248,15 @@ def two_stage_offset(grid: DataFrame, heard: DataFrame, keys: list[str], interva
         return pd.DataFrame([(*key, round(best, 4), round(mean * 1000, 1), round(float((away(best) <= 0.05).mean()), 3))], columns=spec.fieldNames())
 
     return cogroup(grid.select(*keys, "t"), heard.select(*keys, "t"), keys, fold, spec)
+
+
+def grid_offset(times: DataFrame, keys: list[str], t: str, step: float, shifts: list[float]) -> DataFrame:
+    """(shift, residual): of a regular grid's shifts, the one with the least median distance (to 3 decimals; ties: the first).
+
+    A key's times are gathered once, and every shift is tried on that list.
+    """
+    middle = lambda x: (F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")) + F.get(x, F.floor(F.size(x) / 2).cast("int"))) / 2
+    held = times.where(F.col(t).isNotNull()).groupBy(*keys).agg(F.collect_list(F.col(t).cast("double")).alias("_t"))
+    away = lambda shift: F.array_sort(F.transform("_t", lambda x: grid_distance(x, shift, step)))
+    tried = F.transform(F.array(*(F.lit(float(s)) for s in shifts)), lambda s: F.struct(F.round(F.element_at(F.transform(F.array(away(s)), middle), 1), 3).alias("residual"), s.alias("shift")))
+    return held.select(*keys, F.array_min(tried).alias("b")).select(*keys, "b.shift", "b.residual")

@@ -48,14 +48,19 @@ def verified(df: DataFrame, result: str, status: str) -> DataFrame:
 
 
 def admit(jobs: DataFrame, requests: DataFrame, key: str, created: str, pending: int = 4) -> DataFrame:
-    """Requests with their fate: ``reused`` (same content is known or asked for before), ``refused`` or ``queued``."""
+    """Requests with their fate: ``reused`` (same content is known or asked for before), ``refused`` or ``queued``.
+
+    Only as many requests as may be pending are ever put in order, whatever comes in.
+    """
     known = requests.join(jobs.where(F.col("status").isin("queued", "running", "succeeded")).select(key).distinct().withColumn("_known", F.lit(True)), key, "left")
     first = F.row_number().over(Window.partitionBy(key).orderBy(created)) == 1
     marked = known.withColumn("_new", first & F.col("_known").isNull())
     busy = jobs.where(F.col("status").isin("queued", "running")).agg(F.count("*").alias("_busy"))
-    place = F.sum(F.col("_new").cast("int")).over(Window.orderBy(created).rowsBetween(Window.unboundedPreceding, 0))
-    seen = marked.join(F.broadcast(busy), how="cross").withColumn("_place", place)
-    return seen.withColumn("fate", F.when(~F.col("_new"), "reused").when(F.col("_busy") + F.col("_place") > pending, "refused").otherwise("queued")).drop("_known", "_new", "_busy", "_place")
+    ahead = marked.where("_new").select(key, created).orderBy(created, key).limit(pending)
+    place = F.row_number().over(Window.orderBy(created, key))
+    taken = ahead.withColumn("_place", place).join(F.broadcast(busy), how="cross").where(F.col("_busy") + F.col("_place") <= pending).select(key, F.lit(True).alias("_taken"))
+    seen = marked.join(taken, key, "left")
+    return seen.withColumn("fate", F.when(~F.col("_new"), "reused").when(F.col("_taken"), "queued").otherwise("refused")).drop("_known", "_new", "_taken")
 
 
 def recovered(jobs: DataFrame) -> DataFrame:

@@ -295,11 +295,8 @@ WITH {_E}, g AS (SELECT user_id, k * 60.0 AS shift, median(least((t - k * 60.0)
 SELECT user_id, shift::DOUBLE AS shift, round(residual, 3) AS residual FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(residual, 3), shift) = 1
 """)
 def grid_offset_fit(spark: SparkSession, d: str) -> DataFrame:
-    shifts = F.explode(F.sequence(F.lit(0), F.lit(59))).alias("k")
-    tried = events(spark, d).select("user_id", "t", shifts).withColumn("shift", F.col("k") * 60.0)
-    fit = tried.groupBy("user_id", "shift").agg(F.round(F.median(M.grid_distance(F.col("t"), F.col("shift"), 3600.0)), 3).alias("residual"))
-    best = fit.groupBy("user_id").agg(F.min(F.struct("residual", "shift")).alias("b"))
-    return best.select("user_id", "b.shift", "b.residual")
+    """Of sixty shifts of an hourly grid, the one with the least median distance of a user's events."""
+    return M.grid_offset(events(spark, d), ["user_id"], "t", 3600.0, [60.0 * k for k in range(60)])
 
 
 @query(f"""
