@@ -35,6 +35,8 @@ BUCKETS = 1 << 16
 SMALL = 8
 #: Leaders to which a larger group is tied before its pairs are drawn.
 LEADERS = 8
+#: Times the mean count of a bucket of the sketch from which its shingles are hot, and parts that their groups are dealt into.
+HOT, SALTS = 4, 1024
 BITS = 16  # words of 64 bits of a set's bitmap
 CELLS = 512  # counts of a set's histogram
 #: Words of the filter that says which sets a scan must hand out: a fixed size.
@@ -212,6 +214,27 @@ def _like(n: Column, bits: Column, m: Column, other: Column, similarity: int) ->
     return _differ(bits, other) <= n + m - 2 * _need(n, m, similarity)
 
 
+def _shared_prefixes(prefix: DataFrame, hot_from: int, scratch: Scratch) -> DataFrame:
+    """(token, cls, n, pos, g): prefix rows whose shingle at least two classes have, and how many do.
+
+    One exchange of all rows. A shingle's group has no more rows than the
+    sketch counts in its bucket; the groups of buckets that hold far more than
+    others (ranks from ``hot_from`` on) are dealt out by class as well, and
+    counted by an aggregation that is joined back.
+    """
+    hot = F.shiftrightunsigned("token", 48) >= hot_from
+    spread = prefix.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).otherwise(-1))
+    part = Window.partitionBy("token", "salt")
+    kept = spread.withColumns({"lo": F.min("cls").over(part), "hi": F.max("cls").over(part)}).where("salt >= 0 OR lo < hi")
+    kept = kept.groupBy("token", "salt", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).withColumn("g", F.count("*").over(part))
+    rows = scratch.keep(kept, "prefixes", compression="zstd")
+    crowds = rows.where("salt >= 0").groupBy("token").agg(F.count("*").alias("all")).where(F.col("all") > 1)
+    crowded = rows.where("salt >= 0").drop("g").join(crowds, "token").select("token", "cls", "n", "pos", F.col("all").alias("g"))
+    group = scratch.keep(rows.where("salt < 0").select("token", "cls", "n", "pos", "g").unionAll(crowded), "prefixes", compression="zstd")
+    scratch.drop(rows)
+    return group
+
+
 def _small_pairs(group: DataFrame, info: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) that share enough prefix shingles for what the suffixes can add."""
     x, y = group.alias("x"), group.alias("y")
@@ -296,12 +319,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
     ranks = spark.sparkContext.broadcast(rank)
     rows = profile.where("bucket IS NULL").select("doc_id", "row", "cls", "n", "bitmap", "cells")
-    # 2. Prefixes, and of them those that at least two classes share: one exchange, by shingle.
+    # 2. Prefixes, and of them those that at least two classes share.
     prefix = slim.where("text IS NOT NULL").select("text").mapInArrow(_prefixer(ranks, size, similarity), "token long, cls long, n int, pos int")
-    by_token = Window.partitionBy("token")
-    shared = prefix.withColumn("lo", F.min("cls").over(by_token)).withColumn("hi", F.max("cls").over(by_token)).where("lo < hi")
-    shared = shared.groupBy("token", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).withColumn("g", F.count("*").over(by_token))
-    group = scratch.keep(shared, "prefixes", compression="zstd")
+    group = _shared_prefixes(prefix, int((np.sort(counts) <= HOT * counts.mean()).sum()), scratch)
     ranks.destroy()
     release(spark)
     members = scratch.keep(rows.select("doc_id", "cls", F.col("n").alias("n_shingles")), "members")
