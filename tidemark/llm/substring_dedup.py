@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
@@ -333,13 +333,15 @@ def repeated_windows(docs: DataFrame, *, n: int = WINDOW) -> DataFrame:
     scratch.drop(passages)
     release(spark)
     rows = distinct.select("key", "passage", "lo", "hi").mapInArrow(_windows(n), "window long, key long, i int, lo long, hi long")
-    same = Window.partitionBy("window")
-    owned = rows.withColumn("owner", F.min("lo").over(same)).withColumn("top", F.max("hi").over(same)).where("owner < top")
-    own = owned.select("key", "i", "owner").groupBy("key").agg(F.collect_list(F.struct("i", "owner")).alias("owners"))
+    # Aggregated and joined back, so that a window that very many passages share is summed before it moves, and split after.
+    again = rows.groupBy("window").agg(F.min("lo").alias("owner"), F.max("hi").alias("top")).where("owner < top").select("window", "owner")
+    again = scratch.keep(again, "recurring", compression="zstd")
+    release(spark)
+    own = rows.select("window", "key", "i").join(again, "window").groupBy("key").agg(F.collect_list(F.struct("i", "owner")).alias("owners"))
     made = distinct.join(own, "key").select("key", "passage", "lo", "hi", "owners").mapInArrow(_owned(n), "key long, lo long, hi long, at int, owner long, run string")
     made = made.withColumn("run_key", _digest(F.col("owner").cast("string"), "run")).withColumn("words", F.regexp_count("run", F.lit(" ")) + 1)
     runs = scratch.keep(made, "runs", compression="zstd")
-    scratch.drop(distinct)
+    scratch.drop(distinct, again)
     release(spark)
     # 3. Reference shards and the passages that need them.
     reference = runs.where("owner = lo").select("owner", F.col("run").alias("passage"), "run_key", "words").dropDuplicates(["run_key"])
