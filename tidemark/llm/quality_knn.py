@@ -141,11 +141,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+_SPARSE = "label int, feature array<int>, value array<float>"
+
+
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     W.make_room()
     for batch in batches:
         for row, x in features(batch.column(1)):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
+            at, feature = np.nonzero(x)
+            ends = pa.array(np.searchsorted(at, np.arange(len(x) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (feature.astype(np.int32), x[at, feature])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(x)), *lists], names=["label", "feature", "value"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = SAMPLE_OF_CLASS, dimensions: int = DIMENSIONS) -> Model:
@@ -169,24 +175,31 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     chosen = known.withColumn("draw", draw).where(F.col("draw") / F.lit(float(1 << 40)) < shares[F.col("label")])
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL").join(F.broadcast(chosen), "id")
     place = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id", F.xxhash64("text")))
-    got = texts.withColumn("place", place).where(F.col("place") <= per_class).select("label", "text").mapInArrow(_vectors, "label int, x binary").toArrow().combine_chunks()
-    raw = got["x"].combine_chunks()
-    x = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.float32).reshape(-1, FEATURES)
+    got = texts.withColumn("place", place).where(F.col("place") <= per_class).select("label", "text").mapInArrow(_vectors, _SPARSE).toArrow().combine_chunks()
     y = np.asarray(got["label"]).astype(np.float64)
-    order = np.lexsort((x @ np.arange(1, FEATURES + 1, dtype=np.float32), y))
-    return learn(x[order], y[order], prior, dimensions)
+    lists = got["feature"].combine_chunks()
+    size, feature, value = np.diff(np.asarray(lists.offsets)), np.asarray(lists.flatten()), np.asarray(got["value"].combine_chunks().flatten())
+    row = np.repeat(np.arange(len(y)), size)
+    # Reruns agree, whatever the rows' order. The driver holds the sample once, dense, beside these.
+    order = np.lexsort((np.bincount(row, value * (feature + 1.0), minlength=len(y)), y))
+    place = np.empty(len(y), dtype=np.int64)
+    place[order] = np.arange(len(y))
+    x = np.zeros((len(y), FEATURES), dtype=np.float32)
+    x[place[row], feature] = value
+    return learn(x, y[order], prior, dimensions)
 
 
 def learn(x: np.ndarray, y: np.ndarray, prior: float, dimensions: int) -> Model:
-    """The model of labelled vectors. A vote counts as its class is common among all labels, against the sample."""
+    """The model of labelled vectors, which are scaled in place. A vote counts as its class is common among all labels, against the sample."""
     if not len(x):
         return Model(np.ones(FEATURES, np.float32), np.zeros((FEATURES, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0), np.zeros(0), prior)
-    found = (x > 0).sum(0)
+    found = np.concatenate([np.count_nonzero(x[:, k : k + 512], axis=0) for k in range(0, x.shape[1], 512)])
     scale = (np.log((1 + len(x)) / (1 + found)) + 0.3).astype(np.float32)
     scale[:HASHED] *= WORD_WEIGHT
     scale[HASHED : 2 * HASHED] *= WORD_WEIGHT
     scale[GRAMS:] = 1.5
-    a = x * scale
+    a = x
+    a *= scale
     rng = np.random.default_rng(3)
     rank = min(dimensions, *a.shape)
     q = np.linalg.qr(a.T @ (a @ rng.standard_normal((a.shape[1], min(rank + 16, min(a.shape)))).astype(np.float32)))[0]
@@ -197,7 +210,8 @@ def learn(x: np.ndarray, y: np.ndarray, prior: float, dimensions: int) -> Model:
     share = float(y.mean())
     weight = np.where(y > 0, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
     model = Model(scale, basis, np.zeros((0, rank), np.float32), y, weight, prior)
-    model.vectors = model.project(x).astype(np.float32)
+    latent = a @ basis
+    model.vectors = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     return model
 
 
