@@ -46,7 +46,7 @@ def test_query_agrees_with_sql(spark, tables, duck, name):
 
 def test_every_query_has_sql_and_entry_runs(spark):
     # What folds or aligns has no SQL; test_operators holds it against its rules.
-    assert set(QUERIES) - set(ORACLES) == {"lcs_opening", "edit_align", "locate_excerpt", "dtw_documents", "job_state_fold", "strict_onset_match", "greedy_match", "outlier_anchors", "two_stage_offset", "same_pitch_pairs", "wrong_note_pairs", "octave_pairs"}
+    assert set(QUERIES) - set(ORACLES) == {"edit_align", "locate_excerpt", "dtw_documents", "outlier_anchors", "two_stage_offset", "same_pitch_pairs", "wrong_note_pairs", "octave_pairs"}
     for name in set(QUERIES) - set(ORACLES):
         found = QUERIES[name](spark, "/root/testdata/sf0.001")
         # A count prunes all columns: folds of two sides of one table must still see theirs.

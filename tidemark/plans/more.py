@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions import expr as X
 from tidemark.operators import aggregates as A
 from tidemark.operators import alignment as L
 from tidemark.operators import matching as M
@@ -207,7 +206,17 @@ def retention(spark: SparkSession, d: str) -> DataFrame:
     return S.newest(o, ["o_custkey"], "o", 10).select("o_custkey", "o_orderkey")
 
 
-@query()
+#: Cells of a row of the longest common subsequence with the template, each from the one before it and the row above.
+_LCS: list[str] = []
+for _j, _x in enumerate(("view", "click", "view", "click", "purchase"), 1):
+    _corner = f"a.r[{_j - 1}] + 1" if _j > 1 else "1"
+    _LCS.append(f"CASE WHEN x.e = '{_x}' THEN {_corner} ELSE greatest(a.r[{_j}], {_LCS[-1] if _LCS else 0}) END")
+
+
+@query(f"""
+WITH {_E}, s AS (SELECT user_id, list(struct_pack(e := event_type, r := [0, 0, 0, 0, 0]) ORDER BY t, event_id) AS xs FROM e GROUP BY user_id)
+SELECT user_id, list_reduce(list_prepend(struct_pack(e := '', r := [0, 0, 0, 0, 0]), xs), lambda a, x: struct_pack(e := x.e, r := [{", ".join(_LCS)}])).r[5] AS matched FROM s
+""")
 def lcs_opening(spark: SparkSession, d: str) -> DataFrame:
     """How much of a template each user's events follow, in order."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
@@ -252,21 +261,44 @@ def dtw_documents(spark: SparkSession, d: str) -> DataFrame:
     return turns.where("conv_id IS NOT NULL").groupBy("conv_id").applyInPandas(fold, "conv_id long, cost double")
 
 
-@query()
+#: What may follow a state, as SQL.
+_NEXT = "CASE a.s " + " ".join(f"WHEN '{state}' THEN {after}" for state, after in ST.TRANSITIONS.items()) + " END"
+
+
+@query(f"""
+WITH {_E}, s AS (SELECT user_id, list(struct_pack(s := CASE event_type WHEN 'view' THEN 'validating' WHEN 'click' THEN 'preparing' WHEN 'purchase' THEN 'submitting' WHEN 'signup' THEN 'polling' WHEN 'error' THEN 'failed' ELSE 'cancelled' END, n := 0) ORDER BY t, event_id) AS xs FROM e GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(list_prepend(struct_pack(s := 'idle', n := 0), xs), lambda a, x: CASE WHEN list_contains({_NEXT}, x.s) THEN struct_pack(s := x.s, n := a.n) ELSE struct_pack(s := a.s, n := a.n + 1) END) AS r FROM s)
+SELECT user_id, r.s AS state, 0::BIGINT AS generation, r.n::BIGINT AS rejected FROM r
+""")
 def job_state_fold(spark: SparkSession, d: str) -> DataFrame:
     steps = F.create_map(*(F.lit(v) for pair in {"view": "validating", "click": "preparing", "purchase": "submitting", "signup": "polling", "error": "failed"}.items() for v in pair))
     e = events(spark, d).select("user_id", "t", "event_id", (F.col("day") * 0).cast("long").alias("generation"), F.coalesce(steps[F.col("event_type")], F.lit("cancelled")).alias("action"))
     return ST.job_states(e, "user_id", ["t", "event_id"], "generation", "action")
 
 
-@query()
+@query(f"""
+WITH {_E}, v AS (SELECT user_id, list(t ORDER BY t) AS free FROM e WHERE event_type = 'view' GROUP BY user_id),
+c AS (SELECT user_id, list(struct_pack(t := t, id := event_id, last := 0.0::DOUBLE, outs := []::STRUCT(id BIGINT, o DOUBLE, m BOOLEAN)[]) ORDER BY t, event_id) AS xs FROM e WHERE event_type = 'click' GROUP BY user_id),
+j AS (SELECT c.user_id, xs, coalesce(free, []::DOUBLE[]) AS free FROM c LEFT JOIN v USING (user_id)),
+r AS (SELECT user_id, list_reduce(list_prepend(struct_pack(t := 0.0::DOUBLE, id := 0::BIGINT, last := 0.0::DOUBLE, outs := []::STRUCT(id BIGINT, o DOUBLE, m BOOLEAN)[]), xs), lambda a, x: struct_pack(t := x.t, id := x.id,
+  last := CASE WHEN len(list_filter(free, lambda y: y > a.last AND y >= x.t - 3600 AND y <= x.t + 3600)) > 0 THEN list_sort(list_transform(list_filter(free, lambda y: y > a.last AND y >= x.t - 3600 AND y <= x.t + 3600), lambda y: struct_pack(d := abs(y - x.t), y := y)))[1].y ELSE a.last END,
+  outs := list_append(a.outs, CASE WHEN len(list_filter(free, lambda y: y > a.last AND y >= x.t - 3600 AND y <= x.t + 3600)) > 0 THEN struct_pack(id := x.id, o := list_sort(list_transform(list_filter(free, lambda y: y > a.last AND y >= x.t - 3600 AND y <= x.t + 3600), lambda y: struct_pack(d := abs(y - x.t), y := y)))[1].y, m := true) ELSE struct_pack(id := x.id, o := x.t, m := false) END))).outs AS outs FROM j)
+SELECT user_id, u.id AS id, u.o AS onset, u.m AS matched FROM (SELECT user_id, unnest(outs) AS u FROM r)
+""")
 def strict_onset_match(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     notes = e.where("event_type = 'click'").select("user_id", F.col("event_id").alias("id"), F.col("t").alias("ref"), F.lit(7200.0).alias("dur"))
     return M.monotone_onsets(notes, e.where("event_type = 'view'").select("user_id", "t"), ["user_id"], reach=3600.0, share=0.5)
 
 
-@query()
+@query(f"""
+WITH {_E}, v AS (SELECT user_id, list(t ORDER BY t) AS free FROM e WHERE event_type = 'view' GROUP BY user_id),
+c AS (SELECT user_id, list(struct_pack(t := t, free := []::DOUBLE[], outs := []::STRUCT(a DOUBLE, b DOUBLE)[]) ORDER BY t) AS xs FROM e WHERE event_type = 'click' GROUP BY user_id),
+r AS (SELECT user_id, list_reduce(list_prepend(struct_pack(t := 0.0::DOUBLE, free := free, outs := []::STRUCT(a DOUBLE, b DOUBLE)[]), xs), lambda a, x: struct_pack(t := x.t,
+  free := CASE WHEN len(list_filter(a.free, lambda y: abs(y - x.t) <= 3600)) > 0 THEN list_filter(a.free, lambda z: z <> list_sort(list_transform(list_filter(a.free, lambda y: abs(y - x.t) <= 3600), lambda y: struct_pack(d := abs(y - x.t), y := y)))[1].y) ELSE a.free END,
+  outs := CASE WHEN len(list_filter(a.free, lambda y: abs(y - x.t) <= 3600)) > 0 THEN list_append(a.outs, struct_pack(a := x.t, b := list_sort(list_transform(list_filter(a.free, lambda y: abs(y - x.t) <= 3600), lambda y: struct_pack(d := abs(y - x.t), y := y)))[1].y)) ELSE a.outs END)).outs AS outs FROM c JOIN v USING (user_id))
+SELECT user_id, u.a AS left_t, u.b AS right_t FROM (SELECT user_id, unnest(outs) AS u FROM r)
+""")
 def greedy_match(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d)
     return M.greedy_pairs(e.where("event_type = 'click'").select("user_id", "t"), e.where("event_type = 'view'").select("user_id", "t"), ["user_id"], 3600.0)
