@@ -114,9 +114,9 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarra
         row = stop
 
 
-def words(column: pa.Array, kind: np.ndarray, fold: bool, hashed: bool = True) -> Iterator[Words]:
-    """The words of each slice. ``fold`` lower-cases A-Z first."""
-    for row, at, data in slices(column):
+def words(column: pa.Array, kind: np.ndarray, fold: bool, hashed: bool = True, size: int = SLICE) -> Iterator[Words]:
+    """The words of each slice of about ``size`` bytes. ``fold`` lower-cases A-Z first."""
+    for row, at, data in slices(column, size):
         if fold:
             data = _FOLD[data]
         n = len(data)

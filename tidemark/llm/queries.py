@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, language_id, license_scan, mixing, ngram_join, quality_knn, secret_scan, sql, substring_dedup, token_files
+from . import ann, conversations, decontaminate, language_id, license_scan, mixing, ngram_join, quality_knn, resampling, secret_scan, sql, substring_dedup, syncmers, token_files
 from ._shared import table
 
 
@@ -63,13 +63,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(secret_scan.written(F.col("base")), 256).alias("base_sha256"), secret_scan.written(every).alias("spans"))
 
 
+def op11_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited(table(spark, sf_dir, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damage(rows), rows).drop("rows")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_decontamination, op3_substring_dedup, op4_quality, op5_mixing, op6_ann, op7_token_files, op8_ngram_join, op9_license_scan, op10_secret_scan)
+    found = (op1_language_id, op2_decontamination, op3_substring_dedup, op4_quality, op5_mixing, op6_ann, op7_token_files, op8_ngram_join, op9_license_scan, op10_secret_scan, op11_syncmers, op12_resampling, op13_conversations)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Of op1, op4, op6 and op7 no SQL can give the rows: they hold what was learned, found or encoded."""
+    """Of op1, op4, op6, op7 and op11 no SQL can give the rows: they hold what was learned, found, encoded or hashed."""
     fits = [(" AND ".join(f"regexp_matches(s, '{p}')" for p in (c.only, *c.needs)), c.bits) for c in secret_scan.CLASSES]
     return {
         "op2_decontamination": sql.DECONTAMINATION,
@@ -77,5 +90,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": sql.mixing_sql(mixing.WEIGHTS, mixing.MOST, mixing.SEED),
         "op8_ngram_join": sql.NGRAM_JOIN,
         "op9_license_scan": sql.license_sql(license_scan.PHRASES, license_scan.template_sets(license_scan.TEMPLATES)),
+        "op12_resampling": sql.RESAMPLING,
+        "op13_conversations": sql.CONVERSATIONS,
         "op10_secret_scan": sql.secret_sql(secret_scan.KINDS, secret_scan.CANDIDATE, secret_scan.WINDOW, fits, secret_scan.ALLOWED),
     }

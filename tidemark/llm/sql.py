@@ -121,3 +121,77 @@ told AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = {quoted(k[0])
 SELECT d.doc_id, {', '.join(f"coalesce(n_{k[0]}, 0)::BIGINT AS n_{k[0]}" for k in kinds)}, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN told USING (doc_id)
 """
+
+
+#: CRC-32 by the rule: a table of remainders, and a fold over a text's bytes.
+_CRC = """
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, CAST(i AS BIGINT))) AS tab)"""
+
+
+def _crc(text: str) -> str:
+    spelt = f"hex(encode({text}))"
+    values = f"list_transform(range(0, CAST(length({spelt}) AS BIGINT), 2), lambda i: CAST('0x' || substr({spelt}, i + 1, 2) AS BIGINT))"
+    return f"xor(4294967295, list_reduce({values}, lambda c, b: xor(tab[(xor(c, b) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT)))"
+
+
+RESAMPLING = f"""
+WITH {_CRC},
+d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all({_LOW}, {_ALNUM}), []) AS w FROM documents),
+b AS (SELECT row_number() OVER () AS row, coalesce(regexp_extract_all({_LOW}, {_ALNUM}), []) AS w FROM benchmark),
+df AS (SELECT row, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT row, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, (VALUES (1), (2), (3)) v(n) WHERE len(w) >= n)),
+bf AS (SELECT array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM b, (VALUES (1), (2), (3)) v(n) WHERE len(w) >= n)),
+f AS (SELECT g, {_crc("g")} % 10000 AS k FROM (SELECT g FROM df UNION SELECT g FROM bf), tab),
+s AS (SELECT k, count(*) AS s FROM df JOIN f USING (g) GROUP BY k),
+t AS (SELECT k, count(*) AS t FROM bf JOIN f USING (g) GROUP BY k),
+every AS (SELECT (SELECT count(*) FROM df) AS s_all, (SELECT count(*) FROM bf) AS t_all),
+gain AS (SELECT k, floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (s_all + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * (t_all + 10000) AS DOUBLE))) AS gain
+         FROM (SELECT unnest(range(10000)) AS k) LEFT JOIN s USING (k) LEFT JOIN t USING (k), every),
+weights AS (SELECT row, CAST(sum(gain) AS BIGINT) AS weight, count(*) AS n FROM df JOIN f USING (g) JOIN gain USING (k) GROUP BY row),
+scored AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(concat('42:', CAST(doc_id AS VARCHAR))), 1, 8) AS BIGINT) + 0.5) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score
+           FROM d LEFT JOIN weights USING (row))
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (WHERE n_words >= 20) OVER () AS n FROM scored)
+"""
+
+
+def _way(e: str, cost: str, letters: str) -> str:
+    """An element, its cost in nine digits ahead of its audit, with more of both: so the least string is the best way."""
+    return f"(printf('%09d', CAST(substr({e}, 1, 9) AS BIGINT) + {cost}) || substr({e}, 10) || '{letters}')"
+
+
+def _kept(to: str, role: str, states: str) -> str:
+    keep = [f"CASE WHEN ok AND c = '{role}' THEN {_way(s, 'x', 'K')} END" for s in states.split()]
+    change = [f"CASE WHEN ok THEN {_way(s, 'x + 1', 'R')} END" for s in states.split()]
+    return f"least({', '.join([_way(to, '2', 'D'), *keep, *change])})"
+
+
+CONVERSATIONS = f"""
+WITH RECURSIVE {_CRC},
+b AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+c AS (SELECT *, {_crc("k")} % 20 AS kind FROM b, tab),
+e AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM c),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS r FROM e),
+f AS (SELECT *, role[1] AS c, CASE WHEN NOT regexp_matches(text, {_SPACED}) THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 THEN 'd'
+        WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE '-' END AS fault FROM o),
+g AS (SELECT conv_id, r, c, fault NOT IN ('b', 'd') AS ok, CASE fault WHEN 't' THEN 5 ELSE 0 END AS x FROM f),
+w AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS r, '000000000' AS e0, CAST(NULL AS VARCHAR) AS e1, CAST(NULL AS VARCHAR) AS e2, CAST(NULL AS VARCHAR) AS e3 FROM f
+      UNION ALL
+      SELECT conv_id, r, {_way("k0", "2", "D")}, least({_way("k1", "2", "D")}, CASE WHEN ok AND c = 's' THEN {_way("k0", "x", "K")} END), {_kept("k2", "u", "k0 k1 k3")}, {_kept("k3", "a", "k2")}
+      FROM (SELECT w.conv_id, g.r, g.c, g.ok, g.x, e0 AS k0, e1 AS k1, least(e2, {_way("e0", "5", "I")}, {_way("e1", "5", "I")}, {_way("e3", "5", "I")}) AS k2, least(e3, {_way("e0", "10", "II")}, {_way("e1", "10", "II")}, {_way("e2", "5", "I")}) AS k3
+            FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.r = w.r + 1)),
+best AS (SELECT conv_id, CAST(substr(way, 1, 9) AS BIGINT) AS cost, substr(way, 10) AS audit
+         FROM (SELECT conv_id, least(e0, e3, {_way("e0", "10", "II")}, {_way("e1", "10", "II")}, {_way("e2", "5", "I")}) AS way FROM w WHERE (conv_id, r) IN (SELECT (conv_id, max(r)) FROM f GROUP BY conv_id))),
+letters AS (SELECT conv_id, i, audit[i] AS l FROM (SELECT conv_id, audit, unnest(generate_series(1, CAST(length(audit) AS BIGINT))) AS i FROM best)),
+placed AS (SELECT *, sum(CASE WHEN l <> 'I' THEN 1 ELSE 0 END) OVER p AS r, sum(CASE WHEN l <> 'D' THEN 1 ELSE 0 END) OVER p AS j FROM letters WINDOW p AS (PARTITION BY conv_id ORDER BY i)),
+given AS (SELECT placed.conv_id, i, l, j, CASE WHEN l <> 'I' THEN f.role END AS role, CASE WHEN l = 'I' THEN '' ELSE f.text END AS text FROM placed JOIN f ON f.conv_id = placed.conv_id AND f.r = greatest(placed.r, 1) WHERE l <> 'D'),
+led AS (SELECT conv_id, max(CASE WHEN j = 1 AND l = 'K' AND role[1] = 's' THEN 1 ELSE 0 END) AS led FROM given GROUP BY conv_id),
+lines AS (SELECT conv_id, string_agg(CASE WHEN l = 'K' THEN role WHEN (j - 1 - led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS lines FROM given JOIN led USING (conv_id) GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank, count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated FROM f GROUP BY conv_id),
+wrong AS (SELECT conv_id, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT conv_id, lag(c) OVER (PARTITION BY conv_id ORDER BY r) || c AS pair FROM f) GROUP BY conv_id)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN wrong USING (conv_id) LEFT JOIN best USING (conv_id) LEFT JOIN lines USING (conv_id)
+"""
