@@ -479,6 +479,28 @@ def test_ann_recall_over_shards(spark, shards):
     assert np.mean([len(got[i] & {v for v, _ in near}) / len(near) for i, near in want]) >= 0.9
 
 
+@pytest.mark.parametrize(("kind", "centroids"), [("random", 1024), ("clustered", 3)])
+def test_ann_recall_over_64_shards(spark, kind, centroids):
+    """More shards than a query looks into at first; with few centroids they are leaves of a tree of several levels."""
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(3200, 32))
+    if kind == "clustered":
+        x += 3 * rng.normal(size=(90, 32))[rng.integers(0, 90, len(x))]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(set)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=50, every=40, probes=8, centroids=centroids, deal_rows=200).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    want = nearest_truth(rows, every=40)
+    assert np.mean([len(got[i] & {v for v, _ in near}) / len(near) for i, near in want]) >= 0.9
+
+
+def test_ann_of_vectors_of_one_direction(spark):
+    """No centroid can split them: the cell stays, its shards are all searched."""
+    rows = [(i, [float(i + 1), 2.0 * (i + 1)]) for i in range(300)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), shard_rows=40, k=5, centroids=4).collect()
+    assert all([r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == [299, 298, 297, 296, 295] for q in range(0, 300, 20))
+
+
 def license_truth(text):
     w = ALNUM.findall(fold(text))
     places, labels = [], set()

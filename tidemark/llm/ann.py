@@ -1,12 +1,15 @@
 """Approximate nearest neighbours by inner product: NN-descent and greedy search.
 
-Distinct vectors are dealt out to shards by the nearest of a few centroids.
-Within all shards at once, NN-descent improves each vector's neighbour list
-through Spark joins: a list is joined with the lists of its members (and of
-those that list it), and the best of these neighbours of neighbours stay.
-Queries walk the graphs of the shards nearest to them greedily, from their own
-place or from a few entries, and the shards' finds are merged. Scores come from
-the original vectors in double precision.
+Distinct vectors are dealt out to shards by a tree of centroids: a cell that
+holds more than a shard's rows is split by centroids of its own. Within all
+shards at once, NN-descent improves each vector's neighbour list through Spark
+joins: a list is joined with the lists of its members (and of those that list
+it), and the best of these neighbours of neighbours stay. Queries walk the
+graphs of the shards nearest to them greedily, from their own place or from a
+few entries, and the shards' finds are merged. Those whose nearest still change
+look into twice as many shards, until nothing changes or all are searched: how
+many a query needs is a matter of the data. Scores come from the original
+vectors in double precision.
 """
 
 from __future__ import annotations
@@ -20,10 +23,12 @@ from ._shared import Scratch, discard, materialize, ready, scratch_path, session
 
 #: Vectors of a shard, on average: bounds a task's memory.
 SHARD_ROWS = 16_384
-#: Shards' centroids that a query looks into; so the work grows with the input, not with its square.
+#: Shards that a query looks into at first; twice as many each time that it has found nearer ones.
 PROBES = 16
-#: Vectors from which centroids are learned, and centroids, at most: what the driver gets.
+#: Vectors from which centroids of the first level are learned, and centroids that split one cell, at most: what the driver gets.
 SAMPLE_ROWS, CENTROIDS = 16_384, 1024
+#: Vectors from which each further centroid is learned, and rows that are dealt out to a cell's parts at once.
+LEARN_ROWS, DEAL_ROWS = 32, 32_768
 #: Neighbours kept, and reverse neighbours joined with them.
 NEIGHBOURS, REVERSE = 20, 20
 ROUNDS = 8
@@ -253,8 +258,8 @@ def _centroids(x: np.ndarray, count: int) -> np.ndarray:
     return at
 
 
-def fit_centroids(vectors: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
-    """Centroids of the vectors of each length, one for ``shard_rows`` vectors, CENTROIDS at most.
+def fit_centroids(vectors: DataFrame, shard_rows: int, most: int = CENTROIDS) -> dict[int, np.ndarray]:
+    """Centroids of the vectors of each length, one for ``shard_rows`` vectors, ``most`` at most.
 
     The driver gets SAMPLE_ROWS vectors at most, the first by a hash of their values.
     """
@@ -268,13 +273,13 @@ def fit_centroids(vectors: DataFrame, shard_rows: int) -> dict[int, np.ndarray]:
     out = {}
     for size, n in counts.items():
         mine = _matrix(sample.filter(pa.array(sizes == size))).reshape(-1, size)
-        want = max(1, min(-(-n // shard_rows), CENTROIDS * n // total))
+        want = max(1, min(-(-n // shard_rows), most * n // total))
         out[size] = _centroids(mine, want) if len(mine) else np.ones((1, size), np.float32)
     return out
 
 
 def _nearest_cells(centroids, probes: int):
-    """Adds cells: of each vector the numbers of its nearest centroids, nearest first."""
+    """Adds cells: (name, cosine) of each vector's nearest centroids, nearest first."""
 
     def run(batches):
         known: dict[int, np.ndarray] = centroids.value
@@ -288,22 +293,96 @@ def _nearest_cells(centroids, probes: int):
             sizes = np.diff(edge)
             for size in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == size)
-                x = _direction(flat[edge[rows][:, None] + np.arange(size)])
-                near = np.argsort(-(x @ known[size].T), axis=1, kind="stable")[:, :probes] + first[size]
-                for r, c in zip(rows.tolist(), near.tolist(), strict=True):
-                    cells[r] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=[*batch.schema.names, "cells"])
+                like = _direction(flat[edge[rows][:, None] + np.arange(size)]) @ known[size].T
+                near = np.argsort(-like, axis=1, kind="stable")[:, :probes]
+                for r, c, v in zip(rows.tolist(), (near + first[size]).tolist(), np.take_along_axis(like, near, 1).tolist(), strict=True):
+                    cells[r] = [{"cell": str(x), "like": y} for x, y in zip(c, v, strict=True)]
+            kind = pa.list_(pa.struct([("cell", pa.string()), ("like", pa.float32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, kind)], names=[*batch.schema.names, "cells"])
 
     return run
 
 
+_VISIT = "rep long, vector array<double>, cell string, like float"
+
+
 def _in_cells(df: DataFrame, centroids, probes: int) -> DataFrame:
-    """The rows, once for each of their nearest cells."""
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(_nearest_cells(centroids, probes), f"{kinds}, cells array<int>").withColumn("cell", F.explode("cells")).drop("cells")
+    """Rows (rep, vector), once for each of their nearest cells of the first level, with the cosine of its centroid."""
+    near = df.select("rep", "vector").mapInArrow(_nearest_cells(centroids, probes), "rep long, vector array<double>, cells array<struct<cell: string, like: float>>")
+    return near.select("rep", "vector", F.explode("cells").alias("e")).select("rep", "vector", "e.cell", "e.like")
+
+
+def _learn(table: pa.Table) -> pa.Table:
+    """A cell's sample -> its centroids."""
+    x = _matrix(table.column("vector").combine_chunks())
+    at = _centroids(x, int(table.column("want")[0].as_py()))
+    return pa.table({"cell": pa.array([table.column("cell")[0].as_py()]), "at": pa.array([at.ravel()], pa.list_(pa.float32()))})
+
+
+def _descend(probes: int):
+    """Rows of a cell -> the same in their nearest parts of it."""
+
+    def run(rows: pa.Table, centroids: pa.Table) -> pa.Table:
+        out: list = [[], [], [], []]
+        if rows.num_rows and centroids.num_rows:
+            vectors = rows.column("vector").combine_chunks()
+            x = _direction(_matrix(vectors))
+            at = np.asarray(centroids.column("at")[0].values).reshape(-1, x.shape[1])
+            like = x @ at.T
+            near = np.argsort(-like, axis=1, kind="stable")[:, :probes]
+            name, take = rows.column("cell")[0].as_py(), np.repeat(np.arange(len(x)), near.shape[1])
+            out = [rows.column("rep").take(pa.array(take)), rows.column("vector").take(pa.array(take)), [f"{name}/{j}" for j in near.ravel().tolist()], np.take_along_axis(like, near, 1).ravel()]
+        kinds = (pa.int64(), pa.list_(pa.float64()), pa.string(), pa.float32())
+        return pa.table({n: c.cast(t) if isinstance(c, pa.ChunkedArray) else pa.array(c, t) for n, c, t in zip(("rep", "vector", "cell", "like"), out, kinds, strict=True)})
+
+    return run
+
 
+def _to_parts(rows: DataFrame, sub: DataFrame, probes: int, deal_rows: int, scratch: Scratch) -> DataFrame:
+    """Rows of cells that ``sub`` (cell, at) splits, in their nearest parts. A large cell's rows are dealt out to many tasks."""
+    held = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(deal_rows)).cast("int").alias("salts"))
+    salts = scratch.keep(held.join(sub.select("cell"), "cell"), "salts")
+    salted = rows.join(salts, "cell").select("rep", "vector", "cell", F.pmod(F.xxhash64(F.lit(SEED + 2), "rep"), F.col("salts")).cast("int").alias("salt"))
+    spread = sub.join(salts, "cell").select("cell", "at", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return salted.groupBy("cell", "salt").cogroup(spread.groupBy("cell", "salt")).applyInArrow(_descend(probes), _VISIT)
 
-def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, probes: int = PROBES) -> DataFrame:
+
+def _grow(held: DataFrame, shard_rows: int, most: int, deal_rows: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (rep, vector, cell) in leaves of about ``shard_rows``, and the centroids (cell, at) of each level that was split.
+
+    A cell whose vectors have one direction can't be split by centroids: it
+    stays as it is, once a level has left nearly all its rows together.
+    """
+    levels: list[DataFrame] = []
+    held, stuck = scratch.keep(held, "cells"), None
+    while True:
+        full = held.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 1.5 * shard_rows)
+        if levels:  # only what the last level has made, and has made smaller
+            parent = F.regexp_replace("cell", "/[0-9]+$", "")
+            full = full.join(stuck.select(F.col("cell").alias("above"), F.col("n").alias("of")), (parent == F.col("above")) & (F.col("cell") != F.col("above"))).where("n < 0.9 * of").select("cell", "n")
+        full = scratch.keep(full.withColumn("want", F.least(F.lit(most), F.ceil(F.col("n") / F.lit(shard_rows))).cast("int")), "full")
+        if full.isEmpty():
+            return held, levels
+        draw = F.pmod(F.xxhash64(F.lit(SEED + 3), "rep"), F.lit(1 << 40))
+        sample = held.join(full, "cell").where(draw < F.lit(float(1 << 40)) * LEARN_ROWS * F.col("want") / F.col("n")).select("cell", "vector", "want")
+        sub = scratch.keep(sample.groupBy("cell").applyInArrow(_learn, "cell string, at array<float>"), "centroids")
+        parts = _to_parts(held.join(sub.select("cell"), "cell", "left_semi"), sub, 1, deal_rows, scratch).select("rep", "vector", "cell")
+        levels.append(sub)
+        held, stuck = scratch.keep(held.join(sub.select("cell"), "cell", "left_anti").select("rep", "vector", "cell").unionAll(parts), "cells"), full
+
+
+def _visits(queries: DataFrame, centroids, levels: list[DataFrame], probes: int, deal_rows: int, scratch: Scratch) -> DataFrame:
+    """(rep, vector, cell): of each query the ``probes`` nearest leaves, found level by level."""
+    near = _in_cells(queries, centroids, probes)
+    for sub in levels:
+        near = scratch.keep(near, "visits")
+        parts = _to_parts(near.join(sub.select("cell"), "cell", "left_semi"), sub, probes, deal_rows, scratch)
+        both = near.join(sub.select("cell"), "cell", "left_anti").select("rep", "vector", "cell", "like").unionAll(parts)
+        near = both.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("like"), "cell"))).where(F.col("r") <= probes).drop("r")
+    return near.select("rep", "vector", "cell")
+
+
+def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK, probes: int = PROBES, centroids: int = CENTROIDS, deal_rows: int = DEAL_ROWS) -> DataFrame:
     """The k nearest found of each row whose id is divisible by ``every``, against all other rows.
 
     Returns query_id, rank (from 1), vec_id, score: the inner product of the
@@ -313,7 +392,9 @@ def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec
     found. Rows that share an id are rows of their own, as queries and as
     candidates. Vectors of different lengths have no inner product, and are
     searched each length for itself. What takes no part is told by ``usable``.
-    An empty table gives an empty result.
+    A query looks into its ``probes`` nearest shards, then into twice as many as
+    long as that has brought it anything nearer. ``centroids`` split one cell at
+    most. An empty table gives an empty result.
     """
     spark = session_of(table)
     ready(spark)
@@ -323,10 +404,10 @@ def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec
     place = F.row_number().over(Window.partitionBy("vector").orderBy("id", "row"))
     members = rows.withColumn("r", place).where(F.col("r") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list(F.struct("id", "row"))).alias("rows")).withColumn("rep", F.col("rows")[0]["row"])
     members = scratch.keep(members, "members")
-    centroids = spark.sparkContext.broadcast(fit_centroids(members, shard_rows))
-    held = scratch.keep(_in_cells(members.select("rep", "vector"), centroids, 1), "cells")
-    # A cell that holds more than a shard's rows is several shards, dealt out by hash.
-    parts = held.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(1.5 * shard_rows))).cast("int").alias("parts"))
+    first = spark.sparkContext.broadcast(fit_centroids(members, shard_rows, centroids))
+    held, levels = _grow(_in_cells(members, first, 1).select("rep", "vector", "cell"), shard_rows, centroids, deal_rows, scratch)
+    # Only vectors of one direction can still be too many for a shard: these are dealt out by hash, and all their shards are searched.
+    parts = scratch.keep(held.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(1.5 * shard_rows))).cast("int").alias("parts")), "parts")
     shard = F.struct("cell", F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.col("parts")).cast("int").alias("part"))
     dealt = held.join(parts, "cell").select("rep", "vector", shard.alias("named"))
     names = dealt.groupBy("named").agg(F.count("*").alias("held")).withColumn("shard", (F.row_number().over(Window.orderBy("named")) - 1).cast("int"))
@@ -339,16 +420,31 @@ def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec
     # Every query, by its vector's node; queries of equal vectors walk once.
     asked = rows.where(F.col("id") % every == 0).join(members.select("vector", "rep"), "vector").select("id", "row", "rep")
     asked = scratch.keep(asked, "queries")
-    once = asked.select("rep").distinct().join(members.select("rep", "vector"), "rep")
-    queries = _in_cells(once, centroids, probes).join(names.select(F.col("named.cell").alias("cell"), "shard"), "cell").select("rep", "vector", "shard")
-    queries = scratch.keep(queries, "walks")
-    # A shard that many queries look into is searched by several tasks.
-    blocks = queries.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64(F.lit(SEED + 1), "rep"), F.col("blocks")).cast("int")
-    spread = around.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    walks = queries.join(blocks, "shard").withColumn("block", block).drop("blocks")
-    found = spread.groupBy("shard", "block").cogroup(walks.groupBy("shard", "block")).applyInArrow(_search(k + 1), "query long, rep long, score double")
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1)
+    active = scratch.keep(asked.select("rep").distinct().join(members.select("rep", "vector"), "rep"), "active")
+    shards, best, been = names.count(), None, None
+    if probes < shards:
+        around = scratch.keep(around, "graph")
+    while True:
+        visits = _visits(active, first, levels, probes, deal_rows, scratch).join(names.select(F.col("named.cell").alias("cell"), "shard"), "cell").select("rep", "vector", "shard")
+        visits = scratch.keep(visits if been is None else visits.join(been, ["rep", "shard"], "left_anti"), "walks")
+        # A shard that many queries look into is searched by several tasks.
+        blocks = scratch.keep(visits.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("blocks")), "blocks")
+        block = F.pmod(F.xxhash64(F.lit(SEED + 1), "rep"), F.col("blocks")).cast("int")
+        spread = around.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        walks = visits.join(blocks, "shard").withColumn("block", block).drop("blocks")
+        found = spread.groupBy("shard", "block").cogroup(walks.groupBy("shard", "block")).applyInArrow(_search(k + 1), "query long, rep long, score double").withColumn("new", F.lit(True))
+        every_find = found if best is None else best.withColumn("new", F.lit(False)).unionAll(found)
+        top = every_find.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1).drop("r")
+        top = scratch.keep(top, "best")
+        best = top.drop("new")
+        if probes >= shards:
+            break
+        active = scratch.keep(active.join(top.where("new").select(F.col("query").alias("rep")).distinct(), "rep", "left_semi"), "active")
+        if active.isEmpty():
+            break
+        gone = visits.select("rep", "shard")
+        been = gone if been is None else been.unionAll(gone)
+        probes *= 2
     named = best.join(members.select("rep", "rows"), "rep").select("query", F.explode(F.transform("rows", lambda m: F.struct((-F.col("score")).alias("far"), m["id"].alias("id"), m["row"].alias("row")))).alias("e"))
     # k + 1 of k + 1 nodes with k + 1 rows each.
     lists = named.groupBy("query").agg(F.slice(F.sort_array(F.collect_list("e")), 1, k + 1).alias("nearest"))
@@ -356,5 +452,5 @@ def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec
     ranked = own.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("nearest", lambda e: e["row"] != F.col("row")), 1, k)).alias("at", "e"))
     answer = materialize(ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.id").alias("vec_id"), (-F.col("e.far")).alias("score")), "nearest")
     scratch.drop()
-    centroids.destroy()
+    first.destroy()
     return answer
