@@ -479,6 +479,49 @@ def test_ann_recall_over_shards(spark, shards):
     assert np.mean([len(got[i] & {v for v, _ in near}) / len(near) for i, near in want]) >= 0.9
 
 
+@pytest.fixture
+def skewed(spark):
+    """Joins are exchanges, and what a hot key brings to them counts as skewed however small it is."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.shuffle.partitions": "12", "spark.sql.files.maxPartitionBytes": "64k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def ran(df):
+    """The plan that ran for all rows of a frame."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_are_split_where_they_join(skewed, tmp_path):
+    """One node with very many neighbours; one shingle that very many classes share."""
+    spark, scratch = skewed, _shared.Scratch(skewed)
+    star = spark.range(1, 60_000, 1, 12).select((F.col("id") * 3).alias("a"), F.lit(1).cast("long").alias("b")).unionAll(spark.range(0, 3000, 1, 4).select((F.col("id") + 500_000).alias("a"), (F.col("id") + 400_000).alias("b")))
+    star.write.parquet(str(tmp_path / "star"))
+    edges = spark.read.parquet(str(tmp_path / "star"))
+    assert "skew=true" in ran(components._large_star(edges, 6, scratch))
+    hub = scratch.keep(edges.select(F.when(F.col("b") == 1, F.lit(900_000).cast("long")).otherwise(F.col("a")).alias("a"), F.when(F.col("b") == 1, F.col("a")).otherwise(F.col("b")).alias("b")), "hub")
+    assert "skew=true" in ran(components._small_star(hub, 6, scratch))
+    group = spark.range(0, 60_000, 1, 12).select(F.when(F.col("id") % 3 > 0, F.lit(7)).otherwise(F.col("id")).cast("long").alias("token"), F.col("id").alias("cls"), F.lit(40).alias("n"), F.lit(3).alias("pos"), F.lit(20_000).cast("long").alias("g"))
+    info = spark.range(0, 60_000, 1, 4).select(F.col("id").alias("cls"), F.array(*(F.hash("id", F.lit(k)).cast("long") for k in range(ngram_join.BITS))).alias("bits"))
+    assert "skew=true" in ran(ngram_join._leader_pairs(scratch.keep(group, "group"), scratch.keep(info, "info"), 4, 75, scratch))
+    scratch.drop()
+
+
+def test_mixing_deals_out_rows_without_an_id(spark):
+    rows = [(None, f"word{i} and {i}", "s") for i in range(400)] + [(i, "one two", "s") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, range_rows=20)
+    spread = [r["before"] for r in got.where("doc_id IS NULL").collect()]
+    assert len(set(spread)) == 400
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix(docs.repartition(5), range_rows=20).collect()))
+
+
 @pytest.mark.parametrize(("kind", "centroids"), [("random", 1024), ("clustered", 3)])
 def test_ann_recall_over_64_shards(spark, kind, centroids):
     """More shards than a query looks into at first; with few centroids they are leaves of a tree of several levels."""

@@ -16,17 +16,17 @@ from ._shared import Scratch, session_of
 TASK_EDGES, LEAST_TASKS = 250_000, 6
 
 
-def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int, scratch: Scratch) -> DataFrame:
     """A node's larger neighbours all hang on the smallest around it."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # Aggregated and joined back, so that a node with very many neighbours is spread over tasks.
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Written and joined back: both sides are plain exchanges then, and the rows of a node with very many neighbours can be split.
+    least = scratch.keep(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
 
 
-def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int, scratch: Scratch) -> DataFrame:
     """A node and its smaller neighbours all hang on the smallest of these: an edge moves one node."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = scratch.keep(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     return edges.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).coalesce(tasks)
 
 
@@ -44,7 +44,10 @@ def components(links: DataFrame, scratch: Scratch | None = None, a: str = "a", b
     state, before = _state(edges), None
     while state["n"] and before != state:
         tasks = max(LEAST_TASKS, -(-2 * state["n"] // TASK_EDGES))
-        after = scratch.keep(_small_star(_large_star(edges, tasks), tasks).distinct().coalesce(tasks), "links")
+        own = Scratch(spark)
+        hung = own.keep(_large_star(edges, tasks, own).distinct(), "links")
+        after = scratch.keep(_small_star(hung, tasks, own).distinct().coalesce(tasks), "links")
+        own.drop()
         scratch.drop(edges)
         # Both steps leave the edges of a forest of stars as they are.
         edges, before, state = after, state, _state(after)

@@ -64,15 +64,17 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
 
     A null text or one without words has size 0 and takes 0. Repeated rows are
     documents of their own; rows that tie in every column of the order are
-    interchangeable, so reruns agree. Other columns are ignored. An empty table
+    interchangeable, so reruns agree. Rows without an id get a key of their text. Other columns are ignored. An empty table
     gives an empty result.
     """
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"))
+    # Rows without an id are told apart by their texts, so that their keys fall into all ranges.
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-:"), F.coalesce(F.md5(F.col(text_col).cast("string")), F.lit(""))))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"), named.alias("name"))
     slim = materialize(slim, "sizes")
     counted = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents")), weights, most)
     goal = counted.withColumn("budget", F.rint("target").cast("long")).withColumn("ranges", F.greatest(F.lit(1), F.ceil(F.col("documents") / F.lit(range_rows)))).withColumnRenamed("source", "named")
     # 52 bits of a digest, so that the key is exact as a double
-    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
+    key = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("name"))), 1, 13), 16, 10).cast("long")
     keyed = slim.join(goal, F.col("source").eqNullSafe(F.col("named"))).withColumn("key", key)
     keyed = keyed.withColumn("range", F.floor(F.col("key") / F.lit(float(1 << 52)) * F.col("ranges")).cast("long"))
     held = keyed.groupBy("source", "range").agg(F.sum("size").alias("held"))

@@ -220,7 +220,8 @@ def _shared_prefixes(prefix: DataFrame, hot_from: int, scratch: Scratch) -> Data
     One exchange of all rows. A shingle's group has no more rows than the
     sketch counts in its bucket; the groups of buckets that hold far more than
     others (ranks from ``hot_from`` on) are dealt out by class as well, and
-    counted by an aggregation that is joined back.
+    counted by an aggregation that is written and joined back: so Spark can
+    split a hot shingle's rows in that join.
     """
     hot = F.shiftrightunsigned("token", 48) >= hot_from
     spread = prefix.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int")).otherwise(-1))
@@ -228,10 +229,10 @@ def _shared_prefixes(prefix: DataFrame, hot_from: int, scratch: Scratch) -> Data
     kept = spread.withColumns({"lo": F.min("cls").over(part), "hi": F.max("cls").over(part)}).where("salt >= 0 OR lo < hi")
     kept = kept.groupBy("token", "salt", "cls").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).withColumn("g", F.count("*").over(part))
     rows = scratch.keep(kept, "prefixes", compression="zstd")
-    crowds = rows.where("salt >= 0").groupBy("token").agg(F.count("*").alias("all")).where(F.col("all") > 1)
+    crowds = scratch.keep(rows.where("salt >= 0").groupBy("token").agg(F.count("*").alias("all")).where(F.col("all") > 1), "crowds")
     crowded = rows.where("salt >= 0").drop("g").join(crowds, "token").select("token", "cls", "n", "pos", F.col("all").alias("g"))
     group = scratch.keep(rows.where("salt < 0").select("token", "cls", "n", "pos", "g").unionAll(crowded), "prefixes", compression="zstd")
-    scratch.drop(rows)
+    scratch.drop(rows, crowds)
     return group
 
 
@@ -267,16 +268,16 @@ def _by_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["a", "b", "d"]).filter(keep)
 
 
-def _leader_pairs(group: DataFrame, info: DataFrame, leaders: int, similarity: int) -> DataFrame:
+def _leader_pairs(group: DataFrame, info: DataFrame, leaders: int, similarity: int, scratch: Scratch) -> DataFrame:
     """Pairs of each class with its group's leaders: the first under some orders, wherever they appear.
 
-    Leaders are found by an aggregation and come back by a join, so that a
+    Leaders are found by an aggregation, written and joined back, so that a
     group of any size is spread over tasks.
     """
     order = lambda k: F.xxhash64(F.col("cls"), F.lit(k))
     held = group.join(info.select("cls", "bits"), "cls")
     heads = held.groupBy("token").agg(*(F.min(F.struct(order(k).alias("order"), "cls", "n", "pos", "bits")).alias(f"h{k}") for k in range(leaders)))
-    heads = heads.select("token", F.array_distinct(F.array(*(f"h{k}" for k in range(leaders)))).alias("heads"))
+    heads = scratch.keep(heads.select("token", F.array_distinct(F.array(*(f"h{k}" for k in range(leaders)))).alias("heads")), "heads", compression="zstd")
     n, pos, bits = F.col("n"), F.col("pos"), F.col("bits")
     fit = lambda h: (h["cls"] != F.col("cls")) & _close(n, pos, h["n"], h["pos"], similarity) & _like(n, bits, h["n"], h["bits"], similarity)
     tied = held.join(heads, "token").select("cls", F.explode(F.transform(F.filter("heads", fit), lambda h: h["cls"])).alias("head"))
@@ -331,7 +332,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     info = scratch.keep(classes.join(hidden, "cls", "left").withColumn("hidden", F.coalesce("hidden", F.lit(0))), "classes", compression="zstd")
     scratch.drop(profile)
     # 3. Pairs of small groups, counted; ties of large ones to leaders; with the bits that differ.
-    drawn = scratch.keep(_small_pairs(group.where(F.col("g") <= SMALL), info, similarity).unionAll(_leader_pairs(crowded, info, leaders, similarity)).distinct(), "pairs")
+    drawn = scratch.keep(_small_pairs(group.where(F.col("g") <= SMALL), info, similarity).unionAll(_leader_pairs(crowded, info, leaders, similarity, scratch)).distinct(), "pairs")
     pairs = scratch.keep(_pruned(drawn, info, similarity), "pairs")
     scratch.drop(drawn)
     release(spark)
@@ -350,7 +351,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     scratch.drop(sets)
     # 4. All that is left, and all pairs of large groups, of classes that aren't connected yet.
     known = crowded.join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    torn = known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
+    torn = scratch.keep(known.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token"), "torn")
     apart = known.join(torn, "token").join(info.select("cls", "bits"), "cls")
     x, y = apart.alias("x"), apart.alias("y")
     c = lambda side, name: F.col(f"{side}.{name}")
