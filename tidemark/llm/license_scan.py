@@ -36,7 +36,10 @@ TEMPLATES = [
     ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("cc-by-nc-sa-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("cc-by-nc-nd-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-nd-4.0", "Licensed under CC BY-ND 4.0."),
     ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
@@ -49,7 +52,7 @@ TEMPLATES = [
 CONTAINMENT = 0.9
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_MATCH = "array<struct<start:int,end:int,share:double,label:string>>"
+_MATCH = "array<struct<start:int,end:int,share:double,label:string,template:int>>"
 
 
 class Template(NamedTuple):
@@ -66,6 +69,11 @@ def template_sets(templates: list[tuple[str, str]], containment: float = CONTAIN
     return [Template(label, sorted(set(w)), max(1, math.ceil(containment * len(set(w)) - 1e-9)), len(w) + max(1, len(w) // 5)) for label, w in texts if w]
 
 
+def nested(sets: list[Template]) -> list[list[int]]:
+    """Of each template the numbers of those that hold all of its words, and more."""
+    return [[k for k, larger in enumerate(sets) if set(t.words) < set(larger.words)] for t in sets]
+
+
 def _words(text: Column) -> Column:
     """A-Z lower-cased; words are other letters, digits and non-ASCII."""
     plain = F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), _SEPARATORS, " "))
@@ -94,7 +102,9 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     phrase, else the largest share of a template's words that a block holds, if
     that reaches ``containment``, else 0. A block starts with a word of the
     template. Where blocks of several templates overlap, those with the largest
-    share give their labels (ties: all of them).
+    share give their labels; of equal shares a template whose words another one
+    holds as well gives none (a GNU Affero notice has all words of the GNU
+    General one), and all others do.
 
     A null text is an empty one, and has no words. Repeated rows each get
     their row, and equal rows equal results. Other columns are ignored. An
@@ -131,7 +141,8 @@ def _held(words: Column, sets: list[Template], order: list[str]) -> Column:
     """Blocks of a document that hold enough of a template, the strongest where they overlap."""
     texts = lambda x: F.array(*(F.lit(w) for w in x))
     prefix = [t.words[: len(t.words) - t.need + 1] for t in sets]
-    side = F.array(*(F.struct(F.lit(t.label).alias("label"), texts(t.words).alias("words"), texts(p).alias("prefix"), F.lit(t.need).alias("need"), F.lit(t.span).alias("span")) for t, p in zip(sets, prefix, strict=True)))
+    side = F.array(*(F.struct(F.lit(t.label).alias("label"), texts(t.words).alias("words"), texts(p).alias("prefix"), F.lit(t.need).alias("need"), F.lit(t.span).alias("span"), F.lit(k).alias("template")) for k, (t, p) in enumerate(zip(sets, prefix, strict=True))))
+    larger = F.array(*(F.array(*map(F.lit, x)).cast("array<int>") for x in nested(sets)))
     firsts = texts(sorted({w for p in prefix for w in p}))
     vocabulary = texts(order)
 
@@ -141,7 +152,7 @@ def _held(words: Column, sets: list[Template], order: list[str]) -> Column:
             return F.array_compact(F.transform(spots, lambda p, k: F.when(F.get(spots, k + t["need"] - 1) - p < t["span"], p)))
 
         def judged(p: Column) -> Column:
-            return let(F.array_intersect(vocabulary, F.slice(words, p + 1, t["span"])), lambda block: F.when(_close(t, block), F.struct(p.alias("start"), (p + t["span"]).alias("end"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("share"), t["label"].alias("label"))))
+            return let(F.array_intersect(vocabulary, F.slice(words, p + 1, t["span"])), lambda block: F.when(_close(t, block), F.struct(p.alias("start"), (p + t["span"]).alias("end"), (F.size(F.array_intersect(t["words"], block)) / F.size(t["words"])).alias("share"), t["label"].alias("label"), t["template"].alias("template"))))
 
         places = F.array_compact(F.transform(words, lambda w, i: F.when(F.array_contains(t["words"], w), i)))
         return F.array_compact(F.transform(let(places, starts), judged))
@@ -157,7 +168,7 @@ def _held(words: Column, sets: list[Template], order: list[str]) -> Column:
 
     def strongest(found: Column) -> Column:
         near = lambda i: F.slice(found, F.greatest(i + 1 - around, F.lit(1)), F.lit(2 * around + 1))
-        beaten = lambda m, i: F.exists(near(i), lambda n: (n["share"] > m["share"]) & (n["start"] < m["end"]) & (m["start"] < n["end"]))
+        beaten = lambda m, i: F.exists(near(i), lambda n: ((n["share"] > m["share"]) | (n["share"] == m["share"]) & F.array_contains(F.get(larger, m["template"]), n["template"])) & (n["start"] < m["end"]) & (m["start"] < n["end"]))
         return F.filter(found, lambda m, i: ~beaten(m, i))
 
     def matches(met: Column) -> Column:

@@ -92,5 +92,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_license_scan": sql.license_sql(license_scan.PHRASES, license_scan.template_sets(license_scan.TEMPLATES)),
         "op12_resampling": sql.RESAMPLING,
         "op13_conversations": sql.CONVERSATIONS,
-        "op10_secret_scan": sql.secret_sql(secret_scan.KINDS, secret_scan.CANDIDATE, secret_scan.WINDOW, fits, secret_scan.ALLOWED),
+        "op10_secret_scan": sql.secret_sql(secret_scan.KINDS, secret_scan.CANDIDATE, secret_scan.WINDOW, fits, secret_scan.ALLOWED, secret_scan.PARTS, secret_scan.WORD),
     }

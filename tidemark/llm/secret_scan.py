@@ -4,7 +4,10 @@ DataFrame functions only; every document is judged in its own row, without a
 shuffle. Candidates are long runs of one character class. A window slides over
 each; character counts and the sum that entropy needs are updated by the
 character that comes and the one that goes. A candidate whose best window
-exceeds its class's threshold is a span, unless the allow-list knows it.
+exceeds its class's threshold is a span, unless the allow-list knows it, it
+stands in a URL ahead of its query, or it is made of words: paths, titles in
+addresses and compound names have as much entropy as keys, but their segments
+between separators are words, which those of random strings rarely are.
 """
 
 from __future__ import annotations
@@ -47,7 +50,12 @@ CLASSES = [
     CharClass("capitals and digits", _DIGITS + _CAPITALS, "^[0-9A-Z]+$", ("[0-9]", "[A-Z]"), 3.5),
     CharClass("base64", _CAPITALS + _SMALL + _DIGITS + "+/=_-", "^[A-Za-z0-9+/=_-]+$", ("[0-9]", "[a-z]", "[A-Z]"), 3.6),
 ]
-CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+RUN = r"[A-Za-z0-9+/=_-]{20,}"
+#: A URL up to its query is taken whole, so that no run within it is a candidate.
+CANDIDATE = r"(?:https?|ftps?|ssh|git|s3|gs|file)://[^\x00-\x20?#\x22\x27<>]*|" + RUN
+#: What parts a candidate's segments, and segments that are words: humps of letters, capitals, either with a short number, or a number.
+PARTS = r"[-/_=+]+"
+WORD = r"^(?:[A-Za-z]?[a-z]*(?:[A-Z][a-z]+)*[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,8})$"
 #: Allow-list: candidates that are no secrets, though they look random.
 ALLOWED = [
     r"(?i)example|placeholder|changeme|dummy|sample|redacted",
@@ -120,9 +128,15 @@ def entropy(candidate: Column, alphabet: str, window: int = WINDOW) -> Column:
     return F.when(size > 0, F.log2(wide) - done["least"] / wide).otherwise(F.lit(0.0))
 
 
+def wordy(candidate: Column) -> Column:
+    """Whether words make up at least half of the candidate's letters and digits."""
+    segments = F.filter(F.split(candidate, PARTS), lambda x: x.rlike(WORD))
+    return 2 * F.aggregate(segments, F.lit(0), lambda n, x: n + F.length(x)) >= F.length(F.regexp_replace(candidate, PARTS, ""))
+
+
 def _random(candidate: Column) -> Column:
     """Whether the candidate's entropy is that of a secret of its class, and nothing allows it."""
-    allowed = F.lit(False)
+    allowed = wordy(candidate)
     for pattern in ALLOWED:
         allowed = allowed | candidate.rlike(pattern)
     judged = F.lit(False)
@@ -141,7 +155,8 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     sorted by start, then kind. A candidate for entropy is a run of 20 letters,
     digits and ``+/=_-`` at least, of one of the classes: hex digits; small
     letters with digits; capitals with digits; or all three. One of other
-    characters (letters alone, say) is none. A span by entropy that lies within
+    characters (letters alone, say) is none, nor is one that words make up by half
+    (``wordy``), or that stands in a URL ahead of its query. A span by entropy that lies within
     a base span isn't added. A null text is an empty one. Repeated rows each
     get their row; other columns are ignored; an empty table gives an empty
     result. Time grows with a text's length, whatever its runs.
@@ -152,7 +167,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         found = found.withColumn(kind, _spans(F.col("text"), LIKELY[kind], LONG.get(kind, pattern), group, least, place, kind))
     found = found.withColumn("base", F.array_sort(F.concat(*(F.col(k[0]) for k in KINDS))))
     spots = F.when(F.col("text").rlike(CANDIDATE), _matches(F.col("text"), CANDIDATE, 0, WINDOW, len(KINDS), "entropy")).otherwise(F.array().cast(_SPOT))
-    found = found.withColumn("spots", spots)
+    found = found.withColumn("spots", F.filter(spots, lambda s: ~s["text"].contains("://")))
     found = found.withColumn("free", F.when(F.size("spots") > 0, _uncovered(F.col("base"), F.col("spots"))).otherwise(F.array().cast(_SPOT)))
     return found.select("doc_id", "base", F.when(F.size("free") > 0, _bare(F.filter("free", lambda s: _random(s["text"])))).otherwise(F.array().cast(_SPAN)).alias("added"))
 

@@ -81,7 +81,8 @@ dw AS (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS i
 h AS (SELECT doc_id, k, label, span, need, size, i, word FROM dw JOIN tw USING (word)),
 met AS (SELECT a.doc_id, a.k, a.label, a.i, a.span, count(DISTINCT b.word)::DOUBLE / a.size AS share FROM h a JOIN h b ON a.doc_id = b.doc_id AND a.k = b.k AND b.i >= a.i AND b.i < a.i + a.span
         GROUP BY a.doc_id, a.k, a.label, a.i, a.span, a.size, a.need HAVING count(DISTINCT b.word) >= a.need),
-best AS (SELECT doc_id, label, share FROM met m WHERE NOT EXISTS (SELECT 1 FROM met n WHERE n.doc_id = m.doc_id AND n.share > m.share AND n.i < m.i + m.span AND m.i < n.i + n.span)),
+nested AS (SELECT a.k AS small, b.k AS large FROM t a, t b WHERE len(a.words) < len(b.words) AND list_has_all(b.words, a.words)),
+best AS (SELECT doc_id, label, share FROM met m WHERE NOT EXISTS (SELECT 1 FROM met n WHERE n.doc_id = m.doc_id AND (n.share > m.share OR n.share = m.share AND (m.k, n.k) IN (SELECT (small, large) FROM nested)) AND n.i < m.i + m.span AND m.i < n.i + n.span)),
 more AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS share FROM best GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,
@@ -91,7 +92,7 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
 
-def secret_sql(kinds: list[tuple[str, str, int, int]], candidate: str, window: int, classes: list[tuple[str, float]], allowed: list[str]) -> str:
+def secret_sql(kinds: list[tuple[str, str, int, int]], candidate: str, window: int, classes: list[tuple[str, float]], allowed: list[str], parts: str, word: str) -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
 
     def spans(place: int, kind: str, pattern: str, group: int, least: int) -> str:
@@ -108,12 +109,13 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({base}),
 spot AS ({spans(len(kinds), 'entropy', candidate, 0, window)}),
 lone AS (SELECT spot.*, substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) AS s FROM spot JOIN d USING (doc_id)
-         WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = spot.doc_id AND base.start <= spot.start AND base.stop >= spot.stop)),
+         WHERE NOT contains(substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)), '://') AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = spot.doc_id AND base.start <= spot.start AND base.stop >= spot.stop)),
 slid AS (SELECT doc_id, start, k, substr(s, k + j, 1) AS c FROM (SELECT doc_id, start, s, k, unnest(generate_series(0, {window - 1})) AS j
          FROM (SELECT doc_id, start, s, unnest(generate_series(1, length(s) - {window - 1})) AS k FROM lone))),
 ent AS (SELECT doc_id, start, max(h) AS bits FROM (SELECT doc_id, start, k, log2({window}.0) - sum(n * log2(n)) / {window}.0 AS h
         FROM (SELECT doc_id, start, k, c, count(*)::DOUBLE AS n FROM slid GROUP BY ALL) GROUP BY ALL) GROUP BY ALL),
-added AS (SELECT doc_id, place, kind, start, stop FROM lone JOIN ent USING (doc_id, start) WHERE NOT ({allow}) AND CASE {judged} ELSE false END),
+slug AS (SELECT doc_id, start, 2 * coalesce(list_sum(list_transform(list_filter(string_split_regex(s, {quoted(parts)}), lambda x: regexp_matches(x, {quoted(word)})), lambda x: length(x))), 0) >= length(regexp_replace(s, {quoted(parts)}, '', 'g')) AS slug FROM lone),
+added AS (SELECT doc_id, place, kind, start, stop FROM lone JOIN ent USING (doc_id, start) JOIN slug USING (doc_id, start) WHERE NOT slug AND NOT ({allow}) AND CASE {judged} ELSE false END),
 every AS (SELECT *, true AS is_base FROM base UNION ALL SELECT *, false FROM added),
 told AS (SELECT doc_id, {', '.join(f"count(*) FILTER (WHERE kind = {quoted(k[0])}) AS n_{k[0]}" for k in kinds)},
   coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, place) FILTER (WHERE is_base), '') AS b,
