@@ -46,7 +46,7 @@ def test_query_agrees_with_sql(spark, tables, duck, name):
 
 def test_every_query_has_sql_and_entry_runs(spark):
     # What folds or aligns has no SQL; test_operators holds it against its rules.
-    assert set(QUERIES) - set(ORACLES) == {"edit_align", "locate_excerpt", "dtw_documents", "outlier_anchors", "two_stage_offset", "same_pitch_pairs", "wrong_note_pairs", "octave_pairs"}
+    assert set(QUERIES) - set(ORACLES) == {"edit_align", "locate_excerpt", "excerpt_alignment", "take_alignment", "dtw_documents", "outlier_anchors", "two_stage_offset", "same_pitch_pairs", "wrong_note_pairs", "octave_pairs"}
     for name in set(QUERIES) - set(ORACLES):
         found = QUERIES[name](spark, "/root/testdata/sf0.001")
         # A count prunes all columns: folds of two sides of one table must still see theirs.
@@ -57,6 +57,6 @@ def test_every_query_has_sql_and_entry_runs(spark):
 
 def test_whole_queries_leave_out_no_row(spark, tables, duck):
     n = duck.sql("SELECT count(l_shipdate) FROM lineitem").fetchall()[0][0]
-    assert QUERIES["point_in_interval_whole"](spark, tables).count() == n
+    assert QUERIES["point_in_interval"](spark, tables).count() == n
     parts = duck.sql("SELECT count(DISTINCT l_partkey) FROM lineitem").fetchall()[0][0]
-    assert QUERIES["candidate_cutoff_whole"](spark, tables).select("l_partkey").distinct().count() == parts
+    assert QUERIES["candidate_cutoff"](spark, tables).select("l_partkey").distinct().count() == parts

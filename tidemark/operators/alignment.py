@@ -107,6 +107,23 @@ def edit_path(heard: np.ndarray, written: np.ndarray, band: int | None = None, e
     return float(best[m]), pairs[::-1]
 
 
+def edit_costs(heard: np.ndarray, windows: np.ndarray, band: int, extra: float = EXTRA, missed: float = 1.0) -> np.ndarray:
+    """Costs of ``edit_path`` against many windows (a row each) at once; not a number stands for no note, at a row's end."""
+    n, m = len(heard), windows.shape[1]
+    sizes = (~np.isnan(windows)).sum(1)
+    skip = missed * np.arange(m + 1)
+    best = np.tile(skip, (len(windows), 1))
+    for i in range(1, n + 1):
+        apart = np.abs(heard[i - 1] - windows)
+        cost = np.minimum(2.5, np.minimum(apart, np.abs(apart - 12) + OCTAVE))
+        far = np.abs(np.arange(m) - (i - 1) * sizes[:, None] / max(n, 1)) > band
+        take = np.where(far | np.isnan(cost), np.inf, best[:, :-1] + cost)
+        base = best + extra
+        base[:, 1:] = np.minimum(base[:, 1:], take)
+        best = np.minimum.accumulate(base - skip, axis=1) + skip
+    return best[np.arange(len(windows)), sizes]
+
+
 def align(heard: DataFrame, written: DataFrame, keys: list[str], seq: str, value: str, band: int | None = None) -> DataFrame:
     """Matched places of two sequences of each key: (heard_seq, written_seq, cost), cost of the whole alignment."""
     spec = T.StructType([*(heard.schema[k] for k in keys), T.StructField("heard_seq", T.LongType()), T.StructField("written_seq", T.LongType()), T.StructField("cost", T.DoubleType())])
@@ -133,7 +150,8 @@ def locate(heard: DataFrame, written: DataFrame, keys: list[str], seq: str, valu
         columns = [*keys, "start", "cost", "runner_up", "located"]
         if not len(x) or not len(y):
             return pd.DataFrame([(*key, None, None, None, False)], columns=columns)
-        costs = np.array([edit_path(x, y[s : s + len(x) + max(4, len(x) // 3)][: len(x)], max(4, len(x) // 3))[0] / len(x) for s in range(max(1, len(y) - len(x) + 1))])
+        filled = np.concatenate([y, np.full(max(0, len(x) - len(y)), np.nan)])
+        costs = edit_costs(x, np.lib.stride_tricks.sliding_window_view(filled, len(x)), max(4, len(x) // 3)) / len(x)
         best = int(costs.argmin())
         away = np.abs(np.arange(len(costs)) - best) > 1
         second = float(costs[away].min()) if away.any() else float("inf")
@@ -143,29 +161,53 @@ def locate(heard: DataFrame, written: DataFrame, keys: list[str], seq: str, valu
     return cogroup(heard.select(*keys, seq, value), written.select(*keys, seq, value), keys, fold, spec)
 
 
-def dice_path(sim: np.ndarray, free_start: bool = True) -> list[tuple[int, int]]:
-    """Best monotone pairing of groups and clusters by total similarity; ends of the clusters are free."""
-    n, m = sim.shape
-    best = np.zeros((n + 1, m + 1))
-    if not free_start:
-        best[1:, 0] = -0.2 * np.arange(1, n + 1)
-    move = np.zeros((n + 1, m + 1), dtype=np.int8)
-    for i in range(1, n + 1):
-        take, drop = best[i - 1, :-1] + sim[i - 1], best[i - 1, 1:] - 0.2
-        base = np.maximum(take, drop)
-        best[i, 1:] = np.maximum(np.maximum.accumulate(base), best[i, 0])
-        move[i, 1:] = np.where(best[i, 1:] > base, 2, np.where(take >= drop, 0, 1))
-    pairs, i, j = [], n, m
+#: What a pair's likeness earns, what one without any costs, and a skipped group and cluster.
+LIKENESS, LESS, UNLIKE, SKIPPED_GROUP, SKIPPED_CLUSTER = 2.0, 0.6, -1.0, -0.45, -0.25
+
+
+def best_chain(reward: np.ndarray, skip_row: float, skip_column: float, *, free_rows_before: bool, free_rows_after: bool, free_columns: bool) -> list[tuple[int, int]]:
+    """Pairs (row, column), rising in both, of the highest total reward less what is skipped.
+
+    ``free_columns``: columns before the first pair and after the last cost
+    nothing; ``free_rows_before`` and ``free_rows_after`` say so of rows. Sums are
+    made by diagonals, whose cells don't depend on each other; the way back asks
+    at each cell which move its sum came from (a pair first, then a row skipped).
+    """
+    n, m = reward.shape
+    total = np.zeros((n + 1, m + 1))
+    total[:, 0] = 0.0 if free_rows_before else skip_row * np.arange(n + 1)
+    total[0] = 0.0 if free_columns else skip_column * np.arange(m + 1)
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        j = d - i
+        total[i, j] = np.maximum(np.maximum(total[i - 1, j - 1] + reward[i - 1, j - 1], total[i - 1, j] + skip_row), total[i, j - 1] + skip_column)
+    rows = slice(0 if free_rows_after else n, n + 1)
+    columns = slice(0 if free_columns else m, m + 1)
+    ends = total[rows, columns]
+    i, j = np.unravel_index(int(np.argmax(ends)), ends.shape)
+    i, j, chain = int(i) + (rows.start or 0), int(j) + (columns.start or 0), []
     while i and j:
-        if move[i, j] == 0:
-            if sim[i - 1, j - 1] > 0:
-                pairs.append((i - 1, j - 1))
+        if total[i, j] <= total[i - 1, j - 1] + reward[i - 1, j - 1] + 1e-9:
             i, j = i - 1, j - 1
-        elif move[i, j] == 1:
+            chain.append((i, j))
+        elif total[i, j] <= total[i - 1, j] + skip_row + 1e-9:
             i -= 1
         else:
             j -= 1
-    return pairs[::-1]
+    return chain[::-1]
+
+
+def dice_path(sim: np.ndarray, free_start: bool = True) -> list[tuple[int, int]]:
+    """Best monotone pairing of a score's groups (rows) and a take's clusters by likeness.
+
+    Clusters before and after the pairs cost nothing (noise, other passages),
+    nor do groups after them (the take stopped early), nor, with ``free_start``,
+    groups before them.
+    """
+    if not sim.size:
+        return []
+    reward = np.where(sim > 0, LIKENESS * sim - LESS, UNLIKE)
+    return best_chain(reward, SKIPPED_GROUP, SKIPPED_CLUSTER, free_rows_before=free_start, free_rows_after=True, free_columns=True)
 
 
 def dtw_cost(a: list, b: list, gap: float = 0.3) -> float:

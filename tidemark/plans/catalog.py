@@ -255,11 +255,6 @@ def best_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-01') AS month FROM lineitem WHERE l_shipdate IS NOT NULL")
 def point_in_interval(spark: SparkSession, d: str) -> DataFrame:
-    return point_in_interval_whole(spark, d)
-
-
-@query("SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m-01') AS month FROM lineitem WHERE l_shipdate IS NOT NULL")
-def point_in_interval_whole(spark: SparkSession, d: str) -> DataFrame:
     """The month of every shipdate: the months go from the first one's to the last one's."""
     l = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate").withColumn("bucket", F.year("l_shipdate"))
     ends = l.agg(F.min("l_shipdate").cast("date").alias("lo"), F.max("l_shipdate").cast("date").alias("hi"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import aggregates as A
 from tidemark.operators import alignment as L
+from tidemark.operators import excerpts as EX
 from tidemark.operators import matching as M
 from tidemark.operators import quality as Q
 from tidemark.operators import store as S
@@ -89,12 +90,6 @@ def candidate_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return _cutoff(load(spark, d, "lineitem"))
 
 
-@query("SELECT l_partkey, l_suppkey, l_extendedprice AS cost FROM lineitem QUALIFY l_extendedprice <= min(l_extendedprice) OVER (PARTITION BY l_partkey) * 1.4 AND row_number() OVER (PARTITION BY l_partkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) <= 16")
-def candidate_cutoff_whole(spark: SparkSession, d: str) -> DataFrame:
-    """candidate_cutoff over every row."""
-    return _cutoff(load(spark, d, "lineitem"))
-
-
 def _cutoff(l: DataFrame) -> DataFrame:
     w = Window.partitionBy("l_partkey")
     near = l.withColumns({"best": F.min("l_extendedprice").over(w), "r": F.row_number().over(w.orderBy("l_extendedprice", "l_orderkey", "l_linenumber"))})
@@ -240,7 +235,25 @@ def locate_excerpt(spark: SparkSession, d: str) -> DataFrame:
     """Where among all of a user's events the twelve from the 11th on fit."""
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
     e = events(spark, d).select("user_id", F.row_number().over(w).alias("k"), (36 + F.col("value") % 60).alias("p"))
-    return L.locate(e.where("k BETWEEN 11 AND 22"), e, ["user_id"], "k", "p")
+    return EX.locate(e.where("k BETWEEN 11 AND 22"), e, ["user_id"], "k", "p")
+
+
+def _played(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A line of all of a user's events, a beat each, and a take of its middle third at 0.4 s a beat, with notes left out, an octave low and late."""
+    w = Window.partitionBy("user_id")
+    e = events(spark, d).select("user_id", "event_id", F.row_number().over(w.orderBy("t", "event_id")).alias("k"), F.count("*").over(w).alias("n"), (40 + F.col("value") % 48).alias("pitch"))
+    line = e.select("user_id", (F.col("k") - 1).cast("double").alias("beat"), F.lit(1.0).alias("length"), F.floor((F.col("k") - 1) / 4).alias("measure"), "pitch")
+    third = e.where((F.col("k") > F.col("n") / 3) & (F.col("k") <= 2 * F.col("n") / 3) & (F.col("event_id") % 11 > 0))
+    at = (F.col("k") - F.floor(F.col("n") / 3)) * 0.4 + F.col("event_id") % 7 * 0.005
+    return third.select("user_id", at.alias("start"), (at + 0.3).alias("stop"), (F.col("pitch") - F.when(F.col("event_id") % 13 == 0, 12).otherwise(0)).alias("pitch")), line
+
+
+@query()
+def excerpt_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Where each user's take lies in the line of all of their events, whole: both ends, tempo, measures, or why it is refused."""
+    heard, line = _played(spark, d)
+    found = EX.align_excerpt(heard, line, ["user_id"])
+    return found.drop("measures").withColumn("measures", F.size(found["measures"]))
 
 
 @query()
