@@ -169,7 +169,8 @@ def best_chain(reward: np.ndarray, skip_row: float, skip_column: float, *, free_
     """Pairs (row, column), rising in both, of the highest total reward less what is skipped.
 
     ``free_columns``: columns before the first pair and after the last cost
-    nothing; ``free_rows_before`` and ``free_rows_after`` say so of rows. Sums are
+    nothing; ``free_rows_before`` and ``free_rows_after`` say so of rows. A chain
+    starts at an edge, so of what is ahead of both sides one is skipped for free. Sums are
     made by diagonals, whose cells don't depend on each other; the way back asks
     at each cell which move its sum came from (a pair first, then a row skipped).
     """
@@ -200,9 +201,9 @@ def best_chain(reward: np.ndarray, skip_row: float, skip_column: float, *, free_
 def dice_path(sim: np.ndarray, free_start: bool = True) -> list[tuple[int, int]]:
     """Best monotone pairing of a score's groups (rows) and a take's clusters by likeness.
 
-    Clusters before and after the pairs cost nothing (noise, other passages),
-    nor do groups after them (the take stopped early), nor, with ``free_start``,
-    groups before them.
+    Clusters and groups after the pairs cost nothing (the take stopped early, or
+    went on), nor do clusters before them (noise, other passages) or, with
+    ``free_start``, groups before them, whichever costs more; not both.
     """
     if not sim.size:
         return []

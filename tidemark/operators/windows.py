@@ -72,11 +72,12 @@ def clusters(df: DataFrame, keys: list[str], time: str, gap: float, span: float)
     return held.select(*keys, F.explode(F.aggregate("ts", F.array().cast(state), step)).alias("c")).select(*keys, "c.start", "c.stop", "c.n")
 
 
-def increasing(pairs: Column, epsilon: float) -> Column:
-    """Of (beat, sec) pairs in order, those that advance both by more than epsilon."""
+def increasing(pairs: Column, epsilon: float, seconds: float | None = None) -> Column:
+    """Of (beat, sec) pairs in order, those that advance both by more than epsilon (the second by ``seconds``, if given)."""
+    later = epsilon if seconds is None else seconds
     kind = "array<struct<beat:double,sec:double>>"
     last = lambda s: F.try_element_at(s, F.lit(-1))
-    step = lambda s, p: F.when((F.size(s) == 0) | ((p["beat"] > last(s)["beat"] + epsilon) & (p["sec"] > last(s)["sec"] + epsilon)), F.concat(s, F.array(p))).otherwise(s).cast(kind)
+    step = lambda s, p: F.when((F.size(s) == 0) | ((p["beat"] > last(s)["beat"] + epsilon) & (p["sec"] > last(s)["sec"] + later)), F.concat(s, F.array(p))).otherwise(s).cast(kind)
     return F.aggregate(pairs.cast(kind), F.array().cast(kind), step)
 
 

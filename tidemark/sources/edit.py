@@ -43,64 +43,176 @@ def transpose(xml: str, semitones: int) -> str:
     return ElementTree.tostring(root, encoding="unicode")
 
 
-def monophonic(xml: str) -> tuple[str, dict]:
-    """The part and the voice with most notes, one note at a time: chords keep their first note, other voices go.
+def _local(node: ElementTree.Element) -> str:
+    return node.tag.rpartition("}")[2]
+
+
+def _all(node: ElementTree.Element, name: str) -> list[ElementTree.Element]:
+    return [n for n in node if _local(n) == name]
+
+
+def _one(node: ElementTree.Element, name: str) -> ElementTree.Element | None:
+    return next(iter(_all(node, name)), None)
+
+
+def _said(node: ElementTree.Element, name: str, default: str) -> str:
+    found = _one(node, name)
+    return default if found is None or not (found.text or "").strip() else found.text.strip()
+
+
+def _line_of(node: ElementTree.Element) -> tuple[str, str]:
+    """The voice and staff that a note or forward belongs to."""
+    return _said(node, "voice", "1"), _said(node, "staff", "1")
+
+
+def _length(node: ElementTree.Element, *, zero: bool) -> Fraction:
+    length = Fraction(_said(node, "duration", "0"))
+    if length < 0 or not (zero or length):
+        raise ValueError("a length must be a positive number")
+    return length
+
+
+def _written(x: Fraction) -> str:
+    return str(x.numerator) if x.denominator == 1 else repr(float(x))
+
+
+class _Projection:
+    """One line of one part, measure by measure."""
+
+    def __init__(self, line: tuple[str, str], space: str):
+        self.line, self.space, self.tied = line, space, None
+        self.report = {"chord_notes_dropped": 0, "other_notes_dropped": 0, "overlaps_dropped": 0, "rests_added": 0, "orphan_ties_dropped": 0, "timeline_removed": 0}
+
+    def _placed(self, measure: ElementTree.Element) -> tuple[list, Fraction]:
+        """The line's notes with their starts and lengths, and where its own forwards reach; all of the timeline is taken out."""
+        at, head, reach, notes = Fraction(0), Fraction(0), Fraction(0), []
+        for node in [n for n in measure if _local(n) in ("note", "backup", "forward")]:
+            measure.remove(node)
+            if _local(node) != "note":
+                step = _length(node, zero=True)
+                at += step if _local(node) == "forward" else -step
+                if at < 0:
+                    raise ValueError("a backup must not pass the measure's start")
+                if _local(node) == "forward" and _line_of(node) == self.line:
+                    reach = max(reach, at)
+                self.report["timeline_removed"] += 1
+                continue
+            length = Fraction(0) if _one(node, "grace") is not None else _length(node, zero=False)
+            chord = _one(node, "chord") is not None
+            if not chord:
+                head, at = at, at + length
+            if chord:
+                self.report["chord_notes_dropped"] += _line_of(node) == self.line
+                self.report["other_notes_dropped"] += _line_of(node) != self.line
+            elif _line_of(node) != self.line:
+                self.report["other_notes_dropped"] += 1
+            else:
+                notes.append((head, length, node))
+        return sorted(notes, key=lambda n: n[0]), reach
+
+    def _rest(self, length: Fraction) -> ElementTree.Element:
+        self.tied = None
+        self.report["rests_added"] += 1
+        rest = ElementTree.Element(f"{self.space}note")
+        ElementTree.SubElement(rest, f"{self.space}rest")
+        ElementTree.SubElement(rest, f"{self.space}duration").text = _written(length)
+        return rest
+
+    def _plain(self, note: ElementTree.Element) -> ElementTree.Element:
+        """Without voice and staff, and without the end of a tie that no kept note of its pitch began."""
+        for node in [*_all(note, "voice"), *_all(note, "staff")]:
+            note.remove(node)
+        pitch = _one(note, "pitch")
+        sign = None if pitch is None else tuple(_said(pitch, k, "0" if k == "alter" else "") for k in ("step", "alter", "octave"))
+        kinds = {t.get("type") for t in _all(note, "tie")}
+        if "stop" in kinds and (sign is None or sign != self.tied):
+            for parent in [note, *_all(note, "notations")]:
+                for node in [n for n in parent if _local(n) in ("tie", "tied") and n.get("type") == "stop"]:
+                    parent.remove(node)
+            self.report["orphan_ties_dropped"] += 1
+        self.tied = sign if "start" in kinds else None
+        return note
+
+    def measure(self, measure: ElementTree.Element) -> None:
+        timeline = [k for k, n in enumerate(measure) if _local(n) in ("note", "backup", "forward")]
+        notes, reach = self._placed(measure)
+        line, end = [], Fraction(0)
+        for start, length, note in notes:
+            if start < end:
+                self.report["overlaps_dropped"] += 1
+                continue
+            if start > end:
+                line.append(self._rest(start - end))
+            line.append(self._plain(note))
+            end = start + length
+        if reach > end:
+            line.append(self._rest(reach - end))
+        for k, node in enumerate(line, timeline[0] if timeline else 0):
+            measure.insert(k, node)
+
 
-    The voice's cursor is kept by rests where its notes leave a gap. The report
-    counts what was dropped.
+def monophonic(xml: str) -> tuple[str, dict]:
+    """One part's one line, a note at a time, and a report of what went.
+
+    The part, and in it the voice and staff, with most notes that are struck (no
+    further chord notes) stay, the first in the document of equals. Chords keep
+    their first note; of notes that overlap, the later goes. Rests keep what
+    backups and forwards said of time, at a measure's end too. Ends of ties whose
+    beginning went are dropped. Documents may have a namespace. One that isn't
+    score-partwise, has no pitched note, or has impossible lengths raises ValueError.
     """
     root = ElementTree.fromstring(xml)
-    parts = root.findall("part")
-    size = {i: sum(n.find("pitch") is not None for n in p.iter("note")) for i, p in enumerate(parts)}
-    keep = max(size, key=lambda i: (size[i], -i)) if size else None
-    report = {"parts_dropped": max(0, len(parts) - 1), "voices_dropped": 0, "chord_notes_dropped": 0, "rests_added": 0}
-    for i, part in enumerate(parts):
-        if i != keep:
-            root.remove(part)
-    if keep is None:
-        return xml, report
-    voices = Counter(n.findtext("voice") or "1" for n in parts[keep].iter("note") if n.find("pitch") is not None)
-    voice = max(sorted(voices), key=voices.__getitem__) if voices else "1"
-    report["voices_dropped"] = max(0, len(voices) - 1)
-    divisions = Fraction(1)
-    for measure in parts[keep].findall("measure"):
-        at, written = Fraction(0), Fraction(0)
-        for node in list(measure):
-            if node.tag == "attributes" and node.findtext("divisions"):
-                divisions = Fraction(node.findtext("divisions"))
-            elif node.tag in ("backup", "forward"):
-                at += Fraction(node.findtext("duration") or 0) * (1 if node.tag == "forward" else -1)
-                measure.remove(node)
-            elif node.tag == "note":
-                chord = node.find("chord") is not None
-                length = Fraction(0) if node.find("grace") is not None or chord else Fraction(node.findtext("duration") or 0)
-                if (node.findtext("voice") or "1") != voice or chord:
-                    report["chord_notes_dropped"] += chord and (node.findtext("voice") or "1") == voice
-                    measure.remove(node)
-                else:
-                    if at > written:
-                        rest = ElementTree.Element("note")
-                        ElementTree.SubElement(rest, "rest")
-                        ElementTree.SubElement(rest, "duration").text = str(at - written)
-                        measure.insert(list(measure).index(node), rest)
-                        report["rests_added"] += 1
-                    written = at + length
-                at += length
-    return ElementTree.tostring(root, encoding="unicode"), report | {"divisions": int(divisions)}
-
-
-def restore_first_rest(xml: str, beats: float) -> str:
-    """A rest of so many quarters before the first note, where a recogniser dropped it."""
+    parts = _all(root, "part")
+    if _local(root) != "score-partwise" or not parts:
+        raise ValueError("a document in parts is needed")
+    space = root.tag[: root.tag.rindex("}") + 1] if "}" in root.tag else ""
+    if space:
+        ElementTree.register_namespace("", space[1:-1])
+    struck = {id(p): [n for m in _all(p, "measure") for n in _all(m, "note") if _one(n, "pitch") is not None and _one(n, "chord") is None] for p in parts}
+    part = max(parts, key=lambda p: len(struck[id(p)]))
+    lines = Counter(_line_of(n) for n in struck[id(part)])
+    if not lines:
+        raise ValueError("a pitched note is needed")
+    for other in parts:
+        if other is not part:
+            root.remove(other)
+    for listed in _all(root, "part-list"):
+        for node in list(listed):
+            if _local(node) != "score-part" or node.get("id") != part.get("id"):
+                listed.remove(node)
+    told = _Projection(lines.most_common(1)[0][0], space)
+    for measure in _all(part, "measure"):
+        told.measure(measure)
+    return ElementTree.tostring(root, encoding="unicode"), {"line": list(told.line), "parts_dropped": len(parts) - 1, "lines_dropped": len(lines) - 1, **told.report}
+
+
+def restore_first_rest(xml: str, beats: int) -> str:
+    """A measure of rest of so many quarters, 1 to 16, ahead of the first, where a recogniser dropped it.
+
+    Key, time, clef and divisions move to it, and measures are numbered anew. A
+    first measure without divisions, or a document without any, raises ValueError.
+    """
     root = ElementTree.fromstring(xml)
-    measure = root.find("part/measure")
-    first = next((k for k, n in enumerate(measure) if n.tag == "note"), None) if measure is not None else None
-    if first is None or beats <= 0:
-        return xml
-    divisions = Fraction(measure.findtext("attributes/divisions") or 1)
-    rest = ElementTree.Element("note")
-    ElementTree.SubElement(rest, "rest")
-    ElementTree.SubElement(rest, "duration").text = str(Fraction(beats).limit_denominator(64) * divisions)
-    measure.insert(first, rest)
+    part = _one(root, "part")
+    first = None if part is None else _one(part, "measure")
+    attributes = None if first is None else _one(first, "attributes")
+    if not 1 <= beats <= 16 or attributes is None:
+        raise ValueError("1 to 16 quarters, and a measure with attributes, are needed")
+    divisions = Fraction(_said(attributes, "divisions", "0"))
+    if divisions <= 0:
+        raise ValueError("divisions must be positive")
+    space = root.tag[: root.tag.rindex("}") + 1] if "}" in root.tag else ""
+    if space:
+        ElementTree.register_namespace("", space[1:-1])
+    opening = ElementTree.Element(f"{space}measure")
+    first.remove(attributes)
+    opening.append(attributes)
+    rest = ElementTree.SubElement(opening, f"{space}note")
+    ElementTree.SubElement(rest, f"{space}rest", {"measure": "yes"})
+    ElementTree.SubElement(rest, f"{space}duration").text = _written(divisions * beats)
+    part.insert(list(part).index(first), opening)
+    for number, measure in enumerate(_all(part, "measure"), 1):
+        measure.set("number", str(number))
     return ElementTree.tostring(root, encoding="unicode")
 
 
