@@ -20,11 +20,10 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], left_on: str, right
     side = left.columns
     l = left.select(*(F.col(c) for c in side), F.lit(None).cast(right.schema[value].dataType).alias("_v"), F.col(left_on).alias("_t"), F.lit(0 if strict != forward else 1).alias("_side"), F.lit(True).alias("_left"))
     r = right.select(*(F.col(k) if k in keys else F.lit(None).cast(left.schema[k].dataType).alias(k) for k in side), F.col(value).alias("_v"), F.col(right_on).alias("_t"), F.lit(1 if strict != forward else 0).alias("_side"), F.lit(False).alias("_left"))
-    w = Window.partitionBy(*keys).orderBy("_t", "_side")
-    if forward:
-        found = F.first(F.when(~F.col("_left"), F.struct("_v")), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last(F.when(~F.col("_left"), F.struct("_v")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # Forward is backward in the other order: a frame that grows costs one step a row, one that shrinks is made anew for each.
+    order = [F.desc("_t"), F.desc("_side")] if forward else ["_t", "_side"]
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last(F.when(~F.col("_left"), F.struct("_v")), ignorenulls=True).over(w)
     return l.unionByName(r).withColumn(name, found["_v"]).where("_left").select(*side, name)
 
 
@@ -117,10 +116,21 @@ def fused(frames: DataFrame, notes: DataFrame, keys: list[str], at: str, own: st
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
-    """One-to-one pairs (left.t, right.t): each is the other's nearest, within the tolerance."""
-    l = nearest(left.select(*keys, F.col("t").alias("left_t")).distinct(), right.select(*keys, F.col("t").alias("right_t")).distinct(), keys, "left_t", "right_t", "right_t", tolerance)
-    r = nearest(right.select(*keys, F.col("t").alias("right_t")).distinct(), left.select(*keys, F.col("t").alias("left_t")).distinct(), keys, "right_t", "left_t", "left_t", tolerance)
-    return l.where(F.col("right_t").isNotNull()).join(r.where(F.col("left_t").isNotNull()), [*keys, "left_t", "right_t"], "left_semi")
+    """One-to-one pairs (left.t, right.t): each is the other's nearest (ties: the earlier), within the tolerance.
+
+    Both sides are one union: of each row the other side's last at or before it
+    and first at or after it come from one exchange, and a pair is one that both
+    sides name.
+    """
+    both = left.select(*keys, "t", F.lit(True).alias("_left")).unionByName(right.select(*keys, "t", F.lit(False).alias("_left")))
+    up, down = (Window.partitionBy(*keys).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in ("t", F.desc("t")))
+    ours, theirs = F.when(F.col("_left"), F.col("t")), F.when(~F.col("_left"), F.col("t"))
+    other = lambda w: F.when(F.col("_left"), F.last(theirs, ignorenulls=True).over(w)).otherwise(F.last(ours, ignorenulls=True).over(w))
+    seen = both.withColumn("_b", other(up)).withColumn("_f", other(down))
+    near = F.when(F.col("_b").isNull(), F.col("_f")).when(F.col("_f").isNull() | (F.col("t") - F.col("_b") <= F.col("_f") - F.col("t")), F.col("_b")).otherwise(F.col("_f"))
+    close = seen.withColumn("_n", near).where(F.abs(F.col("_n") - F.col("t")) <= tolerance)
+    named = close.select(*keys, F.when(F.col("_left"), F.col("t")).otherwise(F.col("_n")).alias("left_t"), F.when(F.col("_left"), F.col("_n")).otherwise(F.col("t")).alias("right_t"), "_left")
+    return named.groupBy(*keys, "left_t", "right_t").agg(F.count_if("_left").alias("_l"), F.count_if(~F.col("_left")).alias("_r")).where("_l > 0 AND _r > 0").drop("_l", "_r")
 
 
 def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
@@ -201,10 +211,9 @@ def masked_by_lower(notes: DataFrame, keys: list[str], onset: str, pitch: str, w
     """
     own = notes.select("*", F.col(pitch).alias("_p"), F.col(onset).alias("_o"), F.lit(True).alias("_note"))
     over = notes.select(*keys, F.explode(F.array(*(F.col(pitch) + d for d in (12, 19, 24)))).alias("_p"), F.col(onset).alias("_o"), F.lit(False).alias("_note"))
-    w = Window.partitionBy(*keys, "_p").orderBy("_o", "_note")
+    up, down = (Window.partitionBy(*keys, "_p").orderBy(*o).rowsBetween(Window.unboundedPreceding, 0) for o in (("_o", "_note"), (F.desc("_o"), "_note")))
     cause = F.when(~F.col("_note"), F.col("_o"))
-    before = F.last(cause, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(cause, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    before, after = (F.last(cause, ignorenulls=True).over(w) for w in (up, down))
     near = F.coalesce(F.col("_o") - before <= within, F.lit(False)) | F.coalesce(after - F.col("_o") <= within, F.lit(False))
     return own.unionByName(over, allowMissingColumns=True).withColumn("masked", near).where("_note").drop("_p", "_o", "_note")
 

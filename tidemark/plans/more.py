@@ -149,27 +149,6 @@ def range_text(spark: SparkSession, d: str) -> DataFrame:
     return days.select("user_id", W.range_text(F.col("days")).alias("days"))
 
 
-@query(f"""
-WITH {_E}, c AS (SELECT user_id, event_type, count(*) AS n FROM e WHERE value > 90 GROUP BY ALL), r AS (SELECT *, max(n) OVER (PARTITION BY user_id) AS most FROM c)
-SELECT user_id, event_type, n FROM r WHERE n / most >= 0.7
-""")
-def systematic_errors(spark: SparkSession, d: str) -> DataFrame:
-    e = events(spark, d).where("value > 90").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    return e.withColumn("most", F.max("n").over(Window.partitionBy("user_id"))).where(F.col("n") / F.col("most") >= 0.7).select("user_id", "event_type", "n")
-
-
-@query("""
-WITH o AS (SELECT o_custkey, o_orderkey, o_orderdate, lag(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
-SELECT o_custkey, bool_and(before IS NULL OR o_orderdate >= before) AS valid FROM o GROUP BY o_custkey
-""")
-def timeline_validity(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderdate")
-    spans = o.select("o_custkey", "o_orderkey", F.unix_micros(F.col("o_orderdate").cast("timestamp")).cast("double").alias("start")).withColumn("stop", F.col("start") + 1e-9 + F.lit(0.5))
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    ok = F.lag("start").over(w).isNull() | (F.col("start") >= F.lag("start").over(w))
-    return spans.withColumn("ok", ok).groupBy("o_custkey").agg(F.bool_and("ok").alias("valid"))
-
-
 @query(f"""
 WITH {_E}, s AS (SELECT user_id, avg(CASE WHEN value < 20 THEN 1.0 ELSE 0.0 END) AS excluded, avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS bad, count(value) / count(*) AS cov, count(*) / 2.0 AS tempo FROM e GROUP BY user_id)
 SELECT user_id, concat_ws(',', CASE WHEN excluded > 0.3 THEN 'too_many_excluded' END, CASE WHEN bad > 0.25 THEN 'measure_length' END, CASE WHEN cov < 0.3 THEN 'low_coverage' END, CASE WHEN tempo NOT BETWEEN 15 AND 360 THEN 'tempo_implausible' END) AS refused FROM s
@@ -253,7 +232,7 @@ def excerpt_alignment(spark: SparkSession, d: str) -> DataFrame:
     """Where each user's take lies in the line of all of their events, whole: both ends, tempo, measures, or why it is refused."""
     heard, line = _played(spark, d)
     found = EX.align_excerpt(heard, line, ["user_id"])
-    return found.drop("measures").withColumn("measures", F.size(found["measures"]))
+    return found.withColumn("measures", F.size("measures"))
 
 
 @query()
@@ -321,3 +300,44 @@ def greedy_match(spark: SparkSession, d: str) -> DataFrame:
 def outlier_anchors(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).groupBy("user_id", "day").agg(F.round(F.avg("value"), 6).alias("level")).withColumn("x", F.col("day").cast("double"))
     return L.reject_outliers(e, ["user_id"], "x", "level", least=5.0)
+
+
+@query()
+def take_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's events as a written line, half a second a beat, against a take of it with notes left out, changed and added."""
+    from tidemark.operators import performance as R
+
+    k, i = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")), F.col("event_id")
+    e = events(spark, d).select("user_id", "event_id", k.alias("k"), (48 + i % 24).cast("int").alias("midi"))
+    notes = e.select("user_id", i.alias("id"), "midi", F.col("k").cast("double").alias("beat"))
+    at = 1.0 + 0.5 * F.col("k") + i % 5 * 0.01
+    played = e.where(i % 9 > 0).select("user_id", i.alias("id"), (F.col("midi") + F.when(i % 10 == 1, 1).otherwise(0)).alias("midi"), at.alias("t"))
+    extra = e.where(i % 17 == 0).select("user_id", (-i - 1).alias("id"), (F.col("midi") + 30).alias("midi"), (at + 0.23).alias("t"))
+    return R.align(notes, played.unionAll(extra), ["user_id"]).withColumn("expected", F.round("expected", 6))
+
+
+@query("""
+WITH n AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k, 1 + CAST(l_quantity AS BIGINT) % 4 AS d, [60, 62, 64, 65, 67, 69, 71][l_partkey % 7 + 1] AS midi, l_linenumber % 2 = 1 AS first,
+             CASE WHEN l_linenumber % 2 = 1 AND round(l_discount * 100) >= 9 THEN 2 ELSE 0 END AS gap FROM lineitem),
+v AS (SELECT *, count(*) FILTER (WHERE first) OVER w >= count(*) FILTER (WHERE NOT first) OVER w AS upper FROM n WINDOW w AS (PARTITION BY l_orderkey))
+SELECT l_orderkey, CAST(sum(d + gap) OVER (PARTITION BY l_orderkey ORDER BY k) - d AS INTEGER) AS at, CAST(d AS INTEGER) AS duration, CAST(midi AS INTEGER) AS midi FROM v WHERE first = upper
+""")
+def projected_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Each order as a score of two voices (odd and even lines, gaps, chord tones), projected to its one line and read back with its places."""
+    from tidemark.sources import edit, scan
+
+    l = load(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    first = F.col("l_linenumber") % 2 == 1
+    step = F.substring(F.lit("CDEFGAB"), (F.col("l_partkey") % 7 + 1).cast("int"), F.lit(1))
+    length = 1 + F.col("l_quantity").cast("long") % 4
+    gap = F.when(first & (F.round(F.col("l_discount") * 100) >= 9), 2).otherwise(0)
+    note = lambda chord, name, octave: F.concat(F.lit(f"<note>{chord}<pitch><step>"), name, F.lit(f"</step><octave>{octave}</octave></pitch><duration>"), length.cast("string"), F.lit("</duration><voice>"), F.when(first, "1").otherwise("2"), F.lit("</voice></note>"))
+    text = F.concat(F.when(gap > 0, "<forward><duration>2</duration></forward>").otherwise(""), note("", step, 4), F.when(F.round(F.col("l_tax") * 100) >= 7, note("<chord/>", F.lit("C"), 6)).otherwise(""))
+    lines = l.select("l_orderkey", first.alias("first"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", text.alias("text")).alias("line"), F.when(first, length + gap).alias("long"))
+    voice = lambda own: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(own, F.col("line")))), lambda x: x["text"]), "")
+    back = F.when(F.sum("long") > 0, F.concat(F.lit("<backup><duration>"), F.sum("long").cast("string"), F.lit("</duration></backup>"))).otherwise("")
+    body = lines.groupBy("l_orderkey").agg(voice(F.col("first")).alias("upper"), back.alias("back"), voice(~F.col("first")).alias("lower"))
+    head, tail = '<score-partwise><part id="P"><measure><attributes><divisions>1</divisions></attributes>', "</measure></part></score-partwise>"
+    scores = body.select("l_orderkey", F.concat(F.lit(head), "upper", "back", "lower", F.lit(tail)).alias("xml"))
+    found = scan.timed(scan.tokens(edit.edited(scores, "xml", edit.monophonic, "line"), "l_orderkey", "line"), "l_orderkey")
+    return found.where("NOT rest").select("l_orderkey", "at", "duration", "midi")
