@@ -341,3 +341,48 @@ def projected_lines(spark: SparkSession, d: str) -> DataFrame:
     scores = body.select("l_orderkey", F.concat(F.lit(head), "upper", "back", "lower", F.lit(tail)).alias("xml"))
     found = scan.timed(scan.tokens(edit.edited(scores, "xml", edit.monophonic, "line"), "l_orderkey", "line"), "l_orderkey")
     return found.where("NOT rest").select("l_orderkey", "at", "duration", "midi")
+
+
+#: Of each user a root, a second tone some way above it, both out of tune by some cents; every fourth user leaves the second out.
+_CHORDS = _E + """, c AS (SELECT user_id, 45 + user_id % 9 AS root, 45 + user_id % 9 + [3, 4, 5, 7, 12][user_id % 5 + 1] AS above, count(*) % 21 - 10 AS flat, min(event_id) % 21 - 10 AS sharp, count(*) % 4 > 0 AS played FROM e WHERE user_id IS NOT NULL GROUP BY user_id)"""
+
+
+def _sounded(rate: int):
+    """Half a second of silence, 0.8 s of both tones of six partials, 0.2 s of silence."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        i = np.arange(int(0.8 * rate))
+        for b in batches:
+            made = []
+            for r in b.itertuples(index=False):
+                x = np.zeros(int(1.5 * rate))
+                for midi, cents, loud in ((r.root, r.flat, 0.2), (r.above, r.sharp, 0.2 * r.played)):
+                    turn = 2 * np.pi * 440 * 2 ** ((midi + cents / 100 - 69) / 12) / rate
+                    x[int(0.5 * rate) : int(0.5 * rate) + len(i)] += sum(loud / k * np.sin(turn * k * i + k) for k in range(1, 7))
+                made.append(x)
+            yield pd.DataFrame({"user_id": b["user_id"], "samples": made, "rate": rate})
+
+    return run
+
+
+@query(f"""
+WITH {_CHORDS} SELECT user_id, root::INTEGER AS midi, 'measured' AS state, true AS near FROM c UNION ALL
+SELECT user_id, above::INTEGER, CASE WHEN NOT played THEN 'missing' WHEN above - root = 12 THEN 'inseparable' ELSE 'measured' END, CASE WHEN played AND above - root <> 12 THEN true END FROM c
+""")
+def chord_tone_states(spark: SparkSession, d: str) -> DataFrame:
+    """Chords that Spark sounds from each user's events, measured tone by tone: ``near`` within three cents of what was sounded."""
+    from tidemark.operators import partials as PA
+
+    rate = 11_025
+    root = 45 + F.col("user_id") % 9
+    c = events(spark, d).where("user_id IS NOT NULL").groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
+    above = root + F.get(F.array(*map(F.lit, (3, 4, 5, 7, 12))), (F.col("user_id") % 5).cast("int"))
+    c = c.select("user_id", root.cast("int").alias("root"), above.cast("int").alias("above"), (F.col("n") % 21 - 10).alias("flat"), (F.col("first") % 21 - 10).alias("sharp"), (F.col("n") % 4 > 0).alias("played"))
+    takes = c.mapInPandas(_sounded(rate), "user_id long, samples array<double>, rate int")
+    chords = c.select("user_id", F.lit(1).alias("id"), F.array("root", "above").alias("tones"), F.lit(0.5).alias("onset"), F.lit(1.3).alias("stop"))
+    sounding = c.select("user_id", F.explode(F.when(F.col("played"), F.array("root", "above")).otherwise(F.array("root"))).alias("midi"), F.lit(0.5).alias("start"), F.lit(1.3).alias("stop"))
+    found = PA.chord_tones(takes, chords, sounding, "user_id").join(c.select("user_id", "root", "flat", "sharp"), "user_id")
+    return found.select("user_id", "midi", "state", (F.abs(F.col("cents") - F.when(F.col("midi") == F.col("root"), F.col("flat")).otherwise(F.col("sharp"))) <= 3).alias("near"))
