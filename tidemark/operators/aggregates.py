@@ -62,24 +62,41 @@ def timing_accuracy(error_ms: Column, cap: float = 250.0) -> Column:
     return X.half_even(F.greatest(F.lit(0.0), 100.0 - F.avg(F.least(F.abs(error_ms), F.lit(cap))) * 0.4))
 
 
-def struck_timing(df: DataFrame, keys: list[str], error_ms: str, least: int = 3) -> DataFrame:
-    """Offset, spread, stability, accuracy and score of the timing of struck notes, by medians."""
+def struck_timing(df: DataFrame, keys: list[str], error_ms: str, least: int = 3, covered: float = 0.5, refused: str | None = None) -> DataFrame:
+    """Offset, spread, stability, accuracy and score of the timing of struck notes, by medians.
+
+    Rows are the notes in scope; n of them have an error. Nothing is said of
+    fewer than ``least``, of less than a share of all notes but one, or of groups
+    that ``refused`` (a boolean column) names.
+    """
     w = Window.partitionBy(*keys)
-    e = df.where(F.col(error_ms).isNotNull()).withColumn("offset", X.half_even(F.median(error_ms).over(w)))
-    out = e.groupBy(*keys).agg(F.count("*").alias("n"), F.first("offset").alias("offset"), X.half_even(F.median(F.abs(F.col(error_ms) - F.col("offset")))).alias("spread"), F.median(F.abs(error_ms)).alias("size"))
-    floor = lambda lost: F.when(F.col("n") >= least, X.half_even(F.greatest(F.lit(0.0), 100.0 - lost)))
+    e = df.withColumn("offset", X.half_even(F.median(error_ms).over(w)))
+    no = F.bool_or(F.coalesce(F.col(refused), F.lit(False))) if refused else F.lit(False)
+    out = e.groupBy(*keys).agg(F.count(error_ms).alias("n"), F.count("*").alias("_rows"), no.alias("_no"), F.first("offset").alias("offset"), X.half_even(F.median(F.abs(F.col(error_ms) - F.col("offset")))).alias("spread"), F.median(F.abs(error_ms)).alias("size"))
+    enough = (F.col("n") >= least) & (F.col("n") / F.greatest(F.lit(1), F.col("_rows") - 1) >= covered) & ~F.col("_no")
+    floor = lambda lost: F.when(enough, X.half_even(F.greatest(F.lit(0.0), 100.0 - lost)))
     c = F.col
-    return out.select(*keys, "n", F.when(c("n") >= least, c("offset")).alias("offset"), F.when(c("n") >= least, c("spread")).alias("spread"), floor(c("spread") * 0.55).alias("stability"), floor(c("size") * 0.4).alias("accuracy"), floor(c("spread") * 0.45 + F.abs("offset") * 0.3).alias("score"))
+    out = out.where("n > 0")
+    return out.select(*keys, "n", F.when(enough, c("offset")).alias("offset"), F.when(enough, c("spread")).alias("spread"), floor(c("spread") * 0.55).alias("stability"), floor(c("size") * 0.4).alias("accuracy"), floor(c("spread") * 0.45 + F.abs("offset") * 0.3).alias("score"))
 
 
-def chord_spreads(notes: DataFrame, keys: list[str], chord: str, heard: str, staff: str, uneven_ms: float = 50.0, least: int = 3) -> DataFrame:
+def chord_spreads(notes: DataFrame, keys: list[str], chord: str, heard: str, staff: str, uneven_ms: float = 50.0, least: int = 3, *, rolled: str | None = None, measure: str | None = None, most: int = 8) -> DataFrame:
     """How evenly chords of two notes and more sound: chords, their median spread,
     how many are uneven, and by how much the first staff is later than the second
-    (median over ``least`` chords that both play). Times are seconds."""
+    (median over ``least`` chords that both play). Times are seconds. Chords with
+    a note that is written rolled (a boolean column) are left out. With ``measure``
+    also ``measures``: the ``most`` measures with most uneven chords."""
     c = F.col
-    per = notes.groupBy(*keys, chord).agg(F.count("*").alias("n"), F.round((F.max(heard) - F.min(heard)) * 1000, 6).alias("spread"), F.round((F.median(F.when(c(staff) == 1, c(heard))) - F.median(F.when(c(staff) == 2, c(heard)))) * 1000, 6).alias("hands"))
-    out = per.where("n >= 2").groupBy(*keys).agg(F.count("*").alias("chords"), X.half_even(F.median("spread")).alias("spread"), F.count_if(c("spread") > uneven_ms).alias("uneven"), F.count("hands").alias("both"), X.half_even(F.median("hands")).alias("hand_offset"))
-    return out.select(*keys, "chords", "spread", "uneven", F.when(c("both") >= least, c("hand_offset")).alias("hand_offset"))
+    some = [F.bool_or(F.coalesce(c(rolled), F.lit(False))).alias("_rolled")] if rolled else [F.lit(False).alias("_rolled")]
+    where = [F.min(measure).alias("_m")] if measure else []
+    per = notes.groupBy(*keys, chord).agg(F.count("*").alias("n"), F.round((F.max(heard) - F.min(heard)) * 1000, 6).alias("spread"), F.round((F.median(F.when(c(staff) == 1, c(heard))) - F.median(F.when(c(staff) == 2, c(heard)))) * 1000, 6).alias("hands"), *some, *where)
+    per = per.where("n >= 2 AND NOT _rolled")
+    out = per.groupBy(*keys).agg(F.count("*").alias("chords"), X.half_even(F.median("spread")).alias("spread"), F.count_if(c("spread") > uneven_ms).alias("uneven"), F.count("hands").alias("both"), X.half_even(F.median("hands")).alias("hand_offset"))
+    out = out.select(*keys, "chords", "spread", "uneven", F.when(c("both") >= least, c("hand_offset")).alias("hand_offset"))
+    if not measure:
+        return out
+    worst = per.where(c("spread") > uneven_ms).groupBy(*keys, "_m").agg(F.count("*").alias("_k")).groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct((-c("_k")).alias("k"), c("_m").alias("m")))), 1, most).alias("_w"))
+    return out.join(worst.select(*keys, F.transform("_w", lambda x: x["m"]).alias("measures")), keys, "left").withColumn("measures", F.coalesce("measures", F.array().cast(f"array<{notes.schema[measure].dataType.simpleString()}>")))
 
 
 def trim_outliers(df: DataFrame, keys: list[str], value: str, tie: str, *, least: int, steady: float, beyond: float, share: float = 0.1, at_least: int = 2) -> DataFrame:

@@ -293,3 +293,107 @@ def segment_tempo(anchors: DataFrame, keys: list[str], x: str, y: str) -> DataFr
     kept = F.filter("r", lambda r: r <= 2 * F.get(F.col("r"), F.floor(F.size("r") / 2).cast("int")))
     middle = F.element_at(F.transform(F.array(kept), lambda k: (F.get(k, F.floor((F.size(k) - 1) / 2).cast("int")) + F.get(k, F.floor(F.size(k) / 2).cast("int"))) / 2), 1)
     return rates.where(F.size("r") >= 2).select(*keys, F.size("r").cast("long").alias("segments"), middle.alias("tempo"))
+
+
+#: Fixed values of a lead-in: notes of the opening, seconds within which it starts, least seconds ahead of it, share found, and gain over the take's start.
+OPENING, LATEST, SOONEST, FOUND, GAIN = 12, 60.0, 1.5, 0.6, 0.25
+
+
+def _shares(windows: np.ndarray, opening: np.ndarray) -> np.ndarray:
+    """Of each window of pitches the share of the opening that it has in order, a semitone allowed; all windows at once."""
+    best = np.zeros((len(windows), len(opening) + 1), dtype=int)
+    for column in windows.T:
+        meets = np.abs(column[:, None] - opening) <= 1.0
+        taken = np.where(meets, best[:, :-1] + 1, 0)
+        best[:, 1:] = np.maximum.accumulate(np.maximum(best[:, 1:], taken), axis=1)
+    return best[:, -1] / len(opening)
+
+
+def lead_ins(heard: DataFrame, opening: DataFrame, keys: list[str]) -> DataFrame:
+    """(start) of each key whose take begins with something else, tuning say: the second at which the score's opening does.
+
+    Events (t, pitch) and the score's first notes (k, pitch) are compared as far
+    as twelve notes go. Null unless a later window has .6 of the opening in order,
+    and .25 more of it than the take's start; then it is the earliest window about
+    as good that begins with one of the first two notes, if 1.5 seconds are ahead.
+    """
+    spec = T.StructType([*(heard.schema[k] for k in keys), T.StructField("start", T.DoubleType())])
+
+    def fold(key, a, b):
+        a, notes = a.sort_values(["t", "pitch"]), b.sort_values("k")["pitch"].to_numpy(float)[:OPENING]
+        t, p = a["t"].to_numpy(float), a["pitch"].to_numpy(float)
+        start = None
+        if len(notes) >= 8 and len(p) >= len(notes):
+            tried = np.flatnonzero(t - t[0] <= LATEST)
+            width = len(notes) + 3
+            windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([p, np.full(width, np.inf)]), width)[tried]
+            share = _shares(windows, notes)
+            if share.max() >= FOUND and share[0] <= share.max() - GAIN:
+                first = (share >= share.max() - 0.05) & (np.abs(p[tried][:, None] - notes[:2]) <= 1.0).any(axis=1)
+                if first.any():
+                    at = float(t[tried[np.flatnonzero(first)[0]]])
+                    start = at if at - t[0] >= SOONEST else None
+        return pd.DataFrame([(*key, start)] if len(a) else [], columns=spec.fieldNames())
+
+    return cogroup(heard.select(*keys, "t", "pitch"), opening.select(*keys, "k", "pitch"), keys, fold, spec)
+
+
+def _likeness(a: list[dict], b: list[dict]) -> np.ndarray:
+    """Dice agreement of bags (value -> count): two empty ones agree."""
+    values = sorted({v for x in (*a, *b) for v in x})
+    x, y = (np.array([[bag.get(v, 0) for v in values] for bag in side], dtype=float).reshape(len(side), len(values)) for side in (a, b))
+    common = sum((np.minimum.outer(x[:, k], y[:, k]) for k in range(len(values))), np.zeros((len(a), len(b))))
+    total = x.sum(1)[:, None] + y.sum(1)[None, :]
+    return np.where(total > 0, 2 * common / np.maximum(total, 1), 1.0)
+
+
+def measure_pairs(sim: np.ndarray, gap: float = 0.3) -> dict[int, list[int]]:
+    """Columns paired with each row by warping: all rows, columns at either end free; a row or column that goes on costs ``gap`` more."""
+    n, m = sim.shape
+    cost = 1 - sim
+    total = np.full((n + 1, m + 1), np.inf)
+    total[0] = 0.0
+    for i in range(1, n + 1):
+        fresh = np.minimum(total[i - 1, :-1], total[i - 1, 1:] + gap) + cost[i - 1]
+        # What goes on from the left: a running minimum once the cells' own costs are taken out.
+        ahead = np.cumsum(cost[i - 1] + gap)
+        total[i, 1:] = np.minimum.accumulate(fresh - ahead) + ahead
+    pairs: dict[int, list[int]] = {}
+    i, j = n, int(np.argmin(total[n, 1:])) + 1
+    while i and j:
+        pairs.setdefault(i - 1, []).append(j - 1)
+        ways = [(total[i - 1, j - 1], 0, -1, -1), (total[i - 1, j] + gap, 1, -1, 0), (total[i, j - 1] + gap, 2, 0, -1)]
+        _, _, di, dj = min(ways, key=lambda w: (round(w[0], 9), w[1]))
+        i, j = i + di, j + dj
+    return pairs
+
+
+def compared_readings(primary: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """(measure, paired, pitch, onset) of each measure of a reading: the other reading's measures that stand for it, and how far both agree.
+
+    Notes have (measure, midi, at), ``at`` in quarters from the measure's start.
+    Measures may be split or merged, and the other reading may have more at
+    either end. Agreement is the F1 of the bags of keys, and of keys with their
+    place to a twelfth; a reading without notes is compared with nothing.
+    """
+    from collections import Counter
+
+    spec = T.StructType([*(primary.schema[k] for k in keys), T.StructField("measure", T.LongType()), T.StructField("paired", T.ArrayType(T.LongType())), T.StructField("pitch", T.DoubleType()), T.StructField("onset", T.DoubleType())])
+
+    def fold(key, a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame([], columns=spec.fieldNames())
+        sides = [[(int(m), g) for m, g in x.groupby("measure")] for x in (a, b)]
+        bags = [[dict(Counter(g["midi"].tolist())) for _, g in side] for side in sides]
+        pairs = measure_pairs(_likeness(*bags))
+        places = [[dict(Counter(zip(g["midi"].tolist(), np.round(g["at"] * 12).astype(int).tolist()))) for _, g in side] for side in sides]
+        rows = []
+        for i, (measure, _) in enumerate(sides[0]):
+            theirs = sorted(set(pairs.get(i, [])))
+            both = [sum((Counter(kind[1][j]) for j in theirs), Counter()) for kind in (bags, places)]
+            agree = [round(float(_likeness([kind[0][i]], [dict(x)])[0, 0]), 3) for kind, x in zip((bags, places), both)]
+            rows.append((*key, measure, [sides[1][j][0] for j in theirs], *agree))
+        return pd.DataFrame(rows, columns=spec.fieldNames())
+
+    names = [*keys, "measure", "midi", "at"]
+    return cogroup(primary.select(*names), other.select(*names), keys, fold, spec)

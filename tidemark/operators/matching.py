@@ -154,10 +154,14 @@ def greedy_pairs(left: DataFrame, right: DataFrame, keys: list[str], tolerance:
     return cogroup(left.select(*keys, "t"), right.select(*keys, "t"), keys, fold, spec)
 
 
-def monotone_onsets(notes: DataFrame, onsets: DataFrame, keys: list[str], reach: float = 0.22, share: float = 0.35) -> DataFrame:
+def monotone_onsets(notes: DataFrame, onsets: DataFrame, keys: list[str], reach: float = 0.22, share: float = 0.35, *, apart: float = 0.0, wide: tuple[float, float] | None = None) -> DataFrame:
     """Strict matching of notes (id, ref, dur) to onsets (t): in order, each
-    takes the free onset nearest to its reference, after the last one taken and
-    within min(reach, share * dur); else it keeps its reference."""
+    takes the free onset nearest to its reference, more than ``apart`` after the
+    last one taken and within min(reach, share * dur); else it keeps its reference.
+
+    ``wide`` (reach, share) is tried where nothing is as near: up to that share of
+    the note's own length late, and of the length before it early, so that no
+    neighbour's onset is caught. A note that is far off still counts then."""
     kinds = [notes.schema[k] for k in keys]
     spec = T.StructType([*kinds, notes.schema["id"], T.StructField("onset", T.DoubleType()), T.StructField("matched", T.BooleanType())])
 
@@ -166,14 +170,21 @@ def monotone_onsets(notes: DataFrame, onsets: DataFrame, keys: list[str], reach:
         import pandas as pd
 
         t = np.sort(b["t"].to_numpy(dtype=float))
-        out, free = [], 0
+        out, free, before = [], 0, None
         for r in a.sort_values(["ref", "id"]).itertuples(index=False):
             limit = min(reach, share * r.dur)
-            lo = max(free, int(np.searchsorted(t, r.ref - limit, "left")))
-            hi = int(np.searchsorted(t, r.ref + limit, "right"))
-            if lo < hi:
-                k = lo + int(np.argmin(np.abs(t[lo:hi] - r.ref)))
-                free = k + 1
+            tries = [(limit, limit)]
+            if wide is not None:
+                tries.append((min(wide[0], wide[1] * (r.dur if before is None else before)), min(wide[0], wide[1] * r.dur)))
+            before = r.dur
+            k = None
+            for early, late in tries:
+                lo, hi = max(free, int(np.searchsorted(t, r.ref - early, "left"))), int(np.searchsorted(t, r.ref + late, "right"))
+                if lo < hi:
+                    k = lo + int(np.argmin(np.abs(t[lo:hi] - r.ref)))
+                    break
+            if k is not None:
+                free = max(k + 1, int(np.searchsorted(t, t[k] + apart, "right")))
                 out.append((*key, r.id, float(t[k]), True))
             else:
                 out.append((*key, r.id, float(r.ref), False))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import windows as W
+
 #: How much each structural symptom lets a measure be doubted.
 SYMPTOM_DOUBT = {"staff_mismatch": 0.85, "voice_overfull": 0.80, "voice_short": 0.75, "voice_short_secondary": 0.75, "voice_echo": 0.70, "beam_open": 0.40, "type_duration": 0.0}
 #: Outcomes of a verdict.
@@ -57,7 +59,11 @@ def verdict(results: DataFrame) -> DataFrame:
     timing_candidates, timed, outliers, octaves, excluded; the scores pitch
     and rhythm (null without one); reasons (array of replaced sensors) and the
     booleans unaligned, degraded, clipped, unsure, tempo_mismatch, refused,
-    beyond_score, rescued, range_rescue. A null boolean or count is none.
+    beyond_score, rescued, range_rescue. A null boolean or count is none, but
+    for older results: without ``scored`` the voiced notes are covered (though no
+    match rate follows), without ``timing_candidates`` all notes but one are.
+    With a boolean ``timeline`` (of ``timelines``) there is ``follow_ready``: the
+    timeline is valid, and nothing says that it is another score's.
 
     A mismatch of score and take needs an unverified timeline: many wrong notes
     on a verified one are a poor performance, and stay scored. The overall
@@ -68,7 +74,7 @@ def verdict(results: DataFrame) -> DataFrame:
     count = lambda n: F.coalesce(F.col(n), F.lit(0))
     share = lambda part, whole: F.when(whole > 0, F.least(F.lit(1.0), part / whole)).otherwise(0.0)
     r = results.withColumns({
-        "_pitch_coverage": share(count("scored"), count("notes")), "_timing_coverage": share(count("timed"), count("timing_candidates")), "_heard": share(count("voiced"), count("notes")),
+        "_pitch_coverage": share(F.coalesce("scored", count("voiced")), count("notes")), "_timing_coverage": share(count("timed"), F.coalesce("timing_candidates", F.greatest(F.lit(0), count("notes") - 1))), "_heard": share(count("voiced"), count("notes")),
         "_rejected": F.coalesce(F.array_contains("reasons", "beat:rejected"), F.lit(False)), "_only": F.coalesce(F.forall("reasons", lambda x: x == "beat:rejected"), F.lit(False)),
         "match_rate": F.when(F.col("correct").isNotNull() & (count("scored") >= LEAST_SCORED), F.round(F.col("correct") / F.col("scored"), 3)),
     })
@@ -91,6 +97,8 @@ def verdict(results: DataFrame) -> DataFrame:
     )
     borderline = (c("_heard") >= HEARD_FLOOR) & (c("_pitch_coverage") >= PITCH_FLOOR) & ~c("_mismatch")
     whole = (scores == 2) & ~flag("unaligned") & (~c("_thin") | borderline) & ~c("_astray") & ~c("_slack")
+    if "timeline" in results.columns:
+        r = r.withColumn("follow_ready", flag("timeline") & ~flag("unsure") & ~flag("unaligned") & ~c("_mismatch"))
     return r.withColumns({
         "issues": named(issues), "outcome": outcome, "overall": F.when(whole, F.floor(c("pitch") * HALF + c("rhythm") * HALF + 0.5).cast("double")), "reliability": F.when(whole, F.when(c("_thin"), "reference").otherwise("full")),
         "pitch_coverage": F.round("_pitch_coverage", 3), "timing_coverage": F.round("_timing_coverage", 3), "unheard": F.round(1 - c("_heard"), 3),
@@ -189,6 +197,66 @@ def systematic(errors: DataFrame, keys: list[str], kind: list[str], written: str
     return held.where(F.col("n") / F.col("written") >= least).select(*keys, *kind, "n")
 
 
+#: Occurrences of one conflict between score and take, measures between them, and measures that they must fill.
+REPEATED, NEAR, SPREAD = 4, 4, 2
+
+
+def repeated(items: DataFrame, keys: list[str], measure: str, *, gap: int = NEAR, least: int = REPEATED) -> DataFrame:
+    """Items of runs whose neighbours are at most ``gap`` measures apart, of ``least`` items in two measures or more; with first, last and n of the run."""
+    w = Window.partitionBy(*keys, "_run")
+    held = W.runs(items.where(F.col(measure).isNotNull()), keys, measure, gap).withColumnRenamed("run", "_run")
+    held = held.withColumns({"first": F.min(measure).over(w), "last": F.max(measure).over(w), "n": F.count("*").over(w)})
+    return held.where((F.col("n") >= least) & (F.col("first") < F.col("last"))).drop("_run")
+
+
+def systematic_runs(wrong: DataFrame, notes: DataFrame, keys: list[str], share: float = 0.7) -> DataFrame:
+    """Conflicts that the score must have made: (pitch_class, apart, first, last, n, written).
+
+    ``wrong`` has (id, midi, measure, played) of written notes that sounded as
+    another key; those of one pitch class and distance are a run if they are
+    dense, and at least a share of all ``notes`` (midi, measure) written with the
+    run's own keys between its ends: who misreads slips now and then, a score
+    that lost an accidental is wrong each time.
+    """
+    e = wrong.select(*keys, "id", "midi", "measure", F.pmod(F.col("midi"), F.lit(12)).alias("pitch_class"), (F.col("played") - F.col("midi")).alias("apart"))
+    kind = [*keys, "pitch_class", "apart"]
+    runs = repeated(e, kind, "measure", gap=2 * NEAR)
+    octaves = runs.select(*kind, "first", "last", "n", "midi").distinct()
+    written = octaves.join(notes.select(*keys, "midi", F.col("measure").alias("_m")), [*keys, "midi"]).where(F.col("_m").between(F.col("first"), F.col("last")))
+    held = written.groupBy(*kind, "first", "last", "n").agg(F.count("*").alias("written"))
+    return held.where(F.col("n") >= share * F.col("written"))
+
+
+def octave_shifts(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """(apart, first, last, n, note, heard) of missed notes and extras (measure, apart) an octave or two away, where it happens again and again."""
+    return repeated(pairs.select(*keys, "note", "heard", "measure", "apart"), [*keys, "apart"], "measure")
+
+
+def added_tones(extras: DataFrame, chords: DataFrame, measures: DataFrame, keys: list[str], within: float = 0.05) -> DataFrame:
+    """(id, midi, measure, first, last, n): extras (id, midi, t) that are added to written chords (t) again and again: the score lost a tone.
+
+    ``measures`` has (measure, start, stop); what lies in none is left out.
+    """
+    from .matching import containing, nearest
+
+    near = nearest(extras.select(*keys, "id", "midi", "t"), chords.select(*keys, F.col("t").alias("_c")).distinct(), keys, "t", "_c", "_c", within)
+    placed = containing(near.where(F.col("_c").isNotNull()).drop("_c"), measures.select(*keys, "start", "stop", "measure"), keys, "t", "measure")
+    return repeated(placed, [*keys, "midi"], "measure").drop("t")
+
+
+def voice_duplicates(notes: DataFrame, keys: list[str], reach: float = 1.0) -> DataFrame:
+    """Missed notes whose key another voice of the staff has within a beat, and which was struck there: (id).
+
+    Notes have (id, staff, midi, voice, beat, matched). Both sides are dealt out to
+    beats, so that a key written very often meets only its neighbours.
+    """
+    bucket = F.floor(F.col("beat") / reach)
+    lost = notes.where(~F.col("matched")).select(*keys, "id", "staff", "midi", "voice", "beat", bucket.alias("_b"))
+    struck = notes.where("matched").select(*keys, "staff", "midi", F.col("voice").alias("_v"), F.col("beat").alias("_t"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    apart = F.abs(F.col("beat") - F.col("_t"))
+    return lost.join(struck, [*keys, "staff", "midi", "_b"]).where((F.col("voice") != F.col("_v")) & (apart > 0) & (apart <= reach)).select(*keys, "id").distinct()
+
+
 def regions(spans: DataFrame, keys: list[str], seq: str, error: str, bad: float = 0.5, rest: float = 0.05, least: int = 2) -> DataFrame:
     """Runs of bad spans while the rest is clean: (first, last, n)."""
     w = Window.partitionBy(*keys).orderBy(seq)

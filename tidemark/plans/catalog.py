@@ -422,6 +422,7 @@ m AS (SELECT *, coalesce(rate < 0.4, false) AND (unaligned OR pitch IS NULL OR t
 w AS (SELECT *, k = 2 AND NOT unaligned AND (NOT thin OR (heard >= 0.6 AND pc >= 0.5 AND NOT miss)) AND NOT astray AND NOT slack AS whole FROM m)
 SELECT u AS user_id, CASE WHEN k = 0 AND u % 10 = 3 THEN 'score_unreliable' WHEN k = 0 THEN 'insufficient_evidence' WHEN miss THEN 'score_audio_mismatch' WHEN k < 2 OR unaligned OR thin OR astray OR slack OR u % 17 = 0 THEN 'partial' WHEN rescued THEN 'complete_with_rescue' ELSE 'complete' END AS outcome,
   CASE WHEN whole THEN floor(pitch * 0.5 + rhythm * 0.5 + 0.5) END AS overall, CASE WHEN whole THEN CASE WHEN thin THEN 'reference' ELSE 'full' END END AS reliability, rate AS match_rate, round(pc, 3) AS pitch_coverage, round(tc, 3) AS timing_coverage, round(1 - heard, 3) AS unheard,
+  u % 9 <> 0 AND u % 11 <> 0 AND NOT unaligned AND NOT miss AS follow_ready,
   concat_ws(',', CASE WHEN unaligned THEN 'alignment_unverified' END, CASE WHEN u % 3 = 0 AND NOT lone THEN 'builtin_detectors' END, CASE WHEN rejected THEN 'beat_grid_rejected' END, CASE WHEN u % 8 = 0 THEN 'clipped_audio' END, CASE WHEN thin THEN 'low_coverage' END, CASE WHEN faster THEN 'tempo_mismatch' END,
     CASE WHEN slack THEN 'tempo_timing_unreliable' END, CASE WHEN u % 10 = 3 THEN 'score_unreliable' END, CASE WHEN u % 13 = 0 THEN 'take_beyond_score' END, CASE WHEN astray THEN 'pitch_tracking_unreliable' END, CASE WHEN miss THEN 'score_audio_mismatch' END) AS issues FROM w
 """)
@@ -432,9 +433,9 @@ def quality_verdict(spark: SparkSession, d: str) -> DataFrame:
     lone, every = F.array(F.lit("beat:rejected")), F.array(F.lit("beat:rejected"), F.lit("pitch:builtin"))
     rows = counts.withColumns({
         "timing_candidates": F.col("notes") - 1, "octaves": F.lit(0), "excluded": F.lit(None).cast("long"), "pitch": F.when(u % 7 != 3, (F.col("scored") % 101).cast("double")), "rhythm": F.when(~(u % 7).isin(3, 4), (F.col("timed") % 101).cast("double")),
-        "reasons": F.when(u % 12 == 6, lone).when(u % 6 == 0, every), "unaligned": u % 4 == 0, "degraded": u % 3 == 0, "clipped": u % 8 == 0, "unsure": u % 11 == 0, "tempo_mismatch": u % 5 == 0, "refused": u % 10 == 3, "beyond_score": u % 13 == 0, "rescued": u % 2 == 0, "range_rescue": u % 17 == 0,
+        "reasons": F.when(u % 12 == 6, lone).when(u % 6 == 0, every), "unaligned": u % 4 == 0, "degraded": u % 3 == 0, "clipped": u % 8 == 0, "unsure": u % 11 == 0, "tempo_mismatch": u % 5 == 0, "refused": u % 10 == 3, "beyond_score": u % 13 == 0, "rescued": u % 2 == 0, "range_rescue": u % 17 == 0, "timeline": u % 9 != 0,
     })
-    return Q.verdict(rows).select("user_id", "outcome", "overall", "reliability", "match_rate", "pitch_coverage", "timing_coverage", "unheard", F.array_join("issues", ",").alias("issues"))
+    return Q.verdict(rows).select("user_id", "outcome", "overall", "reliability", "match_rate", "pitch_coverage", "timing_coverage", "unheard", "follow_ready", F.array_join("issues", ",").alias("issues"))
 
 
 @query("""
