@@ -63,6 +63,33 @@ def test_substring_dedup_agrees_with_brute_force(spark, odd_texts):
         assert (r["n_words"], r["n_removed"]) == (len(w), int(out.sum()))
 
 
+@pytest.mark.parametrize(("shard_words", "stream_words"), [(100_000, 400_000), (150, 400_000), (150, 100), (10**9, 60)])
+def test_substring_dedup_of_many_shards_and_parts(spark, shard_words, stream_words):
+    """Passages of many owners, some shared by many documents: whatever the shards and the tasks they are dealt out to, the rows are the same."""
+    rng = random.Random(28)
+    shared = [prose(rng, 70) for _ in range(12)]
+    texts = []
+    for k in range(60):
+        own = prose(rng, rng.randrange(10))
+        for s in rng.sample(shared, rng.randrange(1, 3)):
+            a = rng.randrange(0, 15)
+            own += s[a : a + rng.randrange(50, 60)] + prose(rng, 3)
+        texts.append(" ".join(own))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.dedup(documents(spark, texts), shard_words=shard_words, stream_words=stream_words).collect()}
+    least: dict = {}
+    words = {i: t.split(" ") for i, t in enumerate(texts, 1)}
+    for i, w in words.items():
+        for k in range(len(w) - 49):
+            least.setdefault(tuple(w[k : k + 50]), i)
+    for i, w in words.items():
+        out = np.zeros(len(w), bool)
+        for k in range(len(w) - 49):
+            if least[tuple(w[k : k + 50])] < i:
+                out[k : k + 50] = True
+        assert got[i] == (len(w), int(out.sum()))
+    assert sum(n for _, n in got.values()) > 1000
+
+
 def test_substring_dedup_takes_negative_ids_as_owners(spark):
     rng = random.Random(8)
     shared = prose(rng, 60)

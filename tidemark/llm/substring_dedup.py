@@ -312,7 +312,7 @@ def _digest(*parts) -> Column:
     return F.unhex(F.sha2(F.concat_ws(":", *parts), 256))
 
 
-def repeated_windows(docs: DataFrame, *, n: int = WINDOW) -> DataFrame:
+def repeated_windows(docs: DataFrame, *, n: int = WINDOW, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS) -> DataFrame:
     """(doc_id, text_key, starts) of documents (doc_id, text_key, text): windows that a smaller document holds too."""
     spark = session_of(docs)
     scratch = Scratch(spark)
@@ -345,10 +345,11 @@ def repeated_windows(docs: DataFrame, *, n: int = WINDOW) -> DataFrame:
     release(spark)
     # 3. Reference shards and the passages that need them.
     reference = runs.where("owner = lo").select("owner", F.col("run").alias("passage"), "run_key", "words").dropDuplicates(["run_key"])
-    shards = max(1, -(-(reference.agg(F.sum("words")).first()[0] or 0) // SHARD_WORDS))
+    shards = max(1, -(-(reference.agg(F.sum("words")).first()[0] or 0) // shard_words))
     shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int")
     asked = runs.where("hi > owner").groupBy("run_key").agg(F.first("owner").alias("owner"), F.first("run").alias("passage"), F.first("words").alias("words")).withColumn("shard", shard)
-    parts = asked.groupBy("shard").agg(F.ceil(F.sum("words") / F.lit(STREAM_WORDS)).cast("int").alias("parts"))
+    asked = scratch.keep(asked, "asked", compression="zstd")
+    parts = scratch.keep(asked.groupBy("shard").agg(F.ceil(F.sum("words") / F.lit(stream_words)).cast("int").alias("parts")), "parts")
     asked = asked.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("run_key"), F.col("parts")).cast("int")).select("shard", "part", F.col("run_key").alias("key"), "passage")
     held = reference.withColumn("shard", shard).join(parts, "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("shard", "part", "owner", "passage")
     decided = held.groupBy("shard", "part").cogroup(asked.groupBy("shard", "part")).applyInArrow(_stream(n), "key binary, owner array<long>")
@@ -364,7 +365,7 @@ def repeated_windows(docs: DataFrame, *, n: int = WINDOW) -> DataFrame:
     return gone
 
 
-def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW) -> DataFrame:
+def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = WINDOW, shard_words: int = SHARD_WORDS, stream_words: int = STREAM_WORDS) -> DataFrame:
     """What is left of each document without windows that a smaller document holds too.
 
     Words are runs without space, tab to carriage return, unchanged. Windows
@@ -373,10 +374,12 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
 
     A null text has no words. A document with a null id keeps all and takes
     from none. Rows that share an id are one document's, and never take from
-    each other; equal rows get equal results. Other columns are ignored.
+    each other; equal rows get equal results. Other columns are ignored. An
+    automaton is built of about ``shard_words`` words, and a shard whose passages
+    have more than ``stream_words`` is dealt out to several tasks.
     """
     ready(session_of(docs))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    gone = repeated_windows(slim.select("doc_id", "text_key", "text"), n=n)
+    gone = repeated_windows(slim.select("doc_id", "text_key", "text"), n=n, shard_words=shard_words, stream_words=stream_words)
     joined = slim.join(gone, ["doc_id", "text_key"], "left").select("doc_id", "text", "starts")
     return joined.mapInArrow(_cut(n), _KEPT)
