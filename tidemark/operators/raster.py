@@ -106,3 +106,148 @@ def skews(pages: DataFrame, key: str, width: str, height: str, pixels: str) -> D
             yield pd.DataFrame({key: b[key], "degrees": [skew_of(np.frombuffer(bytes(p), dtype=np.uint8).reshape(h, w)) for w, h, p in zip(b[width], b[height], b[pixels], strict=True)]})
 
     return pages.select(key, width, height, pixels).mapInPandas(run, f"{key} {kind}, degrees double")
+
+
+#: Fixed values of notehead masks: least staff space, share of the page's mean that is dark and of that which is a core, pixels of a core and its fill.
+LEAST_SPACE, DARKER, CORE, LEAST_PIXELS, FILLED = 7.0, 0.7, 0.55, 8, 0.4
+#: Staff spaces around a staff, of the largest head, of a stem's width and of the longest stem; pixels of a row that a line crosses, and that a stem may start away.
+AROUND, HEAD, STEM, LONGEST_STEM, ACROSS, AWAY = 2.5, 2.0, 0.5, 6.0, 20, 10
+
+
+def _eroded(dark: np.ndarray, size: int) -> np.ndarray:
+    """Pixels around which a square of that size is dark; beyond the page nothing is."""
+    arm = size // 2
+    for axis in (1, 0):
+        pad = [(0, 0), (0, 0)]
+        pad[axis] = (arm + 1, arm)
+        sums = np.cumsum(np.pad(dark.astype(np.int32), pad), axis=axis)
+        dark = (np.take(sums, range(size, sums.shape[axis]), axis) - np.take(sums, range(0, sums.shape[axis] - size), axis)) == size
+    return dark
+
+
+def _runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the runs of a mask's rows, in order."""
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, first = np.nonzero(edge == 1)
+    return row, first, np.nonzero(edge == -1)[1] - 1
+
+
+def components_of(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(left, top, right, bottom, pixels) of each part of a mask that hangs together, corners included: runs of neighbour rows, joined by union-find."""
+    row, first, last = _runs_of(mask)
+    root = list(range(len(row)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    begins = np.searchsorted(row, np.arange(mask.shape[0] + 1))
+    for y in np.unique(row[row > 0]).tolist():
+        above = slice(begins[y - 1], begins[y])
+        for k in range(begins[y], begins[y + 1]):
+            lo = begins[y - 1] + int(np.searchsorted(last[above], first[k] - 1))
+            hi = begins[y - 1] + int(np.searchsorted(first[above], last[k] + 1, "right"))
+            for j in range(lo, hi):
+                a, b = find(j), find(k)
+                root[max(a, b)] = min(a, b)
+    groups: dict[int, list[int]] = {}
+    for k in range(len(row)):
+        groups.setdefault(find(k), []).append(k)
+    return [(int(first[g].min()), int(row[g].min()), int(last[g].max()), int(row[g].max()), int((last[g] - first[g] + 1).sum())) for g in groups.values()]
+
+
+def _extents(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last column of the run that each pixel of a mask is in; beyond all columns where it is in none."""
+    row, first, last = _runs_of(mask)
+    lo, hi = np.full(mask.shape, mask.shape[1]), np.full(mask.shape, 2 * mask.shape[1])
+    for y, a, z in zip(row.tolist(), first.tolist(), last.tolist()):
+        lo[y, a : z + 1], hi[y, a : z + 1] = a, z
+    return lo, hi
+
+
+def mask_noteheads(page: np.ndarray, space: float, staves: list[tuple[float, float]], kept: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
+    """The page without noteheads and their stems, and the boxes of the heads' cores.
+
+    A core is what an erosion leaves of a head and not of lines: small, filled,
+    and near a staff (top, bottom). Stems are followed from it through narrow ink,
+    across lines, to white or to a beam. A head goes with all of its stems or not
+    at all: one whose stem has no end within reach stays. Columns that ``kept``
+    names (bar lines found before) keep their ink. Ink is only ever taken away.
+    """
+    page = page.copy()
+    height, width = page.shape
+    if space < LEAST_SPACE or min(page.shape) < 16:
+        return page, []
+    limit = float(page.ravel()[::16].mean()) * DARKER
+    dark, core = page < limit, page < limit * CORE
+    size = 7 if space > 10 else 5
+    arm, widest = size // 2, max(3, round(STEM * space) + 1)
+    (lo, hi), (core_lo, core_hi) = _extents(dark), _extents(core)
+    dark_wide, core_wide = hi - lo + 1, np.where(core, core_hi - core_lo + 1, width)
+    heads, gone = [], np.zeros(page.shape, dtype=bool)
+    for x0, y0, x1, y1, pixels in components_of(_eroded(dark, size)):
+        w, h, middle = x1 - x0 + 1, y1 - y0 + 1, (y0 + y1) / 2
+        if not 2 <= min(w, h) <= max(w, h) <= HEAD * space or pixels < LEAST_PIXELS or pixels / (w * h) < FILLED:
+            continue
+        if staves and not any(top - AROUND * space <= middle <= bottom + AROUND * space for top, bottom in staves):
+            continue
+        inside = (max(0, y0 - 1), min(height - 1, y1 + 1))
+        stems = [_stem(x, inside[0] - 1 if way < 0 else inside[1] + 1, way, dark, dark_wide, core_wide, widest, int(LONGEST_STEM * space)) for x in range(max(0, x0 - arm - 1), min(width - 1, x1 + arm + 1) + 1) for way in (-1, 1)]
+        if any(s is None for s in stems):
+            continue
+        gone[inside[0] : inside[1] + 1, max(0, x0 - 1) : x1 + 2] = True
+        for y, x in (spot for s in stems for spot in s):
+            gone[y, lo[y, x] : hi[y, x] + 1] = True
+        heads.append((x0, y0, x1, y1))
+    if kept is not None:
+        gone[:, kept] = False
+    page[gone] = 255
+    return page, heads
+
+
+def _stem(x: int, y: int, way: int, dark: np.ndarray, dark_wide: np.ndarray, core_wide: np.ndarray, widest: int, longest: int) -> list[tuple[int, int]] | None:
+    """Places of a stem's rows from (x, y) on, none if no stem starts there, or null if it doesn't end within reach."""
+    column = slice(y, None, 1) if way > 0 else slice(y, None, -1)
+    if not 0 <= y < len(dark):
+        return []
+    ink, wide, thick = dark[column, x], dark_wide[column, x], core_wide[column, x]
+    starts = np.flatnonzero(ink[:AWAY] & (thick[:AWAY] <= widest))
+    if not len(starts):
+        return []
+    a = int(starts[0])
+    ink, wide, thick = ink[a : a + longest], wide[a : a + longest], thick[a : a + longest]
+    over = ~ink | ((wide <= ACROSS) & (thick > widest))
+    if not over.any():
+        return None
+    rows = np.flatnonzero(wide[: int(over.argmax())] <= ACROSS)
+    return [(y + way * (a + int(k)), x) for k in rows]
+
+
+def noteheads(pages: DataFrame, key: str, width: str, height: str, pixels: str, kept: DataFrame | None = None) -> DataFrame:
+    """(heads, masked, pixels) of each page: boxes of the cores, pixels that went white, and the page without them.
+
+    ``kept`` (x) are columns of bar lines, which keep their ink three pixels
+    around. A page without staves has no heads.
+    """
+    ready(pages.sparkSession)
+    kind = pages.schema[key].dataType.simpleString()
+    spared = kept.groupBy(key).agg(F.collect_set(F.col("x").cast("int")).alias("_kept")) if kept is not None else None
+    held = pages.select(key, width, height, pixels)
+    held = held.join(spared, key, "left") if spared is not None else held.withColumn("_kept", F.array().cast("array<int>"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, w, h, data, columns_ in zip(b[key], b[width], b[height], b[pixels], b["_kept"], strict=True):
+                page = np.frombuffer(bytes(data), dtype=np.uint8).reshape(h, w)
+                staves = systems_of(page)
+                stay = np.zeros(w, dtype=bool)
+                for x in columns_ if columns_ is not None else ():
+                    stay[max(0, x - 3) : x + 4] = True
+                after, heads = mask_noteheads(page, float(np.mean([s[4] for s in staves])), [s[:2] for s in staves], stay) if staves else (page, [])
+                out.append((k, [dict(zip(("left", "top", "right", "bottom"), x)) for x in heads], int((after != page).sum()), after.tobytes()))
+            yield pd.DataFrame(out, columns=[key, "heads", "masked", "pixels"])
+
+    return held.mapInPandas(run, f"{key} {kind}, heads array<struct<left: int, top: int, right: int, bottom: int>>, masked long, pixels binary")
