@@ -99,3 +99,55 @@ def test_models_of_a_take_and_their_refusal(spark):
     cents = spark.createDataFrame([(1, p, 3.0 if p != 64 else 40.0) for p in range(48, 84) for _ in range(3)], "k int, p int, c double")
     r = calibration.tuning(cents, "k", "p", "c").first()
     assert r["off"] == [64] and abs(r["centre"] - 3.0) < 0.5
+
+
+def bar(*notes, head="", divisions=2):
+    return f"<measure>{head or f'<attributes><divisions>{divisions}</divisions></attributes>'}{''.join(notes)}</measure>"
+
+
+def written(step, octave=4, length=2, pitch="", more=""):
+    return f"<note>{more}<pitch><step>{step}</step>{pitch}<octave>{octave}</octave></pitch><duration>{length}</duration></note>"
+
+
+def whole(*measures, head="<score-partwise>", part=""):
+    return f"{head}<part>{part}{''.join(measures)}</part></score-partwise>"
+
+
+def test_alterations_hold_to_the_end_of_a_measure():
+    sharp, printed = "<alter>1</alter>", "<accidental>{}</accidental>"
+    key = "<attributes><divisions>2</divisions><key><fifths>-2</fifths></key></attributes>"
+    first = bar(written("B"), written("B", pitch="<alter>0</alter>"), written("B"), written("B", octave=3), written("F", pitch=sharp), written("F"), head=key)
+    second = bar(written("B"), written("F"), written("E", more=printed.format("natural")), written("E"), head=" ")
+    rows = score.parse(whole(first, second, head='<score-partwise xmlns="urn:x">'))
+    assert [r["midi"] for r in rows] == [70, 71, 71, 58, 66, 66, 70, 65, 64, 64]
+    cue = whole(bar(written("C"), written("D", more="<cue/>"), written("E")))
+    assert [(r["onset"], r["midi"]) for r in score.parse(cue)] == [(0.0, 60), (1.0, 64)]
+
+
+def test_slurs_that_are_ties_and_shared_noteheads(spark):
+    slur = lambda kind, number=1: f'<notations><slur type="{kind}" number="{number}"/></notations>'
+    tied = whole(bar(written("C", more=slur("start")), written("C", more=slur("stop"))), bar(written("C", more=slur("start")), written("D", more=slur("stop")), written("D"), head=" "))
+    other = whole(bar(written("C", more=slur("start", 2)), written("C", more=slur("stop", 1))))
+    shared = whole(bar(written("G", length=4) + "<backup><duration>4</duration></backup>" + written("G", length=2, more="<voice>2</voice>") + written("A", more="<voice>2</voice><notations><arpeggiate/></notations>")))
+    docs = spark.createDataFrame([("tied", tied), ("other", other), ("shared", shared)], "k string, x string")
+    got: dict = {}
+    for r in score.sounding(score.events(docs, "k", "x"), "k").orderBy("k", "id").collect():
+        got.setdefault(r["k"], []).append((r["onset"], r["duration"], r["midi"], r["rolled"]))
+    assert got == {"tied": [(0.0, 2.0, 60, False), (2.0, 1.0, 60, False), (3.0, 1.0, 62, False), (4.0, 1.0, 62, False)], "other": [(0.0, 1.0, 60, False), (1.0, 1.0, 60, False)], "shared": [(0.0, 2.0, 67, False), (1.0, 1.0, 69, True)]}
+
+
+def test_what_can_not_be_scored_is_refused(spark):
+    fine = bar(written("C"), written("D"))
+    meter = lambda n: f"<attributes><divisions>2</divisions><time><beats>{n}</beats><beat-type>4</beat-type></time></attributes>"
+    cases = {
+        "fine": (whole(fine), [], []), "xml": ("<a", ["not_xml"], ["not_xml"]), "rests": (whole(bar("<note><rest/><duration>2</duration></note>")), ["no_notes"], ["no_notes"]),
+        "transposing": (whole(bar(written("C"), head="<attributes><divisions>2</divisions><transpose><chromatic>-2</chromatic></transpose></attributes>")), ["transposing"], ["transposing"]),
+        "low": (whole(bar(written("C", octave=1))), [], ["range"]), "lowest": (whole(bar(written("C", octave=0))), ["range"], ["range"]), "key": (whole(bar(written("C"), head="<attributes><divisions>2</divisions><key><fifths>9</fifths></key></attributes>")), ["signature"], ["signature"]),
+        "moved": (whole(bar(written("C"), "<backup><duration>2</duration></backup>", written("E", more="<voice>2</voice>"))), [], ["cursor", "voices"]), "repeat": (whole(bar(written("C"), '<barline><repeat direction="backward"/></barline>')), [], ["repeats"]),
+        "meter": (whole(bar(written("C"), head=meter(4)), bar(written("D"), head=meter(3))), [], ["meter"]), "between": (whole(bar(written("C", pitch="<alter>0.5</alter>"))), [], ["microtone"]), "long": (whole(bar(written("C", length=90))), [], ["length"]),
+        "loose": (whole(bar(written("C"), written("D", more='<tie type="stop"/>'))), [], ["tie"]), "held": (whole(bar(written("C", more='<tie type="start"/>'), written("C", more='<tie type="stop"/>'))), [], []),
+        "two": ("<score-partwise>" + f"<part>{fine}</part>" * 2 + "</score-partwise>", [], ["parts"]), "null": (None, ["missing"], ["missing"]),
+    }
+    notes = score.events(spark.createDataFrame([(k, x) for k, (x, *_) in cases.items()], "k string, x string"), "k", "x").cache()
+    for single in (False, True):
+        assert {r["k"]: r["refused"] for r in score.refusals(notes, "k", single).collect()} == {k: c[1 + single] for k, c in cases.items()}

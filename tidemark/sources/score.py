@@ -26,7 +26,11 @@ MOST_CHARACTERS, MOST_UNPACKED, MOST_NOTES = 1_000_000, 8_000_000, 8000
 #: Semitones of the steps.
 STEPS = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 
-NOTES = "part int, measure int, number string, seq int, onset double, duration double, midi int, staff int, voice string, chord boolean, rest boolean, tie string, grace boolean, kind string, dots int, beam string, beats int, unit int, fifths int, tempo double, repeat string, ending string, fault string"
+#: Printed accidentals, and sharps and flats in the order of key signatures.
+ACCIDENTALS = {"sharp": 1, "natural": 0, "flat": -1, "double-sharp": 2, "sharp-sharp": 2, "flat-flat": -2, "natural-sharp": 1, "natural-flat": -1}
+SHARPS, FLATS = "FCGDAEB", "BEADGCF"
+
+NOTES = "part int, measure int, number string, seq int, onset double, duration double, midi int, staff int, voice string, chord boolean, rest boolean, tie string, grace boolean, kind string, dots int, beam string, beats int, unit int, fifths int, tempo double, repeat string, ending string, rolled boolean, slurs string, accidental string, moves int, transposed boolean, microtone boolean, fault string"
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -59,17 +63,27 @@ def fault(xml: Column) -> Column:
 
 
 def parse(xml: str | None) -> list[dict]:
-    """Flat rows of a document, in document order; one row with a fault if it can't be read."""
+    """Flat rows of a document, in document order; one row with a fault if it can't be read.
+
+    Names may have a namespace. A pitch without an alteration has that of the
+    measure's last one of its staff, step and octave, printed or not, else that of
+    the key. Cue notes are left out.
+    """
     try:
         root = ElementTree.fromstring(xml or "")
     except ElementTree.ParseError:
         return [{"fault": "not_xml"}]
+    for node in root.iter():
+        if isinstance(node.tag, str):
+            node.tag = node.tag.rpartition("}")[2]
     rows: list[dict] = []
     for p, part in enumerate(root.iter("part")):
+        transposed = part.find(".//transpose") is not None
         state = {"divisions": Fraction(1), "beats": 4, "unit": 4, "fifths": 0, "tempo": None}
         for m, measure in enumerate(part.findall("measure"), 1):
             at, last = Fraction(0), Fraction(0)
-            marks = {"repeat": ",".join(f"{r.get('direction')}:{r.get('times') or 2}" for r in measure.iter("repeat")) or None, "ending": ",".join(f"{e.get('type')}:{e.get('number')}" for e in measure.iter("ending")) or None}
+            altered: dict[tuple, int] = {}
+            marks = {"moves": sum(n.tag in ("backup", "forward") for n in measure), "transposed": transposed, "repeat": ",".join(f"{r.get('direction')}:{r.get('times') or 2}" for r in measure.iter("repeat")) or None, "ending": ",".join(f"{e.get('type')}:{e.get('number')}" for e in measure.iter("ending")) or None}
             for seq, node in enumerate(measure):
                 if node.tag == "attributes":
                     _attributes(node, state)
@@ -81,12 +95,13 @@ def parse(xml: str | None) -> list[dict]:
                 elif node.tag in ("direction", "sound"):
                     tempo = next((s.get("tempo") for s in ([node] if node.tag == "sound" else node.iter("sound")) if s.get("tempo")), None)
                     state["tempo"] = float(tempo) if tempo else state["tempo"]
-                elif node.tag == "note":
+                elif node.tag == "note" and node.find("cue") is None:
                     grace, chord = node.find("grace") is not None, node.find("chord") is not None
                     length = Fraction(0) if grace else _number(node.findtext("duration")) / state["divisions"]
                     begin = last if chord else at
-                    midi = _midi(node.find("pitch"))
+                    midi, fine = _sounding(node, state["fifths"], altered)
                     rows.append({
+                        "rolled": node.find("notations/arpeggiate") is not None, "slurs": ",".join(f"{x.get('type')}:{x.get('number') or 1}" for x in node.findall("notations/slur")) or None, "accidental": (node.findtext("accidental") or "").strip() or None, "microtone": fine,
                         "part": p, "measure": m, "number": measure.get("number"), "seq": seq, "onset": float(begin), "duration": float(length), "midi": midi, "staff": int(node.findtext("staff") or 1), "voice": node.findtext("voice") or "1", "chord": chord,
                         "rest": node.find("rest") is not None, "tie": ",".join(sorted(t.get("type") for t in node.findall("tie"))) or None, "grace": grace, "kind": node.findtext("type"), "dots": len(node.findall("dot")),
                         "beam": next((b.text for b in node.findall("beam") if b.get("number", "1") == "1"), None), "beats": state["beats"], "unit": state["unit"], "fifths": state["fifths"], "tempo": state["tempo"], **marks, "fault": None,
@@ -112,6 +127,22 @@ def _attributes(node, state: dict) -> None:
             state[name] = Fraction(text) if name == "divisions" and int(text) > 0 else int(text) if name != "divisions" else state[name]
 
 
+def _sounding(note, fifths: int, altered: dict[tuple, int]) -> tuple[int | None, bool]:
+    """(midi, whether it lies between keys) of a note, with what the measure has altered so far; the note's own alteration is kept there."""
+    pitch = note.find("pitch")
+    step, octave = (pitch.findtext("step"), pitch.findtext("octave")) if pitch is not None else (None, None)
+    if step not in STEPS or not octave:
+        return None, False
+    where = (note.findtext("staff") or "1", step, octave.strip())
+    said, printed = pitch.findtext("alter"), (note.findtext("accidental") or "").strip()
+    alter = _number(said) if said is not None else Fraction(ACCIDENTALS[printed]) if printed in ACCIDENTALS else None
+    if alter is None:
+        signed = 1 if fifths > 0 and step in SHARPS[:fifths] else -1 if fifths < 0 and step in FLATS[:-fifths] else 0
+        return 12 * (int(octave) + 1) + STEPS[step] + altered.get(where, signed), bool(printed)
+    altered[where] = round(alter)
+    return 12 * (int(octave) + 1) + STEPS[step] + round(alter), alter.denominator != 1
+
+
 def _midi(pitch) -> int | None:
     if pitch is None:
         return None
@@ -146,19 +177,58 @@ def measure_starts(notes: DataFrame, key: str) -> DataFrame:
 
 
 def sounding(notes: DataFrame, key: str) -> DataFrame:
-    """Notes that sound: absolute onsets, tied notes as one, in order (id from 1).
+    """Notes that sound: absolute onsets, tied notes as one, in order (id from 1); ``rolled`` where a chord is written so.
 
     A tie goes on while the same key of a staff starts where the note before
-    ends: an island over a window, so ties may cross any number of bars.
+    ends: an island over a window, so ties may cross any number of bars. A slur
+    between neighbours of a voice on one key is a tie, as recognisers read it. A
+    key that two voices write at once is struck once, for the longer of both.
     """
     starts = measure_starts(notes, key).select(key, "measure", "start")
     n = notes.where("fault IS NULL AND midi IS NOT NULL AND NOT grace").join(starts, [key, "measure"]).withColumn("at", F.col("start") + F.col("onset"))
+    ends = F.col("at") + F.col("duration")
+    begun = lambda kind: F.transform(F.filter(F.split(F.coalesce("slurs", F.lit("")), ","), lambda x: x.startswith(kind)), lambda x: F.substring_index(x, ":", -1))
+    voice = Window.partitionBy(key, "part", "staff", "voice", "chord").orderBy("at", "seq")
+    n = n.withColumns({"_from": F.lag(begun("start")).over(voice), "_key": F.lag("midi").over(voice), "_end": F.lag(ends).over(voice)})
+    slurred = ~F.col("chord") & (F.col("_key") == F.col("midi")) & F.arrays_overlap(begun("stop"), "_from") & (F.abs(F.col("_end") - F.col("at")) < 1e-3)
     w = Window.partitionBy(key, "part", "staff", "midi").orderBy("at", "seq")
-    goes_on = F.coalesce(F.col("tie").contains("stop") & (F.abs(F.lag(F.col("at") + F.col("duration")).over(w) - F.col("at")) < 1e-6), F.lit(False))
+    meets = F.abs(F.lag(ends).over(w) - F.col("at")) < 1e-6
+    goes_on = F.coalesce((F.col("tie").contains("stop") | F.coalesce(slurred, F.lit(False))) & meets, F.coalesce(slurred & meets, F.lit(False)))
     tied = n.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("island", F.sum("new").over(w))
-    one = tied.groupBy(key, "part", "staff", "midi", "island").agg(F.min("measure").alias("measure"), F.min("at").alias("onset"), F.max(F.col("at") + F.col("duration")).alias("stop"), F.min("voice").alias("voice"))
+    one = tied.groupBy(key, "part", "staff", "midi", "island").agg(F.min("measure").alias("measure"), F.min("at").alias("onset"), F.max(ends).alias("stop"), F.min("voice").alias("voice"), F.bool_or(F.coalesce("rolled", F.lit(False))).alias("rolled"))
+    struck = one.groupBy(key, F.round("onset", 6).alias("onset"), "midi").agg(F.min("measure").alias("measure"), F.min("staff").alias("staff"), F.min_by("voice", F.struct("staff", "voice")).alias("voice"), F.max(F.col("stop") - F.col("onset")).alias("duration"), F.bool_or("rolled").alias("rolled"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy("onset", "midi", "staff"))
-    return one.select(key, rank.alias("id"), "measure", "onset", (F.col("stop") - F.col("onset")).alias("duration"), "midi", "staff", "voice")
+    return struck.select(key, rank.alias("id"), "measure", "onset", "duration", "midi", "staff", "voice", "rolled")
+
+
+#: Keys of a keyboard, and of a single line; quarters of its longest note.
+KEYBOARD, LINE, LONGEST = (21, 108), (36, 96), 32.0
+
+
+def refusals(notes: DataFrame, key: str, single: bool = False) -> DataFrame:
+    """(refused): why a document can't be scored, sorted and distinct; empty if it can.
+
+    Any: what can't be read, ``transposing``, ``range``, ``signature``, ``no_notes``.
+    A ``single`` line also must not have several ``parts``, ``voices`` or a moved
+    ``cursor``, ``repeats``, another ``meter`` on the way, a ``microtone``, a
+    ``length`` of nothing or of more than 32 quarters, or a ``tie`` that stops
+    where the note before is another.
+    """
+    lo, hi = LINE if single else KEYBOARD
+    struck = F.col("midi").isNotNull() & ~F.coalesce("grace", F.lit(False))
+    last = F.lag("midi").over(Window.partitionBy(key).orderBy("part", "measure", "seq"))
+    base = notes.where("midi IS NOT NULL AND NOT chord AND NOT grace").withColumn("_loose", F.col("tie").contains("stop") & ~F.coalesce(last == F.col("midi"), F.lit(False)))
+    loose = base.groupBy(key).agg(F.bool_or(F.coalesce("_loose", F.lit(False))).alias("_tie"))
+    some = lambda c: F.coalesce(F.bool_or(F.coalesce(c, F.lit(False))), F.lit(False))
+    found = notes.groupBy(key).agg(
+        F.first("fault", ignorenulls=True).alias("unread"), some(F.col("transposed")).alias("transposing"), some(struck & ~F.col("midi").between(lo, hi)).alias("range"), some(~F.col("fifths").between(-7, 7)).alias("signature"),
+        (~some(struck) & F.first("fault", ignorenulls=True).isNull()).alias("no_notes"), (F.count_distinct("part") > 1).alias("parts"), ((F.count_distinct("voice") > 1) | (F.count_distinct("staff") > 1)).alias("voices"), some(F.col("moves") > 0).alias("cursor"),
+        some(F.col("repeat").isNotNull() | F.col("ending").isNotNull()).alias("repeats"), (F.count_distinct("beats", "unit") > 1).alias("meter"), some(F.col("microtone")).alias("microtone"),
+        some(~F.coalesce("grace", F.lit(False)) & ~((F.col("duration") > 0) & (F.col("duration") <= LONGEST))).alias("length"),
+    )
+    found = found.join(loose, key, "left").withColumn("tie", F.coalesce("_tie", F.lit(False)))
+    names = ["transposing", "range", "signature", "no_notes", *(["parts", "voices", "cursor", "repeats", "meter", "microtone", "length", "tie"] if single else [])]
+    return found.select(key, F.array_sort(F.array_compact(F.array("unread", *(F.when(F.col(n), F.lit(n)) for n in names)))).alias("refused"))
 
 
 def play_order(repeats: list[str | None], endings: list[str | None], most: int = 4000) -> list[int]:
