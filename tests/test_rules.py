@@ -11,6 +11,8 @@ import pytest
 from tidemark.operators import aggregates as A
 from tidemark.operators import alignment as L
 from tidemark.operators import matching as M
+from tidemark.operators import pairing as P
+from tidemark.operators import performance as R
 from tidemark.operators import quality as Q
 
 
@@ -166,3 +168,51 @@ def test_older_results_have_defaults(spark):
     assert (got[0]["pitch_coverage"], got[0]["timing_coverage"], got[0]["match_rate"], got[0]["outcome"]) == (0.9, 1.0, None, "complete")
     assert [r["follow_ready"] for r in got] == [True, False, False, False, False]
     assert got[4]["outcome"] == "score_audio_mismatch"
+
+
+def shifts_truth(notes, frames, change):
+    """The best sequence of shifts, by plain loops."""
+    shifts = [round(k * 0.03, 6) for k in range(-25, 26)]
+    bars = sorted({m for m, *_ in notes})
+    gain = {m: [0.0] * len(shifts) for m in bars}
+    for m, p, a, z in notes:
+        for k, s in enumerate(shifts):
+            inside = [q for t, q in frames if a + s <= t < z + s]
+            gain[m][k] += sum(abs(q - p) < 0.35 for q in inside) / len(inside) if len(inside) >= 2 else 0.0
+    best = [(g, [k]) for k, g in enumerate(gain[bars[0]])]
+    for m in bars[1:]:
+        after = []
+        for k, s in enumerate(shifts):
+            value, way = max(((v - change / 0.1 * abs(shifts[j] - s), way) for j, (v, way) in enumerate(best)), key=lambda c: c[0])
+            after.append((value + gain[m][k], [*way, k]))
+        best = after
+    total, way = max(best, key=lambda c: c[0])
+    return total, [shifts[k] for k in way], sum(gain[m][25] for m in bars)
+
+
+def test_measures_of_a_drifting_grid_are_shifted(spark):
+    rng = np.random.default_rng(6)
+    notes = [(1 + k // 4, 60 + (k * 5) % 12, 0.5 * k, 0.5 * k + 0.5) for k in range(48)]
+    late = lambda t: t + (0.0 if t < 6 else 0.45 * min(1.0, (t - 6) / 10))
+    frames = [(round(float(t), 4), float(next((p for _, p, a, z in notes if late(a) <= t < late(z)), 40) + rng.normal(0, 0.05))) for t in np.arange(0, 25.0, 0.04)]
+    edges = [(m, 2.0 * (m - 1)) for m in range(1, 14)]
+    df = lambda rows, schema: frame(spark, [(u, *r) for u in (1, 2) for r in rows], schema)
+    steady = [(t, float(next((p for _, p, a, z in notes if a <= t < z), 40))) for t, _ in frames]
+    heard = frame(spark, [(1, *f) for f in frames] + [(2, *f) for f in steady], "u int, t double, midi double")
+    got: dict = {}
+    for r in R.shifted_measures(df(notes, "u int, measure int, midi int, start double, stop double"), heard, df(edges, "u int, measure int, t double"), ["u"]).collect():
+        got.setdefault(r["u"], []).append((r["measure"], r["t"], r["shift"]))
+    total, way, flat = shifts_truth(notes, frames, R.CHANGE)
+    assert set(got) == {1} and total > flat
+    rows = sorted(got[1])
+    assert [m for m, *_ in rows] == list(range(1, 14)) and [s for *_, s in rows] == [*way, way[-1]]
+    assert all(t == round(2.0 * (m - 1) + s, 3) for m, t, s in rows) and rows[-1][2] > 0.15 and rows[0][2] == 0.0
+
+
+def test_voices_are_placed_row_by_row(spark):
+    rows = [(1, [1.0, 1.0], 4.0, [0.0, 2.0]), (2, [3.0, 2.0], 4.0, []), (3, [1.0], 4.0, None)]
+    got = {r["k"]: r for r in P.placed_voices(frame(spark, rows, "k int, d array<double>, n double, o array<double>"), ["k"], "d", "n", "o").collect()}
+    assert got[1]["onsets"] == [0.0, 2.0] and got[2]["onsets"] is None
+    want = P.place_voice([1.0], 4.0, set())
+    assert got[3]["onsets"] == want[0] and abs(got[3]["margin"] - want[1]) < 1e-9
+    assert P.placed_voices(frame(spark, rows, "k int, d array<double>, n double, o array<double>"), ["k"], "d", "n", "o", least=99.0).where("onsets IS NOT NULL").count() == 0

@@ -205,6 +205,23 @@ def place_voice(durations: list[float], length: float, shared: set[float], grid:
     return final[0][1], (final[1][0] - final[0][0] if len(final) > 1 else float("inf"))
 
 
+def placed_voices(short: DataFrame, keys: list[str], durations: str, length: str, shared: str, least: float = 0.0) -> DataFrame:
+    """(onsets, margin) of voices that leave their measure short: ``place_voice`` of each row's durations (array) and the onsets of the other voices (array).
+
+    Null where the notes can't be placed, or where the best placing beats the next by less than ``least``.
+    """
+    ready(short.sparkSession)
+    kinds = ", ".join(f"{k} {short.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches):
+        for b in batches:
+            found = [place_voice([float(x) for x in d], float(n), {float(x) for x in (o if o is not None else ())}) for d, n, o in zip(b[durations], b[length], b[shared])]
+            sure = [f if f is not None and f[1] >= least else None for f in found]
+            yield pd.DataFrame({**{k: b[k] for k in keys}, "onsets": [f and f[0] for f in sure], "margin": pd.Series([f[1] if f and np.isfinite(f[1]) else None for f in sure], dtype="Float64")})
+
+    return short.select(*keys, durations, length, shared).mapInPandas(run, f"{kinds}, onsets array<double>, margin double")
+
+
 def follow_anchors(intervals: DataFrame, notes: DataFrame, keys: list[str], slack: float = 0.05) -> DataFrame:
     """The first note at or after each interval's start (downbeat first): where a page turns to."""
     w = Window.partitionBy(*keys).orderBy("start")
