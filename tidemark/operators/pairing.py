@@ -20,10 +20,9 @@ from tidemark.session import cogroup, ready
 
 def _cogroup(left: DataFrame, right: DataFrame, keys: list[str], columns: list[tuple[str, T.DataType]], rule: Callable[[pd.DataFrame, pd.DataFrame], list[tuple]]) -> DataFrame:
     spec = T.StructType([*(left.schema[k] for k in keys), *(T.StructField(n, t) for n, t in columns)])
-    names = spec.fieldNames()
 
     def fold(key, a, b):
-        return pd.DataFrame([(*key, *row) for row in rule(a, b)], columns=names)
+        return [(*key, *row) for row in rule(a, b)]
 
     return cogroup(left, right, keys, fold, spec)
 
@@ -50,12 +49,21 @@ def monotone_pairs(notes: np.ndarray, heard: np.ndarray, window: float) -> list[
     return pairs[::-1]
 
 
+def _in_order(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(t, id) of rows by both."""
+    t, ident = rows["t"].to_numpy(float), rows["id"].to_numpy()
+    order = np.lexsort((ident, t))
+    return t[order], ident[order]
+
+
 def same_pitch(notes: DataFrame, heard: DataFrame, keys: list[str], window: float) -> DataFrame:
     """(note, heard) of equal pitch, in order within each pitch: a take's pitches are groups of their own."""
 
     def rule(a: pd.DataFrame, b: pd.DataFrame) -> list[tuple]:
-        a, b = a.sort_values(["t", "id"]), b.sort_values(["t", "id"])
-        return [(int(a["id"].iloc[i]), int(b["id"].iloc[j])) for i, j in monotone_pairs(a["t"].to_numpy(float), b["t"].to_numpy(float), window)]
+        if not len(a) or not len(b):
+            return []
+        (x, i), (y, j) = (_in_order(side) for side in (a, b))
+        return [(int(i[n]), int(j[m])) for n, m in monotone_pairs(x, y, window)]
 
     return _cogroup(notes.select(*keys, "midi", "id", "t"), heard.select(*keys, "midi", "id", "t"), [*keys, "midi"], _PAIR, rule)
 
