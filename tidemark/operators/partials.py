@@ -2,20 +2,20 @@
 
 Recordings are cut into chunks, and a request gets those it reaches into: a join
 on (take, chunk), so a long take is read by many tasks. The kernels see one
-request's samples and return a few numbers.
+request's samples, which come to them in short runs, and return a few numbers.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.session import ready
+from tidemark.session import dealt, ready
 
 #: Cents around a partial that are searched, once its tone is known, and while it isn't; partials and the highest frequency.
 SEARCH, REFINE, UNKNOWN, PARTIALS, TOP_HZ = 70.0, 20.0, 45.0, 10, 5000.0
@@ -135,15 +135,16 @@ def hidden(tone: float, tones) -> bool:
     return any(tone - o in WITHIN for o in tones)
 
 
-def chord_cents(x: np.ndarray, rate: float, tones: list[float]) -> dict[float, float | None]:
-    """Cents of each written tone: first from partials that no other can have, then from where all were found."""
+def chord_cents(x: np.ndarray, rate: float, tones: list[float], wanted: list[float] | None = None) -> dict[float, float | None]:
+    """Cents of each written tone, or of the ``wanted`` ones: first from partials that no other can have, then from where all were found."""
+    wanted = tones if wanted is None else wanted
     s = spectra(x, rate)
     if s is None:
-        return dict.fromkeys(tones)
+        return dict.fromkeys(wanted)
     first = {m: tone_cents(s, m, m, SEARCH, [o for o in tones if o != m]) for m in tones}
     now = {m: m + (c or 0.0) / 100 for m, c in first.items()}
     out: dict[float, float | None] = {}
-    for m in tones:
+    for m in wanted:
         others = [o for o in tones if o != m]
         if hidden(m, tones):
             out[m] = None
@@ -219,20 +220,85 @@ def chunks(takes: DataFrame, key: str, samples: str, rate: str, seconds: float =
     return held.withColumn("_c", F.explode(cut)).select(key, "rate", "_size", "_n", "_c.chunk", "_c.part")
 
 
-def clips(requests: DataFrame, pieces: DataFrame, key: str, ident: str, lo: str, hi: str) -> DataFrame:
-    """Requests with ``rate`` and ``clip``: the samples of their seconds lo..hi, as far as the take has them; else none."""
+def _asked(requests: DataFrame, pieces: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+    """Requests with ``rate`` and the first and last sample of their seconds, as far as the take goes."""
     heads = pieces.groupBy(key).agg(F.first("rate").alias("rate"), F.first("_size").alias("_size"), F.first("_n").alias("_n"))
     first = F.least(F.greatest(F.lit(0), F.floor(F.col(lo) * F.col("rate"))), F.col("_n")).cast("long")
     last = F.least(F.greatest(first, F.floor(F.col(hi) * F.col("rate"))), F.col("_n")).cast("long")
-    asked = requests.join(heads, key).withColumns({"_a": first, "_z": last})
+    return requests.join(heads, key).withColumns({"_a": first, "_z": last})
+
+
+def _met(asked: DataFrame, pieces: DataFrame, key: str, ident: str) -> DataFrame:
+    """(chunk, part) of each request: what it asks of each chunk that it reaches into."""
     spread = asked.where("_z > _a").select(key, ident, "_a", "_z", "_size", F.explode(F.sequence(F.floor(F.col("_a") / F.col("_size")).cast("int"), F.floor((F.col("_z") - 1) / F.col("_size")).cast("int"))).alias("chunk"))
-    met = spread.join(pieces.select(key, "chunk", "part"), [key, "chunk"])
-    one = met.groupBy(key, ident).agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("_p"), F.first("_a").alias("_a"), F.first("_z").alias("_z"), F.first("_size").alias("_size"))
-    skip = (F.col("_a") - F.get(F.col("_p"), F.lit(0))["chunk"] * F.col("_size") + 1).cast("int")
-    clip = F.slice(F.flatten(F.transform("_p", lambda p: p["part"])), skip, (F.col("_z") - F.col("_a")).cast("int"))
+    at = F.col("chunk").cast("long") * F.col("_size")
+    begin = F.greatest(F.lit(0), F.col("_a") - at)
+    own = F.slice("part", (begin + 1).cast("int"), (F.least(F.col("_z") - at, F.col("_size").cast("long")) - begin).cast("int"))
+    return spread.join(pieces.select(key, "chunk", "part"), [key, "chunk"]).select(key, ident, "chunk", own.alias("part"))
+
+
+def clips(requests: DataFrame, pieces: DataFrame, key: str, ident: str, lo: str, hi: str) -> DataFrame:
+    """Requests with ``rate`` and ``clip``: the samples of their seconds lo..hi, as far as the take has them; else none."""
+    asked = _asked(requests, pieces, key, lo, hi)
+    one = _met(asked, pieces, key, ident).groupBy(key, ident).agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("_p"))
+    clip = F.flatten(F.transform("_p", lambda p: p["part"]))
     return asked.drop("_a", "_z", "_size", "_n").join(one.select(key, ident, clip.alias("clip")), [key, ident], "left")
 
 
+#: Samples of a row on its way to a kernel: Arrow batches are bounded by rows alone, so that 10 000 of them are 41 MB.
+RUN = 512
+
+
+def read(requests: DataFrame, pieces: DataFrame, key: str, ident: str, lo: str, hi: str, kernel: Callable, columns: str) -> DataFrame:
+    """(key, ident, columns): ``kernel(request, clip)`` of each request that has samples in lo..hi, as a tuple of the columns.
+
+    Clips come to the kernels as a stream of short runs of samples, after their
+    request, and are put together one at a time: a task never holds more than a
+    batch of runs and one clip.
+    """
+    ready(requests.sparkSession)
+    asked = _asked(requests, pieces, key, lo, hi).where("_z > _a").drop("_n")
+    names = [c for c in asked.columns if c not in ("_a", "_z", "_size")]
+    met = _met(asked, pieces, key, ident)
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("part") - 1) / RUN).cast("int")), lambda i: F.struct(i.alias("run"), F.slice("part", i * RUN + 1, F.lit(RUN)).alias("x")))
+    short = met.select(key, ident, "chunk", F.explode(runs).alias("_c")).select(key, ident, "chunk", "_c.run", "_c.x")
+    heads = asked.select(key, ident, F.lit(-1).alias("chunk"), F.lit(0).alias("run"), F.struct(*names).alias("_head"))
+    rows = dealt(heads.unionByName(short, allowMissingColumns=True), [key, ident]).sortWithinPartitions(key, ident, "chunk", "run")
+    spec = T.StructType([*(asked.schema[k] for k in (key, ident)), *T.StructType.fromDDL(columns).fields])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(spec)
+        head, held = None, []
+
+        def told() -> list[tuple]:
+            return [(head[key], head[ident], *kernel(head, np.concatenate(held).astype(float)))] if held else []
+
+        for batch in batches:
+            out = []
+            # A head is ahead of its request's runs.
+            begins = [*np.flatnonzero(batch.column("chunk").to_numpy() < 0).tolist(), batch.num_rows]
+            x = batch.column("x")
+            for lo, hi in zip([0, *begins], begins):
+                if lo == hi and not lo:
+                    continue
+                if lo < batch.num_rows and batch.column("chunk")[lo].as_py() < 0:
+                    out += told()
+                    head, held = batch.column("_head")[lo].as_py(), []
+                    lo += 1
+                if lo < hi:
+                    # Samples that are no number are nulls to Spark's readers.
+                    held.append(np.array(x.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type, from_pandas=True) for c, f in zip(zip(*out), target)], schema=target)
+        for row in told():
+            yield pa.RecordBatch.from_arrays([pa.array([c], type=f.type, from_pandas=True) for c, f in zip(row, target)], schema=target)
+
+    return rows.mapInArrow(run, spec)
+
+
 def longest_run(wanted: DataFrame, activity: DataFrame, key: str) -> DataFrame:
     """(key, id, midi, run_lo, run_hi): of each wanted key (id, midi, lo, hi) the longest run of activity (midi, start, stop) within lo..hi."""
     a = activity.select(key, "midi", "start", "stop")
@@ -260,16 +326,13 @@ def chord_tones(takes: DataFrame, chords: DataFrame, activity: DataFrame, key: s
     told = told.withColumn("state", F.when(F.coalesce(long, F.lit(0.0)) < SOUNDS, F.when(cut, "unchecked").otherwise("missing")).when(under, "inseparable"))
     told = told.withColumn("ask", F.concat_ws(":", F.col("id").cast("string"), F.col("midi").cast("string")))
     asked = told.where("state IS NULL").select(key, "id", "midi", "tones", "ask", (F.col("run_lo") + F.greatest(F.lit(0.05), 0.25 * long)).alias("a"), (F.col("run_hi") - 0.15 * long).alias("z"))
-    got = clips(asked, chunks(takes, key, samples, rate), key, "ask", "a", "z")
-    kinds = f"{key} {takes.schema[key].dataType.simpleString()}, ask string, cents double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            cents = [None if c is None else chord_cents(np.asarray(c, float), r, sorted({float(t) for t in tones}))[float(m)] for c, r, tones, m in zip(b["clip"], b["rate"], b["tones"], b["midi"])]
-            yield pd.DataFrame({key: b[key], "ask": b["ask"], "cents": pd.Series(cents, dtype="float64")})
+    def kernel(r, clip: np.ndarray) -> tuple:
+        m = float(r["midi"])
+        return (chord_cents(clip, r["rate"], sorted({float(t) for t in r["tones"]}), [m])[m],)
 
-    read = got.select(key, "ask", "midi", "tones", "rate", "clip").mapInPandas(run, kinds)
-    both = told.join(read, [key, "ask"], "left")
+    found = read(asked, chunks(takes, key, samples, rate), key, "ask", "a", "z", kernel, "cents double")
+    both = told.join(found, [key, "ask"], "left")
     cents = F.when(~F.isnan("cents"), F.col("cents"))
     return both.select(key, "id", "midi", F.coalesce("state", F.when(cents.isNotNull(), "measured").otherwise("unmeasured")).alias("state"), cents.alias("cents"))
 
@@ -281,18 +344,14 @@ def verified(takes: DataFrame, notes: DataFrame, key: str, samples: str = "sampl
     """
     ready(takes.sparkSession)
     doubt = notes.where(F.abs("cents") > DOUBT)
-    got = clips(doubt.select(key, "id", "midi", "cents", "lo", "hi"), chunks(takes, key, samples, rate), key, "id", "lo", "hi")
-    kinds = f"{key} {takes.schema[key].dataType.simpleString()}, id {notes.schema['id'].dataType.simpleString()}, check string, margin double, found double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            told = [two_series(np.asarray(c, float), r, m, m + d / 100) if c is not None else None for c, r, m, d in zip(b["clip"], b["rate"], b["midi"], b["cents"])]
-            pick = lambda name: [t and t[name] for t in told]
-            yield pd.DataFrame({key: b[key], "id": b["id"], "check": pick("check"), "margin": pd.Series(pick("margin"), dtype="float64"), "found": pd.Series(pick("cents"), dtype="float64")})
-
-    read = got.select(key, "id", "midi", "cents", "rate", "clip").mapInPandas(run, kinds)
-    read = read.select(key, "id", "check", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("margin", "found")))
-    both = notes.join(read, [key, "id"], "left")
+
+    def kernel(r, clip: np.ndarray) -> tuple:
+        midi = np.nan if r["midi"] is None else float(r["midi"])
+        got = two_series(clip, r["rate"], midi, midi + r["cents"] / 100) or {}
+        return got.get("check"), got.get("margin"), got.get("cents")
+
+    found = read(doubt.select(key, "id", "midi", "cents", "lo", "hi"), chunks(takes, key, samples, rate), key, "id", "lo", "hi", kernel, "check string, margin double, found double")
+    both = notes.join(found, [key, "id"], "left")
     return both.withColumns({"raw": F.when(F.col("found").isNotNull(), F.col("cents")), "cents": F.coalesce("found", "cents")}).drop("found")
 
 
@@ -311,17 +370,12 @@ def reread(takes: DataFrame, notes: DataFrame, activity: DataFrame, key: str, sa
     top = heard.withColumn("most", F.max("mean").over(Window.partitionBy(key, "id"))).where((F.col("midi") == F.col("written")) & (F.col("mean") >= STRENGTH) & (F.col("mean") >= F.col("most")))
     runs = longest_run(top.select(key, "id", "midi", (F.col("lo") - 0.05).alias("lo"), "hi"), activity.where(F.col("strength") >= STRENGTH), key)
     long = F.col("run_hi") - F.col("run_lo")
-    got = clips(runs.select(key, "id", "midi", (F.col("run_lo") + 0.15 * long).alias("a"), (F.col("run_hi") - 0.1 * long).alias("z")), chunks(takes, key, samples, rate), key, "id", "a", "z")
-    kinds = f"{key} {takes.schema[key].dataType.simpleString()}, id {notes.schema['id'].dataType.simpleString()}, found double"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            cents = []
-            for c, r, m in zip(b["clip"], b["rate"], b["midi"]):
-                s = spectra(np.asarray(c, float), r) if c is not None else None
-                cents.append(tone_cents(s, m, m, SEARCH, []) if s is not None else None)
-            yield pd.DataFrame({key: b[key], "id": b["id"], "found": pd.Series(cents, dtype="float64")})
-
-    read = got.select(key, "id", "midi", "rate", "clip").mapInPandas(run, kinds).where(~F.isnan("found") & (F.abs("found") <= FAR))
-    both = notes.join(read, [key, "id"], "left")
+
+    def kernel(r, clip: np.ndarray) -> tuple:
+        s = spectra(clip, r["rate"])
+        return (tone_cents(s, r["midi"], r["midi"], SEARCH, []) if s is not None else None,)
+
+    asked = runs.select(key, "id", "midi", (F.col("run_lo") + 0.15 * long).alias("a"), (F.col("run_hi") - 0.1 * long).alias("z"))
+    found = read(asked, chunks(takes, key, samples, rate), key, "id", "a", "z", kernel, "found double").where(~F.isnan("found") & (F.abs("found") <= FAR))
+    both = notes.join(found, [key, "id"], "left")
     return both.withColumns({"raw": F.when(F.col("found").isNotNull(), F.col("cents")), "cents": F.coalesce("found", "cents")}).drop("found")
