@@ -39,3 +39,14 @@ def test_pairs_of_many_small_groups_are_made_in_few_calls(spark):
     plan = found._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "FlatMapCoGroups" not in plan
     assert sorted((r["note"], r["heard"]) for r in found.collect()) == [(i, i) for i in range(3000)]
+
+
+def test_short_voices_are_not_joined_into_one_part(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import quality as Q
+
+    e = spark.range(200).selectExpr("id AS m", "'a' AS voice", "0 AS at", "3 AS len", "false AS rest").unionAll(spark.range(200).selectExpr("id", "'b'", "0", "6", "false"))
+    found = Q.short_voices(e, ["m"], ["voice"], "at", "len", "rest", F.lit(6))
+    assert found.count() == 200
+    assert found.select(F.spark_partition_id()).distinct().count() > 1

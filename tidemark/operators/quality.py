@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import parts
+
 from . import windows as W
 
 #: How much each structural symptom lets a measure be doubted.
@@ -148,7 +150,8 @@ def short_voices(events: DataFrame, measure: list[str], voice: list[str], at: st
     """Voices that end before an otherwise full measure does, are no rests alone, and are one unbroken run of events."""
     whole = Window.partitionBy(*measure)
     w = Window.partitionBy(*measure, *voice).orderBy(at)
-    e = events.withColumns({"_end": F.col(at) + F.col(length), "_nominal": nominal})
+    # Packed events are a few bytes each, unpacked and sorted some hundred: parts that Spark joins by packed bytes would take GBs.
+    e = events.repartition(parts(events.sparkSession), *measure).withColumns({"_end": F.col(at) + F.col(length), "_nominal": nominal})
     e = e.withColumns({"_top": F.max("_end").over(whole), "_joined": F.coalesce(F.col(at) == F.lag("_end").over(w), F.lit(True))})
     held = e.groupBy(*measure, *voice).agg(F.max("_end").alias("stop"), F.max("_top").alias("top"), F.max("_nominal").alias("nominal"), F.bool_and("_joined").alias("joined"), F.bool_and(rest).alias("silent"))
     return held.where((F.col("top") == F.col("nominal")) & (F.col("stop") < F.col("nominal")) & F.col("joined") & ~F.col("silent")).select(*measure, *voice, "stop", "nominal")
