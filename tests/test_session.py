@@ -50,3 +50,15 @@ def test_short_voices_are_not_joined_into_one_part(spark):
     found = Q.short_voices(e, ["m"], ["voice"], "at", "len", "rest", F.lit(6))
     assert found.count() == 200
     assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_missed_and_extra_ids_are_not_joined_into_one_part(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import catalog
+
+    spark.range(0, 200).selectExpr("id AS o_orderkey").unionAll(spark.sql("SELECT CAST(NULL AS BIGINT)")).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(100, 400).selectExpr("id % 300 AS l_orderkey").unionAll(spark.sql("SELECT CAST(NULL AS BIGINT)")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = catalog.missed_and_extra(spark, str(tmp_path))
+    assert sorted(((r["id"], r["kind"]) for r in found.collect()), key=str) == sorted([(None, "missed"), (None, "extra"), *((i, "extra") for i in range(200, 300))], key=str)
+    assert found.where("kind = 'extra'").select(F.spark_partition_id()).distinct().count() > 1
