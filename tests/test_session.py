@@ -62,3 +62,17 @@ def test_missed_and_extra_ids_are_not_joined_into_one_part(spark, tmp_path):
     found = catalog.missed_and_extra(spark, str(tmp_path))
     assert sorted(((r["id"], r["kind"]) for r in found.collect()), key=str) == sorted([(None, "missed"), (None, "extra"), *((i, "extra") for i in range(200, 300))], key=str)
     assert found.where("kind = 'extra'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_hits_of_one_cell_are_dealt_out(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import more
+
+    monkeypatch.setattr(more, "HITS", 500)
+    spark.range(200).selectExpr("id AS p_partkey", "4 AS p_size", "900.0 + id AS p_retailprice").write.parquet(str(tmp_path / "part.parquet"))
+    spark.range(30).selectExpr("id AS s_suppkey", "2 AS s_nationkey", "CAST(id * 20 AS DOUBLE) AS s_acctbal").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = more.hit_test(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(p, s) for p in range(200) for s in range(30) if s <= p}
+    assert found.count() == sum(min(p + 1, 30) for p in range(200))
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
