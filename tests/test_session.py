@@ -76,3 +76,13 @@ def test_hits_of_one_cell_are_dealt_out(spark, tmp_path, monkeypatch):
     assert {tuple(r) for r in found.collect()} == {(p, s) for p in range(200) for s in range(30) if s <= p}
     assert found.count() == sum(min(p + 1, 30) for p in range(200))
     assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_sequences_of_many_small_groups_are_aligned_in_few_calls(spark):
+    from tidemark.operators import alignment as L
+
+    n = spark.range(2000).selectExpr("id DIV 4 AS take", "id AS k", "CAST(50 + id % 4 AS DOUBLE) AS p")
+    found = L.align(n, n, ["take"], "k", "p")
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in found.collect()) == [(i // 4, i, i, 0.0) for i in range(2000)]
+    assert L.align(n, n.where("take < 0"), ["take"], "k", "p").count() == 0
