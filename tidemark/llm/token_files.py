@@ -35,7 +35,7 @@ SHARE_BYTES, LEAST_BYTES = 512 << 20, 1 << 20
 #: Documents that a worker gets at once.
 BATCH_ROWS = 2000
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
 
@@ -81,6 +81,85 @@ def pieces(at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(begin), doubled
 
 
+def _grown(array: np.ndarray, n: int) -> np.ndarray:
+    """The array with room for n values: at least twice as much where it has to grow."""
+    if len(array) >= n:
+        return array
+    wide = np.empty(max(n, 2 * len(array)), dtype=array.dtype)
+    wide[: len(array)] = array
+    return wide
+
+
+class _Known:
+    """Remembered pieces and their ids in flat arrays, found by hash for a whole slice at once and compared byte by byte."""
+
+    def __init__(self):
+        self.n, self.slot = 0, np.full(1 << 13, -1, dtype=np.int32)
+        self.hash, self.uses = np.zeros(1 << 12, dtype=np.uint64), np.zeros(1 << 12, dtype=np.int32)
+        # Where the ids and the bytes of each piece begin; one more at the end.
+        self.at, self.byte_at = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
+        self.ids, self.bytes = np.zeros(1 << 14, dtype=np.int32), np.zeros(1 << 15, dtype=np.uint8)
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """Number of the piece of each hash, -1 where there is none."""
+        found, left = np.full(len(value), -1, dtype=np.int64), np.arange(len(value))
+        place = (value & np.uint64(len(self.slot) - 1)).astype(np.int64)
+        while len(left):
+            number = self.slot[place]
+            taken = number >= 0
+            hit = taken & (self.hash[number] == value[left])
+            found[left[hit]] = number[hit]
+            on = taken & ~hit
+            left, place = left[on], (place[on] + 1) & (len(self.slot) - 1)
+        return found
+
+    def _settle(self, first: int) -> None:
+        """Give the pieces from this number on a slot each, the next free one from where their hash points."""
+        if len(self.slot) < 2 * self.n:
+            self.slot, first = np.full(1 << (4 * self.n).bit_length(), -1, dtype=np.int32), 0
+        left = np.arange(first, self.n)
+        place = (self.hash[left] & np.uint64(len(self.slot) - 1)).astype(np.int64)
+        while len(left):
+            free = self.slot[place] < 0
+            self.slot[place[free]] = left[free]
+            on = self.slot[place] != left
+            left, place = left[on], (place[on] + 1) & (len(self.slot) - 1)
+
+    def add(self, hashes: np.ndarray, spelled: list[bytes], found: list[list[int]]) -> None:
+        """Pieces of different hashes, none of which is known."""
+        n, m = self.n, self.n + len(spelled)
+        self.hash, self.uses, self.at, self.byte_at = _grown(self.hash, m), _grown(self.uses, m), _grown(self.at, m + 1), _grown(self.byte_at, m + 1)
+        self.hash[n:m], self.uses[n:m] = hashes, 0
+        for at, lengths in ((self.at, map(len, found)), (self.byte_at, map(len, spelled))):
+            at[n + 1 : m + 1] = at[n] + np.cumsum(np.fromiter(lengths, dtype=np.int64, count=len(spelled)))
+        self.ids, self.bytes = _grown(self.ids, int(self.at[m])), _grown(self.bytes, int(self.byte_at[m]))
+        self.ids[self.at[n] : self.at[m]] = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(self.at[m] - self.at[n]))
+        self.bytes[self.byte_at[n] : self.byte_at[m]] = np.frombuffer(b"".join(spelled), dtype=np.uint8)
+        self.n = m
+        self._settle(n)
+
+    def forget_rare(self, most: int) -> None:
+        """Keep what was met again, so many of the most used at most."""
+        uses = self.uses[: self.n]
+        order = np.argsort(-uses, kind="stable")[:most]
+        keep = np.sort(order[uses[order] > 1])
+        for at, values in (("at", "ids"), ("byte_at", "bytes")):
+            whole, begin = getattr(self, at), getattr(self, at)[keep]
+            size = whole[keep + 1] - begin
+            ends = np.cumsum(size)
+            setattr(self, values, getattr(self, values)[_ranges(begin, size)] if len(keep) else getattr(self, values)[:1])
+            setattr(self, at, np.concatenate(([0], ends)).astype(np.int64))
+        self.hash, self.uses, self.n = self.hash[keep] if len(keep) else self.hash[:1], self.uses[keep] // 2 if len(keep) else self.uses[:1], len(keep)
+        self.slot[:] = -1
+        self._settle(0)
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of ranges, one range behind the other."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoder:
     """The tokenizer's ids of whole texts, by way of remembered pieces.
 
@@ -108,67 +187,50 @@ class Encoder:
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.names = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
-        self._start()
-
-    def _forget_rare(self) -> None:
-        """Keep what was met again, the most used half at most."""
-        order = np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2]
-        keep = np.sort(order[self.uses[order] > 1])
-        keys, size = list(self.index), self.size[keep]
-        ends = np.cumsum(size)
-        self.ids = self.ids[np.repeat(self.at[keep] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        self.index = {keys[k]: i for i, k in enumerate(keep.tolist())}
-        self.at, self.size, self.uses = ends - size, size, self.uses[keep] // 2
-
-    def _start(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.ids = np.zeros(0, dtype=np.int32)
-        self.at = np.zeros(0, dtype=np.int64)
-        self.size = np.zeros(0, dtype=np.int64)
-        self.uses = np.zeros(0, dtype=np.int32)
+        self.known = _Known()
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _ids_of(self, pieces: list[str]) -> list[list[int]]:
         """Ids of new pieces. A word, with a space before it or not, is one unit to the
         tokenizer's model and goes to it directly; other pieces take the whole way."""
-        model, name = self.tokenizer.model, self.names
+        tokenize, name = self.tokenizer.model.tokenize, self.names
+        space = chr(name[0x20])
         found: list = [None] * len(pieces)
         rest = []
         for i, piece in enumerate(pieces):
             if (piece[1:] if piece[0] == " " else piece).isalpha():
-                found[i] = [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(name))]
+                # ASCII letters are spelled as they are.
+                spelled = piece.replace(" ", space) if piece.isascii() else piece.encode().decode("latin-1").translate(name)
+                found[i] = [t.id for t in tokenize(spelled)]
             else:
                 rest.append(i)
         for i, ids in zip(rest, self._whole([pieces[i] for i in rest]), strict=True):
             found[i] = ids
-        size = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        at = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate((self.ids, np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(size.sum()))))
-        self.at = np.concatenate((self.at, at))
-        self.size = np.concatenate((self.size, size))
-        self.uses = np.concatenate((self.uses, np.zeros(len(pieces), dtype=np.int32)))
-
-    def _numbers(self, start: np.ndarray, data: np.ndarray) -> np.ndarray:
-        """Number of each piece: equal pieces of the slice are looked up once, by their bytes."""
-        end = np.append(start[1:], len(data))
-        value = W.spans(data, start, end)
-        inverse, distinct = pd.factorize(value)
-        first = np.empty(len(distinct), dtype=np.int64)
-        first[inverse[::-1]] = np.arange(len(value) - 1, -1, -1)
-        raw, index = data.tobytes(), self.index
-        keys = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        found = [index.get(k, -1) for k in keys]
-        new = [k for k, i in zip(keys, found, strict=True) if i < 0]
-        if new:
-            for k in new:
-                index[k] = len(index)
-            self._learn([k.decode() for k in new])
-            found = [index[k] for k in keys]
-        numbers = np.array(found, dtype=np.int64)
-        self.uses[numbers] += 1
-        return numbers[inverse]
+        return found
+
+    def _numbers(self, start: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each piece, and the places of pieces that aren't, by their bytes, what their hash says."""
+        known, size = self.known, np.diff(start, append=len(data))
+        value = W.spans(data, start, start + size)
+        numbers = known.find(value)
+        new = np.flatnonzero(numbers < 0)
+        if len(new):
+            first = new[np.sort(np.unique(value[new], return_index=True)[1])]
+            raw = data.tobytes()
+            spelled = [raw[s : s + n] for s, n in zip(start[first].tolist(), size[first].tolist(), strict=True)]
+            known.add(value[first], spelled, self._ids_of([p.decode() for p in spelled]))
+            numbers[new] = known.find(value[new])
+        known.uses[numbers] += 1
+        begin = known.byte_at[numbers]
+        if not np.array_equal(known.byte_at[numbers + 1] - begin, size) or not np.array_equal(known.bytes[_ranges(begin, size)], data[start[0] :]):
+            same = [self._same(n, data[s : s + m]) for n, s, m in zip(numbers.tolist(), start.tolist(), size.tolist(), strict=True)]
+            return numbers, start[~np.array(same)]
+        return numbers, start[:0]
+
+    def _same(self, number: int, piece: np.ndarray) -> bool:
+        return np.array_equal(self.known.bytes[self.known.byte_at[number] : self.known.byte_at[number + 1]], piece)
 
     def _mark_added(self, at: np.ndarray, data: np.ndarray, odd: np.ndarray) -> None:
         """Set ``odd`` for texts that hold an added token's name."""
@@ -181,15 +243,18 @@ class Encoder:
 
     def encode(self, at: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each with END_ID; number of ids of each text)."""
-        if len(self.index) > REMEMBERED:
-            self._forget_rare()
+        known = self.known
+        if known.n > REMEMBERED:
+            known.forget_rare(REMEMBERED // 2)
         n = len(at) - 1
         start, doubled = pieces(at, data)
-        flat = self._numbers(start, data) if len(start) else np.zeros(0, dtype=np.int64)
-        size = self.size[flat]
+        flat, wrong = self._numbers(start, data) if len(start) else (np.zeros(0, dtype=np.int64), start)
+        # A text with a piece of another's hash goes the whole way too.
+        doubled[np.searchsorted(at, wrong, side="right") - 1] = True
+        begin = known.at[flat]
+        size = known.at[flat + 1] - begin
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.repeat(self.at[flat] - (ends - size), size) + np.arange(total)] if total else np.zeros(0, dtype=np.int32)
+        ids = known.ids[_ranges(begin, size)]
         token_at = np.concatenate(([0], ends))[np.searchsorted(start, at)]
         whole = {}
         self._mark_added(at, data, doubled)
