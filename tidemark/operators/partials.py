@@ -1,7 +1,7 @@
 """What partials of a spectrum say: tones of a chord, whether a written or a heard tone sounds, second readings.
 
-Recordings are cut into chunks, and a request gets those it reaches into: a join
-on (take, chunk), so a long take is read by many tasks. The kernels see one
+Recordings are cut into chunks, which meet the requests that reach into them block
+by block of a take, so a long take is read by many tasks. The kernels see one
 request's samples, which come to them in short runs, and return a few numbers.
 """
 
@@ -234,7 +234,8 @@ def _met(asked: DataFrame, pieces: DataFrame, key: str, ident: str) -> DataFrame
     at = F.col("chunk").cast("long") * F.col("_size")
     begin = F.greatest(F.lit(0), F.col("_a") - at)
     own = F.slice("part", (begin + 1).cast("int"), (F.least(F.col("_z") - at, F.col("_size").cast("long")) - begin).cast("int"))
-    return spread.join(pieces.select(key, "chunk", "part"), [key, "chunk"]).select(key, ident, "chunk", own.alias("part"))
+    # Samples are never broadcast, however small Spark takes them to be.
+    return spread.join(pieces.select(key, "chunk", "part").hint("merge"), [key, "chunk"]).select(key, ident, "chunk", own.alias("part"))
 
 
 def clips(requests: DataFrame, pieces: DataFrame, key: str, ident: str, lo: str, hi: str) -> DataFrame:
@@ -242,59 +243,97 @@ def clips(requests: DataFrame, pieces: DataFrame, key: str, ident: str, lo: str,
     asked = _asked(requests, pieces, key, lo, hi)
     one = _met(asked, pieces, key, ident).groupBy(key, ident).agg(F.array_sort(F.collect_list(F.struct("chunk", "part"))).alias("_p"))
     clip = F.flatten(F.transform("_p", lambda p: p["part"]))
-    return asked.drop("_a", "_z", "_size", "_n").join(one.select(key, ident, clip.alias("clip")), [key, ident], "left")
+    return asked.drop("_a", "_z", "_size", "_n").join(one.select(key, ident, clip.alias("clip")).hint("merge"), [key, ident], "left")
 
 
 #: Samples of a row on its way to a kernel: Arrow batches are bounded by rows alone, so that 10 000 of them are 41 MB.
 RUN = 512
 
 
+#: Seconds of a take that one stream has, at least; and no take's length, for requests that go on to its end.
+BLOCK, FOREVER = 60.0, 1e9
+
+
+def _streams(requests: DataFrame, pieces: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
+    """One table of requests (``_head``, chunk -1) and of runs of samples (``_x``), with the block of seconds in which they meet.
+
+    A request is in the block in which it begins; a block's samples go on for as
+    long as the longest request after its end. So no table of samples is ever a
+    side of a join, where Spark might take it for small: of rows that Python makes
+    longer, all it knows is how short they were before.
+    """
+    begin, end = F.greatest(F.lit(0.0), F.nanvl(F.col(lo).cast("double"), F.lit(0.0))), F.least(F.lit(FOREVER), F.nanvl(F.col(hi).cast("double"), F.lit(0.0)))
+    asked = requests.where(F.col(key).isNotNull()).select(key, F.struct(*requests.columns).alias("_head"), begin.alias("_begin"), (end - begin).alias("_long")).where("_long > 0")
+    longest = asked.select(F.max("_long")).scalar()
+    seconds = F.greatest(F.lit(BLOCK), 4 * longest)
+    heads = asked.select(key, F.floor(F.col("_begin") / seconds).alias("_block"), F.lit(-1).alias("chunk"), F.lit(0).alias("_run"), "_head")
+    # A thousandth of a second more than a block's requests can ask for, as times are rounded.
+    at, rate = F.col("chunk").cast("long") * F.col("_size"), F.col("rate").cast("double")
+    first, last = F.floor((at / rate - longest - 0.001) / seconds), F.floor(((at + F.size("part") + 1) / rate + 0.001) / seconds)
+    held = pieces.where(F.nanvl(rate, F.lit(0.0)) > 0).withColumns({"_first": F.greatest(F.lit(0).cast("long"), first), "_last": last})
+    held = held.withColumn("_block", F.explode(F.sequence("_first", F.greatest("_first", "_last"))))
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("part") - 1) / RUN).cast("int")), lambda i: F.struct(i.alias("run"), F.slice("part", i * RUN + 1, F.lit(RUN)).alias("x")))
+    short = held.select(key, "_block", "chunk", F.explode(runs).alias("_c"), "rate", "_size", "_n").select(key, "_block", "chunk", F.col("_c.run").alias("_run"), F.col("_c.x").alias("_x"), "rate", "_size", "_n")
+    return dealt(heads.unionByName(short, allowMissingColumns=True), [key, "_block"]).sortWithinPartitions(key, "_block", "chunk", "_run")
+
+
 def read(requests: DataFrame, pieces: DataFrame, key: str, ident: str, lo: str, hi: str, kernel: Callable, columns: str) -> DataFrame:
     """(key, ident, columns): ``kernel(request, clip)`` of each request that has samples in lo..hi, as a tuple of the columns.
 
-    Clips come to the kernels as a stream of short runs of samples, after their
-    request, and are put together one at a time: a task never holds more than a
-    batch of runs and one clip.
+    Requests come to the kernels ahead of their block's samples, which follow as
+    a stream of short runs: a task never holds more than a batch of runs, a
+    block's requests and the clips that have begun. Samples are read and exchanged once.
     """
     ready(requests.sparkSession)
-    asked = _asked(requests, pieces, key, lo, hi).where("_z > _a").drop("_n")
-    names = [c for c in asked.columns if c not in ("_a", "_z", "_size")]
-    met = _met(asked, pieces, key, ident)
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("part") - 1) / RUN).cast("int")), lambda i: F.struct(i.alias("run"), F.slice("part", i * RUN + 1, F.lit(RUN)).alias("x")))
-    short = met.select(key, ident, "chunk", F.explode(runs).alias("_c")).select(key, ident, "chunk", "_c.run", "_c.x")
-    heads = asked.select(key, ident, F.lit(-1).alias("chunk"), F.lit(0).alias("run"), F.struct(*names).alias("_head"))
-    rows = dealt(heads.unionByName(short, allowMissingColumns=True), [key, ident]).sortWithinPartitions(key, ident, "chunk", "run")
-    spec = T.StructType([*(asked.schema[k] for k in (key, ident)), *T.StructType.fromDDL(columns).fields])
+    rows = _streams(requests, pieces, key, lo, hi)
+    spec = T.StructType([*(requests.schema[k] for k in (key, ident)), *T.StructType.fromDDL(columns).fields])
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(spec)
-        head, held = None, []
 
-        def told() -> list[tuple]:
-            return [(head[key], head[ident], *kernel(head, np.concatenate(held).astype(float)))] if held else []
+        def place(second: float | None, rate: float, n: int) -> int:
+            """The sample at a second, of a take of so many."""
+            v = float(second) * rate if second is not None else 0.0
+            return n if v >= n else int(v) if v > 0 else 0
 
+        now, heads, asked = None, [], []  # block of a take, its requests, and (first, last, request, samples) of those not answered yet
         for batch in batches:
+            if not batch.num_rows:
+                continue
             out = []
-            # A head is ahead of its request's runs.
-            begins = [*np.flatnonzero(batch.column("chunk").to_numpy() < 0).tolist(), batch.num_rows]
-            x = batch.column("x")
-            for lo, hi in zip([0, *begins], begins):
-                if lo == hi and not lo:
+            keys, block, chunk = batch.column(key), batch.column("_block").to_numpy(), batch.column("chunk").to_numpy()
+            codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (block[1:] != block[:-1])) + 1
+            for lo_row, hi_row in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if (here := (keys[lo_row].as_py(), int(block[lo_row]))) != now:
+                    now, heads, asked = here, [], []
+                at = lo_row + int((chunk[lo_row:hi_row] < 0).sum())
+                heads += batch.column("_head").slice(lo_row, at - lo_row).to_pylist()
+                if at == hi_row or not (heads or asked):
                     continue
-                if lo < batch.num_rows and batch.column("chunk")[lo].as_py() < 0:
-                    out += told()
-                    head, held = batch.column("_head")[lo].as_py(), []
-                    lo += 1
-                if lo < hi:
-                    # Samples that are no number are nulls to Spark's readers.
-                    held.append(np.array(x.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)))
+                rate, size, n = (batch.column(c)[at].as_py() for c in ("rate", "_size", "_n"))
+                for head in heads:
+                    a = place(head[lo], rate, n)
+                    if (z := place(head[hi], rate, n)) > a:
+                        asked.append((a, z, head | {"rate": rate}, []))
+                heads = []
+                first = int(chunk[at]) * size + batch.column("_run")[at].as_py() * RUN
+                # Samples that are no number are nulls to Spark's readers.
+                x = batch.column("_x").slice(at, hi_row - at).flatten().to_numpy(zero_copy_only=False)
+                going = []
+                for a, z, head, held in asked:
+                    if a < first + len(x):
+                        held.append(np.array(x[max(a - first, 0) : z - first]))
+                    if z <= first + len(x):
+                        out.append((head[key], head[ident], *kernel(head, np.concatenate(held).astype(float))))
+                    else:
+                        going.append((a, z, head, held))
+                asked = going
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type, from_pandas=True) for c, f in zip(zip(*out), target)], schema=target)
-        for row in told():
-            yield pa.RecordBatch.from_arrays([pa.array([c], type=f.type, from_pandas=True) for c, f in zip(row, target)], schema=target)
 
     return rows.mapInArrow(run, spec)
 
@@ -319,11 +358,11 @@ def chord_tones(takes: DataFrame, chords: DataFrame, activity: DataFrame, key: s
     ends = takes.select(key, (F.size(samples) / F.col(rate)).alias("_end"))
     tones = chords.select(key, "id", "tones", "onset", "stop", F.explode(F.array_distinct("tones")).alias("midi"))
     tones = tones.withColumns({"lo": F.greatest(F.lit(0.0), F.col("onset") - ROLL), "hi": F.col("stop")})
-    told = tones.join(longest_run(tones, activity, key), [key, "id", "midi"], "left").join(ends, key, "left")
+    told = tones.join(longest_run(tones, activity, key), [key, "id", "midi"], "left")
     long = F.col("run_hi") - F.col("run_lo")
     under = F.exists("tones", lambda o: F.array_contains(F.array(*map(F.lit, WITHIN)), (F.col("midi") - o).cast("int")))
     cut = (F.col("onset") - ROLL < EDGE) | (F.col("stop") > F.col("_end") - EDGE)
-    told = told.withColumn("state", F.when(F.coalesce(long, F.lit(0.0)) < SOUNDS, F.when(cut, "unchecked").otherwise("missing")).when(under, "inseparable"))
+    told = told.withColumn("state", F.when(F.coalesce(long, F.lit(0.0)) < SOUNDS, "missing").when(under, "inseparable"))
     told = told.withColumn("ask", F.concat_ws(":", F.col("id").cast("string"), F.col("midi").cast("string")))
     asked = told.where("state IS NULL").select(key, "id", "midi", "tones", "ask", (F.col("run_lo") + F.greatest(F.lit(0.05), 0.25 * long)).alias("a"), (F.col("run_hi") - 0.15 * long).alias("z"))
 
@@ -332,7 +371,7 @@ def chord_tones(takes: DataFrame, chords: DataFrame, activity: DataFrame, key: s
         return (chord_cents(clip, r["rate"], sorted({float(t) for t in r["tones"]}), [m])[m],)
 
     found = read(asked, chunks(takes, key, samples, rate), key, "ask", "a", "z", kernel, "cents double")
-    both = told.join(found, [key, "ask"], "left")
+    both = told.join(ends, key, "left").join(found, [key, "ask"], "left").withColumn("state", F.when((F.col("state") == "missing") & cut, "unchecked").otherwise(F.col("state")))
     cents = F.when(~F.isnan("cents"), F.col("cents"))
     return both.select(key, "id", "midi", F.coalesce("state", F.when(cents.isNotNull(), "measured").otherwise("unmeasured")).alias("state"), cents.alias("cents"))
 
