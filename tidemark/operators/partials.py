@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -55,32 +56,51 @@ class Spectra:
         lo, hi = int(np.ceil((centre - radius) / self.step)), int(np.floor((centre + radius) / self.step))
         return np.arange(max(lo, 0), min(hi, self.db.shape[1] - 1) + 1)
 
-    def peaks(self, bins: np.ndarray, inner: bool) -> tuple[np.ndarray, np.ndarray]:
-        """(frequency, decibels over the floor) of each frame's largest of these bins; not a number where it is no peak.
-
-        ``inner``: it must stand out from its neighbours, and not at an end of the bins.
-        """
-        none = np.full(len(self.db), np.nan)
-        if len(bins) < (3 if inner else 1):
-            return none, none
-        rows = np.arange(len(self.db))
-        at = bins[self.db[:, bins].argmax(axis=1)]
-        left, right = np.clip(at - 1, 0, None), np.clip(at + 1, None, self.db.shape[1] - 1)
+    def peaks(self, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(frequency, decibels over the floor) of each frame's largest of these bins; not a number where it is no peak."""
+        if not len(bins):
+            return np.full(len(self.db), np.nan), np.full(len(self.db), np.nan)
+        at = bins[self.db[:, bins].argmax(axis=1)][:, None]
+        found, over = self._told(at, at >= 0)
+        return found[:, 0], over[:, 0]
+
+    def _told(self, at: np.ndarray, good: np.ndarray, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(frequency between bins, decibels over the floor) at [frame, peak] where it is good and loud enough; ``inner``: and over its neighbours."""
+        rows = np.arange(len(self.db))[:, None]
+        left, right = np.maximum(at - 1, 0), np.minimum(at + 1, self.db.shape[1] - 1)
         a, m, c = self.db[rows, left], self.db[rows, at], self.db[rows, right]
         bend = a - 2 * m + c
         shift = np.where((np.abs(bend) > 1e-9) & (left < at) & (at < right), 0.5 * (a - c) / np.where(np.abs(bend) > 1e-9, bend, 1.0), 0.0)
-        good = m >= self.need
+        good = good & (m >= self.need[:, None])
         if inner:
-            good &= (at != bins[0]) & (at != bins[-1]) & (m >= a) & (m >= c)
-        return np.where(good, (at + np.clip(shift, -0.5, 0.5)) * self.step, np.nan), np.where(good, m - self.floor, np.nan)
+            good &= (m >= a) & (m >= c)
+        return np.where(good, (at + np.minimum(np.maximum(shift, -0.5), 0.5)) * self.step, np.nan), np.where(good, m - self.floor[:, None], np.nan)
+
+    def tops(self, centres: np.ndarray, radii: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``peaks`` of the free bins within each radius, all at once as [frame, centre]; each must stand out from its neighbours, and not at an end of the bins."""
+        lo, hi = np.ceil((centres - radii) / self.step).astype(int), np.floor((centres + radii) / self.step).astype(int)
+        lo, hi = np.maximum(lo, 0), np.minimum(hi, self.db.shape[1] - 1)
+        bins = lo[:, None] + np.arange(max(int((hi - lo).max()) + 1, 1))
+        held = bins <= hi[:, None]
+        bins = np.minimum(bins, self.db.shape[1] - 1)
+        held &= free[bins]
+        own = np.arange(len(bins))
+        at = bins[own, np.where(held, self.db[:, bins], -np.inf).argmax(axis=2)]
+        ends = bins[own, held.argmax(axis=1)], bins[own, bins.shape[1] - 1 - held[:, ::-1].argmax(axis=1)]
+        return self._told(at, (held.sum(axis=1) >= 3) & (at != ends[0]) & (at != ends[1]), inner=True)
+
+
+@lru_cache(maxsize=4)
+def _hanning(size: int) -> np.ndarray:
+    return np.hanning(size)
 
 
 def _spectra(frames: np.ndarray, size: int, fft: int, rate: float) -> Spectra:
     frames = frames - frames.mean(axis=1, keepdims=True)
-    db = 20 * np.log10(np.abs(np.fft.rfft(frames * np.hanning(size), n=fft)) + 1e-12)
+    db = 20 * np.log10(np.abs(np.fft.rfft(frames * _hanning(size), n=fft)) + 1e-12)
     f = np.arange(db.shape[1]) * rate / fft
     top = min(TOP_HZ, rate / 2 - 1)
-    inside = db[:, (f > 50) & (f < top)]
+    inside = db[:, np.searchsorted(f, 50, "right") : np.searchsorted(f, top)]
     floor = np.median(inside, axis=1)
     return Spectra(rate / fft, db, floor, np.maximum(floor + OVER, inside.max(axis=1) - UNDER), rate / size, top)
 
@@ -113,20 +133,20 @@ def tone_cents(s: Spectra, midi: float, centre: float, reach: float, others: lis
             free[s.band(f, 1.5 * s.resolution + f * _ratio(BLANK))] = False
     if len(ks) < 2:
         return None
-    told, weight = np.full((len(s.db), len(ks)), np.nan), np.full((len(s.db), len(ks)), np.nan)
-    for j, k in enumerate(ks.tolist()):
-        bins = s.band(k * f0, max(k * f0 * _ratio(reach), 1.5 * s.resolution))
-        found, weight[:, j] = s.peaks(bins[free[bins]], inner=True)
-        told[:, j] = 69 + 12 * np.log2(found / k / 440)
-    told = told[(~np.isnan(told)).sum(1) >= 2], weight[(~np.isnan(told)).sum(1) >= 2]
-    if not len(told[0]):
+    found, weight = s.tops(ks * f0, np.maximum(ks * f0 * _ratio(reach), 1.5 * s.resolution), free)
+    told = 69 + 12 * np.log2(found / ks / 440)
+    several = (n := (~np.isnan(told)).sum(axis=1)) >= 2
+    if not several.any():
         return None
-    agree = np.abs(told[0] - np.nanmedian(told[0], axis=1, keepdims=True)) <= AGREE
-    w = np.where(agree, told[1], 0.0)
+    told, weight, n = told[several], weight[several], n[several]
+    # What is no number comes last in order, so these two are the middle of the others.
+    order, rows = np.sort(told, axis=1), np.arange(len(told))
+    agree = np.abs(told - ((order[rows, (n - 1) // 2] + order[rows, n // 2]) / 2)[:, None]) <= AGREE
+    w = np.where(agree, weight, 0.0)
     sure = agree.sum(axis=1) >= 2
     if not sure.any():
         return None
-    mean = (w * np.where(agree, told[0], 0.0)).sum(axis=1)[sure] / w.sum(axis=1)[sure]
+    mean = (w * np.where(agree, told, 0.0)).sum(axis=1)[sure] / w.sum(axis=1)[sure]
     return round((float(np.median(mean)) - midi) * 100, 1)
 
 
@@ -176,7 +196,7 @@ def two_series(x: np.ndarray, rate: float, target: float, heard: float) -> dict
         f = base * np.arange(1, len(weights) + 1)
         own = (f < 0.75 * other) | (np.abs(f - other * np.round(f / other)) > [reach(v) for v in f])
         bins = [s.band(v, reach(v)) for v in f]
-        at = np.array([s.peaks(b, inner=False)[0][0] if v < rate / 2 - 1 else np.nan for v, b in zip(f, bins)])
+        at = np.array([s.peaks(b)[0][0] if v < rate / 2 - 1 else np.nan for v, b in zip(f, bins)])
         level = np.array([s.db[0, b].max(initial=-240.0) for b in bins])
         return own, at, level, f
 
@@ -365,12 +385,14 @@ def chord_tones(takes: DataFrame, chords: DataFrame, activity: DataFrame, key: s
     told = told.withColumn("state", F.when(F.coalesce(long, F.lit(0.0)) < SOUNDS, "missing").when(under, "inseparable"))
     told = told.withColumn("ask", F.concat_ws(":", F.col("id").cast("string"), F.col("midi").cast("string")))
     asked = told.where("state IS NULL").select(key, "id", "midi", "tones", "ask", (F.col("run_lo") + F.greatest(F.lit(0.05), 0.25 * long)).alias("a"), (F.col("run_hi") - 0.15 * long).alias("z"))
+    # Tones of a chord that sound together have one clip, and its spectra.
+    asked = asked.groupBy(key, "id", "tones", "a", "z").agg(F.min("ask").alias("first"), F.collect_list(F.struct("ask", "midi")).alias("wanted"))
 
     def kernel(r, clip: np.ndarray) -> tuple:
-        m = float(r["midi"])
-        return (chord_cents(clip, r["rate"], sorted({float(t) for t in r["tones"]}), [m])[m],)
+        got = chord_cents(clip, r["rate"], sorted({float(t) for t in r["tones"]}), [float(w["midi"]) for w in r["wanted"]])
+        return ([{"ask": w["ask"], "cents": got[float(w["midi"])]} for w in r["wanted"]],)
 
-    found = read(asked, chunks(takes, key, samples, rate), key, "ask", "a", "z", kernel, "cents double")
+    found = read(asked, chunks(takes, key, samples, rate), key, "first", "a", "z", kernel, "told array<struct<ask: string, cents: double>>").select(key, F.inline("told"))
     both = told.join(ends, key, "left").join(found, [key, "ask"], "left").withColumn("state", F.when((F.col("state") == "missing") & cut, "unchecked").otherwise(F.col("state")))
     cents = F.when(~F.isnan("cents"), F.col("cents"))
     return both.select(key, "id", "midi", F.coalesce("state", F.when(cents.isNotNull(), "measured").otherwise("unmeasured")).alias("state"), cents.alias("cents"))
