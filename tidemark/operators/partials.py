@@ -236,8 +236,9 @@ def chunks(takes: DataFrame, key: str, samples: str, rate: str, seconds: float =
     """(key, rate, chunk, part): samples in runs of so many seconds, numbered from 0."""
     held = takes.where(F.size(samples) > 0).select(key, F.col(rate).alias("rate"), F.col(samples).alias("_s"))
     held = held.withColumns({"_size": F.greatest(F.lit(1), F.floor(F.col("rate") * seconds)).cast("int"), "_n": F.size("_s")})
-    cut = F.transform(F.sequence(F.lit(0), F.ceil(F.col("_n") / F.col("_size")).cast("int") - 1), lambda i: F.struct(i.alias("chunk"), F.slice("_s", i * F.col("_size") + 1, F.col("_size")).alias("part")))
-    return held.withColumn("_c", F.explode(cut)).select(key, "rate", "_size", "_n", "_c.chunk", "_c.part")
+    # Slices are taken after the explode: within a lambda each of them would go through the whole take.
+    held = held.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / F.col("_size")).cast("int") - 1)))
+    return held.select(key, "rate", "_size", "_n", "chunk", F.slice("_s", F.col("chunk") * F.col("_size") + 1, F.col("_size")).alias("part"))
 
 
 def _asked(requests: DataFrame, pieces: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
@@ -292,8 +293,8 @@ def _streams(requests: DataFrame, pieces: DataFrame, key: str, lo: str, hi: str)
     first, last = F.floor((at / rate - longest - 0.001) / seconds), F.floor(((at + F.size("part") + 1) / rate + 0.001) / seconds)
     held = pieces.where(F.nanvl(rate, F.lit(0.0)) > 0).withColumns({"_first": F.greatest(F.lit(0).cast("long"), first), "_last": last})
     held = held.withColumn("_block", F.explode(F.sequence("_first", F.greatest("_first", "_last"))))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size("part") - 1) / RUN).cast("int")), lambda i: F.struct(i.alias("run"), F.slice("part", i * RUN + 1, F.lit(RUN)).alias("x")))
-    short = held.select(key, "_block", "chunk", F.explode(runs).alias("_c"), "rate", "_size", "_n").select(key, "_block", "chunk", F.col("_c.run").alias("_run"), F.col("_c.x").alias("_x"), "rate", "_size", "_n")
+    short = held.withColumn("_run", F.explode(F.sequence(F.lit(0), F.floor((F.size("part") - 1) / RUN).cast("int"))))
+    short = short.select(key, "_block", "chunk", "_run", F.slice("part", F.col("_run") * RUN + 1, F.lit(RUN)).alias("_x"), "rate", "_size", "_n")
     return dealt(heads.unionByName(short, allowMissingColumns=True), [key, "_block"]).sortWithinPartitions(key, "_block", "chunk", "_run")
 
 
