@@ -321,6 +321,11 @@ def read(requests: DataFrame, pieces: DataFrame, key: str, ident: str, lo: str,
             return n if v >= n else int(v) if v > 0 else 0
 
         now, heads, asked = None, [], []  # block of a take, its requests, and (first, last, request, samples) of those not answered yet
+
+        def answered() -> None:
+            if asked:
+                raise ValueError(f"samples of {now} end before its requests do")
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -330,6 +335,7 @@ def read(requests: DataFrame, pieces: DataFrame, key: str, ident: str, lo: str,
             cuts = np.flatnonzero((codes[1:] != codes[:-1]) | (block[1:] != block[:-1])) + 1
             for lo_row, hi_row in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
                 if (here := (keys[lo_row].as_py(), int(block[lo_row]))) != now:
+                    answered()
                     now, heads, asked = here, [], []
                 at = lo_row + int((chunk[lo_row:hi_row] < 0).sum())
                 heads += batch.column("_head").slice(lo_row, at - lo_row).to_pylist()
@@ -355,6 +361,7 @@ def read(requests: DataFrame, pieces: DataFrame, key: str, ident: str, lo: str,
                 asked = going
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type, from_pandas=True) for c, f in zip(zip(*out), target)], schema=target)
+        answered()
 
     return rows.mapInArrow(run, spec)
 
