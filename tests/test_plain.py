@@ -86,6 +86,26 @@ def test_tokens_of_many(seed):
     assert not set(rows) & set(compress(range(len(texts)), odd))
 
 
+def test_each_distinct_piece_is_looked_into_once(monkeypatch):
+    """Texts cost what their distinct tags and words cost, and arrays; no object of each tag."""
+    seen = []
+    monkeypatch.setattr(plain, "_piece", lambda p, look=plain._piece: seen.append(p) or look(p))
+    texts = [t for t in documents(300, 3) if t] * 4
+    found = plain.elements([*texts, None, ""])
+    assert len(seen) == len(set(seen)) < len(found.piece) / 10
+    assert [found.pieces[k] for k in found.piece[found.owner == 0]] == ["a/>"] and "".join(f"<{found.pieces[k]}" for k in found.piece[found.owner == len(texts) - 1]) in (texts[-1], "")
+
+
+def test_plain_texts_are_told_apart():
+    body = '<a><b x="1">t</b> <c/>\n</a>'
+    odd = [None, "", " ", "t", f" {body}", f"{body}\n", f"{body}{body}", body.replace("t<", "t>t<"), body.replace('"1"', '">"'), body.replace('"1"', '"<"'), body.replace('"1"', '"\t"'), body.replace('"1"', "'1'"), body.replace("t<", "é<"), body.replace("t<", "\x7f<"), body.replace("t<", "\r<"), body.replace("t<", "\0<")]
+    odd += [body.replace("t<", "&lt;<"), body[1:], body[:-1], body.replace("</b>", "</c>"), body.replace("</b>", "</b >"), body.replace("<c/>", "<c/"), body.replace("<c/>", "</c>"), body.replace("<c/>", "<p:c/>"), body.replace("<c/>", "<é/>"), body.replace("<c/>", "<!-- -->"), body.replace("x=", 'x="2" x='), "<", ">", "<>", "<<a></a>", "<a/>", "</a>"]
+    usual = [body, "<a></a>", "<a><b/></a>", "<a><b /></a>", '<a><b x="/"/></a>', body.replace("t<", "'\"!~\t<")]
+    found = plain.elements([t for pair in zip(odd, usual * 9) for t in pair])
+    assert not found.plain[::2].any() and found.plain[1::2].all()
+    assert plain.elements([]).plain.tolist() == [] and plain.elements([None]).plain.tolist() == [False]
+
+
 def test_changed_and_scanned_in_spark(spark):
     texts = [t for t in documents(300, 9) if "9999999" not in (t or "")]
     docs = spark.createDataFrame(list(enumerate(texts)), "k long, x string").repartition(3)

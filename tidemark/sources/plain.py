@@ -12,30 +12,28 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_ODD = np.ones(256, dtype=bool)
-_ODD[0x20:0x7F] = False
-_ODD[[0x09, 0x0A]] = False
-_ODD[ord("&")] = True
+_USUAL = re.compile(r"[\t\n !-%'-~]*")
+_TAG = re.compile(r'(/?)([A-Za-z_][\w.-]*)((?: [A-Za-z_][\w.-]*="[^"\n\t]*")*)( ?/)?', re.ASCII)
+_ATTRIBUTE = re.compile(r' ([\w.-]+)="', re.ASCII)
 
-_TAG = re.compile(rb'(/?)([A-Za-z_][\w.-]*)((?: [A-Za-z_][\w.-]*="[^"\n\t]*")*)( ?/)?')
-_ATTRIBUTE = re.compile(rb' ([\w.-]+)="')
 
-
-def _tag(tag: bytes) -> tuple[int, str]:
-    """What a tag does to the depth, and its name; without a name it isn't plain."""
-    m = _TAG.fullmatch(tag)
+def _piece(piece: str) -> tuple[int, str, str]:
+    """Of the text from behind a < up to the next: what the tag does to the depth, its name, and what follows it; without a name it isn't plain."""
+    tag, closed, said = piece.partition(">")
+    m = _TAG.fullmatch(tag) if closed and ">" not in said and _USUAL.fullmatch(piece) else None
     names = _ATTRIBUTE.findall(m[3]) if m else []
-    if not m or (m[1] and (m[3] or m[4])) or len(set(names)) < len(names) or any(n.startswith(b"xmlns") for n in names):
-        return 0, ""
-    return -1 if m[1] else 0 if m[4] else 1, m[2].decode()
+    if not m or (m[1] and (m[3] or m[4])) or len(set(names)) < len(names) or any(n.startswith("xmlns") for n in names):
+        return 0, "", ""
+    return -1 if m[1] else 0 if m[4] else 1, m[2], said
 
 
 @dataclass
 class Elements:
-    """Elements of the plain texts, in order of their first bytes."""
+    """Elements of the plain texts, in order of their first bytes, and the texts as pieces: tags with what follows each."""
 
-    raw: bytes  # the texts, one behind the other
     at: np.ndarray  # each text's first byte; one more at the end
     plain: np.ndarray  # of each text
     text: np.ndarray  # number of the text
@@ -43,7 +41,6 @@ class Elements:
     begin: np.ndarray  # first byte
     stop: np.ndarray  # where the closing tag begins; for an element of one tag, its end
     end: np.ndarray  # past the last byte
-    tail: np.ndarray  # where the next tag begins
     parent: np.ndarray  # -1: none
     level: np.ndarray  # 1: the root
     leaf: np.ndarray
@@ -51,6 +48,11 @@ class Elements:
     said_nothing: int  # the number of the empty text
     words: list[str]
     names: dict[str, int]
+    pieces: list[str]  # the distinct ones, without their <
+    piece: np.ndarray  # number, in ``pieces``, of each piece of the plain texts
+    owner: np.ndarray  # number of each piece's text
+    opens: np.ndarray  # an element's first piece
+    closes: np.ndarray  # and its last
 
     def named(self, *names: str) -> np.ndarray:
         asked = np.zeros(len(self.names), dtype=bool)
@@ -84,39 +86,33 @@ def runs(texts: list[str | None], size: int = 1 << 20) -> Iterator[tuple[int, li
 
 
 def elements(texts: list[str | None]) -> Elements:
-    coded = [(t or "").encode() for t in texts]
-    at = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int64)
-    raw = b"".join(coded)
-    data = np.frombuffer(raw, np.uint8)
-    owner = lambda place: np.searchsorted(at, place, side="right") - 1
-    plain = at[1:] > at[:-1]
-    plain[owner(np.flatnonzero(_ODD[data]))] = False
-    plain[plain] &= (data[at[:-1][plain]] == ord("<")) & (data[at[1:][plain] - 1] == ord(">"))
-    lt, gt = np.flatnonzero(data == ord("<")), np.flatnonzero(data == ord(">"))
-    plain &= np.diff(np.searchsorted(lt, at)) == np.diff(np.searchsorted(gt, at))
-    lt, gt = lt[plain[owner(lt)]], gt[plain[owner(gt)]]
-    # Of plain texts each < has its >, ahead of the next <.
-    text = owner(lt)
-    plain[text[lt > gt]] = False
-    plain[text[:-1][(lt[1:] < gt[:-1]) & (text[1:] == text[:-1])]] = False
-    own = plain[text]
-    lt, gt, text = lt[own], gt[own], text[own]
-    kept = np.flatnonzero(plain).tolist()
-    split = b"".join([coded[k] for k in kept]).replace(b">", b"<").split(b"<") if kept else [b""]
-    tag, tags = pd.factorize(np.array(split[1::2], dtype=object))
-    # Most texts between tags are empty: the rest alone are told apart.
-    said, filled = np.zeros(len(lt), dtype=np.int64), np.append(lt[1:], len(raw)) > gt + 1
-    filled[np.flatnonzero(text[1:] != text[:-1])] = False
-    if len(lt):
-        filled[-1] = False
-    told, words = pd.factorize(np.array([b"", *filter(None, split[2::2])], dtype=object))
-    said[filled] = told[1:]
-    known = [_tag(t) for t in tags]
-    names = {n: k for k, n in enumerate(dict.fromkeys(n for _, n in known))}
-    step = np.array([s for s, _ in known], dtype=np.int64)[tag] if len(tag) else np.zeros(0, np.int64)
-    name = np.array([names[n] for _, n in known], dtype=np.int64)[tag] if len(tag) else np.zeros(0, np.int64)
-    if "" in names:
-        plain[text[name == names[""]]] = False
+    split = pc.split_pattern(pa.array([t or "" for t in texts], pa.string()), "<")
+    count = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    coded = split.flatten().dictionary_encode()
+    # Few pieces are distinct: each is looked into once.
+    pieces, piece = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    known, sizes = [_piece(p) for p in pieces], pc.binary_length(coded.dictionary).to_numpy()
+    names = {n: k for k, n in enumerate(dict.fromkeys(n for _, n, _ in known))}
+    words = {"": 0}
+    told = np.array([words.setdefault(s, len(words)) for _, _, s in known], dtype=np.int64)
+    fine = np.array([n != "" for _, n, _ in known], dtype=bool)
+    text, size = np.repeat(np.arange(len(texts)), count), sizes[piece].astype(np.int64)
+    begun = np.cumsum(size + 1) - (size + 1) - text  # first byte of each piece, behind its <
+    lead = np.cumsum(count) - count
+    inner = np.ones(len(piece), dtype=bool)
+    inner[lead] = False
+    at = np.zeros(len(texts) + 1, dtype=np.int64)
+    at[1:] = np.cumsum(np.bincount(text, weights=size, minlength=len(texts)).astype(np.int64) + count - 1)
+    # A plain text begins with a tag and ends with one.
+    plain = (count > 1) & (size[lead] == 0)
+    plain &= told[piece[lead + count - 1]] == 0
+    plain[text[inner & ~fine[piece]]] = False
+    kept = np.flatnonzero(inner & plain[text])
+    piece, text, size, begun = piece[kept], text[kept], size[kept], begun[kept]
+    lt, said = begun - 1, told[piece]
+    gt = begun + (sizes - np.array([len(s) + 1 for _, _, s in known], dtype=np.int64))[piece]
+    step = np.array([s for s, _, _ in known], dtype=np.int64)[piece]
+    name = np.array([names[n] for _, n, _ in known], dtype=np.int64)[piece]
     # The depth of each text starts at 0.
     first = np.searchsorted(text, np.arange(len(texts) + 1))
     total = np.concatenate([[0], np.cumsum(step)])
@@ -141,8 +137,6 @@ def elements(texts: list[str | None]) -> Elements:
     twin[opens] = closes
     e = np.flatnonzero((step >= 0) & plain[text])
     last = twin[e]
-    after = np.append(lt[1:], len(raw))
-    tail = np.where(last + 1 < first[1:][text[e]], after[last], at[1:][text[e]]) if len(e) else np.zeros(0, np.int64)
     parent = np.full(len(e), -1)
     deep = level[e]
     above = np.flatnonzero(deep == 1)
@@ -151,6 +145,6 @@ def elements(texts: list[str | None]) -> Elements:
         parent[here] = above[np.searchsorted(above, here) - 1]
         above = here
     return Elements(
-        raw, at, plain, text[e], name[e], lt[e], np.where(step[e] == 0, gt[e] + 1, lt[last]), gt[last] + 1, tail, parent, deep, (step[e] == 0) | (last == e + 1),
-        np.where(step[e] == 0, 0, said[e]), 0, [w.decode() for w in words], names,
+        at, plain, text[e], name[e], lt[e], np.where(step[e] == 0, gt[e] + 1, lt[last]), gt[last] + 1, parent, deep, (step[e] == 0) | (last == e + 1), np.where(step[e] == 0, 0, said[e]), 0, list(words), names,
+        pieces, piece, text, e, last,
     )
