@@ -494,6 +494,33 @@ def test_ann_recall_ties_and_rows_that_take_no_part(spark):
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in mixed.collect()) == [(0, 1, 20), (20, 1, 0), (40, 1, 2), (40, 2, 1)]
 
 
+def test_ann_lists_are_dealt_out_evenly(spark):
+    """Shards of very unequal sizes, one with numbers no single precision holds: every task improves as many lists, and finds what one task a shard finds."""
+    rng = np.random.default_rng(31)
+    rows = [(shard, place, (v * (1e200 if shard == 2 else 1.0)).tolist()) for shard, n in enumerate([330, 40, 25, 1]) for place, v in enumerate(rng.normal(size=(n, 8)))]
+    vectors = spark.createDataFrame(rows, "shard int, place int, vector array<double>")
+    graph = ann.build(vectors, rounds=2, list_rows=100)
+    tasks = sorted(r["count"] for r in graph.groupBy(F.input_file_name()).count().collect())
+    assert tasks == [96, 100, 100, 100]
+    order = ["shard", "place"]
+    got, whole = graph.orderBy(*order).collect(), ann.build(vectors, rounds=2, list_rows=10_000).orderBy(*order).collect()
+    assert got == whole and len(got) == len(rows)
+    for shard in range(4):
+        x = np.array([v for s, _, v in rows if s == shard])
+        x /= np.abs(x).max()
+        own = [r for r in got if r["shard"] == shard]
+        assert all(len(r["near"]) == min(20, len(x) - 1) and r["place"] not in r["near"] for r in own)
+        assert all(np.allclose(r["sim"], x[r["near"]] @ x[r["place"]], rtol=1e-4, atol=1e-5) for r in own if r["near"])
+
+
+def test_ann_answers_of_one_common_vector_are_dealt_out(spark):
+    x = np.random.default_rng(32).normal(size=(60, 4))
+    rows = [(k, (x[0] if k % 20 == 0 else x[k % 60]).tolist()) for k in range(4000)]
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5)
+    held = [r["count"] for r in found.groupBy(F.input_file_name()).count().collect()]
+    assert sum(held) == 1000 and len(held) == 4 and max(held) < 400  # all queries have one vector
+
+
 @pytest.mark.parametrize("shards", [1, 4, 16])
 def test_ann_recall_over_shards(spark, shards):
     rng = np.random.default_rng(9)

op6: tasks of the descent and of the search get equal work, by partition number

Symptom: op6_ann's rounds of the descent ran as 3 tasks on 51,282 vectors (4 shards): median 5.1 to 6.6 s, longest 9.7 to 12.3 s (local[6], event log), as two shards' hashes met in one partition and a shard was always one task.
Evidence: Every round's stage FlatMapCoGroupsInArrow by shard had a longest task of about twice the median; the first lists' stage 6.0 s against 3.5 s, the search 5.9 s against 4.5 s. Shards also differ in size, up to 1.5 times the mean, so more shards would not even this out.
Fix: Rows of all shards are counted through and each task of a round improves 4096 lists, of a few small shards or a slice of a large one; the joined neighbour lists go straight to that task, where they are gathered, rather than being gathered first and exchanged again by shard. Vectors go there in single precision, as the kernel used them. First lists are dealt out one shard a partition, search groups one a partition, and the k answers of each row of a common vector are made after their rows are dealt out.
Effect: at 0.6 GB of input CPU 1063 -> 1049 s, shuffle 2.48 -> 2.12 GB, spill 0.00 -> 0.00 GB, read 0.72 -> 0.75 GB, longest task 7 -> 5 s, most memory of a task 104 -> 102 MB; at 6 GB of input CPU 11330 -> 13172 s, shuffle 42.14 -> 32.24 GB, spill 0.00 -> 0.00 GB, read 8.26 -> 8.46 GB, longest task 32 -> 17 s, most memory of a task 181 -> 554 MB; with hot keys, at 0.6 GB of input CPU 930 -> 1061 s, shuffle 2.08 -> 1.81 GB, spill 0.00 -> 0.00 GB, read 0.60 -> 0.62 GB, longest task 10 -> 5 s, most memory of a task 103 -> 102 MB.

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import dealt
+
 from ._shared import Scratch, discard, materialize, ready, scratch_path, session_of
 
 #: Vectors of a shard, on average: bounds a task's memory.
@@ -37,8 +39,8 @@ SETTLED = 0.02
 #: Candidates that a walk keeps, and how many it expands at a time.
 BEAM, EXPAND = 256, 8
 ENTRIES = 48
-#: Queries of one search task.
-QUERY_BLOCK = 1024
+#: Queries of one search task, and lists that one task of the descent improves.
+QUERY_BLOCK, LIST_ROWS = 1024, 4096
 SEED = 17
 
 
@@ -131,29 +133,54 @@ def _around(graph: DataFrame) -> DataFrame:
     return graph.select("shard", "place", "near").join(back, ["shard", "place"], "left").select("shard", "place", "near", F.array_distinct(F.concat("near", F.coalesce("back", F.array().cast("array<int>")))).alias("ring"))
 
 
-def build(vectors: DataFrame, *, rounds: int = ROUNDS) -> DataFrame:
-    """The neighbour graph (shard, place, near, sim) of vectors (shard, place, vector)."""
+def _numbered(counts: DataFrame, key: str, count: str) -> DataFrame:
+    """Adds ``first``: how many are counted ahead, in order of the key. One row a shard."""
+    return counts.withColumn("first", F.sum(count).over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)) - F.col(count))
+
+
+def build(vectors: DataFrame, *, rounds: int = ROUNDS, list_rows: int = LIST_ROWS) -> DataFrame:
+    """The neighbour graph (shard, place, near, sim) of vectors (shard, place, vector).
+
+    Each task of a round improves ``list_rows`` lists: those of small shards together, those of a large one
+    in several tasks, which get all its vectors. A partition is asked for by its number, as hashes of a
+    few shards meet.
+    """
     spark = session_of(vectors)
     schema = spark.createDataFrame([], _GRAPH).schema
+    scratch = Scratch(spark)
 
     def keep(df: DataFrame) -> tuple[str, DataFrame]:
         path = scratch_path(spark, "graph")
         df.write.parquet(path)
         return path, spark.read.schema(schema).parquet(path)
 
-    path, graph = keep(vectors.groupBy("shard").applyInArrow(_start, _GRAPH))
+    # Single precision by one factor a shard, as ``_unit`` has it: half the bytes for every task that needs them.
+    top = F.max(F.array_max(F.transform("vector", F.abs)))
+    shards = scratch.keep(_numbered(vectors.groupBy("shard").agg(F.count("*").alias("n"), top.alias("top")), "shard", "n"), "shards")
+    told = shards.agg(F.count("*"), F.sum("n")).first()
+    tasks = max(1, -(-(told[1] or 0) // list_rows))
+    unit = F.when(F.col("top") > 0, F.transform("vector", lambda x: (x / F.col("top")).cast("float"))).otherwise(F.col("vector").cast("array<float>"))
+    units = scratch.keep(vectors.join(shards, "shard").select("shard", "place", unit.alias("vector"), "first", "n"), "units")
+    task = F.floor((F.col("first") + F.col("place")) / F.lit(list_rows)).cast("int").alias("task")
+    first = shards.select("shard", "first")
+    path, graph = keep(units.select("shard", "place", "vector").repartitionById(max(1, told[0]), F.col("shard")).groupBy("shard").applyInArrow(_start, _GRAPH))
+    ends = [F.floor(x / F.lit(list_rows)).cast("int") for x in (F.col("first"), F.col("first") + F.col("n") - 1)]
+    spread = units.select(F.explode(F.sequence(*ends)).alias("task"), "shard", "place", "vector").repartitionById(tasks, F.col("task"))
     for _ in range(rounds):
         ring = _around(graph)
         steps = ring.select("shard", "place", F.explode("ring").alias("to"))
         # Neighbours of neighbours: the lists of all that stand in a vector's list.
-        beyond = steps.join(ring.select("shard", F.col("place").alias("to"), F.col("ring").alias("theirs")), ["shard", "to"]).groupBy("shard", "place").agg(F.array_distinct(F.flatten(F.collect_list("theirs"))).alias("theirs"))
-        lists = ring.join(beyond, ["shard", "place"], "left").select("shard", "place", "near", F.array_union("ring", F.coalesce("theirs", F.array().cast("array<int>"))).alias("candidates"))
+        met = steps.join(ring.select("shard", F.col("place").alias("to"), F.col("ring").alias("theirs")), ["shard", "to"]).join(first, "shard").select(task, "shard", "place", "theirs")
+        beyond = met.repartitionById(tasks, F.col("task")).groupBy("task", "shard", "place").agg(F.array_distinct(F.flatten(F.collect_list("theirs"))).alias("theirs"))
+        lists = ring.join(first, "shard").select(task, "shard", "place", "near", "ring").repartitionById(tasks, F.col("task")).join(beyond, ["task", "shard", "place"], "left")
+        lists = lists.select("task", "shard", "place", "near", F.array_union("ring", F.coalesce("theirs", F.array().cast("array<int>"))).alias("candidates"))
         before = path
-        path, graph = keep(vectors.groupBy("shard").cogroup(lists.groupBy("shard")).applyInArrow(_improve, _GRAPH))
+        path, graph = keep(spread.groupBy("task", "shard").cogroup(lists.groupBy("task", "shard")).applyInArrow(_improve, _GRAPH))
         discard(spark, before)
         moved = graph.agg(F.sum("changed") / F.greatest(F.sum(F.size("near")), F.lit(1))).first()[0]
         if moved is None or moved < SETTLED:
             break
+    scratch.drop()
     return graph
 
 
@@ -409,10 +436,10 @@ def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec
     # Only vectors of one direction can still be too many for a shard: these are dealt out by hash, and all their shards are searched.
     parts = scratch.keep(held.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(1.5 * shard_rows))).cast("int").alias("parts")), "parts")
     shard = F.struct("cell", F.pmod(F.xxhash64(F.lit(SEED), "rep"), F.col("parts")).cast("int").alias("part"))
-    dealt = held.join(parts, "cell").select("rep", "vector", shard.alias("named"))
-    names = dealt.groupBy("named").agg(F.count("*").alias("held")).withColumn("shard", (F.row_number().over(Window.orderBy("named")) - 1).cast("int"))
+    sharded = held.join(parts, "cell").select("rep", "vector", shard.alias("named"))
+    names = sharded.groupBy("named").agg(F.count("*").alias("held")).withColumn("shard", (F.row_number().over(Window.orderBy("named")) - 1).cast("int"))
     names = scratch.keep(names, "shards")  # one row a shard
-    placed = dealt.join(names.select("named", "shard"), "named").select("rep", "vector", "shard")
+    placed = sharded.join(names.select("named", "shard"), "named").select("rep", "vector", "shard")
     placed = placed.withColumn("place", (F.row_number().over(Window.partitionBy("shard").orderBy("rep")) - 1).cast("int"))
     nodes = scratch.keep(placed, "nodes")
     graph = build(nodes.select("shard", "place", "vector"))
@@ -428,11 +455,14 @@ def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec
         visits = _visits(active, first, levels, probes, deal_rows, scratch).join(names.select(F.col("named.cell").alias("cell"), "shard"), "cell").select("rep", "vector", "shard")
         visits = scratch.keep(visits if been is None else visits.join(been, ["rep", "shard"], "left_anti"), "walks")
         # A shard that many queries look into is searched by several tasks.
-        blocks = scratch.keep(visits.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("blocks")), "blocks")
+        blocks = visits.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(query_block)).cast("int").alias("blocks"))
+        blocks = scratch.keep(_numbered(blocks, "shard", "blocks"), "blocks")
+        tasks = max(1, blocks.agg(F.sum("blocks")).first()[0] or 0)
         block = F.pmod(F.xxhash64(F.lit(SEED + 1), "rep"), F.col("blocks")).cast("int")
-        spread = around.join(blocks, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        walks = visits.join(blocks, "shard").withColumn("block", block).drop("blocks")
-        found = spread.groupBy("shard", "block").cogroup(walks.groupBy("shard", "block")).applyInArrow(_search(k + 1), "query long, rep long, score double").withColumn("new", F.lit(True))
+        number = lambda block: (F.col("first") + block).cast("int").alias("block")
+        spread = around.join(blocks, "shard").withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(number(F.col("b")), "place", "ring", "rep", "vector").repartitionById(tasks, F.col("block"))
+        walks = visits.join(blocks, "shard").select(number(block), "rep", "vector").repartitionById(tasks, F.col("block"))
+        found = spread.groupBy("block").cogroup(walks.groupBy("block")).applyInArrow(_search(k + 1), "query long, rep long, score double").withColumn("new", F.lit(True))
         every_find = found if best is None else best.withColumn("new", F.lit(False)).unionAll(found)
         top = every_find.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("r") <= k + 1).drop("r")
         top = scratch.keep(top, "best")
@@ -448,7 +478,8 @@ def search(table: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec
     named = best.join(members.select("rep", "rows"), "rep").select("query", F.explode(F.transform("rows", lambda m: F.struct((-F.col("score")).alias("far"), m["id"].alias("id"), m["row"].alias("row")))).alias("e"))
     # k + 1 of k + 1 nodes with k + 1 rows each.
     lists = named.groupBy("query").agg(F.slice(F.sort_array(F.collect_list("e")), 1, k + 1).alias("nearest"))
-    own = asked.join(lists, asked["rep"] == lists["query"])
+    # Rows of one vector that is very common have met here: they are dealt out before each gets its k rows.
+    own = dealt(asked.join(lists, asked["rep"] == lists["query"]), ["row"])
     ranked = own.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("nearest", lambda e: e["row"] != F.col("row")), 1, k)).alias("at", "e"))
     answer = materialize(ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("e.id").alias("vec_id"), (-F.col("e.far")).alias("score")), "nearest")
     scratch.drop()
